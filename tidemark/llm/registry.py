@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import archive, decontamination, sharding
+from tidemark.llm import archive, decontamination, html_text, language, sharding, toxicity
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
+    "op2_language": language.op2_language,
     "op6_warc": archive.op6_warc,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_sharding": sharding.op9_sharding,
 }
