@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import archive, decontamination, html_text, language, sharding, toxicity
+from tidemark.llm import archive, decontamination, fingerprint, html_text, language, sharding, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_sharding": sharding.op9_sharding,
+    "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
 SQL = {
