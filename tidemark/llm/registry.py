@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import archive, decontamination, fingerprint, html_text, jaccard_join, language, sharding, toxicity
+from tidemark.llm import archive, decontamination, fingerprint, html_text, jaccard_join, language, language_model, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_language": language.op2_language,
+    "op3_mixing": mixing.op3_mixing,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_language_model": language_model.op5_language_model,
     "op6_warc": archive.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,

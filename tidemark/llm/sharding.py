@@ -63,7 +63,8 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", shards: int = 8) -> Data
     rank = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("__key"))
     ranked = keyed.withColumn("__rank", rank)
     placed = ranked.join(F.broadcast(starts), ["shard", "__bucket"])
-    return placed.withColumn("slot", (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__key", "__bucket", "__start", "__rank")
+    slot = (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot")
+    return placed.select(*[c for c in docs.columns if c not in ("shard", "slot", "grown_shard")], "shard", slot, "grown_shard")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
