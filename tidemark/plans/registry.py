@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market  # noqa: F401
+from tidemark.plans import chain, market  # noqa: F401
 from tidemark.plans.bindings import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
