@@ -102,13 +102,13 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", ties:
     kind = docs.schema[doc_id].dataType.simpleString()
     before = docs.sparkSession.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], f"__first {kind}, __before int")
     placed = docs.withColumn("__range", number).join(F.broadcast(before), F.col(doc_id).eqNullSafe(F.col("__first")), "left")
-    place = lambda r, copy: F.struct(r.cast("int").alias("r"), F.lit(copy).alias("copy"))
+    place = lambda r, copy: F.struct(r.cast("int"), F.lit(copy))
     copies = F.when(F.col("__before").isNull(), F.array(place(F.col("__range"), 0))).otherwise(F.array(place(F.col("__range"), 0), place(F.col("__before"), 1)))
-    placed = placed.withColumn("__place", F.explode(copies)).drop("__range", "__first", "__before")
-    order = Window.partitionBy(F.col("__place.r")).orderBy(F.col("__place.copy"), F.col(doc_id), F.col(ties))
-    for c in columns:
-        placed = placed.withColumn(f"next_{c}", F.lead(c).over(order))
-    return placed.where("__place.copy = 0").drop("__place")
+    placed = placed.select(*docs.columns, F.inline(copies).alias("__r", "__copy"))
+    # One window for all columns, so that the texts are shuffled once.
+    order = Window.partitionBy("__r").orderBy("__copy", doc_id, ties)
+    placed = placed.select(*docs.columns, "__copy", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    return placed.where("__copy = 0").drop("__copy")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
