@@ -79,8 +79,12 @@ def max_drawdown_bps(points: DataFrame, key: list[str], order: list[str], equity
 
 
 def clamped_position(rows: DataFrame, key: list[str], order: list[str], delta: str) -> DataFrame:
-    """(key, liquidity, uncertain, steps): running sum of deltas that never falls below 0; going below makes it uncertain."""
-    steps = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(delta).cast("long").alias("__d")))).alias("s"))
-    zero = F.struct(F.lit(0).cast("long").alias("q"), F.lit(False).alias("u"))
-    fold = F.aggregate("s", zero, lambda acc, x: F.struct(F.greatest(F.lit(0).cast("long"), acc["q"] + x["__d"]).alias("q"), (acc["u"] | (acc["q"] + x["__d"] < 0)).alias("u")))
-    return steps.withColumn("f", fold).select(*key, F.col("f.q").alias("liquidity"), F.col("f.u").alias("uncertain"), F.size("s").cast("long").alias("steps"))
+    """(key, liquidity, uncertain, steps): running sum of deltas that is held at 0 or above; going below makes it uncertain.
+
+    A sum held at 0 equals the plain running sum less its smallest value, where that is below 0, so no
+    key's rows are gathered into a list.
+    """
+    total = F.sum(F.col(delta).cast("long")).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = rows.withColumn("__s", total).groupBy(*key).agg(F.max_by("__s", F.struct(*order)).alias("__last"), F.min("__s").alias("__low"), F.count("*").alias("steps"))
+    low = F.least(F.col("__low"), F.lit(0))
+    return summed.select(*key, (F.col("__last") - low).alias("liquidity"), (F.col("__low") < 0).alias("uncertain"), "steps")
