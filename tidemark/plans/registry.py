@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import chain, evaluation, facts, feedback, market  # noqa: F401
+from tidemark.plans import chain, evaluation, facts, feedback, listing, market  # noqa: F401
 from tidemark.plans.bindings import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
