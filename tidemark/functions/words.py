@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Limbs of an exact sum: eight of 32 bits.
 LIMBS = 8
@@ -80,7 +81,7 @@ def _value(word: str) -> int:
     return raw - (1 << 256) if raw >> 255 else raw
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def price_return_bps(start: pd.Series, end: pd.Series) -> pd.Series:
     """Floored return of 1 / sqrt_price**2 between two sqrt prices given as words: (s0**2 - s1**2) * 10000 // s1**2."""
 
@@ -93,7 +94,7 @@ def price_return_bps(start: pd.Series, end: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(start, end, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf("struct<amount0: string, amount1: string>")
+@F.pandas_udf(T.StructType().add("amount0", T.StringType()).add("amount1", T.StringType()))
 def liquidity_amounts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """Token amounts (decimal strings) of a position from its liquidity and the current, lower and upper sqrt price, all Q96 words."""
     q96 = 1 << 96
@@ -109,19 +110,19 @@ def liquidity_amounts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["amount0", "amount1"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def modular_difference(a: pd.Series, b: pd.Series) -> pd.Series:
     """(a - b) modulo 2**256 as a word, for growth counters that may wrap."""
     return pd.Series([None if x is None or y is None else f"{(int(x, 16) - int(y, 16)) % (1 << 256):064x}" for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fees_owed(growth: pd.Series, liquidity: pd.Series) -> pd.Series:
     """growth * liquidity >> 128 as a decimal string."""
     return pd.Series([None if g is None or l is None else str(int(g, 16) * _value(l) >> 128) for g, l in zip(growth, liquidity, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sqrt_price_of_tick(tick: pd.Series) -> pd.Series:
     """floor(1.0001 ** (tick / 2) * 2**96) as a word, from exact integer roots of 10001 ** tick / 10000 ** tick."""
     from math import isqrt
