@@ -6,11 +6,12 @@
     shingles of either, in any order that is the same for all sets.  The order puts shingles that are
     frequent in some batch of documents last, so that passages which many documents share hardly
     start a block.  Documents with a common leading shingle meet in the block of the smallest of them.
-3.  In a block, shingles are hashed into `GROUPS` groups; the vectors of group counts are points of an
-    R-tree.  The summed coordinate minima of two points bound their overlap, of a point and a node's
-    upper corner the overlap with anything below the node; surviving pairs are compared exactly.
-    A search runs only over documents that the block hasn't linked yet, so a block yields at most one
-    link per document and not all pairs.
+3.  In a block, shingles are hashed into groups, the more the larger the sets; the vectors of group
+    counts are points of an R-tree.  The summed coordinate minima of two points bound their overlap, of
+    a point and a node's upper corner the overlap with anything below the node.  Members without any
+    surviving partner leave the block while it holds points only; the texts of the others follow, and
+    surviving pairs are compared exactly.  That search runs only over documents that the block hasn't
+    linked yet, so a block yields at most one link per document and not all pairs.
 4.  The links' connected components, spread to the members of the classes, are the result.
 
 Shingles are compared by 64-bit hashes.
@@ -31,8 +32,10 @@ from tidemark.llm.text import each_document, mix, shingle_set
 
 #: Least similarity in hundredths; words per shingle.
 PERCENT, WORDS = 75, 5
-#: Coordinates of a point; entries of a leaf and children of a node.
-GROUPS, FANOUT = 64, 16
+#: Coordinates of a point: the power of two at or above an eighth of the set's size, between these.
+LEAST_GROUPS, MOST_GROUPS = 32, 4096
+#: Entries of a leaf and children of a node.
+FANOUT = 16
 #: A shingle of so many different sets of one batch counts as frequent; so many of the most frequent are put last.
 #: Which ones they are changes the work, never the result.
 FREQUENT, FREQUENT_KEPT = 5, 200_000
@@ -48,8 +51,23 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def groups_for(n: int) -> int:
+    """Coordinates for a set of n shingles: enough that sets of chance overlap stay apart."""
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (n // 8).bit_length()))
+
+
+def point_of(shingles: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point with fewer coordinates: groups are the low bits of a shingle, so halves add up."""
+    return point.reshape(-1, groups).sum(axis=0)
+
+
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, a, b) with the size and digest of each set, and rows (shingle, n) of shingles frequent in a batch."""
+    """Rows (doc_id, n, a, b, point) with the size, digest and group counts of each set, and rows (shingle, n) of shingles
+    frequent in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,19 +75,20 @@ def describe_sets(docs: DataFrame) -> DataFrame:
             for _, words in each_document(batch.column(1)):
                 shingles = shingle_set(words, WORDS)
                 digest = _digest(shingles)
-                rows.append((len(shingles), *digest))
+                rows.append((len(shingles), *digest, point_of(shingles, groups_for(len(shingles))).tobytes() if len(shingles) else None))
                 if digest not in seen:
                     seen.add(digest)
                     sets.append(shingles)
-            n, a, b = (pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
+            n, a, b = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
             none = lambda k: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, a, b, none(len(rows))], ["doc_id", "n", "a", "b", "shingle"])
+            names = ["doc_id", "n", "a", "b", "point", "shingle"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, a, b, pa.array([r[3] for r in rows], pa.binary()), none(len(rows))], names)
             found, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = times >= FREQUENT
             k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([none(k), pa.array(times[often]), none(k), none(k), pa.array(found[often].view(np.int64))], ["doc_id", "n", "a", "b", "shingle"])
+            yield pa.RecordBatch.from_arrays([none(k), pa.array(times[often]), none(k), none(k), pa.nulls(k, pa.binary()), pa.array(found[often].view(np.int64))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, shingle long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, point binary, shingle long")
 
 
 class Order:
@@ -179,10 +198,30 @@ class RTree:
         return members[self._may(point, size, self.points[members], own, own)]
 
 
-def _points(sets: list[np.ndarray]) -> np.ndarray:
-    group = np.concatenate([s & np.uint64(GROUPS - 1) for s in sets]).astype(np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    return np.bincount(row * GROUPS + group, minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS).astype(np.int32)
+def _segments(sizes: np.ndarray) -> list[np.ndarray]:
+    """Members by size, divided where no link can bridge the gap; single ones are left out."""
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
+    breaks = np.flatnonzero(PERCENT * ranked[1:] > 100 * ranked[:-1]) + 1
+    return [part for part in np.split(order, breaks) if len(part) > 1]
+
+
+def surviving(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Members that some other one of the block may link with, as far as the points tell."""
+    out = np.zeros(len(sizes), bool)
+    crossing = side.min() != side.max()
+    for part in _segments(sizes):
+        groups = min(len(points[i]) for i in part)
+        own = np.stack([folded(points[i], groups) for i in part])
+        tree, open_ = RTree(own, sizes[part]), np.ones(len(part), bool)
+        for at, i in enumerate(part):
+            if not out[i]:
+                open_[at] = False
+                near = part[tree.search(own[at], int(sizes[i]), open_ & (side[part] != side[i]) if crossing else open_)]
+                open_[at] = True
+                out[i] = len(near) > 0
+                out[near] = True
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -196,23 +235,49 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def links_in_block(sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets.  `side` is 0 and 1 where only pairs from different sides count."""
     crossing = bool(len(side)) and side.min() != side.max()
-    sizes, points = np.array([len(s) for s in sets], np.int64), _points(sets)
-    tree, open_, out = RTree(points, sizes), np.ones(len(sets), bool), []
-    for seed in range(len(sets)):
-        if not open_[seed]:
-            continue
-        open_[seed] = False
-        queue = [seed]
-        while queue:
-            one = queue.pop()
-            for other in tree.search(points[one], int(sizes[one]), open_ & (side != side[one]) if crossing else open_):
-                if linked(sets[one], sets[other]):
-                    open_[other] = False
-                    queue.append(int(other))
-                    out.append((one, int(other)))
+    all_sizes, out = np.array([len(s) for s in sets], np.int64), []
+    for part in _segments(all_sizes):
+        sizes, sides = all_sizes[part], side[part]
+        groups = groups_for(int(sizes.min()))
+        points = np.stack([point_of(sets[i], groups) for i in part])
+        tree, open_ = RTree(points, sizes), np.ones(len(part), bool)
+        for seed in range(len(part)):
+            queue = [seed] if open_[seed] else []
+            open_[seed] = False
+            while queue:
+                one = queue.pop()
+                for other in tree.search(points[one], int(sizes[one]), open_ & (sides != sides[one]) if crossing else open_):
+                    if linked(sets[part[one]], sets[part[other]]):
+                        open_[other] = False
+                        queue.append(int(other))
+                        out.append((int(part[one]), int(part[other])))
     return out
 
 
+def _prune_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (block, side, doc_id) that survive, of rows (block, side, doc_id, n, point) whose blocks follow each other."""
+    key, rows = None, []
+
+    def close() -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        keep = surviving([np.frombuffer(r[4], np.int32) for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[1] for r in rows]))
+        return [r[:3] for r, k in zip(rows, keep, strict=True) if k]
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64())], ["block", "side", "doc_id"])
+
+    for batch in batches:
+        out = []
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[0] != key:
+                out += close()
+                key, rows = row[0], []
+            rows.append(row)
+        yield pack(out)
+    yield pack(close())
+
+
 def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of blocks; the rows (block, side, doc_id, text) of a block follow each other."""
     key, ids, sides, sets = None, [], [], []
@@ -256,7 +321,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     described = cut(describe_sets(docs), "sets")
     rows = described.where("shingle is null")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class"))
+    # Written before the join, so that a large class can be split there.
+    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class")), "class-heads")
     member = cut(rows.join(classes, ["n", "a", "b"], "left").select("doc_id", "n", F.col("class")), "classes")
     copies = cut(member.where("class is not null and class != doc_id").select("doc_id").distinct(), "copies")
     often = described.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "shingle").limit(FREQUENT_KEPT).toPandas()
@@ -265,8 +331,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     ranges = 4 * partitions(spark)
     leading = leading_shingles(single, order, ranges)
     pairs = cut(leading.groupBy("range").applyInArrow(_blocks, "pivot long, member long").distinct(), "blocks")
-    blocks = _with_sides(pairs)
-    texts = blocks.join(docs, "doc_id").select("block", "side", "doc_id", "text")
+    points = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "point")
+    blocks = _with_sides(pairs).join(points, "doc_id").select("block", "side", "doc_id", "n", "point").repartition(4 * partitions(spark), "block").sortWithinPartitions("block")
+    blocks = cut(blocks.mapInArrow(_prune_blocks, "block string, side int, doc_id long"), "block-members")
+    texts = docs.join(small_or_shuffled(blocks), "doc_id").select("block", "side", "doc_id", "text")
     dealt = texts.repartition(4 * partitions(spark), "block").sortWithinPartitions("block")
     edges = dealt.mapInArrow(_search_blocks, "u long, v long")
     found = components(edges)
