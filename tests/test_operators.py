@@ -153,6 +153,11 @@ def test_ancestry_of_a_fork_and_a_gap(spark):
     assert jump == {"b": "nonconsecutive_height"}
 
 
+def test_ancestry_cycle(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        chain.ancestry_walk(tree(spark, [("a", "c", 0), ("b", "a", 1), ("c", "b", -1)]).withColumn("height", F.lit(None).cast("long")), "c").count()
+
+
 def test_projection_states(spark):
     chain_rows = tree(spark, [("b", "a", 1), ("c", "b", 2)])
     events = spark.createDataFrame([(1, "b", 1, "new"), (2, "x", 1, "new"), (3, "a", 0, "new"), (4, "c", 2, "quarantined")], "id int, block_hash string, block long, status string")

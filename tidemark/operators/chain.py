@@ -12,9 +12,10 @@ from tidemark.sources.shared import cut
 def ancestry_walk(headers: DataFrame, tip: object, ident: str = "hash", parent: str = "parent", height: str = "height") -> DataFrame:
     """(hash, height, parent, problem): the chain from the tip upwards until a root, a gap or a break.
 
-    Pointer doubling: after round r every header knows its ancestor 2**r steps up, and the set of
-    found ancestors doubles, so a chain of n blocks takes log2(n) rounds of equi-joins instead of n
-    steps.  `problem` is missing_parent, nonconsecutive_height or null.  A cycle raises an error.
+    Pointer doubling: before round r the ancestors up to 2**r - 1 steps away are found and every header
+    knows the one 2**r steps away, so a chain of n blocks takes log2(n) rounds of equi-joins instead of
+    n steps; the two sets of a round are disjoint, so nothing is made distinct.  `problem` is
+    missing_parent, nonconsecutive_height or null.  A cycle among the headers raises an error.
     """
     parents = headers.select(F.col(ident).alias("__p"), F.col(height).alias("__ph"))
     step = headers.select(F.col(ident).alias("node"), F.col(height).alias("h"), F.col(parent).alias("up")).join(parents, F.col("up") == F.col("__p"), "left")
@@ -22,18 +23,19 @@ def ancestry_walk(headers: DataFrame, tip: object, ident: str = "hash", parent:
     step = cut(step.select("node", "h", F.col("up").alias("parent"), problem.alias("problem"), F.when(problem.isNull(), F.col("up")).alias("jump")), "ancestry")
     total = step.count()
     found = step.where(F.col("node") == F.lit(tip)).select("node")
-    jumps = step.select("node", "jump").where("jump is not null")
-    reached, rounds = found.count(), 0
-    while True:
-        more = found.join(jumps, "node").select(F.col("jump").alias("node"))
-        found = cut(found.unionByName(more).distinct(), "ancestry")
-        now = found.count()
-        if now == reached:
-            break
-        reached, rounds = now, rounds + 1
-        if (1 << rounds) > 2 * total + 2:
+    jumps, rounds = step.select("node", "jump").where("jump is not null"), 0
+    extend = lambda known, far: known.unionByName(known.join(far, "node").select(F.col("jump").alias("node")))
+    twice = lambda far: far.join(far.select(F.col("node").alias("jump"), F.col("jump").alias("next")), "jump").select("node", F.col("next").alias("jump"))
+    while not jumps.isEmpty():
+        if (1 << rounds) > total:
             raise ValueError("block parent cycle detected")
-        jumps = cut(jumps.join(jumps.select(F.col("node").alias("jump"), F.col("jump").alias("next")), "jump").select("node", F.col("next").alias("jump")), "ancestry")
+        doubled = twice(jumps)  # two rounds for each table written
+        found = extend(extend(found, jumps), doubled)
+        rounds += 2
+        if rounds % 4 == 0:  # a plan of a few joins at most
+            found = cut(found, "ancestry")
+        jumps = cut(twice(doubled), "ancestry")
+    found = cut(found, "ancestry")
     return step.join(found, "node", "left_semi").select(F.col("node").alias(ident), F.col("h").alias(height), F.col("parent").alias(parent), "problem")
 
 
