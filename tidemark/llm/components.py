@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
-    while True:
+    while not now.isEmpty():
         now = cut(_star(_star(now, True), False), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
