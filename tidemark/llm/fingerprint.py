@@ -49,8 +49,10 @@ def _smallest(keys: Column) -> Column:
 
     def numbered(s: Column, repeats: Column) -> Column:
         again = F.transform(repeats, lambda i: F.get(s, i))
-        renamed = lambda h: F.transform(again, lambda x, j: _packed(F.xxhash64(_high(x), j - F.array_position(h, _high(x)) + 2), x.bitwiseAND(F.lit(_POSITIONS))))
-        later = _let(F.transform(again, _high), renamed)
+        # A k-mer's number is its place less that of its first repeat, looked up among the distinct k-mers that repeat.
+        number = lambda kinds, first, x, j: j - F.get(first, F.array_position(kinds, _high(x)).cast("int") - 1) + 2
+        renamed = lambda kinds, first: F.transform(again, lambda x, j: _packed(F.xxhash64(_high(x), number(kinds, first, x, j)), x.bitwiseAND(F.lit(_POSITIONS))))
+        later = _let(F.transform(again, _high), lambda h: _let(F.array_distinct(h), lambda kinds: _let(F.transform(kinds, lambda k: F.array_position(h, k)), lambda first: renamed(kinds, first))))
         first = F.array_except(F.slice(s, 1, F.size(repeats) + SELECTED), again)
         return F.sort_array(F.concat(F.slice(first, 1, SELECTED), later))
 
