@@ -150,6 +150,34 @@ def test_op5_probabilities_sum_to_one():
         assert abs((10 ** automaton.traverse(np.full(10, state), every)).sum() - 1) < 1e-9
 
 
+def test_op5_counts_all_ngrams(spark):
+    """More kinds of words than any fixed table, every trigram and failure by hand; the order of rare words matters."""
+    from tidemark.llm import language_model as m
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 1500, rng.integers(0, 60))) for _ in range(300)]
+    texts = [*texts, texts[0], texts[1]]
+    swapped = " ".join(reversed(texts[1].split()))
+    rows = [(i, i % 7 == 3, t) for i, t in enumerate(texts)] + [(900, True, texts[1]), (901, True, swapped)]
+    count = Counter()
+    for _, held, t in rows:
+        w = ["\0", *t.split(), "\0"]
+        if not held:
+            count.update((x,) for x in w[1:])
+            count.update(tuple(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    got = {r.doc_id: r.score for r in m.score_texts(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string")).collect()}
+    for i, _, t in rows:
+        w, total = ["\0", *t.split(), "\0"], 0.0
+        for k in range(1, len(w)):
+            p = (count[w[k],] + m.ADDED) / (n + m.ADDED * (v + 1))
+            for order in range(2, min(m.ORDER, k + 1) + 1):
+                p = (count[tuple(w[k - order + 1 : k + 1])] + m.PRIOR * p) / (count[tuple(w[k - order + 1 : k])] + m.PRIOR)
+            total += math.log10(p)
+        assert abs(total - got[i]) < 1e-8 * (1 + abs(total)), i
+    assert got[900] > got[901] + 1
+
+
 def test_op7_accuracy(spark, sf):
     """Planted words of two kinds in clean texts; the model never sees the held-out ones' labels."""
     rng = np.random.default_rng(1)

@@ -1,17 +1,15 @@
-"""Language-model scores by a weighted backoff automaton.
-
-Words and one end per text are tokens.  The `CLASSES` most frequent tokens are classes of their own,
-all others share one; smoothed class bigrams (interpolated absolute discounting) become the states
-and arcs of an automaton, whose failure arcs carry the backoff weight to the root.  A rare word's
-share of its class comes from the exact counts of all training tokens.  These counts stay spread over
-the cluster: texts are dealt into buckets, each bucket asks for the counts of its distinct words only,
-and hash ranges of words answer.
+"""Language-model scores by a weighted backoff automaton over words.
+
+Words and one end per text are tokens; the end also stands before a text.  All word n-grams of the
+training texts up to `ORDER` are counted exactly.  A state of the automaton is a history of up to
+`ORDER - 1` tokens and an arc a counted n-gram, smoothed with a Dirichlet prior on the next shorter
+history; a failure arc leads there with the state's backoff weight, at last to the word's exact
+unigram.  The counts stay spread over the cluster: texts are dealt into buckets, each bucket asks for
+the counts of its own distinct n-grams, and hash ranges of n-grams answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +17,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.language import held_out_is
 from tidemark.llm.shared import cut, partitions
-from tidemark.llm.text import SPACE_WORDS, Words, as_bytes, chunks
+from tidemark.llm.text import SPACE_WORDS, Words, as_bytes, chunks, sequence_hashes
 
-#: Frequent words with classes of their own: the automaton has at most (CLASSES + 2) ** 2 arcs.
-CLASSES = 512
-#: What smoothing takes off each count, and what the base model adds to each.
-DISCOUNT, ADDED = 0.75, 0.1
-#: Bytes of text in a bucket, at most about; a bucket is one group of a task.
+#: The longest n-grams that are counted.
+ORDER = 3
+#: The weight of the shorter history in tokens, and what the base model adds to each count.
+PRIOR, ADDED = 8.0, 0.1
+#: Bytes of text times orders in a bucket, at most about; a bucket is one group of a task, and so is a range of n-grams.
 BUCKET_BYTES = 16 << 20
+#: Stands for the end of a text, and before its first word.
+_END = np.uint64(0xA24BAED4963EE407)
 
 
 def words_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,129 +50,124 @@ def _distinct(words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, n
     return unique[place], turned[inverse], np.searchsorted(dealt[place], np.arange(ranges + 1))
 
 
+def _grams(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of texts with so many words each, and how many each text has.  Single words come without
+    ends; longer n-grams begin at the end before the text at the earliest and stop with the end behind it."""
+    if order == 1:
+        return words, counts
+    lengths = counts + 2
+    padded = np.full(int(lengths.sum()), _END)
+    padded[np.arange(len(words)) + 2 * np.repeat(np.arange(len(counts)), counts) + 1] = words
+    many = np.maximum(lengths - order + 1, 0)
+    # Runs across two texts are left out.
+    at = np.arange(int(many.sum())) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(many) - many), many)
+    return sequence_hashes(padded, order)[at], many
+
+
 def _requests(table: pa.Table, ranges: int) -> pa.Table:
-    """For a bucket (bucket, doc_id, held_out, text): its distinct words with their training counts, a row a range."""
+    """For a bucket (bucket, doc_id, held_out, text): its distinct n-grams with their training counts, a row an order and range."""
     words, counts = words_of(table.column("text"))
     train = ~np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
-    unique, place, edges = _distinct(words, ranges)
-    times = np.bincount(place[np.repeat(train, counts)], minlength=len(unique)).astype(np.int64)
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))
     bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-    return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "bucket": pa.array(np.full(ranges, bucket, np.int32)), "words": lists(unique.view(np.int64)), "times": lists(times)})
+    out = []
+    for order in range(1, ORDER + 1):
+        grams, many = _grams(words, counts, order)
+        unique, place, edges = _distinct(grams, ranges)
+        times = np.bincount(place[np.repeat(train, many)], minlength=len(unique)).astype(np.int64)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))  # noqa: B023, E731
+        first = (order - 1) * ranges
+        out.append(pa.table({"range": pa.array(np.arange(first, first + ranges, dtype=np.int32)), "bucket": pa.array(np.full(ranges, bucket, np.int32)), "grams": lists(unique.view(np.int64)), "times": lists(times)}))
+    return pa.concat_tables(out)
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """For a range (range, bucket, words, times): each bucket's counts in the order of its words; and, without a bucket,
-    (number of known words, their tokens) and the most frequent words."""
-    words = table.column("words").combine_chunks()
-    flat, times = words.flatten().to_numpy(), table.column("times").combine_chunks().flatten().to_numpy()
+    """For a range (range, bucket, grams, times): each bucket's counts in the order of its n-grams; and, without a bucket,
+    (number of known n-grams, their tokens)."""
+    grams = table.column("grams").combine_chunks()
+    flat, times = grams.flatten().to_numpy(), table.column("times").combine_chunks().flatten().to_numpy()
     unique, inverse = np.unique(flat, return_inverse=True)
     total = np.zeros(len(unique), np.int64)
     np.add.at(total, inverse, times)
-    known = np.flatnonzero(total > 0)
-    top = known[np.lexsort((unique[known], -total[known]))[:CLASSES]]
     one = table.column("range")[0].as_py()
-    lengths = words.value_lengths().to_numpy(zero_copy_only=False)
-    edges = np.concatenate([[0], np.cumsum(lengths), [lengths.sum() + len(top)]]).astype(np.int32)
+    lengths = grams.value_lengths().to_numpy(zero_copy_only=False)
+    edges = np.concatenate([[0], np.cumsum(lengths), [lengths.sum()]]).astype(np.int32)
     n = table.num_rows
     return pa.table({
         "range": pa.array(np.full(n + 1, one, np.int32)),
         "bucket": pa.concat_arrays([table.column("bucket").combine_chunks().cast(pa.int32()), pa.nulls(1, pa.int32())]),
-        "times": pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([total[inverse], total[top]]))),
-        "top": pa.array([None] * n + [unique[top].tolist()], pa.list_(pa.int64())),
-        "known": pa.array([None] * n + [len(known)], pa.int64()),
+        "times": pa.ListArray.from_arrays(pa.array(edges), pa.array(total[inverse])),
+        "known": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
         "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()),
     })
 
 
+def smoothed(count: np.ndarray, total: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of tokens after a history seen `total` times and with the token `count` times, from those after the
+    next shorter history.  Without a count it is the failure arc: the backoff weight times the shorter one's."""
+    return (count + PRIOR * shorter) / (total + PRIOR)
+
+
 class Classes:
-    """Token classes: 0..k-1 the frequent words, k all other words, k + 1 the end, which also stands before a text."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.hashes = np.sort(frequent)
-        self.other, self.end, self.size = len(frequent), len(frequent) + 1, len(frequent) + 2
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, self.other)
-
-    def steps(self, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class before, class, row) of every token of texts with so many words each, ends included."""
-        row = np.repeat(np.arange(len(counts)), counts + 1)
-        now = np.full(len(row), self.end, np.int64)
-        ends = np.cumsum(counts + 1) - 1
-        inner = np.ones(len(row), bool)
-        inner[ends] = False
-        now[inner] = classes
-        before = np.concatenate([[self.end], now[:-1]]) if len(now) else now
-        return before, now, row
+    """Tokens of a small vocabulary: 0..k-1 the words, k any other word, k + 1 the end, which also stands before a text."""
+
+    def __init__(self, words: np.ndarray):
+        self.hashes = np.sort(words)
+        self.other, self.end, self.size = len(words), len(words) + 1, len(words) + 2
 
 
 class Automaton:
-    """States are the classes before a token; `arcs` hold log10 probabilities, NaN where a state has no arc and the
-    failure arc to the root applies: `fail` of the state plus `root` of the class."""
+    """The bigram automaton of a small vocabulary as one table, with the smoothing of `score_texts`: states are the tokens
+    before; `arcs` hold log10 probabilities, NaN where a state has no arc and the failure arc to the root applies."""
 
     def __init__(self, classes: Classes, bigrams: np.ndarray):
         self.classes = classes
         count = bigrams.astype(np.float64)
         root = count.sum(axis=0) + ADDED
         root /= root.sum()
-        total, kinds = count.sum(axis=1), (count > 0).sum(axis=1)
-        weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        seen = np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1)[:, None] + weight[:, None] * root
-        self.arcs = np.where(count > 0, np.log10(seen), np.nan)
-        self.fail, self.root = np.log10(weight), np.log10(root)
+        total = count.sum(axis=1)
+        self.arcs = np.where(count > 0, np.log10(smoothed(count, total[:, None], root)), np.nan)
+        self.fail, self.root = np.log10(PRIOR / (total + PRIOR)), np.log10(root)
 
     def traverse(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of the classes; the state after a token is its class, so all steps are taken at once."""
+        """Log10 probabilities of the tokens; the state after a token is that token, so all steps are taken at once."""
         found = self.arcs[before, now]
         return np.where(np.isnan(found), self.fail[before] + self.root[now], found)
 
 
-def _count_bigrams(docs: DataFrame, classes: Classes) -> np.ndarray:
-    """Counts of all training class bigrams; a task sends at most (CLASSES + 2) ** 2 of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes.size**2, np.int64)
-        for batch in batches:
-            words, counts = words_of(batch.column(0))
-            before, now, _ = classes.steps(classes.of(words), counts)
-            total += np.bincount(before * classes.size + now, minlength=classes.size**2)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
-
-    rows = docs.where("not held_out").select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(classes.size**2, np.int64)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out.reshape(classes.size, classes.size)
-
-
-def _scores(table: pa.Table, answers: pa.Table, ranges: int, automaton: Automaton, known: int, tokens: int, ends: int, rare_known: int, rare_tokens: int) -> pa.Table:
-    """Scores of a bucket whose words' counts are in `answers` (range, times)."""
+def _scores(table: pa.Table, answers: pa.Table, ranges: int, known: int, tokens: int, ends: int) -> pa.Table:
+    """Scores of a bucket whose n-grams' counts are in `answers` (range, times)."""
     words, counts = words_of(table.column("text"))
-    unique, place, _ = _distinct(words, ranges)
     got = dict(zip(answers.column("range").to_pylist(), range(answers.num_rows), strict=True))
     lists = answers.column("times").combine_chunks()
-    parts = [lists[got[r]].values.to_numpy() for r in range(ranges) if r in got]
-    times = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    if len(times) != len(unique):
-        raise ValueError("the counts don't fit the words of the bucket")
-    of = automaton.classes.of(unique)
+
+    def times_of(grams: np.ndarray, order: int) -> np.ndarray:
+        unique, place, _ = _distinct(grams, ranges)
+        parts = [lists[got[r]].values.to_numpy() for r in range((order - 1) * ranges, order * ranges) if r in got]
+        times = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if len(times) != len(unique):
+            raise ValueError("the counts don't fit the n-grams of the bucket")
+        return times[place]
+
     n, v = tokens + ends, known + (1 if ends else 0)
-    floor = np.log10(n + ADDED * (v + 1))
-    base = np.log10(times + ADDED) - floor
-    unknown = np.log10(DISCOUNT * rare_known / rare_tokens) if rare_tokens else 0.0
-    inside = np.zeros(len(unique))
-    rare = of == automaton.classes.other
-    inside[rare] = np.where(times[rare] > 0, np.log10(np.maximum(times[rare] - DISCOUNT, 1e-300) / max(rare_tokens, 1)), unknown)
-    before, now, row = automaton.classes.steps(of[place], counts)
-    total = np.bincount(row, automaton.traverse(before, now), minlength=len(counts))
-    word_row = np.repeat(np.arange(len(counts)), counts)
-    total += np.bincount(word_row, inside[place], minlength=len(counts))
-    base_total = np.bincount(word_row, base[place], minlength=len(counts)) + np.log10(ends + ADDED) - floor
-    seen = np.bincount(word_row, times[place] > 0, minlength=len(counts)).astype(np.int64) + (1 if ends else 0)
+    row = np.repeat(np.arange(len(counts)), counts + 1)
+    inner = np.ones(len(row), bool)
+    inner[np.cumsum(counts + 1) - 1] = False
+    # At each token: training counts of the longest n-gram so far that stops there, and its probability.
+    times = np.full(len(row), ends, np.int64)
+    times[inner] = times_of(words, 1)
+    chance = (times + ADDED) / (n + ADDED * (v + 1))
+    base_total = np.bincount(row, np.log10(chance), minlength=len(counts))
+    seen = np.bincount(row, times > 0, minlength=len(counts)).astype(np.int64)
+    for order in range(2, ORDER + 1):
+        grams, many = _grams(words, counts, order)
+        first = np.cumsum(counts + 1) - (counts + 1) + order - 2
+        at = np.arange(len(grams)) + np.repeat(first - (np.cumsum(many) - many), many)
+        found = times_of(grams, order)
+        # The history's count is that of the n-gram that stops a token before; before a text it is the end's.
+        chance[at] = smoothed(found, times[at - 1], chance[at])
+        times = np.zeros(len(row), np.int64)
+        times[at] = found
+    total = np.bincount(row, np.log10(chance), minlength=len(counts))
     return pa.table({
         "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array((counts + 1).astype(np.int64)), "n_known": pa.array(seen),
         "train_tokens": pa.array(np.full(len(counts), n, np.int64)), "base_score": pa.array(base_total), "score": pa.array(total),
@@ -188,21 +183,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sums = docs.agg(F.sum(F.octet_length("text")), F.sum(F.when(~F.col("held_out"), 1).otherwise(0))).first()
     ends = int(sums[1] or 0)
-    ranges = partitions(spark)
-    buckets = max(ranges, -(-int(sums[0] or 0) // BUCKET_BYTES))
+    # Ranges grow with the texts too, so that what a task holds doesn't.
+    buckets = ranges = max(partitions(spark), -(-ORDER * int(sums[0] or 0) // BUCKET_BYTES))
     # The text is part of the key so that rows of one id don't have to share a bucket.
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets)).cast("int"))
-    asked = dealt.groupBy("bucket").applyInArrow(lambda t: _requests(t, ranges), "range int, bucket int, words array<long>, times array<long>")
-    told = cut(asked.groupBy("range").applyInArrow(_answers, "range int, bucket int, times array<long>, top array<long>, known long, tokens long"), "counts")
-    known, tokens = (int(x or 0) for x in told.agg(F.sum("known"), F.sum("tokens")).first())
-    top = told.where("bucket is null").select(F.inline(F.arrays_zip("top", "times"))).orderBy(F.desc("times"), "top").limit(CLASSES).toPandas()
-    classes = Classes(top["top"].to_numpy(np.int64).view(np.uint64))
-    automaton = Automaton(classes, _count_bigrams(docs, classes))
-    rare_known, rare_tokens = known - len(top), tokens - int(top["times"].sum())
+    asked = dealt.groupBy("bucket").applyInArrow(lambda t: _requests(t, ranges), "range int, bucket int, grams array<long>, times array<long>")
+    told = cut(asked.groupBy("range").applyInArrow(_answers, "range int, bucket int, times array<long>, known long, tokens long"), "counts")
+    known, tokens = (int(x or 0) for x in told.where(F.col("range") < ranges).agg(F.sum("known"), F.sum("tokens")).first())
     answers = told.where("bucket is not null").select("bucket", "range", "times")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scores(left, right, ranges, automaton, known, tokens, ends, rare_known, rare_tokens)
+        return _scores(left, right, ranges, known, tokens, ends)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
