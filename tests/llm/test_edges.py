@@ -180,6 +180,22 @@ def test_html_edges():
     assert len(f("<article>" + "<p>long text, here.</p>" * 50_000 + "</article>").split("\n")) == 50_000
 
 
+def test_html_keeps_sibling_parts():
+    """Without one element around it, the article is where all content nodes are: no shorter part is lost."""
+    f = html_text.main_text
+    short, long = "A short part, with a few words, and marks.", "A long part, with many words, and marks. " * 9
+    want = [short] + [long.strip()] * 3
+    nav, foot = "<nav><a href=/>Home</a></nav>", "<footer>(c) Site</footer>"
+    paragraphs = f"<p>{long}</p>" * 3
+    for tag in ("section", "div", "article"):
+        body = f"<{tag}><p>{short}</p></{tag}><{tag}>{paragraphs}</{tag}>"
+        assert f(f"<body>{nav}<main>{body}</main>{foot}</body>").split("\n") == want, tag
+        after = f"<{tag}>{paragraphs}</{tag}><{tag}><p>{short}</p></{tag}>"
+        assert f(f"<body>{nav}<div>{after}</div>{foot}</body>").split("\n") == want[1:] + want[:1], tag
+    nested = f"<div><div><p>{short}</p><div><div>{paragraphs}</div></div></div></div>"
+    assert set(f(f"<body>{nav}{nested}{foot}</body>").split("\n")) >= {short, long.strip()}
+
+
 @pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
 def test_stages(spark, tmp_path, docs, empty, wide, labels, number):
     name, stage = corpus_pipeline.STAGES[number]

@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 KERNEL = (0.1, 0.2, 0.4, 0.2, 0.1)
 #: The threshold in standard deviations of the fused ratio.
 SPREAD = 0.5
-#: The article's element is the deepest container with at least this share of the content nodes' text.
-SHARE = 0.8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -193,10 +191,11 @@ def main_text(page: str | None) -> str:
         place = place.parent
     article = None
     while True:
-        heavy = [c for c in children[id(place)] if c.weight >= SHARE * total and c.tag in _CONTAINER]
-        if not heavy:
+        # The lowest element that holds all content nodes: no step may leave one outside.
+        whole = [c for c in children[id(place)] if c.weight == total and c.tag in _CONTAINER]
+        if not whole:
             break
-        place = max(heavy, key=lambda c: c.weight)
+        place = whole[0]
         if place.tag == "article":
             article = place
             break
