@@ -258,3 +258,52 @@ def test_op10_order_matters(spark):
     df = spark.createDataFrame([(" ".join(w), " ".join(w[20:] + w[:20]), " ".join(w[:39] + ["new"]))], "a string, b string, c string")
     r = df.select(f.likeness(f.signatures(F.col("a")), f.signatures(F.col("c"))).alias("near"), f.likeness(f.signatures(F.col("a")), f.signatures(F.lit("nothing alike in this one"))).alias("far")).first()
     assert r.near > 0.8 and r.far == 0
+
+
+def test_op10_signatures_in_plain_python(spark):
+    """Pieces, numbering, selection and order in Python; Spark only hashes single tuples."""
+    from tidemark.llm import fingerprint as f
+
+    rng = np.random.default_rng(6)
+    han = "".join(map(chr, rng.integers(0x4E00, 0x4E40, 300)))
+    texts = ["a b c a b c a b c d", "x " * 30, "one two three fourteenth fourteenth fourteenth", "ab" * 60, han, "b", "", " ".join(f"w{i}" for i in rng.integers(0, 30, 200))]
+
+    def hashes(kind, function, tuples):
+        names = "abc"[: len(tuples[0])]
+        df = spark.createDataFrame([(i, *t) for i, t in enumerate(tuples)], "i long, " + ", ".join(f"{c} {k}" for c, k in zip(names, kind, strict=True)))
+        return {tuples[r.i]: r.h for r in df.select("i", function(*names).alias("h")).collect()}
+
+    keys = {}
+    for t in texts:
+        pieces = [p for run in re.findall(r"[^ ]+", t) for p in ([run] if len(run) <= f.PIECE else run)]
+        keys[t] = [tuple([*pieces, None, None][i : i + f.KMER]) for i in range(len(pieces))]
+    first = hashes(["string"] * 3, F.xxhash64, sorted({k for ks in keys.values() for k in ks}, key=str))
+    bits = f._POSITION_BITS
+    again = hashes(["long", "int"], F.xxhash64, sorted({(first[k] >> bits, n) for ks in keys.values() for k in set(ks) for n in range(2, ks.count(k) + 1)}))
+    chosen = {}
+    for t, ks in keys.items():
+        times, rows = Counter(), []
+        for i, k in enumerate(ks):
+            times[first[k] >> bits] += 1
+            n = times[first[k] >> bits]
+            rows.append(((first[k] >> bits) if n == 1 else again[first[k] >> bits, n] >> bits, i))
+        kept = [h % (1 << (64 - bits)) for h, _ in sorted(sorted(rows)[: f.SELECTED], key=lambda r: r[1])]
+        chosen[t] = [(x, y) for x, y in zip(kept, [*kept[1:], None], strict=False)][: max(len(kept) - 1, min(len(kept), 1))]
+    paired = hashes(["long", "long"], F.hash, sorted({p for c in chosen.values() for p in c}, key=str))
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", f.signatures(F.col("t")).alias("s")).collect()}
+    assert got == {t: [paired[p] for p in chosen[t]] for t in texts}
+
+
+def test_op10_insertions_do_not_shift(spark):
+    """One character more near the start of text without ASCII spaces; and the same k-mers in another order."""
+    from tidemark.llm import fingerprint as f
+
+    rng = np.random.default_rng(8)
+    han = "".join(map(chr, rng.integers(0x4E00, 0x8000, 900)))
+    wide = "\u3000".join(han[i : i + 4] for i in range(0, 900, 4))
+    code = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 2000))
+    blocks = [" ".join(f"w{6 * i + j}" for j in range(6)) for i in range(60)]
+    pairs = [(t, t[:5] + "q" + t[5:]) for t in (han, wide, code, wide.replace("\u3000", "\xa0"))] + [(" ".join(blocks), " ".join(blocks[i] for i in rng.permutation(60)))]
+    df = spark.createDataFrame(pairs, "a string, b string").select(f.likeness(f.signatures(F.col("a")), f.signatures(F.col("b"))).alias("x"))
+    *shifted, reordered = [r.x for r in df.collect()]
+    assert min(shifted) > 0.7 and reordered < 0.5, (shifted, reordered)

@@ -1,7 +1,8 @@
 """Order MinHash fingerprints (Marcais et al., 2019) in DataFrame functions only.
 
-A text is cut into pieces (runs of at most `PIECE` characters that aren't white space); k-mers are
-runs of `KMER` pieces, numbered by occurrence so that a repeated k-mer counts each time.  The
+A text is cut into pieces: runs of at most `PIECE` characters that aren't white space, and each code
+point of longer runs, so that an edit never shifts the pieces after it.  K-mers are runs of `KMER`
+pieces, numbered by occurrence so that a repeated k-mer counts each time.  The
 `SELECTED` k-mers with the smallest hashes are put back into text order and each neighbouring pair is
 hashed to one signature.  Texts within a small edit distance share most signatures; texts with the
 same k-mers in another order don't.
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import partitions
 
 PIECE, KMER, SELECTED = 8, 3, 48
+#: A whole short run, or one code point of a long run.
+_PIECES = rf"(?<!\S)\S{{1,{PIECE}}}+(?!\S)|\S"
 #: Positions take the low bits of a sort key, hashes the rest: up to 33 million pieces a text keep their order.
 _POSITION_BITS = 26
 _POSITIONS = (1 << _POSITION_BITS) - 1
@@ -49,10 +52,10 @@ def _smallest(keys: Column) -> Column:
 
     def numbered(s: Column, repeats: Column) -> Column:
         again = F.transform(repeats, lambda i: F.get(s, i))
-        # A k-mer's number is its place less that of its first repeat, looked up among the distinct k-mers that repeat.
-        number = lambda kinds, first, x, j: j - F.get(first, F.array_position(kinds, _high(x)).cast("int") - 1) + 2
-        renamed = lambda kinds, first: F.transform(again, lambda x, j: _packed(F.xxhash64(_high(x), number(kinds, first, x, j)), x.bitwiseAND(F.lit(_POSITIONS))))
-        later = _let(F.transform(again, _high), lambda h: _let(F.array_distinct(h), lambda kinds: _let(F.transform(kinds, lambda k: F.array_position(h, k)), lambda first: renamed(kinds, first))))
+        # The first and the last repeat of each k-mer; a k-mer's number is its place among its repeats.
+        edge = lambda d: F.filter(repeats, lambda i: ~F.coalesce(same(s, i + d), F.lit(False)))
+        renamed = lambda x, number: _packed(F.xxhash64(_high(x), number), x.bitwiseAND(F.lit(_POSITIONS)))
+        later = _let(edge(1), lambda last: F.flatten(F.transform(edge(-1), lambda b, j: F.transform(F.sequence(b, F.get(last, j)), lambda i: renamed(F.get(s, i), i - b + 2)))))
         first = F.array_except(F.slice(s, 1, F.size(repeats) + SELECTED), again)
         return F.sort_array(F.concat(F.slice(first, 1, SELECTED), later))
 
@@ -65,7 +68,7 @@ def _smallest(keys: Column) -> Column:
 
 def signatures(text: Column) -> Column:
     """The array of 32-bit signatures of a text; empty for a null text and one without pieces."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(\S{{1,{PIECE}}})"), F.lit(1))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECES), F.lit(0))
     width = 64 - _POSITION_BITS
     low = F.lit((1 << width) - 1)
     # Position above hash; positions have one bit less than their field, so the order is that of the text.
