@@ -261,3 +261,26 @@ def test_row_ranges_cover_all(spark, sf):
     parts = [windows.row_range_partition(e, ["event_id"], k, 3).select("ordinal") for k in range(3)]
     got = sorted(r.ordinal for p in parts for r in p.collect())
     assert got == list(range(e.count()))
+
+
+def test_sparse_propagation_reaches_all_nodes(spark):
+    """The same states as from zeros at all nodes, ids of 40 and more included."""
+    from tidemark.operators import graph
+
+    edges = spark.createDataFrame([(0, 70, 0.5, 1), (0, 5, 0.2, -1), (70, 90, 0.4, 1), (5, 0, 0.3, 1), (80, 81, 1.0, 1), (1, 70, 0.9, 1)], "src long, dst long, weight double, sign int")
+    drive = spark.createDataFrame([(1, 0, 0.5), (1, 1, -0.2), (2, 0, 1.5), (2, 3, 9.0)], "vec_id long, node long, input double")
+    start = drive.select("vec_id").distinct().crossJoin(graph.nodes(edges)).selectExpr("vec_id", "node", "0.0D AS value")
+    whole = {(r.vec_id, r.node): r.value for r in graph.propagate(edges, start, 3, 0.3, ["vec_id"], drive).collect()}
+    sparse = {(r.vec_id, r.node): r.value for r in graph.propagate_sparse(edges, 3, 0.3, ["vec_id"], drive).collect()}
+    assert set(sparse) <= set(whole) and whole[1, 90] != 0
+    assert all(abs(v - sparse.get(k, 0.0)) < 1e-12 for k, v in whole.items())
+
+
+def test_matched_experiment_uses_all_edges(spark, sf, monkeypatch):
+    from tidemark.operators import graph
+    from tidemark.plans import graph as plans
+
+    seen, run = [], graph.propagate_sparse
+    monkeypatch.setattr(graph, "propagate_sparse", lambda e, *rest: seen.append(e.count()) or run(e, *rest))
+    assert plans.matched_experiment(spark, sf).count() == 5
+    assert seen == [plans._unique_edges(spark, sf).count()] * 3

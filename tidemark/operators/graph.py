@@ -72,6 +72,21 @@ def propagate(edges: DataFrame, state: DataFrame, steps: int, decay: float, by:
     return state
 
 
+def propagate_sparse(edges: DataFrame, steps: int, decay: float, by: list[str], drive: DataFrame) -> DataFrame:
+    """What `propagate` gives from states of 0 at all nodes, without the nodes that nothing has reached: these stay at 0."""
+    drive = drive.join(nodes(edges), "node", "left_semi")
+    given = drive.select(*by, "node", F.lit(0.0).alias("value"), F.coalesce("input", F.lit(0.0)).alias("__in"))
+    state = None
+    for _ in range(steps):
+        parts = given
+        if state is not None:
+            incoming = edges.join(state, F.col("src") == F.col("node")).select(*by, F.col("dst").alias("node"), F.lit(0.0).alias("value"), (F.col("value") * F.col("weight") * F.col("sign")).alias("__in"))
+            parts = parts.unionByName(state.withColumn("__in", F.lit(0.0))).unionByName(incoming)
+        summed = parts.groupBy(*by, "node").agg(F.sum("value").alias("value"), F.sum("__in").alias("__in"))
+        state = cut(summed.select(*by, "node", (decay * F.col("value") + (1 - decay) * F.tanh("__in")).alias("value")), "propagate")
+    return state
+
+
 def ridge_fit(rows: DataFrame, features: list[str], target: str, l2: float) -> tuple[np.ndarray, float]:
     """(weights, intercept) of centred ridge regression with a free intercept.
 
