@@ -17,6 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.sparkContext.getCheckpointDir()
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
