@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import cut, partitions, small_or_shuffled
@@ -39,6 +40,8 @@ FANOUT = 16
 #: A shingle of so many different sets of one batch counts as frequent; so many of the most frequent are put last.
 #: Which ones they are changes the work, never the result.
 FREQUENT, FREQUENT_KEPT = 5, 200_000
+#: Leading shingles that a task deals at a time, and in a range, at most about.
+SLICE, RANGE = 500_000, 2_000_000
 #: Larger blocks are cut into parts of about this size, of which each pair meets in a task of its own.
 BLOCK = 2048
 
@@ -65,6 +68,17 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(axis=0)
 
 
+def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least `FREQUENT` of the sets have, and how many do.  Empties `sets`, so that the shingles are
+    held once and sorted in place."""
+    every = np.concatenate([np.zeros(0, np.uint64), *sets])
+    sets.clear()
+    every.sort()
+    ends = every[FREQUENT - 1 :]
+    found = np.unique(ends[ends == every[: len(ends)]])
+    return found, np.searchsorted(every, found, side="right") - np.searchsorted(every, found, side="left")
+
+
 def describe_sets(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, a, b, point) with the size, digest and group counts of each set, and rows (shingle, n) of shingles
     frequent in a batch."""
@@ -83,10 +97,9 @@ def describe_sets(docs: DataFrame) -> DataFrame:
             none = lambda k: pa.nulls(k, pa.int64())
             names = ["doc_id", "n", "a", "b", "point", "shingle"]
             yield pa.RecordBatch.from_arrays([batch.column(0), n, a, b, pa.array([r[3] for r in rows], pa.binary()), none(len(rows))], names)
-            found, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = times >= FREQUENT
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([none(k), pa.array(times[often]), none(k), none(k), pa.nulls(k, pa.binary()), pa.array(found[often].view(np.int64))], names)
+            found, times = _frequent(sets)
+            k = len(found)
+            yield pa.RecordBatch.from_arrays([none(k), pa.array(times), none(k), none(k), pa.nulls(k, pa.binary()), pa.array(found.view(np.int64))], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, point binary, shingle long")
 
@@ -124,24 +137,32 @@ def leading_shingles(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
     parallel arrays, some thousands a row."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
+    def dealt(found: list[np.ndarray], ids: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
+        """Lists of the ranges that have any, so that rows are never more than shingles."""
+        shingles, counts = np.concatenate(found), [len(f) for f in found]
+        of = (shingles % np.uint64(ranges)).astype(np.int32)
+        place = np.argsort(of, kind="stable")
+        some, starts = np.unique(of[place], return_index=True)
+        edges = pa.array(np.append(starts, len(of)).astype(np.int32))
+        columns = [shingles.view(np.int64)[place], np.repeat(ids.astype(np.int64), counts)[place], np.repeat(np.array(sizes, np.int32), counts)[place]]
+        return pa.RecordBatch.from_arrays([pa.array(some), *[pa.ListArray.from_arrays(edges, pa.array(x)) for x in columns]], ["range", "shingles", "docs", "sizes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found, counts, sizes = [], np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            found, rows, sizes, held = [], [], [], 0
             for row, words in each_document(batch.column(1)):
                 shingles = shingle_set(words, WORDS)
                 if len(shingles):
                     found.append(shared.value.leading(shingles))
-                    counts[row], sizes[row] = len(found[-1]), len(shingles)
-            if not found:
-                continue
-            shingles = np.concatenate(found)
-            doc, size = np.repeat(ids, counts), np.repeat(sizes, counts)
-            dealt = (shingles % np.uint64(ranges)).astype(np.int64)
-            place = np.argsort(dealt, kind="stable")
-            edges = np.searchsorted(dealt[place], np.arange(ranges + 1))
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x[place]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), lists(shingles.view(np.int64)), lists(doc.astype(np.int64)), lists(size.astype(np.int32))], ["range", "shingles", "docs", "sizes"])
+                    rows.append(row)
+                    sizes.append(len(shingles))
+                    held += len(found[-1])
+                if held > SLICE:
+                    yield dealt(found, ids[rows], sizes)
+                    found, rows, sizes, held = [], [], [], 0
+            if found:
+                yield dealt(found, ids[rows], sizes)
 
     return docs.select("doc_id", "text").mapInArrow(run, "range int, shingles array<long>, docs array<long>, sizes array<int>")
 
@@ -312,13 +333,40 @@ def _with_sides(pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text).
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text); other columns are ignored.
 
     component_id is the smallest id reachable by links, the own id for a text without words.  Equal
     texts are linked.  Rows that share an id are one document; a row without an id has no component.
+    Ids may have any type that can be sorted: others than whole numbers are numbered first.  An empty
+    table gives an empty result.
     """
-    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if isinstance(kind, T.IntegralType):
+        found = _components_of_numbers(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+        return found.select(*[F.col(c).cast(kind).alias(c) if c != "n_shingles" else c for c in found.columns])
+    numbers = cut(_numbered(docs.select("doc_id").where("doc_id is not null").distinct()), "ids")
+    found = _components_of_numbers(docs.join(numbers, "doc_id", "left").select(F.col("number").alias("doc_id"), "text"))
+    own, other = numbers.select(F.col("doc_id").alias("own"), "number"), numbers.select(F.col("doc_id").alias("other"), F.col("number").alias("to"))
+    joined = found.join(own, F.col("doc_id") == F.col("number"), "left").join(other, F.col("component_id") == F.col("to"), "left")
+    return joined.select(F.col("own").alias("doc_id"), "n_shingles", F.col("other").alias("component_id"))
+
+
+def _numbered(ids: DataFrame) -> DataFrame:
+    """(doc_id, number) with numbers in the order of the distinct ids: Spark sorts by ranges, and a range's numbers start
+    after those of the ranges before."""
+    placed = cut(ids.orderBy("doc_id").withColumn("place", F.monotonically_increasing_id()), "sorted-ids")
+    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row a partition.
+    sizes = placed.groupBy(part.alias("part")).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").select("doc_id", (F.col("start") + within).alias("number"))
+
+
+def _components_of_numbers(docs: DataFrame) -> DataFrame:
+    """`jaccard_components` of bigint ids."""
+    spark = docs.sparkSession
     described = cut(describe_sets(docs), "sets")
     rows = described.where("shingle is null")
     # Written before the join, so that a large class can be split there.
@@ -328,7 +376,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     often = described.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "shingle").limit(FREQUENT_KEPT).toPandas()
     order = Order(often["shingle"].to_numpy().astype(np.int64).view(np.uint64), often["times"].to_numpy().astype(np.int64))
     single = docs.where("doc_id is not null").join(small_or_shuffled(copies), "doc_id", "left_anti")
-    ranges = 4 * partitions(spark)
+    # Leading shingles are about a quarter of all; ranges grow with them, so that what a task holds doesn't.
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    ranges = max(4 * partitions(spark), (100 - PERCENT) * shingles // 100 // RANGE)
     leading = leading_shingles(single, order, ranges)
     pairs = cut(leading.groupBy("range").applyInArrow(_blocks, "pivot long, member long").distinct(), "blocks")
     points = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "point")
@@ -344,11 +394,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest id stays (one of equal rows), rows without an id stay."""
+    """Pipeline stage: of each component the row with the smallest id stays, rows without an id stay.  Rows that share an id
+    are one document; of its rows with equal texts one stays."""
     found = cut(jaccard_components(docs), "components")
     gone = cut(found.where("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    repeated = small_or_shuffled(repeated)
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, spare_name
 
 #: Rank buckets per shard, and how far rows of one key are spread over them by input partition.
 BUCKETS, SALTS = 256, 16
@@ -51,23 +51,26 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", shards: int = 8) -> Data
     Input columns of those three names are replaced.  A null key is a key like any other; rows with
     equal keys share a shard and get different slots; an empty table gives an empty result.
     """
-    keyed = docs.drop("shard", "slot", "grown_shard").withColumn("__key", F.xxhash64(F.col(key)))
-    keyed = keyed.withColumn("shard", jump_udf(shards)("__key")).withColumn("grown_shard", jump_udf(shards + 1)("__key"))
-    keyed = keyed.withColumn("__bucket", F.pmod("__key", F.lit(BUCKETS)) * SALTS + F.spark_partition_id() % SALTS)
+    docs = docs.drop("shard", "slot", "grown_shard")
+    hashed, bucket, rank, start = (spare_name(docs, n) for n in ("hashed", "bucket", "rank", "start"))
+    keyed = docs.withColumn(hashed, F.xxhash64(F.col(key)))
+    keyed = keyed.withColumn("shard", jump_udf(shards)(hashed)).withColumn("grown_shard", jump_udf(shards + 1)(hashed))
+    keyed = keyed.withColumn(bucket, F.pmod(hashed, F.lit(BUCKETS)) * SALTS + F.spark_partition_id() % SALTS)
     # Written once: the input partition in the bucket number must be the same for sizes and ranks.
     keyed = cut(keyed, "sharding")
-    sizes = keyed.groupBy("shard", "__bucket").count()
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("shard", bucket).agg(F.count("*").alias(rank))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # At most shards * BUCKETS * SALTS rows, whatever the input.
-    starts = sizes.select("shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("__key"))
-    ranked = keyed.withColumn("__rank", rank)
-    placed = ranked.join(F.broadcast(starts), ["shard", "__bucket"])
-    slot = (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot")
-    return placed.select(*[c for c in docs.columns if c not in ("shard", "slot", "grown_shard")], "shard", slot, "grown_shard")
+    starts = sizes.select("shard", bucket, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(start))
+    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(hashed)))
+    placed = ranked.join(F.broadcast(starts), ["shard", bucket])
+    slot = (F.col(start) + F.col(rank) - 1).cast("long").alias("slot")
+    return placed.select(*docs.columns, "shard", slot, "grown_shard")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, checksum, shard, slot and shard after one more is appended of every document; a null text counts as empty.
+    Equal ids share a shard; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
