@@ -10,14 +10,15 @@ same k-mers in another order don't.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import partitions
+from tidemark.llm.shared import partitions, spare_name
 
-PIECE, KMER, SELECTED = 8, 3, 48
+PIECE, KMER, SELECTED = 16, 3, 48
 #: A whole short run, or one code point of a long run.
 _PIECES = rf"(?<!\S)\S{{1,{PIECE}}}+(?!\S)|\S"
 #: Positions take the low bits of a sort key, hashes the rest: up to 33 million pieces a text keep their order.
@@ -96,29 +97,43 @@ def _range_number(value: Column, bounds: list, first: int = 0) -> Column:
     return F.when(value >= F.lit(bounds[middle]), _range_number(value, bounds[middle + 1 :], first + middle + 1)).otherwise(_range_number(value, bounds[:middle], first))
 
 
+def _ordered_number(docs: DataFrame, doc_id: str) -> Column:
+    """A number that never falls as the id rises: the id, or of a string the seven bytes after what all ids begin with."""
+    if docs.schema[doc_id].dataType.simpleString() != "string":
+        return F.col(doc_id)
+    low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
+    shared = os.path.commonprefix([(low or "").encode(), (high or "").encode()])
+    part = F.substring(F.hex(F.col(doc_id).cast("binary")), 2 * len(shared) + 1, 14)
+    return F.conv(F.rpad(part, 14, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", ties: str = "text") -> DataFrame:
     """`docs` with next_<column> of the following document in ascending (doc_id, ties) order, null ids first; the last is
-    followed by the first.  The ids are cut into ranges; the first document of a range is also sent to the range before."""
+    followed by the first.  Ids are numbers or strings.  They are cut into ranges; the first document of a range is also
+    sent to the range before."""
     n = min(512, 4 * partitions(docs.sparkSession))
-    cuts = docs.select(F.percentile_approx(doc_id, [i / n for i in range(1, n)], 100_000)).first()[0] or []
-    number = _range_number(F.col(doc_id), sorted(set(cuts)))
+    value = _ordered_number(docs, doc_id)
+    cuts = docs.select(F.percentile_approx(value, [i / n for i in range(1, n)], 100_000)).first()[0] or []
+    number = _range_number(value, sorted(set(cuts)))
     # One row a range, at most 512.
-    firsts = sorted((r[0], r[1]) for r in docs.groupBy(number.alias("r")).agg(F.min(doc_id), (F.count("*") > F.count(doc_id)).alias("nulls")).select("r", F.when(F.col("nulls"), F.lit(None)).otherwise(F.col(f"min({doc_id})"))).collect()) if docs.columns else []
+    firsts = sorted(tuple(r) for r in docs.groupBy(number.alias("r")).agg(F.min(doc_id).alias("first"), (F.count("*") > F.count(doc_id)).alias("nulls")).select("r", F.when(~F.col("nulls"), F.col("first"))).collect())
     kind = docs.schema[doc_id].dataType.simpleString()
-    before = docs.sparkSession.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], f"__first {kind}, __before int")
-    placed = docs.withColumn("__range", number).join(F.broadcast(before), F.col(doc_id).eqNullSafe(F.col("__first")), "left")
+    range_, first_, before_, copy_ = (spare_name(docs, x) for x in ("range_of", "first_id", "range_before", "is_copy"))
+    before = docs.sparkSession.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], f"{first_} {kind}, {before_} int")
+    placed = docs.withColumn(range_, number).join(F.broadcast(before), F.col(doc_id).eqNullSafe(F.col(first_)), "left")
     place = lambda r, copy: F.struct(r.cast("int"), F.lit(copy))
-    copies = F.when(F.col("__before").isNull(), F.array(place(F.col("__range"), 0))).otherwise(F.array(place(F.col("__range"), 0), place(F.col("__before"), 1)))
-    placed = placed.select(*docs.columns, F.inline(copies).alias("__r", "__copy"))
+    copies = F.when(F.col(before_).isNull(), F.array(place(F.col(range_), 0))).otherwise(F.array(place(F.col(range_), 0), place(F.col(before_), 1)))
+    placed = placed.select(*docs.columns, F.inline(copies).alias(range_, copy_))
     # One window for all columns, so that the texts are shuffled once.
-    order = Window.partitionBy("__r").orderBy("__copy", doc_id, ties)
-    placed = placed.select(*docs.columns, "__copy", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return placed.where("__copy = 0").drop("__copy")
+    order = Window.partitionBy(range_).orderBy(copy_, doc_id, ties)
+    placed = placed.select(*docs.columns, copy_, *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    return placed.where(F.col(copy_) == 0).drop(copy_)
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and both likenesses of every row of (doc_id, text).
-    A null text is an empty one; rows with equal ids follow each other by text."""
+    A null text is an empty one; rows with equal ids follow each other by text, and an only row follows itself.  Other
+    columns are ignored; an empty table gives an empty result."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("sig", signatures(F.col("text"))), ["text", "sig"])
     n = F.char_length("text")
@@ -133,4 +148,5 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
     return fingerprint_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
