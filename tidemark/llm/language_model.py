@@ -10,13 +10,15 @@ the counts of its own distinct n-grams, and hash ranges of n-grams answer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.language import held_out_is
-from tidemark.llm.shared import cut, partitions
+from tidemark.llm.shared import bounded_batches, partitions
 from tidemark.llm.text import SPACE_WORDS, Words, as_bytes, chunks, sequence_hashes
 
 #: The longest n-grams that are counted.
@@ -24,7 +26,10 @@ ORDER = 3
 #: The weight of the shorter history in tokens, and what the base model adds to each count.
 PRIOR, ADDED = 8.0, 0.1
 #: Bytes of text times orders in a bucket, at most about; a bucket is one group of a task, and so is a range of n-grams.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 48 << 20
+#: Columns of packed rows beside the bucket.
+PACKED = "ids array<{kind}>, held array<boolean>, sizes array<int>, raw binary"
+_TEXT_CODEC = pa.Codec("zstd", compression_level=6)
 #: Stands for the end of a text, and before its first word.
 _END = np.uint64(0xA24BAED4963EE407)
 
@@ -40,14 +45,27 @@ def words_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def _distinct(words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words by range and hash, the place of each word among them, and the first place of each range."""
-    unique, inverse = np.unique(words, return_inverse=True)
-    dealt = (unique % np.uint64(ranges)).astype(np.int64)
-    place = np.argsort(dealt, kind="stable")
-    turned = np.empty_like(place)
-    turned[place] = np.arange(len(place))
-    return unique[place], turned[inverse], np.searchsorted(dealt[place], np.arange(ranges + 1))
+def _bounds(ranges: int) -> np.ndarray:
+    """The smallest hash of each range but the first."""
+    return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers in the fewest bytes that hold the largest, byte by byte of equal rank, compressed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + pa.compress(np.ascontiguousarray(planes.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(pa.decompress(raw[1:], raw[0] * n, codec="zstd", asbytes=True), np.uint8).reshape(raw[0], n).T
+    return out.view("<u8").ravel()
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which pack better than the values; a sum from the start undoes them."""
+    return np.diff(ascending, prepend=np.uint64(0))
 
 
 def _grams(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,41 +82,62 @@ def _grams(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarra
     return sequence_hashes(padded, order)[at], many
 
 
-def _requests(table: pa.Table, ranges: int) -> pa.Table:
-    """For a bucket (bucket, doc_id, held_out, text): its distinct n-grams with their training counts, a row an order and range."""
-    words, counts = words_of(table.column("text"))
-    train = ~np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+def _pack_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (bucket, doc_id, held_out, text) as one row a bucket, the texts compressed together."""
+    place = np.argsort(batch.column(0).to_numpy(), kind="stable")
+    bucket, ids, held, text = (c.take(pa.array(place)) for c in batch.columns)
+    some, first = np.unique(bucket.to_numpy(), return_index=True)
+    edges = np.append(first, len(place))
+    data, offsets = as_bytes(text)
+    raw = [_TEXT_CODEC.compress(data[offsets[a] : offsets[b]].tobytes(), asbytes=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), x)
+    sizes = pa.array(np.diff(offsets).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(some), lists(ids), lists(held), lists(sizes), pa.array(raw, pa.binary())], ["bucket", "ids", "held", "sizes", "raw"])
+
+
+def _unpack_rows(table: pa.Table) -> pa.Table:
+    """What `_pack_rows` had of one bucket: (doc_id, held_out, text)."""
+    flat = lambda name: table.column(name).combine_chunks().flatten()
+    sizes = table.column("sizes")
+    raw = b"".join(pa.decompress(r.as_py(), int(np.sum(n.values.to_numpy())), codec="zstd", asbytes=True) for r, n in zip(table.column("raw"), sizes, strict=True))
+    offsets = np.concatenate([[0], np.cumsum(flat("sizes").to_numpy(), dtype=np.int64)])
+    text = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw))
+    return pa.table([flat("ids"), flat("held"), text], ["doc_id", "held_out", "text"])
+
+
+def _requests(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+    """For a bucket of packed rows: its distinct n-grams with their training counts, a row for each order and range that has
+    any.  Rows are never more than n-grams."""
+    docs = _unpack_rows(table)
+    words, counts = words_of(docs.column("text"))
+    train = ~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+    del docs
     bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-    out = []
+    rows = []
     for order in range(1, ORDER + 1):
         grams, many = _grams(words, counts, order)
-        unique, place, edges = _distinct(grams, ranges)
-        times = np.bincount(place[np.repeat(train, many)], minlength=len(unique)).astype(np.int64)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))  # noqa: B023, E731
-        first = (order - 1) * ranges
-        out.append(pa.table({"range": pa.array(np.arange(first, first + ranges, dtype=np.int32)), "bucket": pa.array(np.full(ranges, bucket, np.int32)), "grams": lists(unique.view(np.int64)), "times": lists(times)}))
-    return pa.concat_tables(out)
+        unique, place = np.unique(grams, return_inverse=True)
+        times = np.bincount(place[np.repeat(train, many)], minlength=len(unique)).astype(np.uint64)
+        edges = np.concatenate([[0], np.searchsorted(unique, bounds), [len(unique)]])
+        for r in np.flatnonzero(np.diff(edges)):
+            low, high = edges[r], edges[r + 1]
+            rows.append(((order - 1) * (len(bounds) + 1) + int(r), bucket, int(high - low), pack(_steps(unique[low:high])), pack(times[low:high])))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["range", "bucket", "n", "grams", "times"])
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """For a range (range, bucket, grams, times): each bucket's counts in the order of its n-grams; and, without a bucket,
-    (number of known n-grams, their tokens)."""
-    grams = table.column("grams").combine_chunks()
-    flat, times = grams.flatten().to_numpy(), table.column("times").combine_chunks().flatten().to_numpy()
-    unique, inverse = np.unique(flat, return_inverse=True)
-    total = np.zeros(len(unique), np.int64)
-    np.add.at(total, inverse, times)
-    one = table.column("range")[0].as_py()
-    lengths = grams.value_lengths().to_numpy(zero_copy_only=False)
-    edges = np.concatenate([[0], np.cumsum(lengths), [lengths.sum()]]).astype(np.int32)
-    n = table.num_rows
-    return pa.table({
-        "range": pa.array(np.full(n + 1, one, np.int32)),
-        "bucket": pa.concat_arrays([table.column("bucket").combine_chunks().cast(pa.int32()), pa.nulls(1, pa.int32())]),
-        "times": pa.ListArray.from_arrays(pa.array(edges), pa.array(total[inverse])),
-        "known": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
-        "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()),
-    })
+    """For a range (range, bucket, n, grams, times): each bucket's n-grams' counts in all buckets, in the order of the n-grams."""
+    sizes = table.column("n").to_numpy()
+    if not len(sizes):
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary())], ["range", "bucket", "n", "times"])
+    flat = np.concatenate([np.cumsum(unpack(g.as_py(), n), dtype=np.uint64) for g, n in zip(table.column("grams"), sizes, strict=True)])
+    times = np.concatenate([unpack(t.as_py(), n) for t, n in zip(table.column("times"), sizes, strict=True)])
+    unique, place = np.unique(flat, return_inverse=True)
+    # Sums of whole numbers below 2**53 are exact.
+    total = np.bincount(place, times.astype(np.float64), minlength=len(unique)).astype(np.uint64)[place]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    packed = [pack(total[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table([table.column("range"), table.column("bucket"), table.column("n"), pa.array(packed, pa.binary())], ["range", "bucket", "n", "times"])
 
 
 def smoothed(count: np.ndarray, total: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -134,19 +173,23 @@ class Automaton:
         return np.where(np.isnan(found), self.fail[before] + self.root[now], found)
 
 
-def _scores(table: pa.Table, answers: pa.Table, ranges: int, known: int, tokens: int, ends: int) -> pa.Table:
-    """Scores of a bucket whose n-grams' counts are in `answers` (range, times)."""
+def _scores(table: pa.Table, answers: pa.Table, known: int, tokens: int, ends: int) -> pa.Table:
+    """Scores of a bucket of packed rows whose n-grams' counts are in `answers` (range, n, times)."""
+    table = _unpack_rows(table)
     words, counts = words_of(table.column("text"))
-    got = dict(zip(answers.column("range").to_pylist(), range(answers.num_rows), strict=True))
-    lists = answers.column("times").combine_chunks()
-
-    def times_of(grams: np.ndarray, order: int) -> np.ndarray:
-        unique, place, _ = _distinct(grams, ranges)
-        parts = [lists[got[r]].values.to_numpy() for r in range((order - 1) * ranges, order * ranges) if r in got]
-        times = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if len(times) != len(unique):
+    place_of = np.argsort(answers.column("range").to_numpy())
+    sizes, packed = answers.column("n").to_numpy()[place_of], answers.column("times")
+    lists = [unpack(packed[int(i)].as_py(), n) for i, n in zip(place_of, sizes, strict=True)]
+    # Orders follow each other, and ranges within them, as in the sorted n-grams.
+    told, used = np.concatenate([np.zeros(0, np.uint64), *lists]).astype(np.int64), 0
+
+    def times_of(grams: np.ndarray) -> np.ndarray:
+        nonlocal used
+        unique, place = np.unique(grams, return_inverse=True)
+        used += len(unique)
+        if used > len(told):
             raise ValueError("the counts don't fit the n-grams of the bucket")
-        return times[place]
+        return told[used - len(unique) : used][place]
 
     n, v = tokens + ends, known + (1 if ends else 0)
     row = np.repeat(np.arange(len(counts)), counts + 1)
@@ -154,7 +197,7 @@ def _scores(table: pa.Table, answers: pa.Table, ranges: int, known: int, tokens:
     inner[np.cumsum(counts + 1) - 1] = False
     # At each token: training counts of the longest n-gram so far that stops there, and its probability.
     times = np.full(len(row), ends, np.int64)
-    times[inner] = times_of(words, 1)
+    times[inner] = times_of(words)
     chance = (times + ADDED) / (n + ADDED * (v + 1))
     base_total = np.bincount(row, np.log10(chance), minlength=len(counts))
     seen = np.bincount(row, times > 0, minlength=len(counts)).astype(np.int64)
@@ -162,7 +205,7 @@ def _scores(table: pa.Table, answers: pa.Table, ranges: int, known: int, tokens:
         grams, many = _grams(words, counts, order)
         first = np.cumsum(counts + 1) - (counts + 1) + order - 2
         at = np.arange(len(grams)) + np.repeat(first - (np.cumsum(many) - many), many)
-        found = times_of(grams, order)
+        found = times_of(grams)
         # The history's count is that of the n-gram that stops a token before; before a text it is the end's.
         chance[at] = smoothed(found, times[at - 1], chance[at])
         times = np.zeros(len(row), np.int64)
@@ -174,31 +217,50 @@ def _scores(table: pa.Table, answers: pa.Table, ranges: int, known: int, tokens:
     })
 
 
+def _totals(docs: DataFrame) -> tuple[int, int]:
+    """(distinct words, words) of all texts: each batch sends its distinct word hashes, so the shuffle has a row for each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, _ = words_of(batch.column(0))
+            unique, times = np.unique(words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(times)], ["word", "times"])
+
+    found = docs.select("text").mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    known, tokens = found.agg(F.count("*"), F.sum("times")).first()
+    return int(known), int(tokens or 0)
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
-    """Scores of all rows of (doc_id, held_out, text), learnt from those that aren't held out.
+    """Scores of all rows of (doc_id, held_out, text), learnt from those that aren't held out; other columns are ignored.
 
-    A null text is empty: one end.  Without training rows every word is unknown.  Rows may repeat.
+    A null text is empty: one end.  Null ids are ids like any other.  Without training rows every word is unknown.  Rows may
+    repeat, and each repeat counts in training.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sums = docs.agg(F.sum(F.octet_length("text")), F.sum(F.when(~F.col("held_out"), 1).otherwise(0))).first()
     ends = int(sums[1] or 0)
+    known, tokens = _totals(docs.where(~F.col("held_out")))
     # Ranges grow with the texts too, so that what a task holds doesn't.
-    buckets = ranges = max(partitions(spark), -(-ORDER * int(sums[0] or 0) // BUCKET_BYTES))
+    buckets = max(partitions(spark), -(-ORDER * int(sums[0] or 0) // BUCKET_BYTES))
+    bounds = _bounds(buckets)
     # The text is part of the key so that rows of one id don't have to share a bucket.
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets)).cast("int"))
-    asked = dealt.groupBy("bucket").applyInArrow(lambda t: _requests(t, ranges), "range int, bucket int, grams array<long>, times array<long>")
-    told = cut(asked.groupBy("range").applyInArrow(_answers, "range int, bucket int, times array<long>, known long, tokens long"), "counts")
-    known, tokens = (int(x or 0) for x in told.where(F.col("range") < ranges).agg(F.sum("known"), F.sum("tokens")).first())
-    answers = told.where("bucket is not null").select("bucket", "range", "times")
+    bucket = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets)).cast("int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = docs.select(bucket.alias("bucket"), "doc_id", "held_out", "text").mapInArrow(lambda batches: map(_pack_rows, batches), f"bucket int, {PACKED.format(kind=kind)}")
+    # Both uses of the packed texts are in one plan, so that Spark shuffles them once.
+    asked = packed.groupBy("bucket").applyInArrow(lambda t: _requests(t, bounds), "range int, bucket int, n int, grams binary, times binary")
+    told = asked.groupBy("range").applyInArrow(_answers, "range int, bucket int, n int, times binary")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scores(left, right, ranges, known, tokens, ends)
+        return _scores(left, right, known, tokens, ends)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document; the tenth by crc32 of its id is held out of training."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_texts(docs.withColumn("held_out", held_out_is(F.col("doc_id"), 10, 0)))
