@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import bounded_batches
+
 WINDOW = 10
 #: A set of items is split so that the patterns of one automaton have at most this many bytes (about
 #: 40 times as much memory); each part is one more scan inside the same pass over the documents.
 PATTERN_BYTES = 16 << 20
+#: Text of a test set that may be broadcast as windows (each word is in up to `WINDOW` of them).
+ITEM_BYTES = 32 << 20
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -93,27 +97,42 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _found(text: str | None, automata: list[ahocorasick.Automaton]) -> tuple[int, int, set[str], list[dict[str, int]]]:
+    """(words, hit words, items, spans) of a text."""
+    n, hit, items = scan(text, automata)
+    return n, len(hit), items, [{"start": a, "end": b} for a, b in spans(text, hit)] if len(hit) else []
+
+
+def given_windows(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> dict[bytes, set[str]]:
+    """The windows of all items, for a broadcast; a test set beyond `ITEM_BYTES` of text is refused, as it should be scanned in
+    parts."""
+    size = items.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
+    if size > ITEM_BYTES:
+        raise ValueError(f"the items have {size} bytes of text; scan for at most {ITEM_BYTES} at a time")
+    return windows_of((r[0], r[1]) for r in items.select(F.col(item_id), F.col(item_text)).toLocalIterator())
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, item_ids (sorted strings), spans (start, end in code points).
 
     A null or empty text has no words and no hits; an item with a null id or no words has no window.
     The items are a test set: they're gathered on the driver and sent to the tasks as patterns.
     """
-    given = [(r[0], r[1]) for r in items.select(F.col(item_id), F.col(item_text)).toLocalIterator()]
-    windows = windows_of(given)
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(given_windows(items, item_id, item_text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = build_automata(shared.value)
         for batch in batches:
-            rows = [scan(t, automata) + (t,) for t in batch.column(1).to_pylist()]
+            # One text at a time; of it only its hits and their offsets are kept.
+            rows = [_found(t.as_py(), automata) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([len(r[1]) for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in spans(r[3], r[1])] if len(r[1]) else [] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([r[3] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
@@ -123,21 +142,23 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and items found of every document."""
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     joined = F.concat_ws(",", "item_ids")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text and any other columns) without a hit word, decided row by row in one pass."""
-    given = [(r[0], r[1]) for r in items.select("item_id", "text").toLocalIterator()]
-    shared = docs.sparkSession.sparkContext.broadcast(windows_of(given))
+    """The rows of `docs` (doc_id, text and any other columns) without a hit word, decided row by row in one pass.  Null and empty
+    texts stay, as do all of equal rows; without items every row stays."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(given_windows(items))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = build_automata(shared.value)
         for batch in batches:
-            clean = [not any(True for a in automata for _ in a.iter(" " + b" ".join(words_of(t)).decode("latin-1") + " ")) for t in batch.column(at).to_pylist()]
+            clean = [not any(True for a in automata for _ in a.iter(" " + b" ".join(words_of(t.as_py())).decode("latin-1") + " ")) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

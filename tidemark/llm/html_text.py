@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import spare_name
+from tidemark.llm.shared import bounded_batches, spare_name
 
 #: Weights of the smoothing along the page, the centre in the middle.
 KERNEL = (0.1, 0.2, 0.4, 0.2, 0.1)
@@ -291,6 +291,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """`keep` columns, text and n_chars of every row; rows may repeat, any column may be null and others are ignored.
     An empty table gives an empty result."""
+    bounded_batches(pages.sparkSession)
     kinds = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

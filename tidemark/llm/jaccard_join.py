@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import cut, partitions, small_or_shuffled
+from tidemark.llm.shared import bounded_batches, cut, partitions, small_or_shuffled
 from tidemark.llm.text import each_document, mix, shingle_set
 
 #: Least similarity in hundredths; words per shingle.
@@ -367,6 +367,7 @@ def _numbered(ids: DataFrame) -> DataFrame:
 def _components_of_numbers(docs: DataFrame) -> DataFrame:
     """`jaccard_components` of bigint ids."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     described = cut(describe_sets(docs), "sets")
     rows = described.where("shingle is null")
     # Written before the join, so that a large class can be split there.

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import bounded_batches, spare_name
+
 #: n-grams in a profile.
 PROFILE = 300
 UNKNOWN = "und"
@@ -83,8 +85,8 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", prof
             held[name], sizes[name] = [(unique, total)], 0
 
         for batch in batches:
-            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes, counts = gram_counts(value)
+            for value, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                codes, counts = gram_counts(value.as_py())
                 held.setdefault(name, []).append((codes, counts))
                 sizes[name] = sizes.get(name, 0) + len(codes)
                 if sizes[name] > 1_000_000:
@@ -94,6 +96,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", prof
             codes, counts = held[name][0]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], ["lang", "code", "n"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
@@ -131,19 +134,21 @@ class Profiles:
 
 def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns with lang_pred and score for every row.  Profiles are gathered: `PROFILE` rows a language."""
+    bounded_batches(docs.sparkSession)
     model = Profiles([(r[0], r[1], r[2]) for r in profiles.toLocalIterator()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(x) for x in batch.column(len(keep)).to_pylist()]
+            found = [shared.value.predict(x.as_py()) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double"]))
+    return docs.select(*keep, F.col(text).cast("string").alias(spare_name(docs, "whole_text"))).mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double"]))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; the fourth by crc32 of its id is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held_out_is(F.col("doc_id"), 4, 2))
     profiles = learn_profiles(docs.where(~F.col("held_out")))
     return identify(docs, profiles, keep=("doc_id", "held_out"))

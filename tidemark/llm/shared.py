@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.sparkContext.getCheckpointDir()
 
 
+#: Bytes of an Arrow batch that goes to a Python task, at most about.
+ARROW_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of Arrow batches to `ARROW_BYTES`, so that what a Python task and its JVM buffers hold depends on
+    bytes and not on rows.  A lower limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", str(spark.conf.get(key)).lower()).groups()
+    now = int(number) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}

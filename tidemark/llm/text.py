@@ -20,20 +20,28 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEQ = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+#: A run of words that is hashed at a time is at most this long; only a longer single word goes through `_long_hash`.
+RUN_BYTES = 2 * CHUNK_BYTES
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the step and of its inverse modulo 2**64."""
-    have = _POWERS.get("up")
-    if have is None or len(have) <= n:
-        size = max(n + 1, CHUNK_BYTES * 2)
-        inverse = pow(int(_STEP), -1, 1 << 64)
-        up = np.full(size, _STEP, dtype=np.uint64)
-        down = np.full(size, np.uint64(inverse), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS["up"], _POWERS["down"]
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2**64, as many as a run of words needs."""
+    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    up, down = np.full(RUN_BYTES + 1, _STEP), np.full(RUN_BYTES + 1, inverse)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+_UP, _DOWN = _powers()
+
+
+def _long_hash(raw: np.ndarray) -> np.ndarray:
+    """The polynomial of one word of any length, run by run."""
+    total, size = 0, 1 << 64
+    for low in range(0, len(raw), RUN_BYTES):
+        part = raw[low : low + RUN_BYTES]
+        total += int((_BYTE_VALUE[LOWER[part]] * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(int(_STEP), low, size)
+    return np.array([total % size], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,19 +114,30 @@ class Words:
         self.base, self._raw = base, raw
         self._sums: np.ndarray | None = None
 
-    def _prefix_sums(self) -> np.ndarray:
-        if self._sums is None:
-            up, _ = _powers(len(self._raw) + 1)
-            sums = np.zeros(len(self._raw) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_VALUE[LOWER[self._raw]] * up[: len(self._raw)], out=sums[1:])
-            self._sums = sums
-        return self._sums
+    def _run(self, low: int, high: int) -> np.ndarray:
+        """Sums of byte values times powers before each of the bytes low to high."""
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[LOWER[self._raw[low:high]]] * _UP[: high - low], out=sums[1:])
+        return sums
 
     def hashes(self, longest: int | None = None) -> np.ndarray:
         """A hash for each word, or for the first `longest` bytes of each."""
-        sums, (_, down) = self._prefix_sums(), _powers(len(self._raw) + 1)
-        end = self.end if longest is None else np.minimum(self.end, self.begin + longest)
-        return mix((sums[end] - sums[self.begin]) * down[self.begin])
+        begin, end = self.begin, self.end if longest is None else np.minimum(self.end, self.begin + longest)
+        if len(self._raw) <= RUN_BYTES:
+            if self._sums is None:
+                self._sums = self._run(0, len(self._raw))
+            return mix((self._sums[end] - self._sums[begin]) * _DOWN[begin])
+        out, low = np.zeros(len(begin), np.uint64), 0
+        while low < len(begin):
+            at = int(begin[low])
+            high = max(low + 1, int(np.searchsorted(end, at + RUN_BYTES, side="right")))
+            if end[high - 1] - at > RUN_BYTES:
+                out[low:high] = _long_hash(self._raw[at : end[low]])
+            else:
+                sums = self._run(at, int(end[high - 1]))
+                out[low:high] = (sums[end[low:high] - at] - sums[begin[low:high] - at]) * _DOWN[begin[low:high] - at]
+            low = high
+        return mix(out)
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:

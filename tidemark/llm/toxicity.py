@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.language import held_out_is
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import bounded_batches, cut, spare_name
 from tidemark.llm.text import ALNUM_WORDS, Words, as_bytes, chunks
 
 #: Rows of the bounded fitting sample.
@@ -71,12 +71,12 @@ def _count(rows: DataFrame) -> DataFrame:
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, sparsity: float = 1e-3, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias of the smallest non-negative PU risk with the logistic loss and an L1 penalty.
+    The last column of both matrices is 1 and gets the bias.
 
     Accelerated proximal gradient descent with restarts.  Where the corrected risk of the negatives
     falls below zero, the step goes up that term alone, as the non-negative estimator asks.
     """
-    p = np.hstack([positive, np.ones((len(positive), 1), np.float32)])
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), np.float32)])
+    p, u = positive, unlabelled
     loss = lambda z: np.logaddexp(0, -z)
     slope = lambda z: -1 / (1 + np.exp(np.clip(z, -60, 60)))
     direction, top = np.ones(p.shape[1], np.float32), 1.0
@@ -126,6 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
     `labels` (doc_id, toxic) mark the positives; a document is positive if any of its labels is 1.
     The prior is the share of 1 among the labelled rows unless given.  Without any positive every text scores 0.
     """
+    bounded_batches(docs.sparkSession)
     learning = ~held_out_is(F.col("doc_id"), 4, 2)
     marked = labels.where(learning & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = marked.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0]
@@ -159,15 +160,21 @@ def learn(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
 
     # The bounded sample, as lists of kept features.
     sample = sorted((r[0], r[1]) for r in rows.mapInArrow(run, "positive int, features array<long>").collect())
-    matrix = np.zeros((len(sample), len(features)), np.float32)
-    for i, (_, own) in enumerate(sample):
-        matrix[i, np.searchsorted(features, own)] = 1
-    kind = np.array([s[0] for s in sample])
-    return Model(features, *fit_nnpu(matrix[kind == 1], matrix[kind == 0], prior))
+    sides = []
+    for kind in (1, 0):
+        rows = [own for positive, own in sample if positive == kind]
+        side = np.zeros((len(rows), len(features) + 1), np.float32)
+        side[:, -1] = 1
+        for i, own in enumerate(rows):
+            side[i, np.searchsorted(features, own)] = 1
+        sides.append(side)
+    return Model(features, *fit_nnpu(*sides, prior))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and the score of every row."""
+    """`keep` columns and the score of every row; rows may repeat, null and empty texts get the score of no feature.  An empty
+    table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
@@ -175,10 +182,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shared.value.scores(batch.column(len(keep))))], [*keep, "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, ", ".join([*kinds, "score double"]))
+    return docs.select(*keep, F.col("text").cast("string").alias(spare_name(docs, "whole_text"))).mapInArrow(run, ", ".join([*kinds, "score double"]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs.withColumn("held_out", held_out_is(F.col("doc_id"), 4, 2)), model, ("doc_id", "held_out"))
