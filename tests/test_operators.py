@@ -132,7 +132,11 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
 def test_allocation(spark):
     df = spark.createDataFrame([(1, "C", 200, 1, "c"), (1, "A", 100, 1, "a"), (1, "B", 100, 1, "b")], "p int, asset string, score int, at int, id string").withColumn("cash", F.lit(200)).withColumn("slots", F.lit(2))
     got = {r.id: r.reason for r in policies.allocate(df, "p", "asset", "score", "at", "id", 100, "cash", "slots").collect()}
-    assert got == {"c": None, "a": None, "b": "max_concurrent_positions"}
+    assert got == {"c": "accepted", "a": "accepted", "b": "max_concurrent_positions"}
+    more = spark.createDataFrame([(1, "A", 300, 1, "a"), (1, "B", 200, 1, "b"), (1, "B", 150, 1, "b2"), (1, "C", 100, 1, "c"), (1, "A", 90, 1, "a2"), (1, "D", 80, 1, "d")], "p int, asset string, score int, at int, id string").withColumn("cash", F.lit(100)).withColumn("slots", F.lit(3))
+    open_ = spark.createDataFrame([(1, "D")], "p int, asset string")
+    got = {r.id: r.reason for r in policies.allocate(more, "p", "asset", "score", "at", "id", 100, "cash", "slots", open_).collect()}
+    assert got == {"a": "accepted", "b": "insufficient_simulation_cash", "b2": "insufficient_simulation_cash", "c": "insufficient_simulation_cash", "a2": "position_already_open_no_adding", "d": "position_already_open_no_adding"}
 
 
 def test_clamped_position(spark):

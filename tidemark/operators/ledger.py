@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import sorted_fold
+
 
 def requested(rows: DataFrame, key: str, amount: str) -> DataFrame:
     """(key, requested, entries): plain sums, right where no entry can fail."""
@@ -13,16 +15,9 @@ def requested(rows: DataFrame, key: str, amount: str) -> DataFrame:
 
 def cash_fold(rows: DataFrame, key: str, order: list[str], amount: str) -> DataFrame:
     """(key, entries, balance, failed): entries in order; one that would take the balance below 0 fails and changes nothing.
-
-    Whether an entry fails depends on all before it, so a key's entries are folded in one place, as
-    (order, amount) pairs.  Keep keys to one portfolio; at a larger size use the streaming form, whose
-    state is two numbers a key.
-    """
-    steps = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast("long").alias("__a")))).alias("s"))
-    zero = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("f"))
-    fails = lambda acc, x: acc["b"] + x["__a"] < 0
-    fold = F.aggregate("s", zero, lambda acc, x: F.struct(F.when(fails(acc, x), acc["b"]).otherwise(acc["b"] + x["__a"]).alias("b"), F.when(fails(acc, x), acc["f"] + 1).otherwise(acc["f"]).alias("f")))
-    return steps.withColumn("__f", fold).select(key, F.size("s").cast("long").alias("entries"), F.col("__f.b").alias("balance"), F.col("__f.f").alias("failed"))
+    A null amount is an entry of 0."""
+    step = lambda s, x: (s[0] + 1, s[1], s[2] + 1) if s[1] + x < 0 else (s[0] + 1, s[1] + x, s[2])
+    return sorted_fold(rows, [key], order, amount, (0, 0, 0), step, ["entries", "balance", "failed"], False)
 
 
 def decisions(log: DataFrame, enter: str, leave: str) -> DataFrame:

@@ -47,16 +47,29 @@ def fill(amount: Column, reserve_in: Column, reserve_out: Column, fee_bps: Colum
     return fee, output, F.when(spot > 0, floor_div((spot - output) * 10_000, spot)).otherwise(F.lit(0).cast("long"))
 
 
-def allocate(candidates: DataFrame, portfolio: str, asset: str, score: str, at: str, ident: str, ticket: int, cash: str, slots: str) -> DataFrame:
-    """`candidates` with reason (null if accepted): greedily by falling score, time and id, one position an asset, as many as
-    slots and cash allow.  With a fixed ticket this is a rank among the first rows of each asset."""
-    order = [F.col(score).desc(), F.col(at).asc(), F.col(ident).asc()]
-    ranked = candidates.withColumn("__a", F.row_number().over(Window.partitionBy(portfolio, asset).orderBy(*order)))
-    first = F.when(F.col("__a") == 1, 1).otherwise(0)
-    place = F.sum(first).over(Window.partitionBy(portfolio).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranked.withColumn("__p", place)
-    why = F.when(F.col("__a") > 1, "already_held").when(F.col("__p") > F.col(slots), "max_concurrent_positions").when(F.col("__p") > floor_div(F.col(cash), ticket), "insufficient_cash")
-    return ranked.withColumn("reason", why).drop("__a", "__p")
+def allocate(candidates: DataFrame, portfolio: str, asset: str, score: str, at: str, ident: str, ticket: int, cash: str, slots: str, existing: DataFrame | None = None) -> DataFrame:
+    """`candidates` with reason: greedily by falling score, time and id, a ticket each while slots and cash last, no second
+    position in an asset.  `existing` (portfolio, asset) are positions that are open already and take slots.
+
+    Once a limit is reached nothing is accepted any more, so the accepted are a rank among the first candidates of each
+    asset that isn't open, and the limit that was reached first is the reason of all others.
+    """
+    kept = candidates.columns
+    rows = candidates.select(F.struct(*kept).alias("c"), F.col(portfolio).alias("p"), F.col(asset).alias("a"), F.col(slots).alias("slots"), F.col(cash).alias("cash"), *[F.struct(F.col(score).alias("s"), F.col(at).alias("t"), F.col(ident).alias("i")).alias("k")])
+    if existing is None:
+        rows = rows.withColumn("own", F.lit(False)).withColumn("held", F.lit(0))
+    else:
+        open_ = existing.select(F.col(portfolio).alias("p"), F.col(asset).alias("a")).distinct()
+        rows = rows.join(open_.withColumn("own", F.lit(True)), ["p", "a"], "left").join(open_.groupBy("p").agg(F.count("*").alias("held")), "p", "left").fillna({"own": False, "held": 0})
+    order = [F.col("k.s").desc(), F.col("k.t").asc(), F.col("k.i").asc()]
+    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("p", "a").orderBy(*order)))
+    opening = (F.col("nth") == 1) & ~F.col("own")
+    place = F.sum(opening.cast("int")).over(Window.partitionBy("p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("place", place).withColumn("free", F.greatest(F.lit(0), F.col("slots") - F.col("held"))).withColumn("paid", floor_div(F.col("cash"), ticket))
+    taken = F.max((opening & (F.col("place") <= F.least("free", "paid"))).cast("int")).over(Window.partitionBy("p", "a")) == 1
+    ranked = ranked.withColumn("taken", taken)
+    why = F.when(F.col("own") | (F.col("taken") & (F.col("nth") > 1)), "position_already_open_no_adding").when(F.col("taken"), "accepted").when(F.col("free") <= F.col("paid"), "max_concurrent_positions").otherwise("insufficient_simulation_cash")
+    return ranked.select("c.*", why.alias("reason"))
 
 
 def best_mode(modes: DataFrame, decision: str, ident: str, score: str, usable: Column) -> DataFrame:

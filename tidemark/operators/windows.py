@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +64,45 @@ def outage_gaps(beats: DataFrame, key: list[str], at: str, interval: int) -> Dat
     return beats.withColumn("gap", gap).where(F.col("gap") > 2 * interval)
 
 
+def sorted_fold(df: DataFrame, key: list[str], order: list[str], value: str, start: tuple[int, ...], step: Callable[[tuple[int, ...], int], tuple[int, ...]], columns: list[str], every: bool) -> DataFrame:
+    """(key, columns): the state after each row of a key in order (`every`), or after its last row.
+
+    For folds whose next state depends on all before it.  A key's rows are sorted by Spark and pass through one task as a
+    stream, which holds one state; nothing is gathered.  Other keys go to other tasks.
+    """
+    rows = df.select(*key, *order, F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("step value")).repartition(*key).sortWithinPartitions(*key, *order)
+    n = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, kinds = None, start, None
+
+        def pack(keys: list[tuple], states: list[tuple[int, ...]]) -> pa.RecordBatch:
+            arrays = [pa.array([k[i] for k in keys], kinds[i]) for i in range(n)] + [pa.array([s[i] for s in states], pa.int64()) for i in range(len(columns))]
+            return pa.RecordBatch.from_arrays(arrays, [*key, *columns])
+
+        for batch in batches:
+            kinds, keys, states = batch.schema.types[:n], [], []
+            for one, x in zip(zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if one != now:
+                    if now is not None and not every:
+                        keys.append(now)
+                        states.append(state)
+                    now, state = one, start
+                state = step(state, x)
+                if every:
+                    keys.append(one)
+                    states.append(state)
+            yield pack(keys, states)
+        if now is not None and not every:
+            yield pack([now], [state])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key], *[f"{c} long" for c in columns]]))
+
+
 def equity_curve(cases: DataFrame, key: list[str], order: list[str], bps: str, start: int) -> DataFrame:
-    """(key, steps, equity, curve): e <- max(0, e + floor(e * bps / 10000)) in order.  The floor makes the fold sequential
-    within a key; a key's steps are gathered as (order, bps) pairs."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(bps).cast("long").alias("__bps"))))
-    folded = cases.groupBy(*key).agg(steps.alias("s"))
-    step = lambda e, x: F.greatest(F.lit(0).cast("long"), e + floor_div(e * x["__bps"], 10_000))
-    curve = F.aggregate("s", F.array(F.lit(start).cast("long")), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
-    return folded.select(*key, F.size("s").cast("long").alias("steps"), F.element_at(curve, -1).alias("equity"), curve.alias("curve"))
+    """(key, step, equity) of every case: e <- max(0, e + floor(e * bps / 10000)) in order."""
+    step = lambda s, x: (s[0] + 1, max(0, s[1] + s[1] * x // 10_000))
+    return sorted_fold(cases, key, order, bps, (0, start), step, ["step", "equity"], True)
 
 
 def max_drawdown_bps(points: DataFrame, key: list[str], order: list[str], equity: str) -> DataFrame:

@@ -69,9 +69,9 @@ _FOLD = f"""RECURSIVE {_EPI}, nu AS (SELECT pool, net_bps, row_number() OVER (PA
 fo(pool, i, e) AS (SELECT DISTINCT pool, CAST(0 AS BIGINT), CAST(100000 AS BIGINT) FROM nu UNION ALL SELECT nu.pool, nu.i, greatest(0, e + {floored("e * net_bps", "10000")}) FROM fo JOIN nu ON nu.pool = fo.pool AND nu.i = fo.i + 1)"""
 
 
-@query("equity_curve", f"{_FOLD} SELECT pool, max(i) AS steps, arg_max(e, i) AS equity, string_agg(CAST(e AS VARCHAR), ',' ORDER BY i) AS curve FROM fo GROUP BY pool")
+@query("equity_curve", f"{_FOLD} SELECT pool, i AS step, e AS equity FROM fo WHERE i > 0")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.equity_curve(episodes(spark, sf_dir), ["pool"], ["event_us", "event_id"], "net_bps", 100_000).withColumn("curve", F.concat_ws(",", F.transform("curve", lambda x: x.cast("string"))))
+    return windows.equity_curve(episodes(spark, sf_dir), ["pool"], ["event_us", "event_id"], "net_bps", 100_000)
 
 
 _PRED = "pd AS (SELECT event_id, pool, event_us, arrival_us, price % 300 - 140 AS expected, price % 110 AS uncertainty, event_id % 3 = 0 AS is_open, price FROM ev)"
@@ -203,19 +203,32 @@ def quote_cross_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acted.groupBy("policy", "pool").agg(F.count_if(F.col("action") == "enter").alias("entries")).join(q, "pool")
 
 
-@query("baseline_laboratory", f"RECURSIVE {_PRED}, {_POLICIES}, ac AS (SELECT policy, event_id, event_us, CASE WHEN {_BASE} = 'enter' THEN expected ELSE 0 END AS bps FROM pd, po WHERE pool % 10 = 3), nu AS (SELECT policy, bps, row_number() OVER (PARTITION BY policy ORDER BY event_us, event_id) AS i FROM ac), fo(policy, i, e) AS (SELECT DISTINCT policy, CAST(0 AS BIGINT), CAST(1000000 AS BIGINT) FROM nu UNION ALL SELECT nu.policy, nu.i, greatest(0, e + {floored('e * bps', '10000')}) FROM fo JOIN nu ON nu.policy = fo.policy AND nu.i = fo.i + 1), eq AS (SELECT policy, max(i) AS steps, arg_max(e, i) AS equity FROM fo GROUP BY policy), me AS (SELECT policy, {floored('CAST(sum(bps) AS BIGINT)', 'count(*)')} AS mean_bps, min(bps) AS worst_bps FROM ac GROUP BY policy) SELECT eq.policy, steps, equity, mean_bps, worst_bps FROM eq JOIN me ON eq.policy = me.policy")
+@query("baseline_laboratory", f"""RECURSIVE {_PRED}, {_POLICIES}, ac AS (SELECT policy, pool, event_id, event_us, CASE WHEN {_BASE} = 'enter' THEN expected ELSE 0 END AS bps FROM pd, po),
+nu AS (SELECT policy, pool, bps, row_number() OVER (PARTITION BY policy, pool ORDER BY event_us, event_id) AS i FROM ac),
+fo(policy, pool, i, e) AS (SELECT DISTINCT policy, pool, CAST(0 AS BIGINT), CAST(1000000 AS BIGINT) FROM nu UNION ALL SELECT nu.policy, nu.pool, nu.i, greatest(0, e + {floored('e * bps', '10000')}) FROM fo JOIN nu ON nu.policy = fo.policy AND nu.pool = fo.pool AND nu.i = fo.i + 1),
+eq AS (SELECT policy, pool, max(i) AS steps, arg_max(e, i) AS equity FROM fo GROUP BY policy, pool), me AS (SELECT policy, pool, {floored('CAST(sum(bps) AS BIGINT)', 'count(*)')} AS mean_bps, min(bps) AS worst_bps FROM ac GROUP BY policy, pool)
+SELECT eq.policy, eq.pool, steps, equity, mean_bps, worst_bps FROM eq JOIN me ON eq.policy = me.policy AND eq.pool = me.pool""")
 def baseline_laboratory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir).where("pool % 10 = 3")
-    acted = policies.stacked_policies(p, _baselines(), ["event_id", "event_us", "expected"]).withColumn("bps", F.when(F.col("action") == "enter", F.col("expected")).otherwise(0))
-    curve = windows.equity_curve(acted, ["policy"], ["event_us", "event_id"], "bps", 1_000_000).drop("curve")
-    return curve.join(acted.groupBy("policy").agg(floor_div(F.sum("bps"), F.count("*")).alias("mean_bps"), F.min("bps").alias("worst_bps")), "policy")
-
-
-@query("allocate_candidates", f"ca AS (SELECT event_us // {DAY} AS portfolio, pool AS asset, price AS score, arrival_us AS at_us, event_id, 2000 + (event_us // {DAY}) % 5 * 700 AS cash, 12 + (event_us // {DAY}) % 4 AS slots FROM ev), r1 AS (SELECT *, row_number() OVER (PARTITION BY portfolio, asset ORDER BY score DESC, at_us, event_id) AS a FROM ca), r2 AS (SELECT *, sum(CASE WHEN a = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY score DESC, at_us, event_id) AS p FROM r1) SELECT event_id, CASE WHEN a > 1 THEN 'already_held' WHEN p > slots THEN 'max_concurrent_positions' WHEN p > cash // 200 THEN 'insufficient_cash' END AS reason FROM r2")
+    """Each baseline policy's account in each pool over all cases: steps, final equity, mean and worst return."""
+    acted = policies.stacked_policies(predictions(spark, sf_dir), _baselines(), ["pool", "event_id", "event_us", "expected"]).withColumn("bps", F.when(F.col("action") == "enter", F.col("expected")).otherwise(0))
+    curve = windows.equity_curve(acted, ["policy", "pool"], ["event_us", "event_id"], "bps", 1_000_000)
+    last = curve.groupBy("policy", "pool").agg(F.max("step").alias("steps"), F.max_by("equity", "step").alias("equity"))
+    return last.join(acted.groupBy("policy", "pool").agg(floor_div(F.sum("bps"), F.count("*")).alias("mean_bps"), F.min("bps").alias("worst_bps")), ["policy", "pool"])
+
+
+@query("allocate_candidates", f"""ca AS (SELECT event_us // {DAY} AS portfolio, pool AS asset, price AS score, arrival_us AS at_us, event_id, 2000 + (event_us // {DAY}) % 5 * 700 AS cash, 12 + (event_us // {DAY}) % 4 AS slots FROM ev),
+ex AS (SELECT DISTINCT event_us // {DAY} + 1 AS portfolio, pool AS asset FROM ev WHERE event_type = 'signup' AND price % 10 = 0), ec AS (SELECT portfolio, count(*) AS n FROM ex GROUP BY 1),
+r1 AS (SELECT ca.*, coalesce(ec.n, 0) AS held, ex.asset IS NOT NULL AS own, row_number() OVER (PARTITION BY ca.portfolio, ca.asset ORDER BY score DESC, at_us, event_id) AS a FROM ca LEFT JOIN ec ON ec.portfolio = ca.portfolio LEFT JOIN ex ON ex.portfolio = ca.portfolio AND ex.asset = ca.asset),
+r2 AS (SELECT *, sum(CASE WHEN a = 1 AND NOT own THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY score DESC, at_us, event_id) AS p, greatest(0, slots - held) AS free, cash // 200 AS paid FROM r1),
+r3 AS (SELECT *, max(CASE WHEN a = 1 AND NOT own AND p <= least(free, paid) THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio, asset) = 1 AS taken FROM r2)
+SELECT event_id, CASE WHEN own OR (a > 1 AND taken) THEN 'position_already_open_no_adding' WHEN taken THEN 'accepted' WHEN free <= paid THEN 'max_concurrent_positions' ELSE 'insufficient_simulation_cash' END AS reason FROM r3""")
 def allocate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a day compete for its slots and cash, beside the positions that signups of the day before left open."""
     day = F.call_function("div", F.col("event_us"), F.lit(DAY))
-    c = raw_events(spark, sf_dir).select(day.alias("portfolio"), F.col("pool").alias("asset"), F.col("price").alias("score"), F.col("arrival_us").alias("at"), "event_id", (2000 + day % 5 * 700).alias("cash"), (12 + day % 4).alias("slots"))
-    return policies.allocate(c, "portfolio", "asset", "score", "at", "event_id", 200, "cash", "slots").select("event_id", "reason")
+    e = raw_events(spark, sf_dir)
+    c = e.select(day.alias("portfolio"), F.col("pool").alias("asset"), F.col("price").alias("score"), F.col("arrival_us").alias("at"), "event_id", (2000 + day % 5 * 700).alias("cash"), (12 + day % 4).alias("slots"))
+    existing = e.where("event_type = 'signup' and price % 10 = 0").select((day + 1).alias("portfolio"), F.col("pool").alias("asset"))
+    return policies.allocate(c, "portfolio", "asset", "score", "at", "event_id", 200, "cash", "slots", existing).select("event_id", "reason")
 
 
 @query("select_mode", "mo AS (SELECT event_id, m.mode, price * k % 997 AS score, event_id % k <> 0 AND price * k % 997 > 300 AS usable FROM ev, (VALUES ('lp', 7), ('spot', 5), ('wait', 3)) m(mode, k)), bm AS (SELECT event_id, min({s: -score, m: mode}) FILTER (usable) AS b FROM mo GROUP BY event_id) SELECT event_id, coalesce(b.m, 'idle') AS mode, CASE WHEN b IS NULL THEN 'no_supported_affordable_mode' END AS reason FROM bm")

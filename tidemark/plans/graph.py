@@ -16,10 +16,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"), F.col("l_quantity").alias("weight"), F.when((F.col("l_suppkey") + F.col("l_partkey")) % 2 == 0, 1).otherwise(-1).alias("sign"), F.col("l_partkey").alias("part"))
 
 
-@query("scan_edges", f"{_ED} SELECT ordinal, src, dst, round(ln(1 + weight) / ln(10001), 6) AS scaled, sign FROM ed WHERE weight > 0 AND ordinal BETWEEN 1000 AND 60000 AND src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+@query("scan_edges", f"{_ED} SELECT ordinal, src, dst, round(ln(1 + weight) / ln(10001), 6) AS scaled, sign FROM ed WHERE weight > 0 AND src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def scan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
-    return graph.scan_edges(edges(spark, sf_dir), 1000, 60000, allowed).select("ordinal", "src", "dst", F.round("scaled", 6).alias("scaled"), "sign")
+    return graph.scan_edges(edges(spark, sf_dir), allowed=allowed).select("ordinal", "src", "dst", F.round("scaled", 6).alias("scaled"), "sign")
 
 
 @query("bounded_scan", f"{_ED} SELECT ordinal, src, dst, part FROM ed ORDER BY ordinal, src, dst, part LIMIT 5000")
