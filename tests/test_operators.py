@@ -85,7 +85,7 @@ def test_words(spark):
 def test_wide_sum_beyond_64_bits(spark):
     values = [(1 << 200) + 7, (1 << 255) - 1, -5, -(1 << 100)]
     parts = spark.createDataFrame([(word(v),) for v in values], "w string").agg(*words.limb_sums(F.col("w")))
-    assert parts.select(words.carry([F.col(f"limb{i}") for i in range(8)]).alias("x")).first().x == word(sum(values))
+    assert parts.select(words.carry(F.array(*[F.col(f"limb{i}") for i in range(8)])).alias("x")).first().x == word(sum(values))
 
 
 def test_liquidity_amounts_at_the_middle(spark):
@@ -189,11 +189,44 @@ def test_contract_kinds():
     assert len(contracts.CONTRACTS) == 17 and all(contracts.CONTRACTS.values())
 
 
+def broken(spark, contract, good, *changes):
+    """The reasons of a good row and of copies of it with some fields changed."""
+    schema = ", ".join(f"{n} {k}" for n, (k, _) in good.items())
+    rows = [tuple({**{n: v for n, (_, v) in good.items()}, **change}.values()) for change in ({}, *changes)]
+    return [r.reasons for r in contracts.validate(spark.createDataFrame(rows, schema), contract).collect()]
+
+
+WORD, ADDRESS, AT = "0x" + "a" * 64, "0x" + "b" * 40, "2024-01-01T00:00:00Z"
+
+
+def test_raw_event_contract(spark):
+    good = {
+        "chain_id": ("long", 1), "source": ("string", "s"), "source_schema_version": ("string", "v"), "block_number": ("long", None), "block_hash": ("string", WORD), "parent_hash": ("string", None), "transaction_hash": ("string", None),
+        "log_index": ("int", 0), "event_time": ("string", AT), "received_time": ("string", "2024-01-01T02:00:00+02:00"), "payload": ("map<string,string>", {}), "ingestion_run": ("string", "r"), "canonical_status": ("string", "unresolved"),
+    }
+    got = broken(spark, "raw_event", good, {"chain_id": 0}, {"event_time": "2024-01-01T00:00:00"}, {"event_time": "2024-13-01T00:00:00Z"}, {"canonical_status": "orphaned", "block_hash": None}, {"canonical_status": "lost", "source": " "}, {"log_index": -1, "payload": None})
+    assert got == ["", "chain_id", "event_time", "event_time", "orphan_hash", "source,status", "log_index,payload"]
+
+
+def test_target_and_proposal_contracts(spark):
+    target = {"target_id": ("string", "t"), "market": ("string", "spot"), "action": ("string", "entry"), "metric": ("string", "net_return_bps"), "horizons_seconds": ("array<long>", [60, 300]), "qualification_gate": ("string", "g")}
+    assert broken(spark, "prediction_target", target, {"market": "x"}, {"horizons_seconds": [300, 60]}, {"horizons_seconds": [60, 60]}, {"horizons_seconds": []}, {"metric": None}) == ["", "market", "horizons", "horizons", "horizons", "metric"]
+    proposal = {
+        "proposal_id": ("string", "p"), "prediction_id": ("string", "q"), "target_id": ("string", "t"), "horizon_seconds": ("long", 60), "market": ("string", "spot"), "action": ("string", "exit"), "exit_kind": ("string", "sell_token"), "instrument": ("struct<kind: string>", ("token",)),
+        "created_at": ("string", AT), "expires_at": ("string", "2024-01-01T00:00:01Z"), "model_version": ("string", "m"), "evidence_refs": ("array<string>", ["e"]), "proposal_state": ("string", "research_only"),
+    }
+    got = broken(spark, "proposal", proposal, {"exit_kind": "collect_fees"}, {"action": "enter"}, {"market": "lp"}, {"expires_at": "2024-01-01T01:00:00+01:00"}, {"evidence_refs": []})
+    assert got == ["", "exit_kind", "exit_kind", "exit_kind,instrument", "expiry", "refs"]
+
+
 def test_trade_contract(spark):
-    schema = "transaction_hash string, classification string, payment_legs array<string>, estimated_usd_value string, method_version string, as_of_time long, retrieved_time long"
-    h = "0x" + "a" * 64
-    df = spark.createDataFrame([(h, "genuine_swap", ["p"], None, None, 1, 2), (h, "genuine_swap", [], None, None, 1, 2), (h, "transfer", [], "5", None, 1, 2), ("0x1", "gift", [], None, None, 3, 2)], schema)
-    assert [r.reasons for r in contracts.validate(df, "trade").collect()] == ["", "swap_payment", "usd_method", "transaction,class,clock"]
+    leg = "array<struct<asset: string, direction: string>>"
+    good = {
+        "transaction_hash": ("string", WORD), "wallet": ("string", ADDRESS), "token": ("string", ADDRESS), "classification": ("string", "genuine_swap"), "route_status": ("string", "verified"), "trade_direction": ("string", "buy"), "payment_legs": (leg, [("a", "out")]), "receipt_legs": (leg, [("b", "in")]),
+        "refund_legs": (leg, []), "quote_asset": ("string", "native:ETH"), "estimated_usd": ("boolean", False), "estimated_usd_value": ("string", None), "valuation_method": ("string", None), "method_version": ("string", "m"), "as_of_time": ("long", 1), "retrieved_time": ("long", 2), "raw_event_refs": ("array<string>", ["r"]),
+    }
+    got = broken(spark, "trade", good, {"payment_legs": []}, {"classification": "transfer", "payment_legs": []}, {"estimated_usd": True, "estimated_usd_value": "5"}, {"refund_legs": [("a", "out")]}, {"transaction_hash": "0x1", "classification": "gift"}, {"route_status": "uncertain"})
+    assert got == ["", "swap_payment", "", "usd", "refund_direction", "transaction,class", "swap_route"]
 
 
 def test_redaction(spark):
@@ -288,3 +321,18 @@ def test_matched_experiment_uses_all_edges(spark, sf, monkeypatch):
     monkeypatch.setattr(graph, "propagate_sparse", lambda e, *rest: seen.append(e.count()) or run(e, *rest))
     assert plans.matched_experiment(spark, sf).count() == 5
     assert seen == [plans._unique_edges(spark, sf).count()] * 3
+
+
+def test_tick_prices(spark):
+    """The known ends, both sides of zero, and the upward rounding."""
+    ticks = [-887272, -1, 0, 1, 60, 887272, 887273, None]
+    got = [r.p and int(r.p, 16) for r in spark.createDataFrame([(t,) for t in ticks], "t int").select(words.sqrt_price_of_tick("t").alias("p")).collect()]
+    assert got[0] == 4295128739 and got[5] == 1461446703485210103287273052203988822378723970342 and got[6:] == [None, None]
+    assert got[2] == 1 << 96 and got[3] == 79232123823359799118286999568 and got[1] < got[2] < got[3] < got[4]
+
+
+def test_growth_inside_by_range(spark):
+    w = lambda x: f"{x % (1 << 256):064x}"
+    df = spark.createDataFrame([(t, w(100), w(10), w(30)) for t in (-11, 0, 10)], "t int, g string, lo string, up string")
+    got = [r.x for r in df.select(words.growth_inside(F.col("t"), F.lit(-10), F.lit(10), F.col("g"), F.col("lo"), F.col("up")).alias("x")).collect()]
+    assert got == [w(-20), w(60), w(20)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,14 +67,17 @@ def limb_sums(x: Column) -> list[Column]:
     return [F.sum(F.get(limbs(x), F.lit(i))).alias(f"limb{i}") for i in range(LIMBS)]
 
 
-def carry(parts: list[Column]) -> Column:
-    """The word of summed limbs, modulo 2**256."""
-    out, over = [], F.lit(0).cast("long")
-    for part in reversed(parts):
-        total = part + over
-        out.append(F.lower(F.lpad(F.hex(F.pmod(total, F.lit(1 << 32))), 8, "0")))
-        over = F.call_function("div", total - F.pmod(total, F.lit(1 << 32)), F.lit(1 << 32))
-    return F.concat(*reversed(out))
+def carry(parts: Column) -> Column:
+    """The word of an array of summed limbs, the highest first, modulo 2**256."""
+    start = F.struct(F.lit(0).cast("long").alias("over"), F.lit("").alias("word"))
+
+    def add(acc: Column, limb: Column) -> Column:
+        total = acc["over"] + limb
+        low = F.lower(F.lpad(F.hex(total.bitwiseAND(F.lit((1 << 32) - 1))), 8, "0"))
+        # An arithmetic shift is a floored division.
+        return F.struct(F.shiftright(total, 32).alias("over"), F.concat(low, acc["word"]).alias("word"))
+
+    return F.aggregate(F.reverse(parts), start, add, lambda acc: acc["word"])
 
 
 def _value(word: str) -> int:
@@ -110,26 +114,52 @@ def liquidity_amounts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["amount0", "amount1"])
 
 
-@F.pandas_udf(T.StringType())
-def modular_difference(a: pd.Series, b: pd.Series) -> pd.Series:
-    """(a - b) modulo 2**256 as a word, for growth counters that may wrap."""
-    return pd.Series([None if x is None or y is None else f"{(int(x, 16) - int(y, 16)) % (1 << 256):064x}" for x, y in zip(a, b, strict=True)])
-
-
 @F.pandas_udf(T.StringType())
 def fees_owed(growth: pd.Series, liquidity: pd.Series) -> pd.Series:
     """growth * liquidity >> 128 as a decimal string."""
     return pd.Series([None if g is None or l is None else str(int(g, 16) * _value(l) >> 128) for g, l in zip(growth, liquidity, strict=True)])
 
 
+MIN_TICK, MAX_TICK = -887_272, 887_272
+#: 2**128 / 1.0001**(2**i / 2) for i = 0..19, as pools on chain round them.
+_TICK_FACTORS = (
+    0xFFFCB933BD6FAD37AA2D162D1A594001, 0xFFF97272373D413259A46990580E213A, 0xFFF2E50F5F656932EF12357CF3C7FDCC, 0xFFE5CACA7E10E4E61C3624EAA0941CD0,
+    0xFFCB9843D60F6159C9DB58835C926644, 0xFF973B41FA98C081472E6896DFB254C0, 0xFF2EA16466C96A3843EC78B326B52861, 0xFE5DEE046A99A2A811C461F1969C3053,
+    0xFCBE86C7900A88AEDCFFC83B479AA3A4, 0xF987A7253AC413176F2B074CF7815E54, 0xF3392B0822B70005940C7A398E4B70F3, 0xE7159475A2C29B7443B29C7FA6E889D9,
+    0xD097F3BDFD2022B8845AD8F792AA5825, 0xA9F746462D870FDF8A65DC1F90E061E5, 0x70D869A156D2A1B890BB3DF62BAF32F7, 0x31BE135F97D08FD981231505542FCFA6,
+    0x9AA508B5B7A84E1C677DE54F3E99BC9, 0x5D6AF8DEDB81196699C329225EE604, 0x2216E584F5FA1EA926041BEDFE98, 0x48A170391F7DC42444E8FA2,
+)
+
+
+def sqrt_prices(ticks: np.ndarray) -> np.ndarray:
+    """Q96 square-root prices of an array of ticks, as Python integers: the factors of the set bits of |tick| multiplied with
+    128 bits after the point, inverted for positive ticks, rounded up at the end."""
+    size = np.abs(ticks)
+    price = np.full(len(ticks), 1 << 128, dtype=object)
+    for i, factor in enumerate(_TICK_FACTORS):
+        has = (size >> i) & 1 == 1
+        price[has] = (price[has] * factor) >> 128
+    up = ticks > 0
+    price[up] = ((1 << 256) - 1) // price[up]
+    return -(-price >> 32)
+
+
 @F.pandas_udf(T.StringType())
 def sqrt_price_of_tick(tick: pd.Series) -> pd.Series:
-    """floor(1.0001 ** (tick / 2) * 2**96) as a word, from exact integer roots of 10001 ** tick / 10000 ** tick."""
-    from math import isqrt
+    """The Q96 square-root price of a tick as a word; null beyond MIN_TICK and MAX_TICK."""
+    known = tick.notna() & tick.between(MIN_TICK, MAX_TICK)
+    out = pd.Series([None] * len(tick), dtype=object)
+    out[known.to_numpy()] = [f"{p:064x}" for p in sqrt_prices(tick[known].to_numpy(np.int64))]
+    return out
+
+
+def growth_inside(tick: Column, lower: Column, upper: Column, everywhere: Column, below: Column, above: Column) -> Column:
+    """Fee growth inside a range, from the growth everywhere and outside of its lower and upper tick (words, modulo 2**256):
+    of a price below the range, inside and above it."""
+    inside = carry(F.zip_with(F.zip_with(limbs(everywhere), limbs(below), lambda x, y: x - y), limbs(above), lambda x, y: x - y))
+    return F.when(tick < lower, modular_difference(below, above)).when(tick < upper, inside).otherwise(modular_difference(above, below))
 
-    def one(t: int) -> str:
-        up, down = 10_001 ** abs(t), 10_000 ** abs(t)
-        n, d = (up, down) if t >= 0 else (down, up)
-        return f"{isqrt((n << 192) // d):064x}"
 
-    return pd.Series([None if pd.isna(t) else one(int(t)) for t in tick])
+def modular_difference(a: Column, b: Column) -> Column:
+    """(a - b) modulo 2**256 of words, for growth counters that may wrap: limb by limb, without a UDF."""
+    return carry(F.zip_with(limbs(a), limbs(b), lambda x, y: x - y))

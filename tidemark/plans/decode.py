@@ -114,7 +114,7 @@ def route_verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = raw_events(spark, sf_dir).select("pool", words.word_from_long(F.col("price") * 1_000_000).alias("w"), words.bit_length(words.word_from_long(F.col("price"))).alias("b"))
     parts = e.groupBy("pool").agg(*words.limb_sums(F.col("w")), F.count("*").alias("n"), F.max("b").alias("bits"))
-    return parts.select("pool", words.carry([F.col(f"limb{i}") for i in range(words.LIMBS)]).alias("total"), "n", "bits")
+    return parts.select("pool", words.carry(F.array(*[F.col(f"limb{i}") for i in range(words.LIMBS)])).alias("total"), "n", "bits")
 
 
 @query("price_return_bps", "lg AS (SELECT event_id, price + 1000 AS s1, lag(price + 1000) OVER (PARTITION BY pool ORDER BY event_us) AS s0 FROM ev) SELECT event_id, CAST(((s0 * s0 - s1 * s1) * 10000 - ((((s0 * s0 - s1 * s1) * 10000) % (s1 * s1)) + s1 * s1) % (s1 * s1)) // (s1 * s1) AS BIGINT) AS return_bps FROM lg WHERE s0 IS NOT NULL")
@@ -128,30 +128,38 @@ def price_return_bps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tick_price_dim")
 def tick_price_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact prices of the ticks that the event prices stand for."""
-    ticks = raw_events(spark, sf_dir).select((F.col("price") - 4000).cast("int").alias("tick")).distinct()
-    return ticks.select("tick", words.sqrt_price_of_tick("tick").alias("sqrt_price_x96"))
+    """The price of every tick there is, with the number of events at it."""
+    seen = raw_events(spark, sf_dir).groupBy((F.col("price") - 4000).cast("long").alias("tick")).agg(F.count("*").alias("events"))
+    ticks = spark.range(words.MIN_TICK, words.MAX_TICK + 1).select(F.col("id").alias("tick"))
+    priced = ticks.select(F.col("tick").cast("int").alias("tick"), words.sqrt_price_of_tick("tick").alias("sqrt_price_x96"))
+    return priced.join(seen, "tick", "left").select(F.col("tick").cast("int").alias("tick"), "sqrt_price_x96", F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @query("liquidity_amounts")
 def liquidity_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = raw_events(spark, sf_dir)
+    """Amounts of a position at the exact prices, and by the linear model of ticks as counterfactual."""
     tick = (F.col("price") - 4000).cast("int")
-    rows = e.select("event_id", words.word_from_long(F.col("price") * 1_000_000).alias("liquidity"), words.sqrt_price_of_tick(tick).alias("p"), words.sqrt_price_of_tick((tick / 2 - 600).cast("int")).alias("a"), words.sqrt_price_of_tick((tick / 2 + 600).cast("int")).alias("b"))
-    return rows.select("event_id", words.liquidity_amounts("liquidity", "p", "a", "b").alias("x")).select("event_id", "x.*")
+    e = raw_events(spark, sf_dir).select("event_id", (F.col("price") * 1_000_000).alias("l"), tick.alias("tick"), (tick / 2 - 600).cast("int").alias("low"), (tick / 2 + 600).cast("int").alias("high"))
+    at = F.least(F.greatest("tick", "low"), F.col("high"))
+    rows = e.select("event_id", words.word_from_long(F.col("l")).alias("liquidity"), *[words.sqrt_price_of_tick(c).alias(n) for c, n in (("tick", "p"), ("low", "a"), ("high", "b"))], (F.col("l") * (F.col("high") - at)).alias("linear0"), (F.col("l") * (at - F.col("low"))).alias("linear1"))
+    return rows.select("event_id", words.liquidity_amounts("liquidity", "p", "a", "b").alias("x"), "linear0", "linear1").select("event_id", "x.*", "linear0", "linear1")
 
 
-@query("fee_growth_inside", "SELECT event_id, lpad(printf('%x', price * 3), 64, '0') AS growth FROM ev WHERE price > 0")
+@query("fee_growth_inside", """fg AS (SELECT event_id, event_id % 40 - 20 AS tick, price * 7 AS everywhere, price AS below, price * 2 AS above FROM ev),
+gr AS (SELECT event_id, tick, CASE WHEN tick < -10 THEN below - above WHEN tick < 10 THEN everywhere - below - above ELSE above - below END AS g FROM fg)
+SELECT event_id, tick, CASE WHEN g >= 0 THEN lpad(printf('%x', g), 64, '0') ELSE repeat('f', 48) || printf('%x', CAST(g AS BIGINT)) END AS growth FROM gr""")
 def fee_growth_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth inside a range: all growth less what is below and above, modulo 2**256 (one counter has wrapped)."""
+    """Growth inside the range from tick -10 to 10, for prices below, inside and above it, modulo 2**256."""
     w, p = words.word_from_long, F.col("price")
-    e = raw_events(spark, sf_dir).where("price > 0")
-    rest = words.modular_difference(words.modular_difference(w(p * 7), w(p * 9)), w(p * -5))
-    return e.select("event_id", rest.alias("growth"))
+    e = raw_events(spark, sf_dir).withColumn("tick", F.col("event_id") % 40 - 20)
+    return e.select("event_id", "tick", words.growth_inside(F.col("tick"), F.lit(-10), F.lit(10), w(p * 7), w(p), w(p * 2)).alias("growth"))
 
 
-@query("fee_accrual", "SELECT event_id, CAST(price * 11 AS VARCHAR) AS owed FROM ev")
+@query("fee_accrual", "SELECT event_id, CAST(price * 11 AS VARCHAR) AS owed0, CAST((price * 3 + 7) * 11 AS VARCHAR) AS owed1 FROM ev")
 def fee_accrual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fees owed on a liquidity of 11 for a growth of price times 2**128."""
-    growth = F.concat(F.substring(words.word_from_long(F.col("price")), 33, 32), F.lit("0" * 32))
-    return raw_events(spark, sf_dir).select("event_id", words.fees_owed(growth, words.word_from_long(F.lit(11))).alias("owed"))
+    """Fees owed on both sides by a liquidity of 11 since the last checkpoint; the growth of the second side has wrapped."""
+    w, p = words.word_from_long, F.col("price")
+    shifted = lambda x: F.concat(F.substring(w(x), 33, 32), F.lit("0" * 32))
+    since = lambda now, last: words.modular_difference(shifted(now), shifted(last))
+    owed = lambda growth: words.fees_owed(growth, w(F.lit(11)))
+    return raw_events(spark, sf_dir).select("event_id", owed(since(p * 5, p * 4)).alias("owed0"), owed(since(p, -2 * p - 7)).alias("owed1"))

@@ -21,7 +21,8 @@ def validate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.validate(table(spark, sf_dir, "customer"), _RULES).select("c_custkey", "reasons", "valid")
 
 
-_EVENT = "SELECT event_id, concat_ws(',', CASE WHEN event_id % 41 = 0 THEN 'source' END, CASE WHEN event_id % 43 = 0 THEN 'chain_id' END, CASE WHEN event_id % 47 = 0 THEN 'block_hash' END, CASE WHEN event_id % 37 = 0 THEN 'log_index' END, CASE WHEN event_id % 53 = 0 THEN 'status' END) AS reasons FROM ev"
+_EVENT = """SELECT event_id, concat_ws(',', CASE WHEN event_id % 43 = 0 THEN 'chain_id' END, CASE WHEN event_id % 41 = 0 THEN 'source' END, CASE WHEN event_id % 47 = 0 THEN 'block_hash' END, CASE WHEN event_id % 37 = 0 THEN 'log_index' END,
+ CASE WHEN event_id % 59 = 0 THEN 'event_time' END, CASE WHEN event_id % 61 = 0 THEN 'ingestion_run' END, CASE WHEN event_id % 53 = 0 THEN 'status' END, CASE WHEN event_id % 53 <> 0 AND status = 'orphaned' AND event_id % 47 <> 0 AND event_id % 3 = 0 THEN 'orphan_hash' END) AS reasons FROM ev"""
 
 
 @query("validate_raw_events", f"vr AS ({_EVENT}) SELECT event_id, reasons, reasons = '' AS valid FROM vr")
@@ -29,9 +30,12 @@ def validate_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw-event contract over the event log with some fields broken by rule."""
     i = F.col("event_id")
     word = F.concat(F.lit("0x"), F.sha2(i.cast("string").cast("binary"), 256))
+    text = F.date_format(F.timestamp_micros("event_us"), "yyyy-MM-dd'T'HH:mm:ss")
     rows = raw_events(spark, sf_dir).select(
-        "event_id", F.when(i % 41 != 0, "feed").alias("source"), F.when(i % 43 == 0, 0).otherwise(7).alias("chain_id"), F.when(i % 47 == 0, F.lit("0xbad")).when(i % 3 == 0, None).otherwise(word).alias("block_hash"),
-        word.alias("transaction_hash"), F.when(i % 37 == 0, -1).otherwise(i % 90).alias("log_index"), F.when(i % 53 == 0, "lost").otherwise(F.col("status")).alias("canonical_status"),
+        "event_id", F.when(i % 41 != 0, "feed").alias("source"), F.lit("v1").alias("source_schema_version"), F.when(i % 43 == 0, 0).otherwise(7).alias("chain_id"), F.when(i % 4 != 0, F.col("block")).alias("block_number"),
+        F.when(i % 47 == 0, F.lit("0xbad")).when(i % 3 == 0, None).otherwise(word).alias("block_hash"), F.when(i % 5 != 0, word).alias("parent_hash"),
+        word.alias("transaction_hash"), F.when(i % 37 == 0, -1).otherwise(i % 90).alias("log_index"), F.concat(text, F.when(i % 59 == 0, "").when(i % 2 == 0, "Z").otherwise("+02:00")).alias("event_time"), F.timestamp_micros("arrival_us").alias("received_time"),
+        F.col("props").alias("payload"), F.when(i % 61 == 0, " ").otherwise("run").alias("ingestion_run"), F.when(i % 53 == 0, "lost").otherwise(F.col("status")).alias("canonical_status"),
     )
     return contracts.validate(rows, "raw_event").select("event_id", "reasons", "valid")
 

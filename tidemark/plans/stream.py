@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.bindings import DAY, MINUTE, micros, query
@@ -17,9 +17,10 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/checkpoint"
 
 
-def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, path: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """The event table, or its copy at `path`, as a stream with two clocks and a status."""
     at, i = micros("ts"), F.col("event_id")
-    raw = jobs.read_events(spark, f"{sf_dir}/events.parquet")
+    raw = jobs.read_events(spark, path or f"{sf_dir}/events.parquet", files_per_batch)
     return raw.select(
         i, F.expr("event_id div 10").alias("block"), (i % 3).alias("source"), F.col("user_id").alias("pool"), "event_type", at.alias("event_us"), (at + (i % 13) * 17 * MINUTE).alias("arrival_us"),
         F.when(i % 20 == 0, "quarantined").when(i % 20 == 1, "orphaned").otherwise("canonical").alias("status"), F.round(F.col("value") * 100).cast("long").alias("price"),
@@ -107,9 +108,21 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, "decisions", jobs.decisions(s, 1000, 20_000))
 
 
-@query("stream_reorg", "SELECT source, block // 100 AS range, count(*) AS canonical FROM ev WHERE status = 'canonical' GROUP BY 1, 2")
+def newest_lineage(rows: DataFrame) -> DataFrame:
+    """Of each (source, block) the rows of its newest lineage that are canonical."""
+    last = F.max("lineage").over(Window.partitionBy("source", "range", "block"))
+    return rows.withColumn("newest", last).where("lineage = newest and status = 'canonical'").drop("newest")
+
+
+@query("stream_reorg", "li AS (SELECT event_id, event_id % 3 AS source, event_id % 200 // 10 AS block, event_id // 200 AS lineage, event_id % 200 // 100 AS range, status FROM ev), la AS (SELECT *, max(lineage) OVER (PARTITION BY source, block) AS newest FROM li) SELECT source, range, block, lineage, count(*) AS canonical FROM la WHERE lineage = newest AND status = 'canonical' GROUP BY ALL")
 def stream_reorg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later events replace the lineage of the same blocks, in many micro-batches of a few files each."""
     path, checkpoint = _paths(spark, "reorg")
-    s = stream(spark, sf_dir).select("event_id", "source", "block", "status", F.expr("block div 100").alias("range"))
-    jobs.repair_on_reorg(s, lambda b: b.agg(F.max("block")).first()[0], lambda b: b.where("status = 'canonical'"), path, checkpoint).awaitTermination()
-    return spark.read.parquet(path).groupBy(F.col("source").cast("long").alias("source"), F.col("range").cast("long").alias("range")).agg(F.count("*").alias("canonical"))
+    i = F.col("event_id")
+    files = f"{path}-files"
+    # The table as a log of files in the order of its events; files by time are taken in the order they were written.
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(8, "event_id").write.parquet(files)
+    s = stream(spark, sf_dir, files, 2).select("event_id", "source", (F.expr("event_id % 200 div 10")).alias("block"), F.expr("event_id div 200").alias("lineage"), "status", F.expr("event_id % 200 div 100").alias("range"))
+    jobs.repair_on_reorg(s, f"{path}-raw", path, checkpoint, newest_lineage).awaitTermination()
+    out = spark.read.parquet(path)
+    return out.groupBy(F.col("source").cast("long").alias("source"), F.col("range").cast("long").alias("range"), "block", "lineage").agg(F.count("*").alias("canonical"))

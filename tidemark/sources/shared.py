@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir.  Where it is unset, a new local folder in local mode only: executors of a cluster don't share one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-shared-"))
-    return found or spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tidemark.sources.shared import small_or_shuffled
+
 #: State stores of stateful processors.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -166,16 +168,21 @@ def confirmed_only(stream: DataFrame, block: str, head: int, lag: int) -> DataFr
     return stream.where(F.col(block) <= head - lag)
 
 
-def repair_on_reorg(stream: DataFrame, tip_of: Callable[[DataFrame], Any], project: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Projects each batch and replaces the range of blocks that a changed lineage touches; raw rows are kept elsewhere.
+def repair_on_reorg(stream: DataFrame, raw: str, path: str, checkpoint: str, project: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Keeps every row of a stream (source, range, ...) at `raw` and its canonical projection at `path`.
 
-    A batch of (source, range, ...) rows whose stored tip differs replaces the partitions of its ranges by
-    dynamic partition overwrite, so running a batch again gives the same files.
+    A micro-batch is stored first, under its number.  Then the ranges that it touches, by new blocks or by another lineage of
+    old ones, are read whole from the raw table, projected again and replaced by dynamic partition overwrite.  A batch
+    that runs again writes the same files, and rows of earlier batches in a touched range are never lost.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        if tip_of(batch) is not None:
-            project(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "range").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "source", "range").parquet(raw)
+        stored = spark.read.schema(batch.withColumn("batch", F.lit(number)).schema).parquet(raw)
+        touched = stored.where(F.col("batch") == number).select("source", "range").distinct()
+        whole = stored.where(F.col("batch") <= number).drop("batch").join(small_or_shuffled(touched), ["source", "range"], "left_semi")
+        project(whole).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "range").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
