@@ -249,7 +249,7 @@ def test_ridge_equals_numpy(spark):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
     df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, y double")
-    weights, intercept = graph.ridge_fit(df, ["a", "b", "c"], "y", 2.0)
+    weights, intercept = graph.ridge_fit(df, F.array("a", "b", "c"), "y", 2.0, 3)
     xc, yc = x - x.mean(0), y - y.mean()
     expected = np.linalg.solve(xc.T @ xc + 2 * np.eye(3), xc.T @ yc)
     assert np.allclose(weights, expected) and abs(intercept - (y.mean() - x.mean(0) @ expected)) < 1e-9

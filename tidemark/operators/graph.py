@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,31 +90,41 @@ def propagate_sparse(edges: DataFrame, steps: int, decay: float, by: list[str],
     return state
 
 
-def ridge_fit(rows: DataFrame, features: list[str], target: str, l2: float) -> tuple[np.ndarray, float]:
-    """(weights, intercept) of centred ridge regression with a free intercept.
+def ridge_fit(rows: DataFrame, features: Column, target: str, l2: float, d: int) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of centred ridge regression with a free intercept on an array column of d features.
 
-    The Gram matrix is one aggregation of d * (d + 3) / 2 + 1 sums; only that d by d matrix reaches the driver.
+    Each task adds up its part of the Gram matrix, so (d + 2)**2 sums a task are shuffled and one matrix reaches the driver.
+    Rows with a null feature array or target are left out.
     """
-    d = len(features)
-    x = [F.col(c).cast("double") for c in features]
-    y = F.col(target).cast("double")
-    sums: list[Column] = [F.count("*").cast("double"), F.sum(y), *[F.sum(c) for c in x], *[F.sum(c * y) for c in x], *[F.sum(x[i] * x[j]) for i in range(d) for j in range(i, d)]]
-    got = [float(v or 0.0) for v in rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    n, sy, sx, sxy = got[0], got[1], np.array(got[2 : 2 + d]), np.array(got[2 + d : 2 + 2 * d])
-    if not n:
+    x = F.transform(features, lambda v: v.cast("double"))
+    n = d + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            if batch.num_rows:
+                y = batch.column(1).to_numpy(zero_copy_only=False)
+                z = np.column_stack([np.ones(len(y)), batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d), y])
+                total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n)), pa.array(total.ravel())], ["i", "x"])
+
+    given = rows.select(x.alias("x"), F.col(target).cast("double").alias("y")).where("x is not null and y is not null")
+    got = given.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    sums = np.zeros(n * n)
+    sums[got["i"].to_numpy(np.int64)] = got["x"].to_numpy(np.float64)
+    sums = sums.reshape(n, n)
+    count, means = sums[0, 0], sums[0, 1:] / max(sums[0, 0], 1.0)
+    if not count:
         return np.zeros(d), 0.0
-    gram = np.zeros((d, d))
-    gram[np.triu_indices(d)] = got[2 + 2 * d :]
-    gram = gram + np.triu(gram, 1).T - np.outer(sx, sx) / n
-    weights = np.linalg.solve(gram + l2 * np.eye(d), sxy - sx * sy / n)
-    return weights, float((sy - sx @ weights) / n)
-
-
-def linear_score(rows: DataFrame, features: list[str], weights: list[float], intercept: float, name: str = "score") -> DataFrame:
-    total = F.lit(float(intercept))
-    for c, w in zip(features, weights, strict=True):
-        total = total + F.col(c).cast("double") * float(w)
-    return rows.withColumn(name, total)
+    centred = sums[1:, 1:] - count * np.outer(means, means)
+    weights = np.linalg.solve(centred[:d, :d] + l2 * np.eye(d), centred[:d, d])
+    return weights, float(means[d] - means[:d] @ weights)
+
+
+def linear_score(rows: DataFrame, features: Column, weights: list[float], intercept: float, name: str = "score") -> DataFrame:
+    """`rows` with the weighted sum of an array column of features; null where the array is null or has another length."""
+    products = F.zip_with(features, F.array(*[F.lit(float(w)) for w in weights]), lambda v, w: v.cast("double") * w)
+    return rows.withColumn(name, F.aggregate(products, F.lit(float(intercept)), lambda acc, v: acc + v))
 
 
 def recurrent_state(rows: DataFrame, episode: str, order: str, value: str, decay: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canon import table_hash
 from tidemark.operators import graph
 from tidemark.plans.bindings import query, table
+from tidemark.sources.shared import cut
 
 _ED = "ed AS (SELECT l_orderkey * 8 + l_linenumber AS ordinal, l_suppkey AS src, l_partkey % 100 AS dst, l_quantity AS weight, CASE WHEN (l_suppkey + l_partkey) % 2 = 0 THEN 1 ELSE -1 END AS sign, l_partkey AS part, l_shipdate AS at FROM lineitem)"
 
@@ -73,24 +74,26 @@ def episode_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.propagate(e, start, 2, 0.3, ["episode"]).select("episode", "node", F.round("value", 6).alias("value"))
 
 
-_DIMS = ["x0", "x1", "x2", "x3"]
+#: Dimensions of the supplied embeddings.
+DIMS = 64
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(_DIMS)], F.col("label").cast("double").alias("y"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
 
 
 @query("ridge_fit")
 def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of a ridge fit on the rows whose id isn't divisible by 5."""
+    """Predictions of a ridge fit over all dimensions on the rows whose id isn't divisible by 5."""
     s = samples(spark, sf_dir)
-    weights, intercept = graph.ridge_fit(s.where("vec_id % 5 <> 0"), _DIMS, "y", 1.0)
-    return graph.linear_score(s, _DIMS, list(weights), intercept).select("vec_id", F.round("score", 6).alias("score"))
+    weights, intercept = graph.ridge_fit(s.where("vec_id % 5 <> 0"), F.col("x"), "y", 1.0, DIMS)
+    return graph.linear_score(s, F.col("x"), list(weights), intercept).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("linear_score", "SELECT vec_id, round(0.5 + CAST(embedding[1] AS DOUBLE) * 1.5 - CAST(embedding[2] AS DOUBLE) * 0.25 + CAST(embedding[3] AS DOUBLE) * 2.0 - CAST(embedding[4] AS DOUBLE), 6) AS score FROM embeddings")
+@query("linear_score", f"SELECT vec_id, round(0.5 + list_sum(list_transform(range(1, {DIMS} + 1), lambda i: CAST(embedding[i] AS DOUBLE) * ((i * 37 % 11 - 5) / 8.0))), 6) AS score FROM embeddings")
 def linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.linear_score(samples(spark, sf_dir), _DIMS, [1.5, -0.25, 2.0, -1.0], 0.5).select("vec_id", F.round("score", 6).alias("score"))
+    weights = [((i + 1) * 37 % 11 - 5) / 8 for i in range(DIMS)]
+    return graph.linear_score(samples(spark, sf_dir), F.col("x"), weights, 0.5).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("recurrent_readout", "RECURSIVE cn AS (SELECT conv_id, length(text) / 100 AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), fo(conv_id, i, s) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM cn UNION ALL SELECT cn.conv_id, cn.i, s * 0.8 + x FROM fo JOIN cn ON cn.conv_id = fo.conv_id AND cn.i = fo.i + 1), st AS (SELECT conv_id, max(i) AS steps, arg_max(s, i) AS state FROM fo GROUP BY 1), k AS (SELECT sum(state * steps) / sum(state * state) AS slope FROM st) SELECT conv_id, steps, round(state, 6) AS state, round(state * slope, 6) AS readout FROM st, k")
@@ -103,21 +106,22 @@ def recurrent_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("matched_experiment")
 def matched_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out error of five models on the same rows: graph states, two controls, no state and the inputs alone."""
+    """Held-out error of five models on the same rows: graph states, two controls, no state and the inputs alone.  Dimension i
+    drives node i, and a graph's features are the sum and the sum of squares of its states."""
     s = samples(spark, sf_dir)
-    e = _unique_edges(spark, sf_dir)
-    drive = s.select("vec_id", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("node"), F.col(c).alias("input")) for i, c in enumerate(_DIMS)])))
+    e = cut(_unique_edges(spark, sf_dir), "edges")
+    drive = s.select("vec_id", F.posexplode("x").alias("node", "input")).withColumn("node", F.col("node").cast("long"))
     out = None
-    for name, own in (("graph", e), ("shuffled", graph.shuffled_targets(e, 21)), ("random_weights", graph.random_weights(e, 22)), ("no_state", None), ("ordinary", None)):
-        features = list(_DIMS)
-        rows = s
+    for name, own in (("graph", e), ("shuffled", cut(graph.shuffled_targets(e, 21), "edges")), ("random_weights", cut(graph.random_weights(e, 22), "edges")), ("no_state", None), ("ordinary", None)):
         if own is not None:
             state = graph.propagate_sparse(own, 2, 0.3, ["vec_id"], drive).groupBy("vec_id").agg(F.sum("value").alias("s0"), F.sum(F.col("value") * F.col("value")).alias("s1"))
-            rows, features = s.join(state, "vec_id", "left").fillna(0.0, ["s0", "s1"]), ["s0", "s1"]
+            rows, d = s.join(state, "vec_id", "left").withColumn("f", F.array(*[F.coalesce(c, F.lit(0.0)) for c in ("s0", "s1")])), 2
         elif name == "no_state":
-            features = ["x0"]
-        weights, intercept = graph.ridge_fit(rows.where("vec_id % 5 <> 0"), features, "y", 1.0)
-        held = graph.linear_score(rows.where("vec_id % 5 = 0"), features, list(weights), intercept)
+            rows, d = s.withColumn("f", F.slice("x", 1, 1)), 1
+        else:
+            rows, d = s.withColumn("f", F.col("x")), DIMS
+        weights, intercept = graph.ridge_fit(rows.where("vec_id % 5 <> 0"), F.col("f"), "y", 1.0, d)
+        held = graph.linear_score(rows.where("vec_id % 5 = 0"), F.col("f"), list(weights), intercept)
         one = held.agg(F.lit(name).alias("model"), F.count("*").alias("held_out"), F.round(F.avg(F.abs(F.col("score") - F.col("y"))), 6).alias("mae"))
         out = one if out is None else out.unionByName(one)
     return out

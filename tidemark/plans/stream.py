@@ -102,9 +102,10 @@ def stream_lp_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_decisions")
 def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio a pool, with the sources as its assets."""
     _stateful(spark)
     p = F.col("price")
-    s = stream(spark, sf_dir).select(F.col("source").alias("portfolio"), (F.expr("event_id div 4") * 4 + F.col("event_id") % 3).alias("observation_id"), F.col("pool").alias("asset"), (p % 300 - 140).alias("expected"), (p % 110).alias("uncertainty"), "arrival_us")
+    s = stream(spark, sf_dir).select(F.col("pool").alias("portfolio"), (F.expr("event_id div 4") * 4 + F.col("event_id") % 3).alias("observation_id"), F.col("source").alias("asset"), (p % 300 - 140).alias("expected"), (p % 110).alias("uncertainty"), "arrival_us")
     return _run(spark, "decisions", jobs.decisions(s, 1000, 20_000))
 
 
