@@ -59,6 +59,59 @@ def test_op2_distance_by_hand():
     assert lang == "a" and 0.5 < score <= 1
 
 
+def test_op2_equals_brute_force(spark, sf):
+    """Profiles, ranks and distances in plain Python over whole texts."""
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()}
+
+    def grams(text):
+        folded = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "") + " "
+        one = re.sub(" +", " ", folded)
+        if not one.strip():
+            return Counter()
+        return Counter([c for c in one if c != " "] + [one[i : i + n] for n in (2, 3) for i in range(len(one) - n + 1)])
+
+    def code(gram):
+        out = 0
+        for c in gram:
+            out = (out << 21) | ord(c)
+        return out
+
+    top = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[: language.PROFILE]]
+    total = defaultdict(Counter)
+    for i, r in rows.items():
+        if zlib.crc32(str(i).encode()) % 4 != 2 and r.text is not None and r.lang is not None:
+            total[r.lang].update(grams(r.text))
+    profiles = {k: {g: n for n, g in enumerate(top(c))} for k, c in sorted(total.items())}
+    for r in QUERIES["op2_language"](spark, sf).collect():
+        own = top(grams(rows[r.doc_id].text))
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        alike = {k: 1 - sum(abs(p[g] - n) if g in p else language.PROFILE for n, g in enumerate(own)) / (language.PROFILE * len(own)) for k, p in profiles.items()}
+        best = max(alike, key=lambda k: alike[k])
+        assert r.lang_pred == best and abs(r.score - alike[best] / sum(alike.values())) < 1e-9
+
+
+def test_op3_equals_brute_force(spark, sf):
+    """The same projected steps over all rows at once, and targets met within the stated tolerance."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    classifier = mixing.fit_classifier(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    members = mixing.membership(docs, classifier).cache()
+    steps, goal, expected = mixing.fit_rates(members, classifier.domains)
+    assert np.abs(goal - expected).max() <= 10 * mixing.NEAR * goal.sum()
+    given = {r.doc_id: (r.n_tokens, np.array(r.posterior)) for r in members.collect()}
+    ids = sorted(given)
+    tokens, p = np.array([given[i][0] for i in ids], float), np.stack([given[i][1] for i in ids])
+    metric = np.linalg.pinv(p.T @ (p * tokens[:, None]) + 1e-9 * np.trace(p.T @ (p * tokens[:, None])) / p.shape[1] * np.eye(p.shape[1]))
+    rate = np.ones(len(ids))
+    for _ in steps:
+        rate = np.maximum(0, rate - p @ (metric @ (p.T @ (tokens * rate) - goal)))
+    out = {r.doc_id: r for r in mixing.rated(members, classifier.domains, steps, goal, expected).collect()}
+    assert np.allclose([out[i].rate for i in ids], rate, atol=1e-6)
+    assert all(out[i].domain == classifier.domains[int(p[n].argmax())] and abs(out[i].target_tokens - goal[p[n].argmax()]) < 1e-6 and int(rate[n] + 1e-9) <= out[i].copies <= int(rate[n] + 1) for n, i in enumerate(ids))
+    members.unpersist()
+
+
 def test_op3_meets_its_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     classifier = mixing.fit_classifier(docs, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -197,6 +250,34 @@ def test_op7_accuracy(spark, sf):
     assert sum(scored[r[0]] for r in held if not r[2]) <= 0.03 * len(held)
 
 
+def test_op7_risk_and_scores():
+    """The fit is a minimum of the written-out risk, and a score is the sum over a text's distinct features."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    with_bias = lambda x: np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    positive, unlabelled = with_bias(rng.random((300, 5)) < [0.6, 0.5, 0.4, 0.5, 0.5]), with_bias(rng.random((900, 5)) < [0.5, 0.5, 0.45, 0.5, 0.5])
+    prior, sparsity = 0.2, 1e-3
+    weights, bias = toxicity.fit_nnpu(positive, unlabelled, prior, sparsity)
+
+    def risk(w):
+        loss = lambda z: sum(math.log1p(math.exp(-v)) for v in z) / len(z)
+        zp, zu = positive @ w, unlabelled @ w
+        return prior * loss(zp) + max(0.0, loss(-zu) - prior * loss(-zp)) + sparsity * np.abs(w[:-1]).sum()
+
+    best = np.append(weights, bias)
+    # Where the negatives' corrected risk is above zero the estimator is an ordinary minimum.
+    assert np.logaddexp(0, unlabelled @ best).mean() > prior * np.logaddexp(0, positive @ best).mean()
+    assert all(risk(best) <= risk(best + d) + 1e-6 for d in rng.normal(scale=0.05, size=(40, 6)))
+    texts = ["awful grubon words grubon", "plain", "", None, "AWFUL awfully " * 3]
+    features = lambda t: {int(f) for _, _, _, found in toxicity.present(pa.array([t])) for f in found}
+    single = {t: set().union(*[features(w) for w in (t or "").split()]) if t else set() for t in texts}
+    known = sorted(features("awful") | features("grubon"))
+    model = toxicity.Model(np.array(known), np.linspace(-1, 2, len(known)), -0.5)
+    expected = [1 / (1 + math.exp(0.5 - sum(model.table[f] for f in single[t]))) for t in texts]
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), expected)
+
+
 def test_op9_contract(spark, sf, texts):
     out = QUERIES["op9_sharding"](spark, sf).collect()
     assert len(out) == len(texts)

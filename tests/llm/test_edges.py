@@ -24,7 +24,7 @@ ROWS = [
     (2, "a second text of id two", "en", "a", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = {"shard": 9, "slot": "s", "score": 1.5, "rate": 2, "component_id": 7, "n": 3, "bucket": 1, "sig": "x", "held_out": "no", "block": "b", "positive": 2, "class": "c"}
+CLASH = {"shard": 9, "slot": "s", "score": 1.5, "rate": 2, "component_id": 7, "n": 3, "bucket": 1, "sig": "x", "held_out": "no", "block": "b", "positive": 2, "class": "c", "hashed": 1, "rank": 2, "start": "s", "draw": 5, "whole_text": "w", "range_of": 1, "is_copy": 0, "domain": "d", "copies": 3, "number": 4}
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +64,8 @@ def test_sharding(docs, wide, empty):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
     assert all(r.grown_shard in (r.shard, 4) for r in out) and len({r.shard for r in out if r.doc_id == 1}) == 1
     assert sharding.assign_shards(empty).count() == 0
-    assert sharding.assign_shards(wide).count() == len(ROWS)
+    out = sharding.assign_shards(wide).collect()
+    assert len(out) == len(ROWS) and all((r.hashed, r.bucket, r.rank, r.start) == (1, 1, 2, "s") for r in out)
 
 
 def test_jaccard(docs, wide, empty):
@@ -73,6 +74,11 @@ def test_jaccard(docs, wide, empty):
     of = {(r.doc_id, r.n_shingles): r.component_id for r in out}
     assert of[(5, 8)] == 1 and of[(1, 8)] == 1 and of[(3, 0)] == 3 and of[(4, 5)] == 4 and of[(6, 1)] == 6
     assert [r.component_id for r in out if r.doc_id is None] == [None]
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_components(wide).collect()} == of
+    assert jaccard_join.jaccard_components(empty).count() == 0
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    text = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_components(named).collect()}
+    assert text == {(k and f"doc-{k}", n): v and f"doc-{v}" for (k, n), v in of.items()}
 
 
 def test_language(docs, empty, wide):
@@ -86,7 +92,8 @@ def test_language(docs, empty, wide):
     assert language.identify(wide, profiles, keep=("doc_id", "n")).columns == ["doc_id", "n", "lang_pred", "score"]
 
 
-def test_language_model(docs, empty):
+def test_language_model(docs, empty, wide):
+    assert language_model.score_texts(wide.withColumn("held_out", F.lit(False))).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     out = language_model.score_texts(docs.withColumn("held_out", F.coalesce(F.col("doc_id") == 5, F.lit(False)))).collect()
     assert len(out) == len(ROWS) and {r.n_tokens for r in out if r.doc_id == 3} == {1}
     assert all(r.score < 0 and r.base_score < 0 for r in out)
@@ -103,6 +110,9 @@ def test_fingerprint(docs, empty, wide):
     assert {r.fingerprint for r in out if r.doc_id == 3} == {""}
     assert fingerprint.fingerprint_pairs(empty).count() == 0
     assert fingerprint.fingerprint_pairs(wide).count() == len(ROWS)
+    named = fingerprint.fingerprint_pairs(docs.where("doc_id is not null").withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))).collect()
+    by_number = {(f"doc-{r.doc_id}", r.fingerprint): r.near_next for r in fingerprint.fingerprint_pairs(docs.where("doc_id is not null")).collect()}
+    assert {(r.doc_id, r.fingerprint): r.near_next for r in named} == by_number
     one = fingerprint.fingerprint_pairs(docs.where("doc_id = 7")).first()
     assert one.near_next == 1.0
 
@@ -123,6 +133,9 @@ def test_mixing(docs, empty, labels):
     steps, goal, expected = mixing.fit_rates(members, classifier.domains)
     assert members.count() == len(ROWS) and abs(goal.sum() - expected.sum()) < 1e-3 * goal.sum()
     assert mixing.fit_classifier(empty, labels).domains == ["all"]
+    for targets in ({"no such domain": 1.0}, {}, {classifier.domains[0]: -1.0}):
+        with pytest.raises(ValueError, match="targets"):
+            mixing.fit_rates(members, classifier.domains, targets)
     assert mixing.fit_rates(mixing.membership(empty, classifier), classifier.domains)[0] == []
 
 
@@ -168,6 +181,46 @@ def test_archive_refuses_changed_payloads(spark):
         archive.read_records(spark, path).collect()
 
 
+def test_hashes_of_long_texts():
+    """Words hash alike in any text; a text beyond one run, and a word beyond one, go run by run."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import text
+
+    some = [f"Word{i}" for i in range(50)]
+    short = np.concatenate([h for _, h in text.each_document(pa.array(some))])
+    long = np.concatenate([h for _, h in text.each_document(pa.array([" ".join(some * 4000)]))])
+    assert (long.reshape(4000, 50) == short).all()
+    word = "x" * (2 * text.RUN_BYTES + 17)
+    (_, alone), (_, within) = text.each_document(pa.array([word, f"a {word} b"]))
+    assert len(within) == 3 and within[1] == alone[0] and len({int(v) for v in within}) == 3
+
+
+def test_html_probes():
+    """Parts that only their ratios, not their names or places, tell apart."""
+    f = html_text.main_text
+    long = ("A long part, with many words, and marks; it goes on and on. " * 6).strip()
+    body = f"<p>{long}</p>" * 3
+    assert f(f"<article><h1>T</h1><ul><li>Home</li><li>About</li></ul>{body}<div><p>Nice post, really!</p><p>I agree</p></div></article>").split("\n") == ["T", long, long, long]
+    named = f(f"<article><h1>T</h1><p class=share>{long}</p>{body}<p class='notice-of-interest'>One, two words here.</p><p class='related-work'>{long}</p></article>").split("\n")
+    assert named == ["T", long, long, long, long, "One, two words here.", long]
+    assert f(f"<main><article><h1>A</h1>{body}</article><article><h2>B</h2><p>{long}</p></article></main>").split("\n") == ["A", long, long, long, "B", long]
+    sources = f(f"<article>{body}<h2>Sources</h2><ul><li><a href=x>Smith, J. (2020). On things. Journal, 12.</a></li></ul></article>").split("\n")
+    assert sources[3:] == ["Sources", "Smith, J. (2020). On things. Journal, 12."]
+    assert f(f"<article><h1>T</h1><p>First, words. <button>Share</p>{body}<div><svg><path d=x></div><p>End, of all.</p></article>").split("\n") == ["T", "First, words.", long, long, long, "End, of all."]
+    plain = f"<div id=a><a href=/>Home</a> <a href=b>News</a></div><div id=x><h1>Title</h1><h2>By me</h2>{body}<table><tr><td>1</td><td>2</td></tr></table><p>End, here.</p><h3>More</h3><ul><li><a href=x>Other post</a></li></ul></div><div id=y>Copyright 2020, all rights reserved.</div>"
+    assert f(f"<body>{plain}</body>").split("\n") == ["Title", "By me", long, long, long, "1", "2", "End, here."]
+
+
+def test_html_ratios_decide(spark, sf, monkeypatch):
+    """With all ratios alike the threshold tells nothing apart, and the text of nearly every page changes."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    texts = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "fused_ratios", lambda blocks: [1.0] * len(blocks))
+    assert sum(html_text.main_text(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
+
+
 def test_html_edges():
     f = html_text.main_text
     assert f(None) == f("") == f("   ") == f("<html><body></body></html>") == ""

@@ -411,3 +411,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = small_or_shuffled(repeated)
     once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+#: Links by brute force: every pair of documents with a common shingle, then everything that links reach.
+OP4_SQL = r"""
+WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, CAST(len(w) - least(5, len(w)) + 2 AS BIGINT))) AS i FROM ws WHERE len(w) > 0)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ln AS (SELECT a, b FROM pr JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+nb AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
+re(r, d) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r, b FROM re JOIN nb ON d = a),
+co AS (SELECT d, min(r) AS component_id FROM re GROUP BY 1)
+SELECT ws.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM ws LEFT JOIN sz USING (doc_id) JOIN co ON co.d = ws.doc_id
+"""

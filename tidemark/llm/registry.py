@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op6_warc": archive.OP6_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
 }
