@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pytest
@@ -166,6 +167,8 @@ def test_archive(spark):
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and http.startswith(b"HTTP/1.1 200") and body == big.encode() + b"\r\n\r\n"
     length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length")).split(b": ")[1])
     assert length == len(http) + 4 + len(big)
+    field = lambda head, name: re.search(rb"\r\n" + name + rb": ([^\r\n]*)\r\n", head)[1]
+    assert re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", field(head, b"WARC-Date")) and field(warc[2], b"WARC-Refers-To") == field(head, b"WARC-Record-ID") != field(warc[3], b"WARC-Record-ID")
     assert b"WARC-Refers-To: " in warc[2] and warc[2].endswith(b"\r\n\r\n") and big.encode() not in warc[2]
     none = archive.fresh_path(spark, "warc")
     archive.write_archive(pages.limit(0), none)

@@ -8,6 +8,8 @@ its digest and rebuilds the original records by joins.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +21,21 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(page_id: Column) -> Column:
-    """A stable URN for a page id (a null id has one, too)."""
-    hexed = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))).cast("binary"))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    """A stable URN for a page id (a null id has one, too) and what it holds."""
+    hexed = F.md5(F.concat(F.coalesce(F.concat(F.lit("page:"), page_id.cast("string")), F.lit("null")), F.lit(" "), digest).cast("binary"))
     part = lambda a, n: F.substring(hexed, a, n)
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)))
 
 
-def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> None:
     """Write `path`/payloads (digest, payload) and `path`/records (page_id, digest, type, header and HTTP header bytes).
 
     A null payload is stored as an empty one, a null url as an empty target.  Rows with equal ids and
-    payloads give equal records, as often as they occur.  Other columns are ignored.
+    payloads give equal records, as often as they occur.  Other columns are ignored; an empty table gives
+    an empty archive.  `date` is the WARC-Date of all records (RFC 3339 in UTC), by default now.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -49,10 +53,11 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     header = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<"), _record_id(F.col("page_id")), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<"), _record_id(F.col("page_id"), F.col("digest")), F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<"), _record_id(F.col("first_id")), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<"), _record_id(F.col("first_id"), F.col("digest")), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", block.cast("string")),
         F.lit(CRLF),
@@ -80,7 +85,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rebuild_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, warc): the exact bytes of every original record, payloads joined back by digest.
+    """(page_id, warc): the exact bytes of every original record, payloads joined back by digest; as many rows as were
+    written, with null and repeated ids as they were.
     Only responses need the bytes, so a payload that many pages share isn't sent to its revisits."""
     records = spark.read.parquet(f"{path}/records").withColumn("want", F.when(F.col("refers_to").isNull(), F.col("digest")))
     payloads = read_payloads(spark, path).where("payload_bytes >= 0").select(F.col("digest").alias("want"), "payload")
@@ -89,6 +95,7 @@ def rebuild_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archive of all pages says of each when it is read back."""
     path = fresh_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_records(spark, path).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")

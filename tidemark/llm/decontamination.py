@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,18 @@ def build_automata(windows: dict[bytes, set[str]]) -> list[ahocorasick.Automaton
     return out
 
 
+_BUILT: dict[int, list[ahocorasick.Automaton]] = {}
+
+
+def automata_of(shared: Broadcast) -> list[ahocorasick.Automaton]:
+    """The automata of broadcast windows, built once in a Python worker and replaced when other windows come."""
+    key = hash(frozenset((pattern, frozenset(ids)) for pattern, ids in shared.value.items()))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build_automata(shared.value)
+    return _BUILT[key]
+
+
 def scan(text: str | None, automata: list[ahocorasick.Automaton]) -> tuple[int, np.ndarray, set[str]]:
     """(number of words, sorted indexes of the hit words, ids of the items found)."""
     words = words_of(text)
@@ -122,7 +135,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(given_windows(items, item_id, item_text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = build_automata(shared.value)
+        automata = automata_of(shared)
         for batch in batches:
             # One text at a time; of it only its hits and their offsets are kept.
             rows = [_found(t.as_py(), automata) for t in batch.column(1)]
@@ -156,7 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = build_automata(shared.value)
+        automata = automata_of(shared)
         for batch in batches:
             clean = [not any(True for a in automata for _ in a.iter(" " + b" ".join(words_of(t.as_py())).decode("latin-1") + " ")) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))

@@ -3,19 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tidemark.sources.shared import cut, shared_dir, small_or_shuffled
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-shared-"))
-    return found or spark.sparkContext.getCheckpointDir()
+__all__ = ["ARROW_BYTES", "bounded_batches", "cut", "fresh_path", "partitions", "shared_dir", "small_or_shuffled", "spare_name"]
 
 
 #: Bytes of an Arrow batch that goes to a Python task, at most about.
@@ -45,22 +39,5 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: later jobs start from the files."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Rows of two or three numbers that may be broadcast (a few MB).
-BROADCAST_ROWS = 200_000
-
-
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows, else as it is: the join then shuffles.
-    `df` should be cut first, as this counts it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
