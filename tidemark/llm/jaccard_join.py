@@ -39,7 +39,7 @@ LEAST_GROUPS, MOST_GROUPS = 32, 4096
 FANOUT = 16
 #: A shingle of so many different sets of one batch counts as frequent; so many of the most frequent are put last.
 #: Which ones they are changes the work, never the result.
-FREQUENT, FREQUENT_KEPT = 5, 200_000
+FREQUENT, FREQUENT_KEPT = 3, 200_000
 #: Leading shingles that a task deals at a time, and in a range, at most about.
 SLICE, RANGE = 500_000, 2_000_000
 #: Larger blocks are cut into parts of about this size, of which each pair meets in a task of its own.
