@@ -161,6 +161,40 @@ def test_op4_parts_of_a_large_block(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == whole == {k: 0 for k in range(60)}
 
 
+def test_op4_large_blocks_of_several_groups(spark, monkeypatch):
+    """A block of a common first passage that holds groups, chains between groups and single texts equals brute force."""
+    rng, common, rows = np.random.default_rng(3), [f"c{i}" for i in range(12)], []
+    for g in range(5):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(30, 60)))]
+        for k in range(18):
+            text = list(base)
+            for j in rng.integers(0, len(base), k % 4):
+                text[j] = f"g{g}k{k}"
+            rows.append((len(rows), " ".join(common + text)))
+    rows += [(len(rows) + k, " ".join(common + [f"s{k}x{j}" for j in range(3 + k % 9)])) for k in range(40)]
+    chain = [f"h{i}" for i in range(40)]
+    rows += [(len(rows) + k, " ".join(common + chain[k:])) for k in range(20)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "REPRESENTATIVES", 2)
+    # One block of everything, as a passage that all texts begin with would make.
+    one = spark.createDataFrame([(0, i) for i in range(1, len(rows))], "pivot long, member long")
+    real = jaccard_join._members
+    monkeypatch.setattr(jaccard_join, "_members", lambda pairs: real(one))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == label
+    assert 5 < len(set(label.values())) < len(rows)
+
+
 def test_op4_tree_search_equals_all_pairs():
     rng = np.random.default_rng(5)
     sets = []

@@ -11,7 +11,9 @@
     a point and a node's upper corner the overlap with anything below the node.  Members without any
     surviving partner leave the block while it holds points only; the texts of the others follow, and
     surviving pairs are compared exactly.  That search runs only over documents that the block hasn't
-    linked yet, so a block yields at most one link per document and not all pairs.
+    linked yet, so a block yields at most one link per document and not all pairs.  A large block is
+    dealt in parts: each is linked to a few representatives; then only members outside of the block's
+    largest component so far meet all others, so near copies of one text are sent twice however many.
 4.  The links' connected components, spread to the members of the classes, are the result.
 
 Shingles are compared by 64-bit hashes.
@@ -19,11 +21,11 @@ Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +44,8 @@ FANOUT = 16
 FREQUENT, FREQUENT_KEPT = 3, 200_000
 #: Leading shingles that a task deals at a time, and in a range, at most about.
 SLICE, RANGE = 500_000, 2_000_000
-#: Larger blocks are cut into parts of about this size, of which each pair meets in a task of its own.
-BLOCK = 2048
+#: Larger blocks are cut into parts of about this size, which meet so many representatives of the block first.
+BLOCK, REPRESENTATIVES = 1024, 16
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -321,15 +323,59 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield close()
 
 
-def _with_sides(pairs: DataFrame) -> DataFrame:
-    """(block, side, doc_id): every block's members with its pivot; a block beyond `BLOCK` members as pairs of parts."""
+def _members(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(block, side, doc_id) of the blocks below `BLOCK` members, and (pivot, member, parts) of larger ones if there are any.
+    A pivot is a member of its block."""
     rows = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("member")).distinct())
     sizes = pairs.groupBy("pivot").count().where(F.col("count") >= BLOCK).select("pivot", F.ceil((F.col("count") + 1) / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(small_or_shuffled(cut(sizes, "large-blocks")), "pivot", "left").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    meets = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("low"), F.greatest("part", j).alias("high"))))
-    rows = rows.withColumn("meet", F.explode(meets))
-    # Sides differ between parts; in a part that meets itself all pairs count.
-    return rows.select(F.concat_ws(":", "pivot", "meet.low", "meet.high").alias("block"), F.when(F.col("part") == F.col("meet.high"), 1).otherwise(0).alias("side"), F.col("member").alias("doc_id"))
+    sizes = cut(sizes, "large-blocks")
+    whole = lambda some: some.select(F.col("pivot").cast("string").alias("block"), F.lit(0).alias("side"), F.col("member").alias("doc_id"))
+    if sizes.isEmpty():
+        return whole(rows), None
+    sizes = small_or_shuffled(sizes)
+    return whole(rows.join(sizes, "pivot", "left_anti")), cut(rows.join(sizes, "pivot").select("pivot", "member", "parts"), "large-members")
+
+
+def _with_representatives(large: DataFrame) -> DataFrame:
+    """(block, side, doc_id): each part of a large block (side 1) with the block's representatives (side 0)."""
+    slot = F.pmod(F.xxhash64("member", F.lit(1)), F.lit(REPRESENTATIVES))
+    chosen = large.groupBy("pivot", slot.alias("slot")).agg(F.min_by("member", F.xxhash64("member")).alias("member"), F.max("parts").alias("parts"))
+    first = chosen.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot", "member", F.lit(0).alias("side"))
+    rows = first.unionByName(large.select(F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "pivot", "member", F.lit(1).alias("side")))
+    return rows.select(F.concat_ws(":", "pivot", "part").alias("block"), "side", F.col("member").alias("doc_id"))
+
+
+def _unsettled(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """(block, side, doc_id): what of large blocks has still to meet.  Members of a block's largest component so far need not
+    meet each other; parts of the others meet its parts and one another."""
+    labelled = large.join(linked, F.col("member") == F.col("node"), "left").select("pivot", "member", F.coalesce("component", "member").alias("label"))
+    labelled = cut(labelled, "labelled-members")
+    counts = labelled.groupBy("pivot", "label").count().groupBy("pivot").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    counts = cut(counts.where(F.col("all") > F.col("most")).select("pivot", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("others")), "unsettled-blocks")
+    rows = labelled.join(small_or_shuffled(counts), "pivot").withColumn("in_main", F.col("label") == F.col("main"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("member"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+
+    def meets(count: str, kind: str, other: Callable[[Column], Column], own: Callable[[Column], Column], side: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda j: F.struct(F.concat_ws(":", F.lit(kind), own(j), other(j)).alias("at"), side(j).cast("int").alias("side")))
+
+    part = F.col("part")
+    main = meets("others", "m", lambda j: part, lambda j: j, lambda j: F.lit(0))
+    rest = F.concat(
+        meets("mains", "m", lambda j: j, lambda j: part, lambda j: F.lit(1)),
+        # Sides differ between parts; in a part that meets itself all pairs count.
+        meets("others", "o", lambda j: F.greatest(part, j), lambda j: F.least(part, j), lambda j: part == F.greatest(part, j)),
+    )
+    rows = rows.withColumn("meet", F.explode(F.when(F.col("in_main"), main).otherwise(rest)))
+    return rows.select(F.concat_ws(":", "pivot", "meet.at").alias("block"), F.col("meet.side").alias("side"), F.col("member").alias("doc_id"))
+
+
+def _links(blocks: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) that join all linked members of each block (block, side, doc_id): points prune it, then texts follow."""
+    tasks = 4 * partitions(docs.sparkSession)
+    dealt = blocks.join(points, "doc_id").select("block", "side", "doc_id", "n", "point").repartition(tasks, "block").sortWithinPartitions("block")
+    kept = cut(dealt.mapInArrow(_prune_blocks, "block string, side int, doc_id long"), "block-members")
+    texts = docs.join(small_or_shuffled(kept), "doc_id").select("block", "side", "doc_id", "text")
+    return texts.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_search_blocks, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -383,12 +429,13 @@ def _components_of_numbers(docs: DataFrame) -> DataFrame:
     leading = leading_shingles(single, order, ranges)
     pairs = cut(leading.groupBy("range").applyInArrow(_blocks, "pivot long, member long").distinct(), "blocks")
     points = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "point")
-    blocks = _with_sides(pairs).join(points, "doc_id").select("block", "side", "doc_id", "n", "point").repartition(4 * partitions(spark), "block").sortWithinPartitions("block")
-    blocks = cut(blocks.mapInArrow(_prune_blocks, "block string, side int, doc_id long"), "block-members")
-    texts = docs.join(small_or_shuffled(blocks), "doc_id").select("block", "side", "doc_id", "text")
-    dealt = texts.repartition(4 * partitions(spark), "block").sortWithinPartitions("block")
-    edges = dealt.mapInArrow(_search_blocks, "u long, v long")
-    found = components(edges)
+    small, large = _members(pairs)
+    if large is None:
+        found = components(_links(small, points, docs))
+    else:
+        found = cut(components(_links(small.unionByName(_with_representatives(large)), points, docs)), "first-components")
+        more = _links(_unsettled(large, found), points, docs)
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     # Copies of one document in several classes (rows that share an id) join those classes.
     spread = member.join(found, member["class"] == found["node"], "left")
     return spread.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc_id").alias("component_id"))
