@@ -190,10 +190,39 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips(spark, sf_dir).select("order_id", "held", F.col("output").alias("returned"), floor_div((F.col("output") - F.col("amount")) * 10_000, F.col("amount")).alias("net_bps"))
 
 
-@query("stress_round_trip", f"{_TRIP}, {_SCV} SELECT order_id, scenario, {floored(floored('output * (10000 - slip)', '10000') + ' - amount - cost', '1')} AS net FROM ex, sc")
+#: Of a scenario: slippage and extra fee of each fill in basis points, and the delay of each fill.
+_STRESS = [("calm", 0, 0, 0), ("fees", 30, 60, 5 * MINUTE), ("crash", 250, 120, 90 * MINUTE)]
+_HOLDING = 120 * MINUTE
+
+
+def _stress_fill(name: str, source: str, at: str, amount: str, out: str) -> str:
+    return f"""{name}f AS (SELECT *, {amount} * (fee_bps + fee) // 10000 AS taken FROM (SELECT o.*, q.reserve_in, q.reserve_out, q.fee_bps FROM {source} o ASOF LEFT JOIN qt q ON o.pool = q.pool AND o.{at} >= q.quoted_us)),
+{name} AS (SELECT * EXCLUDE (reserve_in, reserve_out, fee_bps, taken), CAST(({amount} - taken)::HUGEINT * {"reserve_out // (reserve_in" if name == "en" else "reserve_in // (reserve_out"} + {amount} - taken) * (10000 - slip) // 10000 AS BIGINT) AS {out} FROM {name}f)"""
+
+
+_STRESS_SQL = f"""{_QUOTE}, sc(scenario, slip, fee, delay_us) AS (VALUES {", ".join(str(x) for x in _STRESS)}), oi AS (SELECT od.*, sc.*, at_us + delay_us AS in_us FROM od, sc),
+{_stress_fill("en", "oi", "in_us", "amount", "held")}, eo AS (SELECT *, in_us + {_HOLDING} + delay_us AS out_us FROM en), {_stress_fill("ex", "eo", "out_us", "held", "returned")}
+SELECT order_id, scenario, CASE WHEN coalesce(held, 0) <= 0 THEN 'entry_failed' WHEN coalesce(returned, 0) <= 0 THEN 'exit_failed' ELSE 'completed' END AS status, CASE WHEN held > 0 AND returned > 0 THEN returned - amount END AS net FROM ex"""
+
+
+def _stressed(orders: DataFrame, q: DataFrame, at: str, amount: str, out: str) -> DataFrame:
+    """`orders` with what a fill leaves under their own extra fee and slippage; null without a quote."""
+    _, output, _ = policies.fill(F.col(amount), F.col("quote.reserve_in"), F.col("quote.reserve_out"), F.col("quote.fee_bps") + F.col("fee"))
+    return policies.quote_as_of(orders, q, "pool", at, "quoted_us", DAY).select(*orders.columns, floor_div(output * (10_000 - F.col("slip")), 10_000).alias(out))
+
+
+@query("stress_round_trip", _STRESS_SQL)
 def stress_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenarios = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(s).alias("slip"), F.lit(c).alias("cost")) for n, s, c in _SC]))
-    return trips(spark, sf_dir).select("order_id", "output", "amount", scenarios).select("order_id", "scenario", (floor_div(F.col("output") * (10_000 - F.col("slip")), 10_000) - F.col("amount") - F.col("cost")).alias("net"))
+    """Each order's trip under each scenario: the entry is delayed, the exit follows the delayed entry and is delayed again, and
+    each fill takes the quote known at its own time."""
+    q = quotes(spark, sf_dir)
+    turned = q.select("pool", "quoted_us", "quote_id", F.col("reserve_out").alias("reserve_in"), F.col("reserve_in").alias("reserve_out"), "fee_bps")
+    scenarios = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(s).alias("slip"), F.lit(f).alias("fee"), F.lit(d).cast("long").alias("delay_us")) for n, s, f, d in _STRESS]))
+    orders = _orders(spark, sf_dir).select("*", scenarios).withColumn("in_us", F.col("at_us") + F.col("delay_us"))
+    entry = _stressed(orders, q, "in_us", "amount", "held").withColumn("out_us", F.col("in_us") + _HOLDING + F.col("delay_us"))
+    out = _stressed(entry, turned, "out_us", "held", "returned")
+    status = F.when(F.coalesce("held", F.lit(0)) <= 0, "entry_failed").when(F.coalesce("returned", F.lit(0)) <= 0, "exit_failed").otherwise("completed")
+    return out.select("order_id", "scenario", status.alias("status"), F.when(status == "completed", F.col("returned") - F.col("amount")).alias("net"))
 
 
 @query("quote_cross_policies", f"{_PRED}, {_POLICIES}, q0 AS (SELECT pool AS qp, count(*) AS quotes FROM ev WHERE event_id % 2 = 0 GROUP BY pool) SELECT policy, pool, count(*) FILTER ({_BASE} = 'enter') AS entries, any_value(quotes) AS quotes FROM pd, po, q0 WHERE pool = qp GROUP BY policy, pool")

@@ -91,7 +91,22 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("pool", "l.*")
 
 
-@query("stream_lp_lifecycle")
+#: The life of a position as windows: its first open, the first remove after it, and the clamped sum between them.
+_LIFE_SQL = """st AS (SELECT pool AS position_id, event_id // 2 * 2 AS action_id, CASE event_type WHEN 'signup' THEN 'open' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'resize' ELSE 'collect' END AS action,
+ price - 3000 AS delta, event_id % 5 AS gas, event_id % 17 = 0 AS failed, arrival_us, event_id FROM ev),
+nu AS (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY arrival_us, action_id, event_id) AS k, row_number() OVER (PARTITION BY position_id, action_id ORDER BY arrival_us, event_id) > 1 AS dup FROM st),
+ok AS (SELECT *, NOT dup AND NOT failed AS live FROM nu),
+op AS (SELECT position_id, min(k) AS k_open FROM ok WHERE live AND action = 'open' GROUP BY 1),
+rm AS (SELECT position_id, min(k) AS k_end FROM ok JOIN op USING (position_id) WHERE live AND action = 'remove' AND k > k_open GROUP BY 1),
+fl AS (SELECT ok.*, k_open, coalesce(k_end, 9223372036854775807) AS k_end FROM ok LEFT JOIN op USING (position_id) LEFT JOIN rm USING (position_id)),
+su AS (SELECT *, sum(CASE WHEN live AND k >= k_open AND k < k_end AND action IN ('open', 'resize') THEN delta ELSE 0 END) OVER (PARTITION BY position_id ORDER BY k) AS s,
+ sum(CASE WHEN dup THEN 0 ELSE gas END) OVER (PARTITION BY position_id ORDER BY k) AS used FROM fl),
+mi AS (SELECT *, coalesce(min(CASE WHEN live AND k > k_open AND k < k_end THEN s END) OVER (PARTITION BY position_id ORDER BY k), 0) AS least_s FROM su)
+SELECT position_id, action_id, CASE WHEN dup THEN 'duplicate' WHEN failed THEN 'failed' WHEN k_open IS NULL OR k < k_open THEN 'orphan' WHEN k > k_end THEN 'superseded' ELSE 'applied' END AS verdict,
+ CAST(CASE WHEN k_open IS NULL OR k < k_open OR k >= k_end THEN 0 ELSE s - least(0, least_s) END AS BIGINT) AS liquidity, CAST(used AS BIGINT) AS gas FROM mi"""
+
+
+@query("stream_lp_lifecycle", _LIFE_SQL)
 def stream_lp_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     _stateful(spark)
     i = F.col("event_id")
@@ -100,7 +115,19 @@ def stream_lp_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, "lifecycle", jobs.lifecycles(s))
 
 
-@query("stream_decisions")
+#: A step of all portfolios at a time; the three sources are the assets.
+_DECISIONS_SQL = """RECURSIVE ob AS (SELECT pool, event_id // 4 * 4 + event_id % 3 AS observation_id, source AS asset, price % 300 - 140 AS expected, price % 110 AS uncertainty, arrival_us, event_id FROM ev),
+nu AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY arrival_us, observation_id, event_id) AS k FROM ob),
+fi AS (SELECT *, min(k) OVER (PARTITION BY pool, observation_id) AS k_first FROM nu),
+wa(pool, k, cash, h0, h1, h2, decision) AS (SELECT DISTINCT pool, 0::BIGINT, 20000::BIGINT, false, false, false, NULL::VARCHAR FROM fi UNION ALL
+ SELECT pool, k, CASE v WHEN 'enter' THEN cash - 1000 WHEN 'exit' THEN cash + 1000 ELSE cash END,
+ CASE WHEN asset = 0 AND v IN ('enter', 'exit') THEN v = 'enter' ELSE h0 END, CASE WHEN asset = 1 AND v IN ('enter', 'exit') THEN v = 'enter' ELSE h1 END, CASE WHEN asset = 2 AND v IN ('enter', 'exit') THEN v = 'enter' ELSE h2 END, v
+ FROM (SELECT *, CASE WHEN k <> k_first THEN NULL WHEN expected > uncertainty AND NOT held AND cash >= 1000 THEN 'enter' WHEN held AND expected < -uncertainty THEN 'exit' WHEN held THEN 'hold' ELSE 'watch' END AS v
+  FROM (SELECT fi.*, cash, h0, h1, h2, CASE asset WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END AS held FROM wa JOIN fi ON fi.pool = wa.pool AND fi.k = wa.k + 1)))
+SELECT fi.pool AS portfolio, observation_id, first.decision, fi.k <> k_first AS repeated, wa.cash FROM fi JOIN wa ON wa.pool = fi.pool AND wa.k = fi.k JOIN wa first ON first.pool = fi.pool AND first.k = k_first"""
+
+
+@query("stream_decisions", _DECISIONS_SQL)
 def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A portfolio a pool, with the sources as its assets."""
     _stateful(spark)

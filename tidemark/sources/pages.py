@@ -1,4 +1,4 @@
-"""Paged log sources: a batch reader with a partition a page, a stream reader that stays behind the head.
+"""Paged log sources: a batch reader with a partition a page, and pages planned by the logs they hold.
 
 The transport is a function (low, high) -> rows, given by name `module:function`, and runs on executors.
 """
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions.integers import floor_div
 
@@ -51,7 +51,7 @@ class Page(InputPartition):
 
 
 class LogPages(DataSource):
-    """Options: start, end (batch) or head, lag, most (stream), page (blocks a page), transport, schema."""
+    """Options: start, end, page (blocks a page), transport, rows (the schema)."""
 
     @classmethod
     def name(cls) -> str:
@@ -63,9 +63,6 @@ class LogPages(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Batch(self.options)
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Tail(self.options)
-
 
 class _Pages:
     def __init__(self, options: dict):
@@ -85,29 +82,6 @@ class _Batch(_Pages, DataSourceReader):
         return self.pages(int(self.options["start"]), int(self.options["end"]))
 
 
-class _Tail(_Pages, DataSourceStreamReader):
-    """The offset is the next block; a batch ends `lag` blocks behind the head and takes at most `most` blocks."""
-
-    def __init__(self, options: dict):
-        super().__init__(options)
-        self.next = int(options.get("start", 0))
-
-    def initialOffset(self) -> dict:
-        return {"block": int(self.options.get("start", 0))}
-
-    def latestOffset(self) -> dict:
-        head, lag, most = (int(self.options.get(k, d)) for k, d in (("head", 0), ("lag", 12), ("most", 2000)))
-        self.next = max(self.next, min(head - lag + 1, self.next + most))
-        return {"block": self.next}
-
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        self.next = max(self.next, end["block"])
-        return self.pages(start["block"], end["block"] - 1)
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
 def plan_pages(logs: DataFrame, block: str, size: int, most: int) -> DataFrame:
     """(low, high, logs, repeated): pages of `size` blocks, halved while they hold more than `most` logs.
 
