@@ -12,7 +12,7 @@ from tidemark.functions.redact import redact_text
 from tidemark.operators import chain, contracts, evaluation, graph, market, policies, windows
 from tidemark.plans.bindings import raw_events
 from tidemark.plans.market import AS_OF, DELAY, HORIZONS, points
-from tidemark.sources import batches, pages
+from tidemark.sources import batches
 
 SECOND = 1_000_000
 
@@ -255,26 +255,6 @@ def test_ridge_equals_numpy(spark):
     assert np.allclose(weights, expected) and abs(intercept - (y.mean() - x.mean(0) @ expected)) < 1e-9
 
 
-def test_pages_halve_on_failure():
-    asked = []
-
-    def transport(low, high):
-        asked.append((low, high))
-        if high - low >= 4:
-            raise OSError("too many logs")
-        return [(b,) for b in range(low, high + 1)]
-
-    assert list(pages.fetch(transport, 0, 15)) == [(b,) for b in range(16)] and (0, 15) in asked and (0, 3) in asked
-    with pytest.raises(ValueError, match="came with page"):
-        list(pages.fetch(lambda low, high: [(99,)], 0, 3))
-
-
-def test_page_source(spark):
-    spark.dataSource.register(pages.LogPages)
-    df = spark.read.format("log_pages").options(start="5", end="27", page="10").load()
-    assert df.rdd.getNumPartitions() == 3 and sorted(r.block for r in df.collect()) == list(range(5, 28))
-
-
 def test_changed_export_is_found(spark):
     path = batches.fresh_path(spark, "export")
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, x string")

@@ -88,22 +88,46 @@ def scan_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows("predictions", "prediction").unionByName(rows("outcomes", "outcome"))
 
 
-@query("scan_log_pages", "er AS (SELECT event_id, block FROM ev WHERE event_type IN ('error', 'purchase')), lv AS (SELECT unnest([128, 64, 32, 16, 8, 4, 2, 1]) AS w), pg AS (SELECT w, block - block % w AS low, count(*) AS logs FROM er, lv GROUP BY 1, 2), sm AS (SELECT * FROM pg WHERE logs <= 40 OR w = 1) SELECT low, low + w - 1 AS high, logs, 0::BIGINT AS repeated FROM sm s WHERE NOT EXISTS (SELECT 1 FROM sm p WHERE p.w > s.w AND p.low = s.low - s.low % p.w)")
+_LOG = "block long, event_id long, event_type string, pool long, event_us long"
+
+
+def _append_log(logs: DataFrame, path: str, files: int = 4) -> None:
+    """Store events as the log that the page source reads: files in block order."""
+    logs.select("block", "event_id", "event_type", "pool", "event_us").repartitionByRange(files, "block").write.mode("append").parquet(path)
+
+
+@query("scan_log_pages", """lv AS (SELECT unnest([128, 64, 32, 16, 8, 4, 2, 1]) AS w), pg AS (SELECT w, block - block % w AS low, count(*) AS logs FROM ev, lv GROUP BY 1, 2),
+ sm AS (SELECT * FROM pg WHERE logs <= 40 OR w = 1),
+ st AS (SELECT low, low + w - 1 AS high FROM sm s WHERE NOT EXISTS (SELECT 1 FROM sm p WHERE p.w > s.w AND p.low = s.low - s.low % p.w))
+SELECT low, high, block, event_id, event_type FROM st JOIN ev ON block BETWEEN low AND high""")
 def scan_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = raw_events(spark, sf_dir).where(F.col("event_type").isin("error", "purchase"))
-    return pages.plan_pages(logs, "block", 128, 40)
+    """Every event read by pages of 128 blocks from the log, halved on executors while a page holds more than 40."""
+    path = batches.fresh_path(spark, "pages")
+    logs = raw_events(spark, sf_dir)
+    _append_log(logs, path)
+    end = (logs.agg(F.max("block")).first()[0] or 0) // 128 * 128 + 127
+    spark.dataSource.register(pages.LogPages)
+    options = {"path": path, "columns": "block,event_id,event_type,pool,event_us", "rows": f"{_LOG}, page_low long, page_high long", "page": 128, "most": 40, "start": 0, "end": end}
+    read = spark.read.format("log_pages").options(**options).load()
+    return read.select(F.col("page_low").alias("low"), F.col("page_high").alias("high"), "block", "event_id", "event_type")
+
+
+def tail_log(spark: SparkSession, log: str, out: str, checkpoint: str, max_blocks: int, lag: int = 12) -> None:
+    """Take all blocks of the log that are confirmed by now, `max_blocks` a micro-batch, beyond what the checkpoint has."""
+    spark.dataSource.register(pages.LogPages)
+    options = {"path": log, "columns": "block,event_id,event_type,pool,event_us", "rows": _LOG, "page": max(1, max_blocks // 4), "lag": lag, "max_blocks": max_blocks}
+    jobs.run_until_idle(spark.readStream.format("log_pages").options(**options).load(), out, checkpoint)
 
 
-@query("stream_log_tail", "SELECT event_id, block FROM ev WHERE block <= (SELECT max(block) FROM ev) - 12")
+@query("stream_log_tail", "SELECT event_id, block, event_type FROM ev WHERE block <= (SELECT max(block) FROM ev) - 12")
 def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as files in block order, two a micro-batch.  More files come after a first run; a second on the same
-    checkpoint takes only those.  All rows are stored; the view stays behind the head, so that rows near it aren't lost."""
+    """The log by a stream whose offset is the next block and that stays 12 blocks behind the head.  Half of the log is there at
+    first; a second run on the same checkpoint takes the blocks near the first head and all later ones, none twice."""
     path = batches.fresh_path(spark, "tail")
-    logs = raw_events(spark, sf_dir).select("event_id", "block")
-    half = (logs.agg(F.max("block")).first()[0] or 0) // 2
-    for arrived in (F.col("block") <= half, F.col("block") > half):
-        logs.where(arrived).repartitionByRange(4, "block").write.mode("append").parquet(f"{path}/log")
-        jobs.run_once(jobs.read_events(spark, f"{path}/log", 2), f"{path}/out", f"{path}/checkpoint")
-    stored = spark.read.schema(logs.schema).parquet(f"{path}/out")
-    head = stored.agg(F.max("block")).first()[0] or 0
-    return jobs.confirmed_only(stored, "block", head, 12)
+    logs = raw_events(spark, sf_dir)
+    head = logs.agg(F.max("block")).first()[0] or 0
+    for arrived in (F.col("block") <= head // 2, F.col("block") > head // 2):
+        _append_log(logs.where(arrived), f"{path}/log")
+        # An eighth of the log a micro-batch.
+        tail_log(spark, f"{path}/log", f"{path}/out", f"{path}/checkpoint", head // 8 + 1)
+    return spark.read.schema(_LOG).parquet(f"{path}/out").select("event_id", "block", "event_type")

@@ -26,7 +26,8 @@ def append_raw(events: DataFrame, path: str, columns: list[str], by: list[str])
     """Append events as JSON lines (gzip) under source and date, unless the batch is there; returns the manifest rows added.
 
     A batch is the rows of one `by` group; its id is a hash of its row hashes.  The manifest
-    (batch_id, rows, by columns) is a table beside the data, so appending again changes nothing.
+    (batch_id, rows, by columns) is a table beside the data, so appending again changes nothing.  A batch's folder is
+    overwritten and its manifest row comes last: an append that was cut off is repeated as a whole.
     """
     spark = events.sparkSession
     hashed = events.withColumn("__h", row_hash(columns))
@@ -38,7 +39,7 @@ def append_raw(events: DataFrame, path: str, columns: list[str], by: list[str])
         if "PATH_NOT_FOUND" not in str(error):
             raise
     new = events.join(batches.select(*by, "batch_id"), by)
-    new.select("batch_id", *by, canonical_json(columns).alias("value")).write.mode("append").partitionBy("batch_id", *by).option("compression", "gzip").text(f"{path}/data")
+    new.select("batch_id", *by, canonical_json(columns).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *by).option("compression", "gzip").text(f"{path}/data")
     batches.write.mode("append").parquet(f"{path}/manifest")
     return batches
 

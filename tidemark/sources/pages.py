@@ -1,35 +1,81 @@
-"""Paged log sources: a batch reader with a partition a page, and pages planned by the logs they hold.
+"""Paged log sources: a batch reader with a partition a page, and a stream reader that stays behind the head.
 
-The transport is a function (low, high) -> rows, given by name `module:function`, and runs on executors.
+A transport gives a log's rows by block range.  It is made on executors (and on the driver for its head) by a function
+`module:function` of the options, and has `head()`, the newest block or -1, and `rows(low, high)`, tuples whose first value
+is the block.  `parquet_log` is one: the log is a folder of Parquet files to which another job appends.
 """
 
 from __future__ import annotations
 
 import importlib
 from collections.abc import Iterator
+from typing import Any, Protocol
 
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidemark.functions.integers import floor_div
 
 
-def _transport(name: str):
-    module, function = name.split(":")
-    return getattr(importlib.import_module(module), function)
+class Transport(Protocol):
+    def head(self) -> int: ...
 
+    def rows(self, low: int, high: int) -> list[tuple]: ...
 
-def block_numbers(low: int, high: int) -> Iterator[tuple]:
-    """A transport without a network: the block numbers themselves, to be joined with a table of logs."""
-    return ((b,) for b in range(low, high + 1))
 
+class PageTooLarge(Exception):
+    """A page holds more rows than the transport gives at once."""
 
-def fetch(transport, low: int, high: int) -> Iterator[tuple]:
-    """Rows of [low, high]; a page that fails is halved until single blocks, whose failure is an error.  Rows must be of
-    the page: the first column is the block."""
+
+class ParquetLog:
+    """Options: path (a folder that driver and executors share), columns (the block's first, comma-joined), most (rows given at
+    once, unlimited by default).  Statistics of row groups decide which files a page opens."""
+
+    def __init__(self, options: dict[str, str]):
+        path = options["path"]
+        if path.startswith("file:"):
+            path = "/" + path.removeprefix("file:").lstrip("/")
+        fs, path = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True, allow_not_found=True))
+        self._files, self._fs = sorted(f.path for f in found if f.path.endswith(".parquet")), fs
+        self._columns = options["columns"].split(",")
+        self._most = int(options["most"]) if "most" in options else None
+
+    def head(self) -> int:
+        newest = -1
+        for path in self._files:
+            for piece in ds.ParquetFileFormat().make_fragment(path, self._fs).row_groups:
+                newest = max(newest, piece.statistics[self._columns[0]]["max"])
+        return newest
+
+    def rows(self, low: int, high: int) -> list[tuple]:
+        if not self._files:
+            return []
+        block = pa.dataset.field(self._columns[0])
+        table = ds.dataset(self._files, filesystem=self._fs, format="parquet").to_table(columns=self._columns, filter=(block >= low) & (block <= high))
+        if self._most is not None and table.num_rows > self._most:
+            raise PageTooLarge(f"{table.num_rows} rows in {low}-{high}")
+        return list(zip(*[c.to_pylist() for c in table.columns], strict=True))
+
+
+def parquet_log(options: dict[str, str]) -> Transport:
+    return ParquetLog(options)
+
+
+def _transport(options: dict[str, str]) -> Transport:
+    module, function = options.get("transport", "tidemark.sources.pages:parquet_log").split(":")
+    return getattr(importlib.import_module(module), function)(options)
+
+
+def fetch(transport: Transport, low: int, high: int) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(low, high, rows) of the pages of [low, high]; a page that fails is halved until single blocks, whose failure is an
+    error.  Rows must be of the page and come once."""
     try:
-        rows = list(transport(low, high))
+        rows = transport.rows(low, high)
     except Exception:
         if low == high:
             raise
@@ -42,7 +88,7 @@ def fetch(transport, low: int, high: int) -> Iterator[tuple]:
             raise ValueError(f"a row of block {row[0]} came with page {low}-{high}")
     if len(set(rows)) != len(rows):
         raise ValueError(f"page {low}-{high} has repeated rows")
-    yield from rows
+    yield low, high, rows
 
 
 class Page(InputPartition):
@@ -51,30 +97,35 @@ class Page(InputPartition):
 
 
 class LogPages(DataSource):
-    """Options: start, end, page (blocks a page), transport, rows (the schema)."""
+    """A log by block.  Options: rows (the schema; with the columns page_low and page_high at its end, the page that a row came
+    with), page (blocks a page), transport and its options; for a batch start and end (inclusive); for a stream start (the
+    first block), lag (blocks that a batch stays behind the head) and max_blocks (a trigger)."""
 
     @classmethod
     def name(cls) -> str:
         return "log_pages"
 
     def schema(self) -> str:
-        return self.options.get("rows", "block long")
+        return self.options["rows"]
+
+    def reader(self, schema: Any) -> DataSourceReader:
+        return _Batch(self.options, schema)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Batch(self.options)
+    def streamReader(self, schema: Any) -> DataSourceStreamReader:
+        return _Tail(self.options, schema)
 
 
 class _Pages:
-    def __init__(self, options: dict):
-        self.options = options
-        self.size = int(options.get("page", 1000))
-        self.transport = options.get("transport", "tidemark.sources.pages:block_numbers")
+    def __init__(self, options: dict[str, str], schema: Any):
+        self.options, self.size = dict(options), int(options.get("page", 1000))
+        self.with_page = schema.names[-2:] == ["page_low", "page_high"]
 
     def pages(self, low: int, high: int) -> list[Page]:
         return [Page(a, min(a + self.size - 1, high)) for a in range(low, high + 1, self.size)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        return fetch(_transport(self.transport), partition.low, partition.high)
+        for low, high, rows in fetch(_transport(self.options), partition.low, partition.high):
+            yield from (row + (low, high) for row in rows) if self.with_page else rows
 
 
 class _Batch(_Pages, DataSourceReader):
@@ -82,6 +133,32 @@ class _Batch(_Pages, DataSourceReader):
         return self.pages(int(self.options["start"]), int(self.options["end"]))
 
 
+class _Tail(_Pages, DataSourceStreamReader):
+    """The offset is the next block.  A restarted query plans its last batch again, which tells where it stands."""
+
+    def __init__(self, options: dict[str, str], schema: Any):
+        super().__init__(options, schema)
+        self.next: int | None = None
+
+    def initialOffset(self) -> dict:
+        return {"block": int(self.options.get("start", 0))}
+
+    def latestOffset(self) -> dict:
+        if self.next is None:
+            self.next = self.initialOffset()["block"]
+        lag, most = int(self.options.get("lag", 12)), int(self.options.get("max_blocks", 2000))
+        confirmed = _transport(self.options).head() - lag + 1
+        # Never backwards: a head that falls leaves the offset where it is.
+        return {"block": max(self.next, min(confirmed, self.next + most))}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        self.next = end["block"]
+        return self.pages(start["block"], end["block"] - 1)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def plan_pages(logs: DataFrame, block: str, size: int, most: int) -> DataFrame:
     """(low, high, logs, repeated): pages of `size` blocks, halved while they hold more than `most` logs.
 

@@ -164,7 +164,7 @@ def decisions(stream: DataFrame, ticket: int, cash: int) -> DataFrame:
 
 
 def confirmed_only(stream: DataFrame, block: str, head: int, lag: int) -> DataFrame:
-    """Events at least `lag` blocks behind the head: the offset cap of `sources.pages` does this at the source."""
+    """Events at least `lag` blocks behind the head; the stream of `sources.pages` stays behind it at the source."""
     return stream.where(F.col(block) <= head - lag)
 
 
@@ -202,6 +202,16 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query.awaitTermination()
 
 
+def run_until_idle(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append a stream to Parquet at `path`, trigger by trigger, until its source has nothing more.  For sources that limit what
+    a trigger takes: a run for what is available now would take one such part."""
+    query = stream.writeStream.option("checkpointLocation", checkpoint).format("parquet").outputMode("append").start(path)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table (one file or a folder) as a stream, in the table's own schema."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
