@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.integers import return_bps
 from tidemark.plans.bindings import DAY, MINUTE, micros, query
+from tidemark.plans.market import DELAY, HORIZONS, returns
 from tidemark.sources.shared import shared_dir
 from tidemark.streaming import jobs
 
@@ -73,12 +75,26 @@ def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("from_us", "l.events", "l.quarantined", F.round("l.mean_delay", 6).alias("mean_delay"))
 
 
-@query("stream_labels", "p AS (SELECT * FROM ev WHERE event_id % 2 = 0), c AS (SELECT p.event_id AS point_id, r.event_id AS end_id, row_number() OVER (PARTITION BY p.event_id ORDER BY r.event_us, r.arrival_us, r.event_id) AS rn FROM p JOIN ev r ON p.pool = r.pool AND r.event_us BETWEEN p.event_us + 21600000000 AND p.event_us + 43200000000 AND r.arrival_us > p.arrival_us) SELECT point_id, end_id FROM c WHERE rn = 1")
+#: The arrival clock of a finished stream: the watermark stays a day behind the newest arrival, in whole milliseconds.
+_CLOCK = f"(SELECT max(arrival_us) // 1000 * 1000 - {DAY} FROM ev)"
+
+
+@query("stream_labels", f"""h AS (SELECT unnest([{", ".join(map(str, HORIZONS))}]) AS horizon),
+base AS (SELECT event_id, pool, event_us, arrival_us, price, horizon, event_us + horizon AS target FROM ev, h WHERE event_id % 2 = 0),
+cand AS (SELECT b.event_id, b.horizon, r.event_id AS rid, r.arrival_us AS ra, r.price AS rp, row_number() OVER (PARTITION BY b.event_id, b.horizon ORDER BY r.event_us, r.arrival_us, r.event_id) AS rn
+ FROM base b JOIN ev r ON b.pool = r.pool AND r.event_us BETWEEN b.target AND b.target + {DELAY} AND r.event_us > b.event_us AND r.arrival_us > b.arrival_us)
+SELECT b.event_id AS point_id, b.pool, b.horizon, CASE WHEN rid IS NOT NULL THEN 'observed' WHEN greatest(target, arrival_us) <= {_CLOCK} THEN 'censored' ELSE 'unresolved' END AS status, rid AS end_id,
+ CASE WHEN rid IS NOT NULL THEN ra WHEN greatest(target, arrival_us) <= {_CLOCK} THEN greatest(target, arrival_us) ELSE target END AS observed_us, {returns("price", "rp")} AS net_return_bps
+FROM base b LEFT JOIN (SELECT * FROM cand WHERE rn = 1) c ON b.event_id = c.event_id AND b.horizon = c.horizon""")
 def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = jobs.with_arrival_clock(stream(spark, sf_dir).where("event_id % 2 = 0")).select(F.col("event_id").alias("point_id"), "pool", "event_us", "received_time")
-    later = stream(spark, sf_dir).select(F.col("event_id").alias("end_id"), F.col("pool").alias("end_pool"), F.col("event_us").alias("end_us"), F.timestamp_micros("arrival_us").alias("end_received")).withWatermark("end_received", "1 day")
-    pairs = _run(spark, "labels", jobs.label_candidates(points, later, 360 * MINUTE, 360 * MINUTE))
-    return pairs.groupBy("point_id").agg(F.min_by("end_id", F.struct("end_us", "end_arrival_us", "end_id")).alias("end_id"))
+    """The labels of every second event at three horizons as the stream leaves them, over several micro-batches."""
+    _stateful(spark)
+    path, _ = _paths(spark, "labels")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(4, "event_id").write.parquet(f"{path}-files")
+    s = jobs.with_arrival_clock(stream(spark, sf_dir, f"{path}-files", 2)).select(F.col("event_id").alias("point_id"), "pool", "event_us", "arrival_us", "price", (F.col("event_id") % 2 == 0).alias("is_point"), "received_time")
+    changes = _run(spark, "labels", jobs.forward_labels(s, HORIZONS, DELAY, 7 * DAY))
+    last = changes.groupBy("point_id", "horizon").agg(F.max_by(F.struct("pool", "status", "end_id", "observed_us", "start_price", "end_price"), "revision").alias("l"))
+    return last.select("point_id", "l.pool", "horizon", "l.status", "l.end_id", "l.observed_us", return_bps(F.col("l.start_price"), F.col("l.end_price")).alias("net_return_bps"))
 
 
 @query("stream_positions", "st AS (SELECT pool, event_id, arrival_us, CASE WHEN event_type IN ('error', 'click') THEN -price * 3 ELSE price END AS d FROM ev WHERE status = 'canonical'), ru AS (SELECT pool, d, sum(d) OVER (PARTITION BY pool ORDER BY arrival_us, event_id) AS s, arrival_us, event_id FROM st) SELECT pool, CAST(arg_max(s, {a: arrival_us, e: event_id}) - least(0, min(s)) AS BIGINT) AS liquidity, min(s) < 0 AS uncertain, count(*) AS steps FROM ru GROUP BY pool")
@@ -142,15 +158,23 @@ def newest_lineage(rows: DataFrame) -> DataFrame:
     return rows.withColumn("newest", last).where("lineage = newest and status = 'canonical'").drop("newest")
 
 
-@query("stream_reorg", "li AS (SELECT event_id, event_id % 3 AS source, event_id % 200 // 10 AS block, event_id // 200 AS lineage, event_id % 200 // 100 AS range, status FROM ev), la AS (SELECT *, max(lineage) OVER (PARTITION BY source, block) AS newest FROM li) SELECT source, range, block, lineage, count(*) AS canonical FROM la WHERE lineage = newest AND status = 'canonical' GROUP BY ALL")
+@query("stream_reorg", """li AS (SELECT event_id, event_id % 3 AS source, event_id % 200 // 10 AS block, event_id // 200 AS lineage, event_id % 200 // 100 AS range,
+ CASE WHEN event_id // 200 % 5 = 4 AND event_id % 200 >= 100 AND event_id % 3 = 2 THEN 'orphaned' ELSE status END AS status FROM ev),
+la AS (SELECT *, max(lineage) OVER (PARTITION BY source, block) AS newest FROM li)
+SELECT source, range, block, lineage, count(*) AS canonical FROM la WHERE lineage = newest AND status = 'canonical' GROUP BY ALL""")
 def stream_reorg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later events replace the lineage of the same blocks, in many micro-batches of a few files each."""
+    """Later events replace the lineage of the same blocks, in micro-batches of a few files each.  Every fifth lineage leaves
+    nothing canonical in one range of one source."""
     path, checkpoint = _paths(spark, "reorg")
-    i = F.col("event_id")
     files = f"{path}-files"
     # The table as a log of files in the order of its events; files by time are taken in the order they were written.
     spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(8, "event_id").write.parquet(files)
-    s = stream(spark, sf_dir, files, 2).select("event_id", "source", (F.expr("event_id % 200 div 10")).alias("block"), F.expr("event_id div 200").alias("lineage"), "status", F.expr("event_id % 200 div 100").alias("range"))
-    jobs.repair_on_reorg(s, f"{path}-raw", path, checkpoint, newest_lineage).awaitTermination()
-    out = spark.read.parquet(path)
+    lineage = F.expr("event_id div 200")
+    emptied = (lineage % 5 == 4) & (F.col("event_id") % 200 >= 100) & (F.col("source") == 2)
+    s = stream(spark, sf_dir, files, 2).select(
+        "event_id", "source", F.expr("event_id % 200 div 10").alias("block"), lineage.alias("lineage"), F.when(emptied, "orphaned").otherwise(F.col("status")).alias("status"), F.expr("event_id % 200 div 100").alias("range")
+    )
+    store = jobs.RangeStore(spark, path, newest_lineage, F.max("lineage"))
+    jobs.repair_on_reorg(s, store, checkpoint).awaitTermination()
+    out = store.current()
     return out.groupBy(F.col("source").cast("long").alias("source"), F.col("range").cast("long").alias("range"), "block", "lineage").agg(F.count("*").alias("canonical"))

@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.sources.shared import small_or_shuffled
+from tidemark.functions.integers import floor_div
+from tidemark.sources.shared import cut, small_or_shuffled
 
 #: State stores of stateful processors.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,16 +43,114 @@ def quality(stream: DataFrame, interval: str = "15 seconds", status: str = "stat
     return out.select(F.unix_micros("window.start").alias("from_us"), "events", "quarantined", "mean_delay")
 
 
-def label_candidates(points: DataFrame, later: DataFrame, horizon_us: int, delay_us: int) -> DataFrame:
-    """Pairs (point_id, end_id, end_us, end_arrival_us) of a stream-stream interval join: later events of a pool between
-    horizon and horizon plus delay after a point.  State is held as long as the interval and the watermarks ask.
+_ENDS = pa.schema([("end_us", pa.int64()), ("end_arrival_us", pa.int64()), ("end_id", pa.int64()), ("end_price", pa.int64())])
+_WAITING = pa.schema([("point_id", pa.int64()), ("horizon", pa.int64()), ("target_us", pa.int64()), ("event_us", pa.int64()), ("arrival_us", pa.int64()), ("price", pa.int64()), ("status", pa.int8()), ("end_id", pa.int64()), ("revision", pa.int64())])
+_STATUS = ["unresolved", "censored", "observed"]
+LABELS = "point_id long, pool long, horizon long, status string, end_id long, observed_us long, start_price long, end_price long, revision long"
 
-    points(point_id, pool, event_us, received_time) and later(end_id, end_pool, end_us, end_received) are watermarked.
-    The first of a point's pairs by (end_us, end_arrival_us, end_id) is its label; `sink_versioned_upsert` takes revisions.
+
+def _packed(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_pandas(frame, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(state: Any, schema: pa.Schema) -> pd.DataFrame:
+    return pa.ipc.open_stream(state.get()[0]).read_all().to_pandas() if state.exists() else schema.empty_table().to_pandas()
+
+
+class ForwardLabels(StatefulProcessor):
+    """Labels of the points of one (pool, bucket of target times): unresolved when first seen, observed with the first end of the
+    window that arrived after the point, censored by a timer once the arrival clock passes the target; a later arrival that
+    is an earlier end, or an end of a censored point, revises the label.  Emits each change with its revision.
+
+    State is what the bucket's points and ends need.  With `forget_us` a bucket is dropped that long after its last
+    target; without it, arbitrarily late ends still revise.
+    """
+
+    def __init__(self, delay_us: int, forget_us: int | None = None):
+        self.delay, self.forget = delay_us, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "rows binary")
+        self.ends = handle.getValueState("ends", "rows binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        ends = pd.concat([_unpacked(self.ends, _ENDS), new[~new.is_point][["event_us", "arrival_us", "point_id", "price"]].set_axis(_ENDS.names, axis=1)])
+        ends = ends.drop_duplicates("end_id").sort_values(["end_us", "end_arrival_us", "end_id"], ignore_index=True)
+        points = new[new.is_point][["point_id", "horizon", "target_us", "event_us", "arrival_us", "price"]].assign(status=0, end_id=-1, revision=-1)
+        waiting = pd.concat([_unpacked(self.waiting, _WAITING), points]).drop_duplicates(["point_id", "horizon"], ignore_index=True)
+        self.ends.update((_packed(ends, _ENDS),))
+        yield from self._mature(key, waiting, ends, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._mature(key, _unpacked(self.waiting, _WAITING), _unpacked(self.ends, _ENDS), timerValues.getCurrentWatermarkInMs())
+
+    def _first_ends(self, waiting: pd.DataFrame, ends: pd.DataFrame) -> np.ndarray:
+        """The place of each point's end among the ordered ends, -1 for none."""
+        at = np.searchsorted(ends.end_us.to_numpy(), np.maximum(waiting.target_us, waiting.event_us + 1).to_numpy())
+        last = np.searchsorted(ends.end_us.to_numpy(), (waiting.target_us + self.delay).to_numpy(), side="right")
+        known, arrived = waiting.arrival_us.to_numpy(), ends.end_arrival_us.to_numpy()
+        open_ = np.flatnonzero(at < last)
+        while len(open_):
+            open_ = open_[arrived[at[open_]] <= known[open_]]
+            at[open_] += 1
+            open_ = open_[at[open_] < last[open_]]
+        return np.where(at < last, at, -1)
+
+    def _mature(self, key: Any, waiting: pd.DataFrame, ends: pd.DataFrame, clock_ms: int) -> Iterator[pd.DataFrame]:
+        if not len(waiting):
+            return
+        place = self._first_ends(waiting, ends)
+        due = np.maximum(waiting.target_us, waiting.arrival_us).to_numpy()
+        status = np.where(place >= 0, 2, np.where(due <= clock_ms * 1000, 1, 0)).astype(np.int8)
+        end_id = np.where(place >= 0, ends.end_id.to_numpy()[place] if len(ends) else -1, -1)
+        changed = (waiting.revision < 0).to_numpy() | (status != waiting.status.to_numpy()) | (end_id != waiting.end_id.to_numpy())
+        waiting = waiting.assign(status=status, end_id=end_id, revision=waiting.revision + changed)
+        pending = due[status == 0]
+        if len(pending):
+            self.handle.registerTimer(int(-(-pending.min() // 1000)))
+        elif self.forget is not None:
+            until = -(-int(due.max() + self.delay + self.forget) // 1000)
+            if until <= clock_ms:
+                self.waiting.clear()
+                self.ends.clear()
+            else:
+                self.handle.registerTimer(until)
+        if len(pending) or self.forget is None or until > clock_ms:
+            self.waiting.update((_packed(waiting, _WAITING),))
+        out = waiting[changed]
+        ended, where = out.status == 2, place[changed]
+        pick = lambda c: pd.Series(np.where(ended, ends[c].to_numpy()[where], 0) if len(ends) else 0, out.index).where(ended).astype("Int64")
+        observed = pick("end_arrival_us").fillna(np.maximum(out.target_us, out.arrival_us).where(out.status == 1, out.target_us)).astype("int64")
+        yield pd.DataFrame({
+            "point_id": out.point_id, "pool": key[0], "horizon": out.horizon, "status": [_STATUS[s] for s in out.status], "end_id": pick("end_id"),
+            "observed_us": observed, "start_price": out.price, "end_price": pick("end_price"), "revision": out.revision,
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def forward_labels(stream: DataFrame, horizons: list[int], delay_us: int, width_us: int | None = None, forget_us: int | None = None) -> DataFrame:
+    """Label changes (`LABELS`) of a stream (point_id, pool, event_us, arrival_us, price, is_point) with a watermark on the column
+    received_time, the arrival clock.  Every row is an end of others; rows with is_point get labels.
+
+    A point goes to the bucket of its target, an event to the buckets whose points' windows can hold it (at most two, as
+    `width_us` is at least the delay), so that a busy pool is spread over its buckets and one key decides each label.
     """
-    rule = (F.col("pool") == F.col("end_pool")) & F.col("end_us").between(F.col("event_us") + horizon_us, F.col("event_us") + horizon_us + delay_us) & (F.col("end_received") > F.col("received_time"))
-    span = F.expr(f"end_received <= received_time + interval {(horizon_us + delay_us) // 1_000_000 + 86_400} seconds")
-    return points.join(later, rule & span).select("point_id", "end_id", "end_us", F.unix_micros("end_received").alias("end_arrival_us"))
+    width = max(width_us or delay_us, delay_us, 1)
+    points = stream.where("is_point").withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])))
+    points = points.withColumn("target_us", F.col("event_us") + F.col("horizon")).withColumn("bucket", floor_div(F.col("target_us"), width))
+    nothing = F.lit(None).cast("long")
+    ends = stream.withColumn("is_point", F.lit(False)).withColumn("horizon", nothing).withColumn("target_us", nothing)
+    ends = ends.withColumn("bucket", F.explode(F.array_distinct(F.array(floor_div(F.col("event_us") - delay_us, width), floor_div(F.col("event_us"), width)))))
+    names = ["pool", "bucket", "is_point", "point_id", "horizon", "target_us", "event_us", "arrival_us", "price", "received_time"]
+    keyed = points.select(*names).unionByName(ends.select(*names))
+    return keyed.groupBy("pool", "bucket").transformWithStateInPandas(ForwardLabels(delay_us, forget_us), LABELS, "append", "eventTime")
 
 
 class Positions(StatefulProcessor):
@@ -168,23 +270,81 @@ def confirmed_only(stream: DataFrame, block: str, head: int, lag: int) -> DataFr
     return stream.where(F.col(block) <= head - lag)
 
 
-def repair_on_reorg(stream: DataFrame, raw: str, path: str, checkpoint: str, project: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Keeps every row of a stream (source, range, ...) at `raw` and its canonical projection at `path`.
+#: Ranges that one micro-batch may touch so that they are named as literals, which prune partitions.
+MOST_RANGES = 2000
 
-    A micro-batch is stored first, under its number.  Then the ranges that it touches, by new blocks or by another lineage of
-    old ones, are read whole from the raw table, projected again and replaced by dynamic partition overwrite.  A batch
-    that runs again writes the same files, and rows of earlier batches in a touched range are never lost.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "source", "range").parquet(raw)
-        stored = spark.read.schema(batch.withColumn("batch", F.lit(number)).schema).parquet(raw)
-        touched = stored.where(F.col("batch") == number).select("source", "range").distinct()
-        whole = stored.where(F.col("batch") <= number).drop("batch").join(small_or_shuffled(touched), ["source", "range"], "left_semi")
-        project(whole).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "range").parquet(path)
+class RangeStore:
+    """A raw log and its canonical projection by (source, range), in three folders under `path`.
+
+    raw: every row ever seen, by source, range and batch.  canonical: the projection of a range, a version a replay, by
+    source, range and version.  manifest: for each replay of a range a mark `needs_repair` before it and a row `canonical`
+    after it, with the version, the range's tip and its canonical rows.  The newest row of a range is its state: a replay
+    that failed leaves the mark, and a range without canonical rows has a version without files.
+    """
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, spark: SparkSession, path: str, project: Callable[[DataFrame], DataFrame], tip: Column):
+        self.spark, self.project, self.tip = spark, project, tip
+        self.raw, self.canonical, self.manifest = f"{path}/raw", f"{path}/canonical", f"{path}/manifest"
+
+    def _exists(self, path: str) -> bool:
+        try:
+            self.spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return False
+        return True
+
+    def state(self) -> DataFrame:
+        """(source, range, status, version, tip, rows): the newest manifest row of each range."""
+        rows = self.spark.read.parquet(self.manifest)
+        newest = F.max_by(F.struct("status", "version", "tip", "rows"), F.struct("version", F.col("status") == "canonical"))
+        return rows.groupBy("source", "range").agg(newest.alias("s")).select("source", "range", "s.*")
+
+    def current(self) -> DataFrame:
+        """The canonical rows of every range's last finished replay."""
+        done = self.spark.read.parquet(self.manifest).where("status = 'canonical'").groupBy("source", "range").agg(F.max("version").alias("version"))
+        # One row a range.
+        return self.spark.read.parquet(self.canonical).join(small_or_shuffled(done), ["source", "range", "version"], "left_semi").drop("version")
+
+    def _mark(self, rows: DataFrame, number: int) -> None:
+        rows.select("source", "range", "status", "version", "tip", "rows").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "status").parquet(self.manifest)
+
+    def _of_ranges(self, stored: DataFrame, ranges: DataFrame) -> DataFrame:
+        """The stored rows of some ranges; literal keys let Spark list and read their partitions only."""
+        keys = ranges.limit(MOST_RANGES + 1).collect()
+        if len(keys) <= MOST_RANGES:
+            stored = stored.where(F.col("source").isin([k["source"] for k in keys]) & F.col("range").isin([k["range"] for k in keys]))
+        return stored.join(small_or_shuffled(ranges), ["source", "range"], "left_semi")
+
+    def store(self, batch: DataFrame, number: int) -> None:
+        """Store a micro-batch and replay the ranges that it touches and those whose last replay failed.  A batch that runs again
+        writes the same files."""
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "range", "batch").parquet(self.raw)
+        keys = batch.select("source", "range").distinct()
+        kinds = batch.withColumn("batch", F.lit(number)).schema
+        if self._exists(self.manifest):
+            broken = self.state().where("status = 'needs_repair'").select(*[F.col(c).cast(kinds[c].dataType) for c in ("source", "range")])
+            keys = keys.union(broken).distinct()
+        touched = cut(keys, "ranges")
+        if touched.isEmpty():
+            return
+        stored = self._of_ranges(self.spark.read.schema(kinds).parquet(self.raw), touched).where(F.col("batch") <= number)
+        # Tips are known even where no row is canonical.
+        tips = cut(stored.groupBy("source", "range").agg(self.tip.cast("string").alias("tip")), "tips")
+        version = F.lit(number).cast("long").alias("version")
+        self._mark(tips.select("source", "range", F.lit("needs_repair").alias("status"), version, "tip", F.lit(None).cast("long").alias("rows")), number)
+        replayed = self.project(stored.drop("batch")).withColumn("version", F.lit(number).cast("long"))
+        replayed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "range", "version").parquet(self.canonical)
+        written = self.spark.read.schema(replayed.schema).parquet(self.canonical).where(F.col("version") == number).groupBy("source", "range").agg(F.count("*").alias("rows"))
+        done = tips.join(written, ["source", "range"], "left").select("source", "range", F.lit("canonical").alias("status"), version, "tip", F.coalesce("rows", F.lit(0)).alias("rows"))
+        self._mark(done, number)
+
+
+def repair_on_reorg(stream: DataFrame, store: RangeStore, checkpoint: str) -> StreamingQuery:
+    """Keeps a stream (source, range, ...) and its canonical projection in a range store, micro-batch by micro-batch."""
+    return stream.writeStream.foreachBatch(store.store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
