@@ -123,11 +123,13 @@ class ForwardLabels(StatefulProcessor):
         if len(pending) or self.forget is None or until > clock_ms:
             self.waiting.update((_packed(waiting, _WAITING),))
         out = waiting[changed]
+        if not len(out):
+            return
         ended, where = out.status == 2, place[changed]
         pick = lambda c: pd.Series(np.where(ended, ends[c].to_numpy()[where], 0) if len(ends) else 0, out.index).where(ended).astype("Int64")
         observed = pick("end_arrival_us").fillna(np.maximum(out.target_us, out.arrival_us).where(out.status == 1, out.target_us)).astype("int64")
         yield pd.DataFrame({
-            "point_id": out.point_id, "pool": key[0], "horizon": out.horizon, "status": [_STATUS[s] for s in out.status], "end_id": pick("end_id"),
+            "point_id": out.point_id, "pool": key[0], "horizon": out.horizon, "status": pd.Series([_STATUS[s] for s in out.status], out.index, dtype=object), "end_id": pick("end_id"),
             "observed_us": observed, "start_price": out.price, "end_price": pick("end_price"), "revision": out.revision,
         })
 
