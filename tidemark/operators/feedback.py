@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.integers import floor_div
 from tidemark.operators.evaluation import reasons
 
 
 def feedback_join(outcomes: DataFrame, predictions: DataFrame, cutoff: int) -> DataFrame:
-    """Outcomes with their prediction, audit reasons and eligibility.
+    """Outcomes with their prediction, audit reasons, whether they are excluded and whether they may train a model.
 
     predictions(prediction_id, target_id, created_us, state); outcomes(outcome_id, prediction_id, target_id, status,
-    available_us, net_return_bps, source_ref).
+    observed_us, available_us, net_return_bps, source_refs).  An outcome without prediction, or whose label isn't available
+    by the cutoff (a null availability included), is excluded with that reason alone.  Of the others, observed and
+    censored ones with a numeric target and no violation are eligible.
     """
     p = predictions.select("prediction_id", F.col("target_id").alias("__target"), F.col("created_us").alias("__created"), F.col("state").alias("__state"), F.lit(True).alias("__found"))
     joined = outcomes.join(p, "prediction_id", "left")
-    why = reasons([
-        ("prediction_not_found", F.col("__found").isNull()), ("label_after_cutoff", F.col("available_us") > cutoff), ("label_before_prediction", F.col("available_us") < F.col("__created")),
-        ("target_mismatch", F.col("target_id") != F.col("__target")), ("self_label", F.col("source_ref") == F.col("prediction_id")), ("prediction_inactive", F.col("__state") != "active"),
-    ])
-    eligible = (why == "") & (F.col("status") == "observed") & F.col("net_return_bps").isNotNull()
-    return joined.withColumn("reasons", why).withColumn("eligible", F.coalesce(eligible, F.lit(False))).drop("__target", "__created", "__state", "__found")
+    early = (F.col("observed_us") < F.col("__created")) | (F.col("available_us") < F.col("__created"))
+    violations = [
+        ("outcome_before_prediction", early), ("target_identity_mismatch", ~F.col("target_id").eqNullSafe(F.col("__target"))),
+        ("prediction_self_label_reference", F.array_contains(F.col("source_refs").cast("array<string>"), F.col("prediction_id").cast("string"))),
+        ("prediction_not_active_at_creation", F.col("__state").isin("invalidated", "expired")),
+    ]
+    unusable = [("outcome_unresolved_or_invalidated", F.col("status").isin("unresolved", "invalidated")), ("numeric_target_unavailable", F.col("net_return_bps").isNull())]
+    hidden = F.when(F.col("__found").isNull(), "prediction_not_found").when(F.col("available_us").isNull() | (F.col("available_us") > cutoff), "label_after_cutoff_or_missing")
+    fits = (reasons(violations) == "") & F.col("status").isin("observed", "censored") & F.col("net_return_bps").isNotNull()
+    out = joined.withColumn("excluded", hidden.isNotNull()).withColumn("reasons", F.coalesce(hidden, reasons(violations + unusable)))
+    return out.withColumn("eligible", hidden.isNull() & F.coalesce(fits, F.lit(False))).drop("__target", "__created", "__state", "__found")
 
 
 def maturation_queue(predictions: DataFrame, outcomes: DataFrame, cutoff: int) -> DataFrame:
-    """(prediction_id, state): ready with an observed outcome known by the cutoff, unresolved with another one, missing after
-    its expiry, else waiting.  A later unresolved outcome doesn't hide a ready one."""
-    known = outcomes.where(F.col("available_us") <= cutoff).groupBy("prediction_id").agg(F.bool_or(F.col("status") == "observed").alias("__ready"))
-    state = F.when(F.col("__ready"), "ready").when(~F.col("__ready"), "unresolved").when(F.col("expires_us") <= cutoff, "missing").otherwise("waiting")
-    return predictions.join(known, "prediction_id", "left").select("prediction_id", state.alias("state"))
+    """(prediction_id, state, reason): ready with an observed or censored outcome available by the cutoff, unresolved with others
+    only, missing once its label is due, else waiting.  A later unresolved outcome doesn't hide a ready one.
+
+    predictions(prediction_id, due_us); an outcome without availability isn't there.
+    """
+    known = outcomes.where(F.col("available_us") <= cutoff).groupBy("prediction_id").agg(F.bool_or(F.col("status").isin("observed", "censored")).alias("__ready"))
+    joined = predictions.join(known, "prediction_id", "left")
+    state = F.when(F.col("__ready"), "ready").when(~F.col("__ready"), "unresolved").when(F.col("due_us") <= cutoff, "missing").otherwise("waiting")
+    reason = F.when(state == "unresolved", "outcome_unresolved_or_invalidated").when(state == "missing", "label_due_without_available_outcome")
+    return joined.select("prediction_id", state.alias("state"), reason.alias("reason"))
 
 
 def training_join(examples: DataFrame, features: DataFrame, partitions: DataFrame, group: str) -> DataFrame:
@@ -48,19 +61,31 @@ def inbox(proposals: DataFrame, predictions: DataFrame, cutoff: int) -> DataFram
     return joined.withColumn("shown_state", shown).withColumn("shown_action", F.when(shown == "open", F.col("action")).otherwise("none")).drop("__state")
 
 
-def link_actions(actions: DataFrame, activities: DataFrame, window: int) -> DataFrame:
-    """(action_id, activity_id, link): by exact hash first, else the only activity of the wallet, instrument and direction
-    within the window; ambiguous with several, pending with none.
+def link_actions(actions: DataFrame, activities: DataFrame, window_us: int) -> DataFrame:
+    """(action_id, activity_id, status, reason): the activity that an action was, if exactly one fits.
 
-    actions(action_id, tx, wallet, instrument, direction, at_us); activities the same with activity_id.
+    actions(action_id, tx, wallet, market, instrument, action, at_us); activities(activity_id, tx, wallet, kind, instrument,
+    delta, at_us), one row for each instrument of an activity.  Compatible are swaps of a spot action's instrument whose
+    delta has the action's sign (enter: in, exit: out), and pool activities of a pool action; wallets agree where the
+    action names one.  With a transaction hash only compatible activities of that hash count: none is pending, several
+    are ambiguous.  Without a hash those within `window_us` count, in the same way.  Amounts never decide.
     """
-    other = activities.select("activity_id", F.col("tx").alias("__tx"), F.col("wallet").alias("__w"), F.col("instrument").alias("__i"), F.col("direction").alias("__d"), F.col("at_us").alias("__at"))
-    exact = actions.join(other, F.col("tx") == F.col("__tx")).groupBy("action_id").agg(F.min("activity_id").alias("__exact"))
-    near_rule = (F.col("wallet") == F.col("__w")) & (F.col("instrument") == F.col("__i")) & (F.col("direction") == F.col("__d")) & (F.abs(F.col("at_us") - F.col("__at")) <= window)
-    near = actions.join(other, near_rule).groupBy("action_id").agg(F.count("*").alias("__n"), F.min("activity_id").alias("__near"))
-    out = actions.join(exact, "action_id", "left").join(near, "action_id", "left")
-    link = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__n") == 1, "unique").when(F.col("__n") > 1, "ambiguous").otherwise("pending")
-    return out.select("action_id", F.coalesce("__exact", F.when(F.col("__n") == 1, F.col("__near"))).alias("activity_id"), link.alias("link"))
+    lower = lambda c: F.lower(F.col(c).cast("string"))
+    left = actions.select("action_id", lower("tx").alias("tx"), F.regexp_replace(lower("wallet"), "^wallet:", "").alias("wallet"), "market", lower("instrument").alias("i"), "action", "at_us", floor_div(F.col("at_us"), max(window_us, 1)).alias("__b"))
+    right = activities.select("activity_id", lower("tx").alias("__tx"), lower("wallet").alias("__w"), "kind", lower("instrument").alias("i"), "delta", F.col("at_us").alias("__at"), floor_div(F.col("at_us"), max(window_us, 1)).alias("__b"))
+    swap = (F.col("market") == "spot") & (F.col("kind") == "swap") & (((F.col("action") == "enter") & (F.col("delta") > 0)) | ((F.col("action") == "exit") & (F.col("delta") < 0)))
+    pool = (F.col("market") != "spot") & (F.col("kind") == "lp") & F.col("action").isin("enter", "exit", "hold")
+    fits = (F.col("wallet").isNull() | (F.col("wallet") == F.col("__w"))) & (swap | pool)
+    exact = left.where("tx is not null").drop("__b").join(right.where("__tx is not null").drop("__b"), (F.col("tx") == F.col("__tx")) & (left["i"] == right["i"]) & fits)
+    # A window as wide as a time bucket touches three buckets.
+    near = left.where("tx is null").withColumn("__b", F.explode(F.array(*[F.col("__b") + d for d in (-1, 0, 1)]))).join(right, ["i", "__b"]).where(fits & (F.abs(F.col("at_us") - F.col("__at")) <= window_us))
+    pairs = exact.select("action_id", "activity_id").union(near.select("action_id", "activity_id"))
+    counted = pairs.groupBy("action_id").agg(F.min("activity_id").alias("__one"), (F.min("activity_id") != F.max("activity_id")).alias("__many"))
+    out = actions.select("action_id", F.col("tx").isNotNull().alias("__hashed")).join(counted, "action_id", "left")
+    status = F.when(F.col("__one").isNull(), "pending").when(F.col("__many"), "ambiguous").otherwise("matched")
+    why = F.when(F.col("__hashed"), F.when(status == "pending", "transaction_identity_not_observed").when(status == "ambiguous", "multiple_exact_transaction_candidates").otherwise("exact_transaction_match"))
+    why = why.otherwise(F.when(status == "pending", "manual_evidence_pending").when(status == "ambiguous", "multiple_compatible_time_window_candidates").otherwise("single_compatible_time_window_match"))
+    return out.select("action_id", F.when(status == "matched", F.col("__one")).alias("activity_id"), status.alias("status"), why.alias("reason"))
 
 
 def versioned_upsert(current: DataFrame, incoming: DataFrame, ident: str, payload: list[str]) -> DataFrame:

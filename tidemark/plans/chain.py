@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.canon import row_hash, table_hash
-from tidemark.functions.integers import floor_div
-from tidemark.operators import chain, windows
-from tidemark.plans.bindings import headers, query, raw_events, table
+from tidemark.operators import chain, policies, windows
+from tidemark.plans.bindings import DAY, headers, query, raw_events, table
 from tidemark.plans.market import AS_OF
 
 _TIP = "tip AS (SELECT hash, height FROM hd WHERE hash % 10 <> 9 ORDER BY hash DESC LIMIT 1)"
@@ -206,8 +205,18 @@ def pool_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("pool").agg(F.min(F.struct("event_us", "arrival_us", "event_id")).alias("f"), (F.count_distinct("event_type") > 1).alias("conflict")).select("pool", F.col("f.event_id").alias("identity_id"), "conflict")
 
 
-@query("shadow_window_audit", "w AS (SELECT source, min(event_us) AS a, max(event_us) AS b, count(*) AS n, count(*) FILTER (status = 'canonical') AS ok FROM ev GROUP BY 1) SELECT source, (b - a) // 1000000 AS seconds, ok * 10000 // n AS availability_bps, CASE WHEN (b - a) // 1000000 >= 259200 AND ok * 10000 // n >= 9000 THEN 'pass' ELSE 'inconclusive' END AS state FROM w")
+@query("shadow_window_audit", f"""w AS (SELECT pool, min(event_us) AS a, CASE WHEN pool % 9 <> 0 THEN max(event_us) END AS b, count(*) FILTER (event_type IN ('signup', 'purchase')) AS launches, count(*) FILTER (status = 'canonical') AS scheduled,
+ count(*) FILTER (status = 'canonical' AND event_id % 61 = 0) AS missed, count(*) FILTER (status = 'quarantined' AND event_id % 3 = 0) AS gaps FROM ev GROUP BY 1),
+x AS (SELECT *, coalesce(b - a, 0) AS duration_us, CASE WHEN scheduled > 0 THEN (scheduled - missed) * 10000 // scheduled END AS availability_bps FROM w),
+y AS (SELECT pool, duration_us, availability_bps, concat_ws(',', CASE WHEN duration_us < {14 * DAY} THEN 'insufficient_duration' END, CASE WHEN launches < 20 THEN 'insufficient_eligible_launches' END,
+ CASE WHEN availability_bps IS NULL OR availability_bps < 9800 THEN 'healthy_interval_availability_below_gate' END, CASE WHEN gaps > 0 THEN 'unresolved_source_gaps' END) AS reasons FROM x)
+SELECT pool, duration_us, availability_bps, reasons, CASE WHEN reasons = '' THEN 'pass' ELSE 'inconclusive' END AS state FROM y""")
 def shadow_window_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = raw_events(spark, sf_dir).groupBy("source").agg(F.min("event_us").alias("a"), F.max("event_us").alias("b"), F.count("*").alias("n"), F.count_if(F.col("status") == "canonical").alias("ok"))
-    w = w.select("source", floor_div(F.col("b") - F.col("a"), 1_000_000).alias("seconds"), floor_div(F.col("ok") * 10_000, F.col("n")).alias("availability_bps"))
-    return w.withColumn("state", F.when((F.col("seconds") >= 259_200) & (F.col("availability_bps") >= 9000), "pass").otherwise("inconclusive"))
+    """The window of each pool, some still open, with its launches, canonical decisions, missed ones and open gaps."""
+    own, canonical = F.col("event_id"), F.col("status") == "canonical"
+    w = raw_events(spark, sf_dir).groupBy("pool").agg(
+        F.min("event_us").alias("start_us"), F.max("event_us").alias("last_us"), F.count_if(F.col("event_type").isin("signup", "purchase")).alias("launches"), F.count_if(canonical).alias("scheduled"),
+        F.count_if(canonical & (own % 61 == 0)).alias("missed"), F.count_if((F.col("status") == "quarantined") & (own % 3 == 0)).alias("gaps"),
+    )
+    w = w.withColumn("end_us", F.when(F.col("pool") % 9 != 0, F.col("last_us")))
+    return policies.audit_window(w, 14, 20, 9800).select("pool", "duration_us", "availability_bps", F.array_join("reasons", ",").alias("reasons"), "state")

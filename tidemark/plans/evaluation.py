@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.integers import floor_div, round_to_spacing
 from tidemark.operators import evaluation, policies, windows
 from tidemark.plans.bindings import DAY, MINUTE, floored, query, raw_events
-from tidemark.plans.market import AS_OF, START
+from tidemark.plans.market import AS_OF, START, returns
 
 _EPI = f"epi AS (SELECT event_id, pool, event_type, CAST(event_us // {DAY} AS BIGINT) AS block_id, price % 400 - 180 AS net_bps, price % 90 - 30 AS benchmark_bps, event_type = 'error' AS failed, price % 50 AS turnover_bps, price % 70 AS exposure_bps, event_us FROM ev)"
 
@@ -74,47 +74,59 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.equity_curve(episodes(spark, sf_dir), ["pool"], ["event_us", "event_id"], "net_bps", 100_000)
 
 
-_PRED = "pd AS (SELECT event_id, pool, event_us, arrival_us, price % 300 - 140 AS expected, price % 110 AS uncertainty, event_id % 3 = 0 AS is_open, price FROM ev)"
-
-
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("price")
-    return raw_events(spark, sf_dir).select("event_id", "pool", "event_us", "arrival_us", (p % 300 - 140).alias("expected"), (p % 110).alias("uncertainty"), (F.col("event_id") % 3 == 0).alias("is_open"), "price")
-
-
-@query("map_prediction_action", f"{_PRED} SELECT event_id, CASE WHEN NOT is_open AND expected > uncertainty THEN 'enter' WHEN is_open AND expected < -uncertainty THEN 'exit' WHEN is_open THEN 'hold' ELSE 'watch' END AS action FROM pd")
+@query("map_prediction_action", """pq AS (SELECT event_id, price % 401 - 200 AS expected, price % 613 AS uncertainty, event_id % 3 = 0 AS is_open FROM ev)
+SELECT event_id, CASE WHEN uncertainty > 500 THEN 'watch' WHEN is_open AND expected <= -100 THEN 'exit' WHEN NOT is_open AND expected >= 100 THEN 'enter' WHEN is_open THEN 'hold' ELSE 'watch' END AS action,
+ CASE WHEN uncertainty > 500 THEN 'uncertainty_above_threshold' WHEN is_open AND expected <= -100 THEN 'expected_return_below_exit_threshold' WHEN NOT is_open AND expected >= 100 THEN 'expected_return_above_entry_threshold' ELSE 'threshold_not_met' END AS reason FROM pq""")
 def map_prediction_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir).select("event_id", policies.prediction_action(F.col("expected"), F.col("uncertainty"), F.col("is_open")).alias("action"))
-
-
-_BASE = """CASE policy WHEN 'idle' THEN 'watch' WHEN 'fixed_horizon' THEN CASE WHEN is_open THEN 'exit' ELSE 'enter' END WHEN 'momentum' THEN CASE WHEN expected > 50 THEN 'enter' WHEN expected < -50 THEN 'exit' ELSE 'hold' END
- WHEN 'flow_filter' THEN CASE WHEN uncertainty < 40 AND expected > 0 THEN 'enter' ELSE 'watch' END ELSE CASE WHEN pool % 7 = 0 THEN 'enter' ELSE 'watch' END END"""
-
-
-def _baselines() -> dict:
-    e, u, o = F.col("expected"), F.col("uncertainty"), F.col("is_open")
-    return {
-        "idle": F.lit("watch"), "fixed_horizon": F.when(o, "exit").otherwise("enter"), "momentum": F.when(e > 50, "enter").when(e < -50, "exit").otherwise("hold"),
-        "flow_filter": F.when((u < 40) & (e > 0), "enter").otherwise("watch"), "wallet_follow": F.when(F.col("pool") % 7 == 0, "enter").otherwise("watch"),
-    }
-
-
-_POLICIES = "po(policy) AS (VALUES ('idle'), ('fixed_horizon'), ('momentum'), ('flow_filter'), ('wallet_follow'))"
+    p = F.col("price")
+    decided = policies.prediction_action(p % 401 - 200, p % 613, F.col("event_id") % 3 == 0)
+    return raw_events(spark, sf_dir).select("event_id", decided.alias("d")).select("event_id", "d.action", "d.reason")
+
+
+#: Observations of the pools: the price change and the run of rises from arrivals, the rest from the event.
+_OBS = f"""l1 AS (SELECT *, lag(price) OVER (PARTITION BY pool ORDER BY arrival_us, event_id) AS before FROM ev),
+l2 AS (SELECT *, coalesce({returns("before", "price")}, 0) AS change FROM l1),
+l3 AS (SELECT *, sum(CASE WHEN change <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY pool ORDER BY arrival_us, event_id) AS run FROM l2),
+ob AS (SELECT event_id, pool, event_us, price % 300 - 140 AS expected, price % 40 - 5 AS flow, price % 7 AS liquidity, change, event_type <> 'error' AS candidate, CASE pool % 4 WHEN 0 THEN 'member' WHEN 1 THEN 'outside' ELSE NULL END AS cohort,
+ sum(CASE WHEN change > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY pool, run ORDER BY arrival_us, event_id) AS rises, event_id % 3 = 0 AS is_open, event_id % 11 * 50 AS age FROM l3)"""
+_BASE = """CASE policy
+ WHEN 'idle_cash' THEN 'watch'
+ WHEN 'fixed_horizon_hold' THEN CASE WHEN is_open AND age >= 300 THEN 'exit' WHEN NOT is_open AND candidate THEN 'enter' WHEN is_open THEN 'hold' ELSE 'watch' END
+ WHEN 'confirmation_momentum' THEN CASE WHEN is_open AND change < 0 THEN 'exit' WHEN NOT is_open AND change > 0 AND rises >= 2 THEN 'enter' WHEN is_open THEN 'hold' ELSE 'watch' END
+ WHEN 'verified_flow_filter' THEN CASE WHEN is_open AND NOT (flow >= 1 AND liquidity >= 1) THEN 'exit' WHEN NOT is_open AND flow >= 1 AND liquidity >= 1 AND candidate THEN 'enter' WHEN is_open THEN 'hold' ELSE 'watch' END
+ ELSE CASE WHEN cohort IS DISTINCT FROM 'member' THEN 'watch' WHEN NOT is_open AND candidate THEN 'enter' WHEN is_open THEN 'hold' ELSE 'watch' END END"""
+_WHY = """CASE policy
+ WHEN 'idle_cash' THEN 'no_entry_by_definition'
+ WHEN 'fixed_horizon_hold' THEN CASE action WHEN 'exit' THEN 'fixed_horizon_reached' WHEN 'enter' THEN 'candidate_available' ELSE 'waiting_for_candidate' END
+ WHEN 'confirmation_momentum' THEN CASE action WHEN 'exit' THEN 'negative_momentum' WHEN 'enter' THEN 'confirmed_positive_momentum' ELSE 'confirmation_not_met' END
+ WHEN 'verified_flow_filter' THEN CASE action WHEN 'exit' THEN 'flow_or_liquidity_below_threshold' WHEN 'enter' THEN 'verified_flow_and_liquidity_confirmed' ELSE 'verified_flow_filter_not_met' END
+ ELSE CASE WHEN cohort IS DISTINCT FROM 'member' THEN 'cohort_unavailable_or_uncertain' WHEN action = 'enter' THEN 'observed_prior_cohort_signal' ELSE 'no_new_cohort_signal' END END"""
+_POLICIES = "po(policy) AS (VALUES ('idle_cash'), ('fixed_horizon_hold'), ('confirmation_momentum'), ('verified_flow_filter'), ('tracked_wallet_follow'))"
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, p = policies.market_observations(raw_events(spark, sf_dir), "pool", ["arrival_us", "event_id"], "price"), F.col("price")
+    cohort = F.when(F.col("pool") % 4 == 0, "member").when(F.col("pool") % 4 == 1, "outside")
+    return e.select(
+        "event_id", "pool", "event_us", (p % 300 - 140).alias("expected"), (p % 40 - 5).alias("verified_flow"), (p % 7).alias("liquidity"), "price_change_bps", (F.col("event_type") != "error").alias("candidate_available"), cohort.alias("cohort_state"),
+        "positive_intervals", (F.col("event_id") % 3 == 0).alias("position_open"), (F.col("event_id") % 11 * 50).alias("position_age_seconds"),
+    )
 
 
-@query("baseline_policies", f"{_PRED}, {_POLICIES} SELECT event_id, policy, {_BASE} AS action FROM pd, po")
+@query("baseline_policies", f"{_OBS}, {_POLICIES}, ac AS (SELECT *, {_BASE} AS action FROM ob, po) SELECT event_id, policy, action, CASE WHEN action = 'enter' THEN 500 ELSE 0 END AS allocation_bps, {_WHY} AS reason FROM ac")
 def baseline_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policies.stacked_policies(predictions(spark, sf_dir), _baselines(), ["event_id"])
+    return policies.baseline_decisions(observations(spark, sf_dir), ["event_id"])
 
 
-@query("range_policies", "pd AS (SELECT event_id, price, price % 37 + 1 AS width, event_id % 4 <> 0 AS evidence FROM ev), rp AS (SELECT event_id, policy, evidence, price - CASE policy WHEN 'fixed' THEN 60 ELSE greatest(10, width * 5) END AS lo, price + CASE policy WHEN 'fixed' THEN 60 ELSE greatest(10, width * 5) END AS hi FROM pd, (VALUES ('fixed'), ('volatility')) v(policy)) SELECT event_id, policy, CASE WHEN evidence THEN (lo - ((lo % 10) + 10) % 10) END AS tick_lower, CASE WHEN evidence THEN (hi - ((hi % 10) + 10) % 10) + CASE WHEN hi % 10 <> 0 THEN 10 ELSE 0 END END AS tick_upper, CASE WHEN evidence THEN 'open' ELSE 'idle' END AS action FROM rp")
+@query("range_policies", """rp AS (SELECT event_id, price - 5000 AS tick, price % 137 AS volatility, CASE event_id % 4 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS verified FROM ev),
+hw AS (SELECT *, CASE policy WHEN 'fixed_wide_range' THEN 600 WHEN 'volatility_range' THEN greatest(120, volatility * 2) END AS half FROM rp, (VALUES ('fixed_wide_range'), ('volatility_range'), ('idle')) v(policy))
+SELECT event_id, policy, CASE WHEN policy <> 'idle' AND verified THEN 'open' ELSE 'watch' END AS action, tick - half AS tick_lower, tick + half AS tick_upper,
+ CASE WHEN policy = 'idle' THEN 'no_lp_position' WHEN verified IS NOT TRUE THEN 'lp_disabled_until_verified_live_evidence' WHEN policy = 'fixed_wide_range' THEN 'fixed_discrete_range' ELSE 'observed_volatility_range' END AS reason FROM hw""")
 def range_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw_events(spark, sf_dir).select("event_id", "price", (F.col("price") % 37 + 1).alias("width"), (F.col("event_id") % 4 != 0).alias("evidence"))
-    half = {"fixed": F.lit(60).cast("long"), "volatility": F.greatest(F.lit(10).cast("long"), F.col("width") * 5)}
-    stacked = rows.select("event_id", "price", "evidence", F.inline(F.array(*[F.struct(F.lit(n).alias("policy"), w.alias("half")) for n, w in half.items()])))
-    lower = round_to_spacing(F.col("price") - F.col("half"), F.lit(10))
-    upper = round_to_spacing(F.col("price") + F.col("half"), F.lit(10), up=True)
-    return stacked.select("event_id", "policy", F.when(F.col("evidence"), lower).alias("tick_lower"), F.when(F.col("evidence"), upper).alias("tick_upper"), F.when(F.col("evidence"), "open").otherwise("idle").alias("action"))
+    i = F.col("event_id")
+    verified = F.when(i % 4 == 0, False).when(i % 4 != 1, True)
+    rows = raw_events(spark, sf_dir).select("event_id", (F.col("price") - 5000).alias("tick"), (F.col("price") % 137).alias("volatility"), verified.alias("verified"))
+    return policies.range_decisions(rows, ["event_id"], "tick", "volatility", "verified")
 
 
 @query("tick_rounding", "tk AS (SELECT event_id, price - 4000 AS tick, 10 + event_id % 3 * 50 AS spacing FROM ev), fl AS (SELECT *, tick - ((tick % spacing) + spacing) % spacing AS down FROM tk) SELECT event_id, down, CASE WHEN down <> tick THEN down + spacing ELSE down END AS up FROM fl")
@@ -123,22 +135,37 @@ def tick_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", round_to_spacing(F.col("tick"), F.col("spacing")).alias("down"), round_to_spacing(F.col("tick"), F.col("spacing"), up=True).alias("up"))
 
 
-@query("health_state", f"la AS (SELECT pool, max(arrival_us) AS latest, count(*) FILTER (status = 'quarantined') AS bad, count(*) FILTER (event_type = 'error') AS errors FROM ev WHERE arrival_us <= {AS_OF} GROUP BY pool), hs AS (SELECT pool, CASE WHEN latest IS NULL THEN 'unknown' WHEN {AS_OF} - latest > 43200000000 THEN 'stale' WHEN bad > 3 OR errors > 12 THEN 'degraded' ELSE 'healthy' END AS state FROM la) SELECT pool, state, state = 'healthy' AS can_enter FROM hs")
+@query("health_state", f"""pl AS (SELECT DISTINCT pool FROM ev),
+la AS (SELECT pool, arg_max({{t: event_type, p: price}}, {{a: arrival_us, i: event_id}}) AS l, max(arrival_us) AS latest FROM ev WHERE arrival_us <= {AS_OF} AND pool % 10 <> 7 GROUP BY pool),
+q AS (SELECT pl.pool, CASE l.t WHEN 'error' THEN 'degraded' WHEN 'view' THEN 'unknown' ELSE 'healthy' END AS quality, l.p % 6 = 0 AS contradictory, latest, pl.pool % 2 = 0 AS position FROM pl LEFT JOIN la ON pl.pool = la.pool),
+st AS (SELECT *, CASE WHEN latest IS NULL THEN 'unknown' WHEN contradictory THEN 'degraded' WHEN quality <> 'healthy' THEN quality WHEN {AS_OF} - latest > 21600000000 THEN 'stale' ELSE 'healthy' END AS state FROM q)
+SELECT pool, state, state = 'healthy' AS can_enter, CASE WHEN NOT position THEN 'pause_new_entries' WHEN state = 'healthy' THEN 'hold_existing_position' ELSE 'hold_and_reconcile_existing_position' END AS management_action,
+ latest IS NULL OR {AS_OF} - latest > 21600000000 AS missed_deadline,
+ CASE WHEN latest IS NULL THEN 'no_received_observation' WHEN contradictory THEN 'contradictory_observation' WHEN quality <> 'healthy' THEN 'quality_' || quality WHEN {AS_OF} - latest > 21600000000 THEN 'decision_deadline_missed' ELSE 'within_deadline' END AS reason FROM st""")
 def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = raw_events(spark, sf_dir).where(F.col("arrival_us") <= AS_OF).groupBy("pool").agg(F.max("arrival_us").alias("latest"), F.count_if(F.col("status") == "quarantined").alias("bad"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    state = F.when(F.col("latest").isNull(), "unknown").when(AS_OF - F.col("latest") > 720 * MINUTE, "stale").when((F.col("bad") > 3) | (F.col("errors") > 12), "degraded").otherwise("healthy")
-    return latest.select("pool", state.alias("state"), (state == "healthy").alias("can_enter"))
+    """Each pool at an instant, from the last event that had arrived; some pools are never observed."""
+    e = raw_events(spark, sf_dir)
+    latest = e.where((F.col("arrival_us") <= AS_OF) & (F.col("pool") % 10 != 7)).groupBy("pool").agg(F.max_by(F.struct("event_type", "price"), F.struct("arrival_us", "event_id")).alias("l"), F.max("arrival_us").alias("latest"))
+    q = e.select("pool").distinct().join(latest, "pool", "left")
+    quality = F.when(F.col("l.event_type") == "error", "degraded").when(F.col("l.event_type") == "view", "unknown").otherwise("healthy")
+    h = policies.health(quality, F.col("l.price") % 6 == 0, F.lit(AS_OF), F.col("latest"), F.col("pool") % 2 == 0, deadline_seconds=21_600)
+    return q.select("pool", h.alias("h")).select("pool", "h.*")
 
 
-_SC = [("calm", 0, 10), ("fees", 30, 60), ("crash", 250, 120)]
-_SCV = f"sc(scenario, slip, cost) AS (VALUES {', '.join(str(x) for x in _SC)})"
+_SC = [("calm", 0, 10, 0), ("fees", 30, 60, 5), ("crash", 2500, 120, 40)]
+_SCV = f"sc(scenario, move, fee, gas) AS (VALUES {', '.join(str(x) for x in _SC)})"
 
 
-@query("stress_linear", f"{_SCV} SELECT event_id, scenario, CASE WHEN status = 'quarantined' THEN NULL ELSE {floored('price * (10000 - slip - cost)', '10000')} END AS modelled_net, status = 'quarantined' AS excluded FROM ev, sc")
+@query("stress_linear", f"""{_SCV}, lp AS (SELECT event_id, price % 500 AS base_fee, price * 3 AS size, CASE WHEN event_id % 4 = 0 THEN price * 2 WHEN event_id % 4 = 1 THEN price * 5 END AS depth, status <> 'quarantined' AND event_id % 23 <> 0 AS supported FROM ev),
+ex AS (SELECT *, CASE WHEN NOT supported THEN 'unsupported_hook_or_token' WHEN depth < size THEN 'insufficient_exit_depth' ELSE 'linearized_counterfactual' END AS reason FROM lp, sc)
+SELECT event_id, scenario, CASE WHEN reason = 'linearized_counterfactual' THEN base_fee - size * move // 10000 - size * fee // 10000 - gas END AS modelled_net, CASE WHEN reason = 'linearized_counterfactual' THEN 'modeled' ELSE 'excluded' END AS state, reason FROM ex""")
 def stress_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenarios = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(s).alias("slip"), F.lit(c).alias("cost")) for n, s, c in _SC]))
-    e = raw_events(spark, sf_dir).select("event_id", "price", (F.col("status") == "quarantined").alias("excluded"), scenarios)
-    return e.select("event_id", "scenario", F.when(~F.col("excluded"), floor_div(F.col("price") * (10_000 - F.col("slip") - F.col("cost")), 10_000)).alias("modelled_net"), "excluded")
+    i, p = F.col("event_id"), F.col("price")
+    scenarios = F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("move"), F.lit(f).alias("fee"), F.lit(g).alias("gas")) for n, m, f, g in _SC]))
+    depth = F.when(i % 4 == 0, p * 2).when(i % 4 == 1, p * 5)
+    e = raw_events(spark, sf_dir).select("event_id", (p % 500).alias("base"), (p * 3).alias("size"), depth.alias("depth"), ((F.col("status") != "quarantined") & (i % 23 != 0)).alias("supported"), scenarios)
+    r = policies.linear_stress(F.col("base"), F.col("size"), F.col("move"), F.col("fee"), F.col("gas"), F.col("depth"), F.col("supported"))
+    return e.select("event_id", "scenario", r.alias("r")).select("event_id", "scenario", "r.*")
 
 
 _QUOTE = "qt AS (SELECT pool, event_us AS quoted_us, event_id AS quote_id, 1000000 + price * 10 AS reserve_in, 2000000 + price * 7 AS reserve_out, 30 + event_id % 3 * 5 AS fee_bps FROM ev WHERE event_id % 2 = 0), od AS (SELECT event_id AS order_id, pool, event_us + 1800000000 AS at_us, 10000 + price AS amount FROM ev WHERE event_id % 3 = 0)"
@@ -225,21 +252,21 @@ def stress_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("order_id", "scenario", status.alias("status"), F.when(status == "completed", F.col("returned") - F.col("amount")).alias("net"))
 
 
-@query("quote_cross_policies", f"{_PRED}, {_POLICIES}, q0 AS (SELECT pool AS qp, count(*) AS quotes FROM ev WHERE event_id % 2 = 0 GROUP BY pool) SELECT policy, pool, count(*) FILTER ({_BASE} = 'enter') AS entries, any_value(quotes) AS quotes FROM pd, po, q0 WHERE pool = qp GROUP BY policy, pool")
+@query("quote_cross_policies", f"{_OBS}, {_POLICIES}, q0 AS (SELECT pool AS qp, count(*) AS quotes FROM ev WHERE event_id % 2 = 0 GROUP BY pool) SELECT policy, pool, count(*) FILTER ({_BASE} = 'enter') AS entries, any_value(quotes) AS quotes FROM ob, po, q0 WHERE pool = qp GROUP BY policy, pool")
 def quote_cross_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quotes(spark, sf_dir).groupBy("pool").agg(F.count("*").alias("quotes"))
-    acted = policies.stacked_policies(predictions(spark, sf_dir), _baselines(), ["pool"])
+    acted = policies.baseline_decisions(observations(spark, sf_dir), ["pool"])
     return acted.groupBy("policy", "pool").agg(F.count_if(F.col("action") == "enter").alias("entries")).join(q, "pool")
 
 
-@query("baseline_laboratory", f"""RECURSIVE {_PRED}, {_POLICIES}, ac AS (SELECT policy, pool, event_id, event_us, CASE WHEN {_BASE} = 'enter' THEN expected ELSE 0 END AS bps FROM pd, po),
+@query("baseline_laboratory", f"""RECURSIVE {_OBS}, {_POLICIES}, ac AS (SELECT policy, pool, event_id, event_us, CASE WHEN {_BASE} = 'enter' THEN expected ELSE 0 END AS bps FROM ob, po),
 nu AS (SELECT policy, pool, bps, row_number() OVER (PARTITION BY policy, pool ORDER BY event_us, event_id) AS i FROM ac),
 fo(policy, pool, i, e) AS (SELECT DISTINCT policy, pool, CAST(0 AS BIGINT), CAST(1000000 AS BIGINT) FROM nu UNION ALL SELECT nu.policy, nu.pool, nu.i, greatest(0, e + {floored('e * bps', '10000')}) FROM fo JOIN nu ON nu.policy = fo.policy AND nu.pool = fo.pool AND nu.i = fo.i + 1),
 eq AS (SELECT policy, pool, max(i) AS steps, arg_max(e, i) AS equity FROM fo GROUP BY policy, pool), me AS (SELECT policy, pool, {floored('CAST(sum(bps) AS BIGINT)', 'count(*)')} AS mean_bps, min(bps) AS worst_bps FROM ac GROUP BY policy, pool)
 SELECT eq.policy, eq.pool, steps, equity, mean_bps, worst_bps FROM eq JOIN me ON eq.policy = me.policy AND eq.pool = me.pool""")
 def baseline_laboratory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each baseline policy's account in each pool over all cases: steps, final equity, mean and worst return."""
-    acted = policies.stacked_policies(predictions(spark, sf_dir), _baselines(), ["pool", "event_id", "event_us", "expected"]).withColumn("bps", F.when(F.col("action") == "enter", F.col("expected")).otherwise(0))
+    acted = policies.baseline_decisions(observations(spark, sf_dir), ["pool", "event_id", "event_us", "expected"]).withColumn("bps", F.when(F.col("action") == "enter", F.col("expected")).otherwise(0))
     curve = windows.equity_curve(acted, ["policy", "pool"], ["event_us", "event_id"], "bps", 1_000_000)
     last = curve.groupBy("policy", "pool").agg(F.max("step").alias("steps"), F.max_by("equity", "step").alias("equity"))
     return last.join(acted.groupBy("policy", "pool").agg(floor_div(F.sum("bps"), F.count("*")).alias("mean_bps"), F.min("bps").alias("worst_bps")), ["policy", "pool"])
@@ -260,18 +287,28 @@ def allocate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.allocate(c, "portfolio", "asset", "score", "at", "event_id", 200, "cash", "slots", existing).select("event_id", "reason")
 
 
-@query("select_mode", "mo AS (SELECT event_id, m.mode, price * k % 997 AS score, event_id % k <> 0 AND price * k % 997 > 300 AS usable FROM ev, (VALUES ('lp', 7), ('spot', 5), ('wait', 3)) m(mode, k)), bm AS (SELECT event_id, min({s: -score, m: mode}) FILTER (usable) AS b FROM mo GROUP BY event_id) SELECT event_id, coalesce(b.m, 'idle') AS mode, CASE WHEN b IS NULL THEN 'no_supported_affordable_mode' END AS reason FROM bm")
+@query("select_mode", """mo AS (SELECT event_id, m.mode, price * k % 997 AS score, event_id % k <> 0 AS supported, price * k AS cash, m.mode <> 'lp' OR event_id % 5 < 2 AS verified, event_id % 13 = 0 AS allocated FROM ev, (VALUES ('lp', 7), ('spot', 5), ('idle_reserve', 3)) m(mode, k)),
+el AS (SELECT *, supported AND cash >= 9000 AS affordable FROM mo),
+bm AS (SELECT event_id, min({s: -score, m: mode}) FILTER (affordable AND verified) AS b, bool_or(affordable AND NOT verified) AS blocked, bool_or(allocated) AS allocated FROM el GROUP BY event_id)
+SELECT event_id, CASE WHEN allocated OR b IS NULL THEN 'idle' ELSE b.m END AS mode, NOT allocated AS accepted,
+ CASE WHEN allocated THEN 'shared_portfolio_already_allocated' WHEN b IS NOT NULL THEN 'highest_registered_score' WHEN blocked THEN 'lp_disabled_until_verified_live_evidence' ELSE 'no_supported_affordable_mode' END AS reason FROM bm""")
 def select_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modes = F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(k).alias("k")) for m, k in (("lp", 7), ("spot", 5), ("wait", 3))]))
-    rows = raw_events(spark, sf_dir).select("event_id", "price", modes).withColumn("score", F.col("price") * F.col("k") % 997)
-    return policies.best_mode(rows, "event_id", "mode", "score", (F.col("event_id") % F.col("k") != 0) & (F.col("score") > 300))
+    i, p = F.col("event_id"), F.col("price")
+    modes = F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(k).alias("k")) for m, k in (("lp", 7), ("spot", 5), ("idle_reserve", 3))]))
+    rows = raw_events(spark, sf_dir).select("event_id", "price", modes)
+    rows = rows.select("event_id", "mode", (p * F.col("k") % 997).alias("score_bps"), (i % F.col("k") != 0).alias("supported"), (p * F.col("k")).alias("available_cash"), (i % 5 < 2).alias("verified"), (i % 13 == 0).alias("allocated"))
+    return policies.best_mode(rows, "event_id", F.lit(9000), F.col("allocated"))
 
 
-@query("shadow_reconcile", f"dr AS (SELECT pool, price % 41 - 20 AS drift, event_id FROM ev) SELECT pool, {floored('CAST(sum(drift) AS BIGINT)', 'count(*)')} AS mean_drift, count(*) FILTER (abs(drift) > 18) AS stressed, CASE WHEN count(*) < 10 THEN 'inconclusive' WHEN count(*) FILTER (abs(drift) > 18) * 10 > count(*) THEN 'drifting' ELSE 'reconciled' END AS state FROM dr GROUP BY pool")
+@query("shadow_reconcile", f"""dr AS (SELECT pool, CASE WHEN event_id % 4 <> 0 THEN price % 41 - 20 END AS drift, event_type = 'error' AS missed, status = 'quarantined' AND pool % 3 = 0 AS revised, CASE WHEN event_id % 50 = 7 THEN price % 100 - 60 END AS stress FROM ev),
+su AS (SELECT pool, count(drift) AS compared, CAST(sum(drift) AS BIGINT) AS total, count(*) FILTER (missed) AS missed, count(*) FILTER (revised) AS revisions, count(stress) AS stresses FROM dr GROUP BY pool)
+SELECT pool, compared, CASE WHEN compared > 0 THEN {floored('total', 'compared')} END AS mean_drift_bps, missed, revisions, stresses, CASE WHEN revisions > 0 OR stresses = 0 THEN 'inconclusive' ELSE 'reviewed' END AS state FROM su""")
 def shadow_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = raw_events(spark, sf_dir).select("pool", (F.col("price") % 41 - 20).alias("drift"))
-    n, stressed = F.count("*"), F.count_if(F.abs("drift") > 18)
-    return d.groupBy("pool").agg(floor_div(F.sum("drift"), n).alias("mean_drift"), stressed.alias("stressed"), F.when(n < 10, "inconclusive").when(stressed * 10 > n, "drifting").otherwise("reconciled").alias("state"))
+    i, p = F.col("event_id"), F.col("price")
+    d = raw_events(spark, sf_dir).select(
+        "pool", F.when(i % 4 != 0, p % 41 - 20).alias("drift_bps"), (F.col("event_type") == "error").alias("missed"), ((F.col("status") == "quarantined") & (F.col("pool") % 3 == 0)).alias("revised"), F.when(i % 50 == 7, p % 100 - 60).alias("stress_bps"),
+    )
+    return policies.reconcile_shadow(d, ["pool"])
 
 
 @query("replay_audit", f"{_QUOTE}, {_fill('fl', _asof('od', 'at_us'), 'amount')}, st AS (SELECT order_id, pool, CASE WHEN quote_id IS NULL THEN 'no_quote' WHEN (spot - output) * 10000 // spot > 120 THEN 'impact_limit' ELSE 'filled' END AS status FROM fl) SELECT pool, count(*) AS orders, count(*) FILTER (status = 'filled') AS filled, string_agg(DISTINCT CASE WHEN status <> 'filled' THEN status END, ',' ORDER BY CASE WHEN status <> 'filled' THEN status END) AS failures, sha256(string_agg(CAST(order_id AS VARCHAR), ',' ORDER BY order_id)) AS order_hash FROM st GROUP BY pool")
@@ -291,14 +328,24 @@ def factorial_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.grid_complete(cells, ["arch", "a", "b"], ["study"], 12)
 
 
-@query("evidence_gate", f"g AS (SELECT pool, count(*) FILTER (event_type = 'purchase') > 2 AS g1, count(*) FILTER (event_type = 'signup') > 5 AS g2, max(price) > 9000 AS g3, min(price) < 300 AS g4, count(*) >= 60 AS g5, count(DISTINCT event_us // {DAY}) > 20 AS g6, count(*) FILTER (status = 'orphaned') > 0 AS g7, count(*) FILTER (status = 'quarantined') < 6 AS g8, max(arrival_us) > {AS_OF} AS g9 FROM ev GROUP BY pool) SELECT pool, concat_ws(',', {', '.join(f'CASE WHEN NOT g{i} THEN {chr(39)}missing_g{i}{chr(39)} END' for i in range(1, 10))}) AS missing, {' AND '.join(f'g{i}' for i in range(1, 10))} AS qualifies FROM g")
+#: A flag is verified unless the last event of the pool denies it: its price modulo a small number of the flag's own is 0.
+_FLAG = [5, 7, 11, 13, 17, 19, 23, 29, 31]
+
+
+@query("evidence_gate", f"""la AS (SELECT pool, arg_max(price, {{a: arrival_us, i: event_id}}) AS p, count(*) FILTER (event_type = 'purchase') AS checkpoints, arg_max(event_type, {{a: arrival_us, i: event_id}}) AS kind FROM ev GROUP BY pool),
+mi AS (SELECT pool, kind, list_filter([{", ".join(f"CASE WHEN p % {k} = 0 THEN 'missing_{n}_verified' END" for n, k in zip(policies.VERIFIED, _FLAG, strict=True))},
+ CASE WHEN p % 9 = 0 THEN 'missing_deployment_evidence' END, CASE WHEN p % 8 = 0 THEN 'unsupported_or_unverified_chain' END, CASE WHEN p % 10 = 0 THEN 'missing_bytecode_evidence' END,
+ CASE WHEN pool % 6 = 0 THEN 'missing_live_source_refs' END, CASE WHEN checkpoints = 0 THEN 'missing_observed_position_checkpoint' END], lambda x: x IS NOT NULL) AS missing FROM la)
+SELECT pool, array_to_string(missing, ',') AS missing, kind <> 'error' AND len(missing) = 0 AS qualifies, CASE WHEN kind = 'error' THEN 'unavailable' WHEN len(missing) = 0 THEN 'verified' ELSE 'inconclusive' END AS evidence_status FROM mi""")
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = raw_events(spark, sf_dir).groupBy("pool").agg(
-        (F.count_if(F.col("event_type") == "purchase") > 2).alias("g1"), (F.count_if(F.col("event_type") == "signup") > 5).alias("g2"), (F.max("price") > 9000).alias("g3"), (F.min("price") < 300).alias("g4"), (F.count("*") >= 60).alias("g5"),
-        (F.count_distinct(F.call_function("div", F.col("event_us"), F.lit(DAY))) > 20).alias("g6"), (F.count_if(F.col("status") == "orphaned") > 0).alias("g7"), (F.count_if(F.col("status") == "quarantined") < 6).alias("g8"), (F.max("arrival_us") > AS_OF).alias("g9"),
+    last = lambda c: F.max_by(c, F.struct("arrival_us", "event_id"))
+    g = raw_events(spark, sf_dir).groupBy("pool").agg(last("price").alias("p"), F.count_if(F.col("event_type") == "purchase").alias("checkpoints"), last("event_type").alias("kind"))
+    p, pool = F.col("p"), F.col("pool")
+    rows = g.select(
+        "pool", "checkpoints", *[(p % k != 0).alias(f"{n}_verified") for n, k in zip(policies.VERIFIED, _FLAG, strict=True)], F.when(p % 9 != 0, "deployed").alias("deployment_ref"), F.when(p % 8 == 0, 1).otherwise(7).alias("chain_id"),
+        F.when(p % 10 == 0, "").otherwise("code").alias("bytecode_ref"), F.when(pool % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("ref"))).alias("source_refs"), F.when(F.col("kind") != "error", pool).alias("evidence_id"),
     )
-    missing = evaluation.reasons([(f"missing_g{i}", ~F.col(f"g{i}")) for i in range(1, 10)])
-    return g.select("pool", missing.alias("missing"), (missing == "").alias("qualifies"))
+    return policies.evidence_gate(rows, chain_id=7).select("pool", F.array_join("missing", ",").alias("missing"), "qualifies", "evidence_status")
 
 
 @query("tick_availability", f"tk AS (SELECT {START} + i * 21600000000 AS tick_us FROM range(0, 130) t(i)), ne AS (SELECT tick_us, (SELECT count(*) FROM ev WHERE arrival_us <= tick_us) AS cumulative FROM tk) SELECT tick_us, cumulative, cumulative - coalesce(lag(cumulative) OVER (ORDER BY tick_us), 0) AS newly FROM ne")

@@ -10,36 +10,45 @@ from tidemark.plans.bindings import DAY, MINUTE, query, raw_events, table, trade
 from tidemark.plans.market import _LABELS, _SPLIT, AS_OF, labels, points
 
 CUTOFF = AS_OF - 3 * DAY
-_OUT = """oc AS (SELECT point_id * 10 + horizon // 86400000000 AS outcome_id, point_id AS prediction_id, CASE WHEN point_id % 17 = 0 THEN 'other' ELSE 'net' END AS target_id, status, available_us, net_return_bps, CASE WHEN point_id % 19 = 0 THEN point_id ELSE -1 END AS source_ref, pool, horizon FROM lab WHERE horizon <> 259200000000)"""
-_PRE = "pr AS (SELECT event_id AS prediction_id, 'net' AS target_id, arrival_us AS created_us, arrival_us + 172800000000 AS expires_us, CASE WHEN event_id % 23 = 0 THEN 'retired' ELSE 'active' END AS state, pool, event_id % 2 AS model FROM ev WHERE event_id % 29 <> 3)"
+_OUT = """oc AS (SELECT point_id * 10 + horizon // 86400000000 AS outcome_id, point_id AS prediction_id, CASE WHEN point_id % 17 = 0 THEN 'other' ELSE 'net' END AS target_id, status, observed_us, available_us, net_return_bps, CASE WHEN point_id % 19 = 0 THEN [-1, point_id] ELSE [-1] END AS source_refs, pool, horizon FROM lab WHERE horizon <> 259200000000)"""
+_PRE = "pr AS (SELECT event_id AS prediction_id, 'net' AS target_id, arrival_us AS created_us, arrival_us + 172800000000 AS expires_us, CASE WHEN event_id % 23 = 0 THEN 'expired' ELSE 'active' END AS state, pool, event_id % 2 AS model FROM ev WHERE event_id % 29 <> 3)"
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab, i = labels(spark, sf_dir).where("horizon <> 259200000000"), F.col("point_id")
-    return lab.select((i * 10 + F.expr("horizon div 86400000000")).alias("outcome_id"), i.alias("prediction_id"), F.when(i % 17 == 0, "other").otherwise("net").alias("target_id"), "status", "available_us", "net_return_bps", F.when(i % 19 == 0, i).otherwise(F.lit(-1)).alias("source_ref"), "pool", "horizon")
+    return lab.select((i * 10 + F.expr("horizon div 86400000000")).alias("outcome_id"), i.alias("prediction_id"), F.when(i % 17 == 0, "other").otherwise("net").alias("target_id"), "status", "observed_us", "available_us", "net_return_bps", F.when(i % 19 == 0, F.array(F.lit(-1).cast("long"), i)).otherwise(F.array(F.lit(-1).cast("long"))).alias("source_refs"), "pool", "horizon")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    return raw_events(spark, sf_dir).where("event_id % 29 <> 3").select(i.alias("prediction_id"), F.lit("net").alias("target_id"), F.col("arrival_us").alias("created_us"), (F.col("arrival_us") + 2 * DAY).alias("expires_us"), F.when(i % 23 == 0, "retired").otherwise("active").alias("state"), "pool", (i % 2).alias("model"))
+    return raw_events(spark, sf_dir).where("event_id % 29 <> 3").select(i.alias("prediction_id"), F.lit("net").alias("target_id"), F.col("arrival_us").alias("created_us"), (F.col("arrival_us") + 2 * DAY).alias("expires_us"), F.when(i % 23 == 0, "expired").otherwise("active").alias("state"), "pool", (i % 2).alias("model"))
 
 
-_FB = f"""{_LABELS}, {_OUT}, {_PRE}, fb AS (SELECT oc.*, concat_ws(',', CASE WHEN pr.prediction_id IS NULL THEN 'prediction_not_found' END, CASE WHEN available_us > {CUTOFF} THEN 'label_after_cutoff' END, CASE WHEN available_us < created_us THEN 'label_before_prediction' END, CASE WHEN oc.target_id <> pr.target_id THEN 'target_mismatch' END, CASE WHEN source_ref = oc.prediction_id THEN 'self_label' END, CASE WHEN state <> 'active' THEN 'prediction_inactive' END) AS reasons FROM oc LEFT JOIN pr ON oc.prediction_id = pr.prediction_id),
-fe AS (SELECT *, coalesce(reasons = '' AND status = 'observed' AND net_return_bps IS NOT NULL, false) AS eligible FROM fb)"""
+_FB = f"""{_LABELS}, {_OUT}, {_PRE}, fb AS (SELECT oc.*, pr.prediction_id IS NULL OR available_us IS NULL OR available_us > {CUTOFF} AS excluded,
+ concat_ws(',', CASE WHEN observed_us < created_us OR available_us < created_us THEN 'outcome_before_prediction' END, CASE WHEN oc.target_id IS DISTINCT FROM pr.target_id THEN 'target_identity_mismatch' END,
+  CASE WHEN list_contains(source_refs, oc.prediction_id) THEN 'prediction_self_label_reference' END, CASE WHEN state IN ('invalidated', 'expired') THEN 'prediction_not_active_at_creation' END) AS violations,
+ concat_ws(',', CASE WHEN status IN ('unresolved', 'invalidated') THEN 'outcome_unresolved_or_invalidated' END, CASE WHEN net_return_bps IS NULL THEN 'numeric_target_unavailable' END) AS unusable,
+ pr.prediction_id IS NULL AS absent FROM oc LEFT JOIN pr ON oc.prediction_id = pr.prediction_id),
+fe AS (SELECT *, CASE WHEN absent THEN 'prediction_not_found' WHEN excluded THEN 'label_after_cutoff_or_missing' WHEN violations = '' OR unusable = '' THEN violations || unusable ELSE violations || ',' || unusable END AS reasons,
+ NOT excluded AND violations = '' AND status IN ('observed', 'censored') AND net_return_bps IS NOT NULL AS eligible FROM fb)"""
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.feedback_join(outcomes(spark, sf_dir), predictions(spark, sf_dir), CUTOFF)
 
 
-@query("feedback_join", f"{_FB} SELECT outcome_id, prediction_id, status, reasons, eligible FROM fe")
+@query("feedback_join", f"{_FB} SELECT outcome_id, prediction_id, status, excluded, reasons, eligible FROM fe")
 def feedback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(spark, sf_dir).select("outcome_id", "prediction_id", "status", "reasons", "eligible")
+    return joined(spark, sf_dir).select("outcome_id", "prediction_id", "status", "excluded", "reasons", "eligible")
 
 
-@query("maturation_queue", f"{_LABELS}, {_OUT}, {_PRE}, kn AS (SELECT prediction_id, bool_or(status = 'observed') AS ready FROM oc WHERE available_us <= {CUTOFF} GROUP BY 1) SELECT pr.prediction_id, CASE WHEN ready THEN 'ready' WHEN NOT ready THEN 'unresolved' WHEN expires_us <= {CUTOFF} THEN 'missing' ELSE 'waiting' END AS state FROM pr LEFT JOIN kn ON pr.prediction_id = kn.prediction_id")
+@query("maturation_queue", f"""{_LABELS}, {_OUT}, {_PRE}, kn AS (SELECT prediction_id, count(*) FILTER (status IN ('observed', 'censored')) AS usable FROM oc WHERE available_us <= {CUTOFF} GROUP BY 1)
+SELECT pr.prediction_id, CASE WHEN usable > 0 THEN 'ready' WHEN usable = 0 THEN 'unresolved' WHEN expires_us <= {CUTOFF} THEN 'missing' ELSE 'waiting' END AS state,
+ CASE WHEN usable > 0 THEN NULL WHEN usable = 0 THEN 'outcome_unresolved_or_invalidated' WHEN expires_us <= {CUTOFF} THEN 'label_due_without_available_outcome' END AS reason
+FROM pr LEFT JOIN kn ON pr.prediction_id = kn.prediction_id""")
 def maturation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.maturation_queue(predictions(spark, sf_dir), outcomes(spark, sf_dir), CUTOFF)
+    due = predictions(spark, sf_dir).withColumnRenamed("expires_us", "due_us")
+    return feedback.maturation_queue(due, outcomes(spark, sf_dir), CUTOFF)
 
 
 @query("training_join", f"{_FB}, {_SPLIT}, ft AS (SELECT event_id AS prediction_id, price FROM ev WHERE event_id % 31 <> 4), nn AS (SELECT *, count(outcome_id) OVER (PARTITION BY prediction_id) AS n FROM fe WHERE prediction_id % 3 = 0 OR horizon = 86400000000) SELECT nn.outcome_id, nn.prediction_id, price, partition, CASE WHEN NOT eligible THEN 'not_eligible' WHEN n > 1 THEN 'several_outcomes' WHEN ft.prediction_id IS NULL THEN 'features_missing' WHEN partition IS NULL THEN 'partition_missing' END AS reason FROM nn LEFT JOIN ft ON nn.prediction_id = ft.prediction_id LEFT JOIN (SELECT * FROM split WHERE pool % 37 <> 5) sp ON nn.pool = sp.pool")
@@ -60,20 +69,35 @@ def inbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.inbox(proposals, predictions(spark, sf_dir), CUTOFF).select("proposal_id", "shown_state", "shown_action", "expires_us").sort(F.desc("expires_us"), "proposal_id")
 
 
-_ACT = "ac AS (SELECT tx * 10 + line AS action_id, CASE WHEN line = 1 THEN tx END AS tx, wallet, token AS instrument, direction, event_us AS at_us FROM tr WHERE line <= 3), av AS (SELECT tx * 10 + line AS activity_id, CASE WHEN line = 2 THEN tx END AS tx, wallet, token AS instrument, direction, event_us + quantity * 3600000000 AS at_us FROM tr)"
+_ACT = """ac AS (SELECT tx * 10 + line AS action_id, CASE WHEN line <> 3 THEN tx + line // 5 END AS tx, CASE WHEN line % 2 = 0 THEN wallet END AS wallet, CASE WHEN line = 4 THEN 'lp' ELSE 'spot' END AS market,
+ token AS instrument, CASE WHEN line = 4 THEN 'hold' WHEN direction = 'buy' THEN 'enter' ELSE 'exit' END AS action, event_us AS at_us FROM tr WHERE line <= 5),
+av AS (SELECT tx * 10 + line AS activity_id, CASE WHEN line <> 6 THEN tx END AS tx, CASE WHEN quantity % 9 = 0 THEN wallet + 1 ELSE wallet END AS wallet, CASE WHEN line % 4 = 0 THEN 'lp' ELSE 'swap' END AS kind,
+ token AS instrument, CASE WHEN direction = 'buy' THEN quantity ELSE -quantity END AS delta, event_us + quantity * 3600000000 AS at_us FROM tr)"""
 
 
-@query("action_link_join", f"{_ACT}, xa AS (SELECT action_id, min(activity_id) AS xact FROM ac JOIN av ON ac.tx = av.tx GROUP BY 1), na AS (SELECT action_id, count(*) AS n, min(activity_id) AS nid FROM ac JOIN av ON ac.wallet = av.wallet AND ac.instrument = av.instrument AND ac.direction = av.direction AND abs(ac.at_us - av.at_us) <= 86400000000 GROUP BY 1), di AS (SELECT DISTINCT action_id FROM ac) SELECT ac.action_id, coalesce(xact, CASE WHEN n = 1 THEN nid END) AS activity_id, CASE WHEN xact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'pending' END AS link FROM ac LEFT JOIN xa ON ac.action_id = xa.action_id LEFT JOIN na ON ac.action_id = na.action_id")
+@query("action_link_join", f"""{_ACT}, fit AS (SELECT DISTINCT action_id, activity_id FROM ac JOIN av ON ac.instrument = av.instrument AND (ac.wallet IS NULL OR ac.wallet = av.wallet)
+ AND CASE WHEN ac.market = 'spot' THEN av.kind = 'swap' AND CASE ac.action WHEN 'enter' THEN delta > 0 WHEN 'exit' THEN delta < 0 ELSE false END ELSE av.kind = 'lp' END
+ AND CASE WHEN ac.tx IS NOT NULL THEN coalesce(ac.tx = av.tx, false) ELSE abs(ac.at_us - av.at_us) <= {DAY} END),
+n AS (SELECT action_id, count(*) AS n, min(activity_id) AS one FROM fit GROUP BY 1)
+SELECT ac.action_id, CASE WHEN n = 1 THEN one END AS activity_id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'pending' END AS status,
+ CASE WHEN tx IS NOT NULL THEN CASE WHEN n = 1 THEN 'exact_transaction_match' WHEN n > 1 THEN 'multiple_exact_transaction_candidates' ELSE 'transaction_identity_not_observed' END
+  ELSE CASE WHEN n = 1 THEN 'single_compatible_time_window_match' WHEN n > 1 THEN 'multiple_compatible_time_window_candidates' ELSE 'manual_evidence_pending' END END AS reason FROM ac LEFT JOIN n ON ac.action_id = n.action_id""")
 def action_link_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.link_actions(*_actions(spark, sf_dir), DAY)
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = trades(spark, sf_dir)
-    ident = F.col("tx") * 10 + F.col("line")
-    common = ["wallet", F.col("token").alias("instrument"), "direction"]
-    actions = t.where("line <= 3").select(ident.alias("action_id"), F.when(F.col("line") == 1, F.col("tx")).alias("tx"), *common, F.col("event_us").alias("at_us"))
-    activities = t.select(ident.alias("activity_id"), F.when(F.col("line") == 2, F.col("tx")).alias("tx"), *common, (F.col("event_us") + F.col("quantity") * 60 * MINUTE).alias("at_us"))
+    """Lines as actions, some without a hash or a wallet and some of another transaction, and as activities of other wallets or kinds."""
+    t, line, buys = trades(spark, sf_dir), F.col("line"), F.col("direction") == "buy"
+    ident, market = F.col("tx") * 10 + line, F.when(line == 4, "lp").otherwise("spot")
+    action = F.when(line == 4, "hold").when(buys, "enter").otherwise("exit")
+    actions = t.where("line <= 5").select(
+        ident.alias("action_id"), F.when(line != 3, F.expr("tx + line div 5")).alias("tx"), F.when(line % 2 == 0, F.col("wallet")).alias("wallet"), market.alias("market"), F.col("token").alias("instrument"), action.alias("action"), F.col("event_us").alias("at_us"),
+    )
+    activities = t.select(
+        ident.alias("activity_id"), F.when(line != 6, F.col("tx")).alias("tx"), F.when(F.col("quantity") % 9 == 0, F.col("wallet") + 1).otherwise(F.col("wallet")).alias("wallet"), F.when(line % 4 == 0, "lp").otherwise("swap").alias("kind"),
+        F.col("token").alias("instrument"), F.when(buys, F.col("quantity")).otherwise(-F.col("quantity")).alias("delta"), (F.col("event_us") + F.col("quantity") * 60 * MINUTE).alias("at_us"),
+    )
     return actions, activities
 
 
