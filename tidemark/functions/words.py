@@ -80,6 +80,55 @@ def carry(parts: Column) -> Column:
     return F.aggregate(F.reverse(parts), start, add, lambda acc: acc["word"])
 
 
+def word_from_text(x: Column) -> Column:
+    """The word of a canonical decimal string, for all 256 bits; null for other text."""
+    digits = F.lpad(F.regexp_replace(x, "^-", ""), 81, "0")
+
+    def times(limbs_: Column, nine: Column) -> Column:
+        start = F.struct(nine.alias("over"), F.array().cast("array<bigint>").alias("out"))
+
+        def one(acc: Column, limb: Column) -> Column:
+            total = limb * 1_000_000_000 + acc["over"]
+            return F.struct(F.shiftright(total, 32).alias("over"), F.concat(acc["out"], F.array(total.bitwiseAND(F.lit((1 << 32) - 1)))).alias("out"))
+
+        return F.aggregate(limbs_, start, one, lambda acc: acc["out"])
+
+    chunks = F.array(*[F.substring(digits, 1 + 9 * i, 9).cast("bigint") for i in range(9)])
+    parts = F.aggregate(chunks, F.array_repeat(F.lit(0).cast("long"), LIMBS), times)
+    word = F.array_join(F.transform(F.reverse(parts), lambda limb: F.lower(F.lpad(F.hex(limb), 8, "0"))), "")
+    sound = x.rlike("^(0|-?[1-9][0-9]{0,77})$")
+    return F.when(sound, F.when(F.startswith(x, F.lit("-")), negated(word)).otherwise(word))
+
+
+def negated(x: Column) -> Column:
+    """The word of the negative value, modulo 2**256."""
+    return carry(F.transform(limbs(x), lambda limb: -limb))
+
+
+def is_positive(x: Column) -> Column:
+    return ~is_negative(x) & (x != "0" * 64)
+
+
+def decimal_text(x: Column) -> Column:
+    """A word as a canonical decimal string, for all 256 bits: its limbs are carried into nine digits of base 10**9 and one more."""
+    base = 1_000_000_000
+    size = F.when(is_negative(x), negated(x)).otherwise(x)
+
+    def times(digits: Column, limb: Column) -> Column:
+        start = F.struct(limb.alias("over"), F.array().cast("array<bigint>").alias("out"))
+
+        def one(acc: Column, digit: Column) -> Column:
+            total = digit * F.lit(1 << 32) + acc["over"]
+            return F.struct(F.call_function("div", total, F.lit(base)).alias("over"), F.concat(acc["out"], F.array(total % base)).alias("out"))
+
+        return F.aggregate(digits, start, one, lambda acc: acc["out"])
+
+    digits = F.aggregate(limbs(size), F.array_repeat(F.lit(0).cast("long"), 9), times)
+    joined = F.array_join(F.transform(F.reverse(digits), lambda d: F.lpad(d.cast("string"), 9, "0")), "")
+    plain = F.regexp_replace(joined, "^0+(?=.)", "")
+    return F.when(is_negative(x), F.concat(F.lit("-"), plain)).otherwise(plain)
+
+
 def _value(word: str) -> int:
     raw = int(word, 16)
     return raw - (1 << 256) if raw >> 255 else raw

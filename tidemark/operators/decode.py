@@ -107,27 +107,3 @@ def decode_transfers(receipts: DataFrame, tx: str = "tx", logs: str = "logs") ->
     one = receipts.select(tx, F.posexplode(logs).alias("position", "log")).select(tx, "position", "log.*")
     sound = (F.lower(F.get("topics", F.lit(0))) == TRANSFER_TOPIC) & (F.size("topics") == 3) & F.lower(F.col("data")).rlike("^0x[0-9a-f]{64}$")
     return one.where(F.coalesce(sound, F.lit(False))).select(tx, "position", F.lower("address").alias("asset"), _address(_topic(1)).alias("sender"), _address(_topic(2)).alias("recipient"), _word(0).alias("amount"))
-
-
-def trade_from_receipt(transfers: DataFrame, actors: DataFrame) -> DataFrame:
-    """One row a transaction: what the wallet paid and received of token and quote, and the direction.
-
-    transfers(tx, asset, sender, recipient, amount) with bigint amounts; actors(tx, wallet, token).  A buy
-    receives token and pays something else, a sell the other way; refunds come back in a paid asset.
-    """
-    leg = transfers.join(actors, "tx")
-    out, in_ = F.col("sender") == F.col("wallet"), F.col("recipient") == F.col("wallet")
-    is_token = F.col("asset") == F.col("token")
-    total = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("amount"))), F.lit(0)).cast("long")
-    got = leg.where(out | in_).groupBy("tx", "wallet", "token").agg(total(in_ & is_token).alias("token_in"), total(out & is_token).alias("token_out"), total(in_ & ~is_token).alias("quote_in"), total(out & ~is_token).alias("quote_out"))
-    direction = F.when((F.col("token_in") > F.col("token_out")) & (F.col("quote_out") > F.col("quote_in")), "buy").when((F.col("token_out") > F.col("token_in")) & (F.col("quote_in") > F.col("quote_out")), "sell").otherwise("unclear")
-    return got.withColumn("direction", direction)
-
-
-def verify_routes(trades: DataFrame, swaps: DataFrame, pools: DataFrame) -> DataFrame:
-    """`trades` (tx, token, direction) with route: verified if a swap of the transaction is in a known pool of the token
-    without hooks, unsupported if only in pools with hooks, else uncertain."""
-    known = swaps.join(pools, "pool_id").select("tx", F.col("token").alias("__token"), "hooked")
-    match = trades.join(known, (trades["tx"] == known["tx"]) & (F.col("token") == F.col("__token")), "left").drop(known["tx"])
-    rolled = match.groupBy(*trades.columns).agg(F.count_if(~F.col("hooked")).alias("__plain"), F.count_if("hooked").alias("__hooked"))
-    return rolled.select(*trades.columns, F.when(F.col("__plain") > 0, "verified").when(F.col("__hooked") > 0, "unsupported").otherwise("uncertain").alias("route"))

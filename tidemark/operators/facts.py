@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import maps, words
+
 
 def activity_deltas(trades: DataFrame, legs: str = "legs") -> DataFrame:
     """(tx, asset, delta): signed asset changes of each trade, zero ones dropped.
@@ -24,23 +26,50 @@ def cash_flow_class(trades: DataFrame, has_swap: Column, paid: Column, received:
     return trades.withColumn("flags", flags).withColumn("cash_class", kind)
 
 
-def token_timeline(trades: DataFrame, event_cutoff: int, arrival_cutoff: int) -> DataFrame:
-    """One row a token at two cutoffs: counts by class, verified buys and sells, quantities, latest times, missingness, quality.
+def verified_trades(trades: DataFrame, method: str) -> DataFrame:
+    """Genuine swaps with a verified route, a direction and the current method, one a (tx, wallet, token): the first to arrive."""
+    first = Window.partitionBy("tx", "wallet", "token").orderBy("arrival_us", "event_us")
+    sure = (F.col("classification") == "genuine_swap") & (F.col("route_status") == "verified") & F.col("direction").isin("buy", "sell") & (F.col("method") == method)
+    return trades.where(sure).withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+
+
+def token_timeline(trades: DataFrame, event_cutoff: int, arrival_cutoff: int, method: str, unknown: tuple[str, ...] = ()) -> DataFrame:
+    """One row a token at two cutoffs: counts by class, verified amounts of the token, what buyers paid and sellers got by asset,
+    latest times, missingness and quality.
 
-    All tokens in one aggregation; trades of (token, class, direction, quantity, cents, event_us, arrival_us).
+    trades(tx, wallet, token, classification, route_status, direction, method, event_us, arrival_us, payments, receipts,
+    refunds), the last three maps from assets to words.  token_in and token_out are words, payment_out (refunds taken off)
+    and quote_in maps of words, exact at any size.  Only `verified_trades` count in them; other activity is counted and named
+    in `missingness` (array), to which `unknown` adds what the caller doesn't know.
     """
     seen = trades.where((F.col("event_us") <= event_cutoff) & (F.col("arrival_us") <= arrival_cutoff))
-    genuine = F.col("class") == "genuine"
-    buy, sell = genuine & (F.col("direction") == "buy"), genuine & (F.col("direction") == "sell")
-    total = lambda rule, c: F.coalesce(F.sum(F.when(rule, F.col(c))), F.lit(0)).cast("long")
-    out = seen.groupBy("token").agg(
-        F.count("*").alias("trade_count"), F.count_if(buy).alias("verified_buys"), F.count_if(sell).alias("verified_sells"),
-        total(buy, "quantity").alias("token_in"), total(sell, "quantity").alias("token_out"), total(buy, "cents").alias("payment_out"), total(sell, "cents").alias("quote_in"),
-        F.count_if(F.col("class") == "ambiguous").alias("ambiguous"), F.count_if(F.col("class") == "transfer").alias("transfers"),
+    sure = verified_trades(seen, method)
+    kind = lambda *names: F.count_if(F.col("classification").isin(*names))
+    genuine = F.col("classification") == "genuine_swap"
+    unsure = genuine & ~((F.col("route_status") == "verified") & F.col("direction").isin("buy", "sell") & (F.col("method") == method))
+    counts = seen.groupBy("token").agg(
+        F.count("*").alias("trade_count"), kind("ambiguous").alias("ambiguous"), kind("transfer").alias("transfers"), kind("gift_or_airdrop").alias("gifts"), F.count_if(F.coalesce(unsure, genuine)).alias("unverified"),
         F.max("event_us").alias("latest_event"), F.max("arrival_us").alias("latest_arrival"),
     )
-    missing = F.array_compact(F.array(F.when(F.col("ambiguous") > 0, "ambiguous_activity_excluded"), F.when(F.col("transfers") > 0, "non_swap_activity_excluded")))
-    return out.withColumn("missingness", F.concat_ws(",", missing)).withColumn("quality", F.when(F.size(missing) > 0, "degraded").otherwise("healthy"))
+    sides = sure.groupBy("token").agg(F.count_if(F.col("direction") == "buy").alias("verified_buys"), F.count_if(F.col("direction") == "sell").alias("verified_sells"))
+
+    buys, sells = sure.where("direction = 'buy'"), sure.where("direction = 'sell'")
+    flow = lambda rows, side, name, sign=lambda w: w: rows.select("token", F.explode(side).alias("asset", "word")).select("token", F.lit(name).alias("flow"), "asset", sign(F.col("word")).alias("word"))
+    of_token = lambda rows, side, name: flow(rows, side, name).where("asset = token")
+    legs = of_token(buys, "receipts", "token_in").unionByName(of_token(sells, "payments", "token_out")).unionByName(flow(buys, "payments", "payment_out")).unionByName(flow(buys, "refunds", "payment_out", words.negated)).unionByName(flow(sells, "receipts", "quote_in"))
+    totals = maps.asset_sums(legs, ["token", "flow"], "asset", "word")
+    whole = lambda name: F.max(F.when(F.col("flow") == name, F.col("total"))).alias(name)
+    by_asset = lambda name: maps.to_map("asset", "total", F.col("flow") == name, drop_zero=False).alias(name)
+    flows = totals.groupBy("token").agg(whole("token_in"), whole("token_out"), by_asset("payment_out"), by_asset("quote_in"))
+
+    out = counts.join(sides, "token", "left").join(flows, "token", "left")
+    nothing = F.create_map().cast("map<string,string>")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("verified_buys", "verified_sells")} | {c: F.coalesce(c, F.lit(maps.ZERO)) for c in ("token_in", "token_out")} | {c: F.coalesce(c, nothing) for c in ("payment_out", "quote_in")})
+    missing = F.array_compact(F.array(
+        *[F.lit(u) for u in unknown], F.when(F.col("ambiguous") > 0, "ambiguous_activity_excluded_from_verified_flow"), F.when(F.col("transfers") + F.col("gifts") > 0, "non_swap_activity_excluded_from_verified_flow"),
+        F.when(F.col("unverified") > 0, "unverified_trade_evidence_excluded_from_verified_flow"),
+    ))
+    return out.withColumn("missingness", missing).withColumn("quality", F.when(F.size("missingness") > 0, "degraded").otherwise("healthy")).drop("unverified")
 
 
 def flow_by_asset(legs: DataFrame, asset: str, direction: str, amount: str, refund: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import words
+from tidemark.functions import maps, words
 from tidemark.operators import decode
+from tidemark.operators import receipts as receipts_
 from tidemark.plans.bindings import query, raw_events, table, trades
 
 _INIT, _SWAP, _MODIFY = list(decode.POOL_TOPICS)
@@ -87,27 +88,95 @@ def decode_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transfers(spark, sf_dir).select("tx", "asset", "sender", "recipient", "amount")
 
 
-_RC = f"""{_TF}, wa AS (SELECT tx, wallet, '0xt' || min(token) AS token FROM tr GROUP BY 1, 2), tg AS (SELECT tf.tx, wallet, token, CAST(coalesce(sum(amount) FILTER (recipient = wallet AND asset = token), 0) AS BIGINT) AS token_in, CAST(coalesce(sum(amount) FILTER (sender = wallet AND asset = token), 0) AS BIGINT) AS token_out,
- CAST(coalesce(sum(amount) FILTER (recipient = wallet AND asset <> token), 0) AS BIGINT) AS quote_in, CAST(coalesce(sum(amount) FILTER (sender = wallet AND asset <> token), 0) AS BIGINT) AS quote_out FROM tf JOIN wa ON tf.tx = wa.tx WHERE recipient = wallet OR sender = wallet GROUP BY 1, 2, 3),
-td AS (SELECT *, CASE WHEN token_in > token_out AND quote_out > quote_in THEN 'buy' WHEN token_out > token_in AND quote_in > quote_out THEN 'sell' ELSE 'unclear' END AS direction FROM tg)"""
+#: Receipts by line: a wallet trades a part against the quote of its pool; amounts have 18 decimals.
+_QUOTES = ["0xq1", "0xq2", "0xq3", receipts_.NATIVE]
+_RX = """tx AS (SELECT tx * 10 + line AS tx, line, token, '0x' || lpad(printf('%x', wallet), 40, '0') AS wallet, '0x' || lpad(printf('%x', 1000000 + token % 50), 40, '0') AS manager, '0xt' || token AS part,
+ CASE WHEN token % 5 = 0 THEN 'native:eth' ELSE '0xq' || token % 5 END AS quote, direction = 'buy' AS buys, cents, cents::HUGEINT * 1000000000000000000 AS pay, quantity::HUGEINT * 1000000000000000000 AS qty, quantity, cents % 53 = 0 AS failed FROM tr QUALIFY row_number() OVER (PARTITION BY tx, line ORDER BY token, wallet, direction, cents, quantity) = 1),
+sw AS (SELECT tx.*, CASE WHEN token % 41 = 0 THEN 'pool_identity_unavailable' WHEN token % 31 = 0 THEN 'unsupported_pool_protocol' WHEN cents % 19 = 0 THEN 'swap_issuer_or_event_mismatch' WHEN token % 23 = 0 THEN 'unsupported_hook_route'
+  WHEN cents % 29 = 0 THEN 'swap_log_not_linked_to_receipt' WHEN token % 37 = 0 THEN 'token_not_in_verified_pool_currency' WHEN token % 5 = 4 THEN 'quote_asset_not_in_verified_pool_currency' END AS broken FROM tx),
+rt AS (SELECT *, cents % 17 <> 0 AS swapped, CASE WHEN cents % 17 = 0 THEN 'no_supported_swap_route' ELSE broken END AS route_flag,
+ CASE WHEN cents % 17 = 0 THEN 'uncertain' WHEN broken IS NULL THEN 'verified' WHEN broken IN ('unsupported_pool_protocol', 'swap_issuer_or_event_mismatch', 'unsupported_hook_route', 'token_not_in_verified_pool_currency') THEN 'unsupported' ELSE 'uncertain' END AS route_status,
+ cents % 17 <> 0 AND token % 41 <> 0 AS actor, cents % 17 <> 0 AND token % 41 <> 0 AND token % 5 <> 4 AS quoted FROM sw)"""
 
 
-def _receipt_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wallet = F.concat(F.lit("0x"), F.substring(words.word_from_long(F.col("wallet")), 25, 40))
-    actors = trades(spark, sf_dir).groupBy("tx", "wallet").agg(F.min("token").alias("token")).select("tx", wallet.alias("wallet"), F.concat(F.lit("0xt"), F.col("token").cast("string")).alias("token"))
-    return decode.trade_from_receipt(_transfers(spark, sf_dir), actors)
+def _address(x: Column) -> Column:
+    return F.concat(F.lit("0x"), F.substring(words.word_from_long(x), 25, 40))
 
 
-@query("trade_from_receipt", f"{_RC} SELECT tx, token, token_in, token_out, quote_in, quote_out, direction FROM td")
-def trade_from_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _receipt_trades(spark, sf_dir).select("tx", "token", "token_in", "token_out", "quote_in", "quote_out", "direction")
+def _tokens(x: Column) -> Column:
+    """The word of a bigint times 10**18."""
+    return words.word_from_text(F.when(x == 0, "0").otherwise(F.concat(x.cast("string"), F.lit("0" * 18))))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, token = trades(spark, sf_dir), F.col("token")
+    # Lines can share order and number; one of them is the transaction.
+    one = F.row_number().over(Window.partitionBy("tx", "line").orderBy("token", "wallet", "direction", "cents", "quantity"))
+    t = t.withColumn("nth", one).where("nth = 1")
+    quote = F.when(token % 5 == 0, receipts_.NATIVE).otherwise(F.concat(F.lit("0xq"), (token % 5).cast("string")))
+    return t.select(
+        (F.col("tx") * 10 + F.col("line")).alias("tx"), "line", token.alias("part"), _address(F.col("wallet")).alias("wallet"), _address(1_000_000 + token % 50).alias("manager"), F.concat(F.lit("0xt"), token.cast("string")).alias("token"),
+        quote.alias("quote"), (F.col("direction") == "buy").alias("buys"), "cents", "quantity", (F.col("cents") % 53 == 0).alias("failed"),
+    )
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines' transactions with their routes: pools, swaps and receipts with faults of every kind."""
+    x = _lines(spark, sf_dir)
+    native = (F.col("quote") == receipts_.NATIVE) & F.col("buys")
+    tx = x.select("tx", "line", "wallet", "token", "failed", F.col("wallet").alias("tx_from"), F.col("manager").alias("tx_to"), F.when(native, _tokens(F.col("cents"))).otherwise("0" * 64).alias("value"), (F.col("line") % 2 == 0).alias("refunds_accounted"))
+    swaps = x.where("cents % 17 <> 0").select("tx", F.lit(2).alias("log_index"), F.concat(F.lit("p"), F.col("part").cast("string")).alias("pool_id"), F.when(F.col("cents") % 19 == 0, "0xother").otherwise(F.col("manager")).alias("emitter"), F.lit("Swap").alias("event_type"), (F.col("part") % 23 == 0).alias("hooked"), "cents")
+    logs = swaps.where("cents % 29 <> 0").select("tx", "log_index")
+    part = F.col("p_partkey")
+    other = F.when(part % 5 == 0, receipts_.NO_ADDRESS).otherwise(F.concat(F.lit("0xQ"), (part % 5).cast("string")))
+    pools = table(spark, sf_dir, "part").where("p_partkey % 41 <> 0").select(
+        F.concat(F.lit("p"), part.cast("string")).alias("pool_id"), F.when(part % 31 == 0, "v3").otherwise("v4").alias("protocol"), _address(1_000_000 + part % 50).alias("manager"), F.when(part % 37 == 0, "0xnone").otherwise(F.concat(F.lit("0xT"), part.cast("string"))).alias("currency0"), other.alias("currency1"),
+    )
+    return receipts_.verify_routes(tx, swaps.drop("cents"), logs, pools, _QUOTES, "v4")
 
 
-@query("route_verify_join", f"{_RC}, sw AS (SELECT tx, token % 500 AS pool_id FROM tr WHERE line <= 2), po AS (SELECT p_partkey % 500 AS pool_id, '0xt' || p_partkey AS token, p_size % 4 = 0 AS hooked FROM part), kn AS (SELECT tx, token, hooked FROM sw JOIN po ON sw.pool_id = po.pool_id) SELECT td.tx, td.token, td.direction, CASE WHEN count(*) FILTER (NOT hooked) > 0 THEN 'verified' WHEN count(*) FILTER (hooked) > 0 THEN 'unsupported' ELSE 'uncertain' END AS route FROM td LEFT JOIN kn ON td.tx = kn.tx AND td.token = kn.token GROUP BY 1, 2, 3")
+@query("route_verify_join", f"{_RX} SELECT tx, route_status, route_flag, swapped::BIGINT AS swaps FROM rt")
 def route_verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swaps = trades(spark, sf_dir).where("line <= 2").select("tx", (F.col("token") % 500).alias("pool_id"))
-    pools = table(spark, sf_dir, "part").select((F.col("p_partkey") % 500).alias("pool_id"), F.concat(F.lit("0xt"), F.col("p_partkey").cast("string")).alias("token"), (F.col("p_size") % 4 == 0).alias("hooked"))
-    return decode.verify_routes(_receipt_trades(spark, sf_dir).select("tx", "token", "direction"), swaps, pools)
+    return _routes(spark, sf_dir).select("tx", "route_status", "route_flag", "swaps")
+
+
+def _receipt_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _lines(spark, sf_dir)
+    word_address = lambda c: F.concat(F.lit("0x"), F.lpad(F.substring(c, 3, 40), 64, "0"))
+    log = lambda when, asset, sender, to, amount: F.when(when, F.struct(asset.alias("address"), F.array(F.lit(decode.TRANSFER_TOPIC), word_address(sender), word_address(to)).alias("topics"), F.concat(F.lit("0x"), amount).alias("data")))
+    wallet, manager, buys, other = F.col("wallet"), F.col("manager"), F.col("buys"), F.lit("0x" + "9" * 40)
+    payer, payee = F.when(buys, wallet).otherwise(manager), F.when(buys, manager).otherwise(wallet)
+    coin = F.col("quote") != receipts_.NATIVE
+    back = F.when(F.col("line") == 3, F.col("cents")).otherwise(F.expr("cents div 50"))
+    logs = F.array_compact(F.array(
+        log(coin, F.upper(F.substring("quote", 3, 9)), payer, payee, _tokens(F.col("cents"))), log(F.lit(True), F.col("token"), payee, payer, _tokens(F.col("quantity"))),
+        log(coin & buys & (F.col("line") % 3 == 0), F.upper(F.substring("quote", 3, 9)), manager, wallet, _tokens(back)), log(F.col("quantity") % 7 == 0, F.col("token"), other, wallet, _tokens(F.lit(5).cast("long"))),
+    ))
+    found = decode.decode_transfers(x.select("tx", logs.alias("logs"))).withColumn("asset", F.when(F.startswith("asset", F.lit("q")), F.concat(F.lit("0x"), F.col("asset"))).otherwise(F.col("asset")))
+    refunds = x.where(~coin & buys & (F.col("line") % 4 == 0)).select("tx", F.when(F.col("cents") % 13 == 0, other).otherwise(manager).alias("sender"), F.col("wallet").alias("recipient"), _tokens(F.expr("cents div 50")).alias("amount"))
+    return receipts_.trades_from_receipts(_routes(spark, sf_dir), found, refunds, [])
+
+
+@query("trade_from_receipt", f"""{_RX}, lg AS (SELECT *, buys AND quote = 'native:eth' AND actor AS sends_native, CASE WHEN line = 3 THEN cents ELSE cents // 50 END::HUGEINT * 1000000000000000000 AS coin_back, (cents // 50)::HUGEINT * 1000000000000000000 AS native_back,
+  quote <> 'native:eth' AND quoted AS coin, actor AND quote <> 'native:eth' AND quoted AND buys AND line % 3 = 0 AS coin_refund, quote = 'native:eth' AND buys AND line % 4 = 0 AS native_refund FROM rt WHERE NOT failed),
+fl AS (SELECT *, native_refund AND (NOT actor OR cents % 13 = 0) AS unlinked, actor AND buys AS token_in, actor AND NOT buys AS token_out, CASE WHEN buys THEN coin OR sends_native AND quoted ELSE false END AS quote_out, (NOT buys AND coin) OR coin_refund AS quote_in FROM lg),
+di AS (SELECT *, native_refund AND NOT unlinked AS refunded, CASE WHEN token_in AND quote_out THEN 'buy' WHEN token_out AND quote_in THEN 'sell' ELSE 'unknown' END AS direction,
+  buys AND sends_native AND quoted AND line % 2 <> 0 AS uncovered FROM fl),
+am AS (SELECT *, CASE WHEN uncovered THEN 'uncertain' ELSE route_status END AS status,
+  CASE direction WHEN 'buy' THEN quote || ':' || pay WHEN 'sell' THEN part || ':' || qty ELSE concat_ws(',', CASE WHEN quote_out THEN quote || ':' || pay END, CASE WHEN token_out THEN part || ':' || qty END) END AS payments,
+  CASE direction WHEN 'buy' THEN part || ':' || qty WHEN 'sell' THEN quote || ':' || pay ELSE concat_ws(',', CASE WHEN quote_in THEN quote || ':' || CASE WHEN buys THEN coin_back ELSE pay END END, CASE WHEN token_in THEN part || ':' || qty END) END AS receipts,
+  concat_ws(',', CASE WHEN direction = 'buy' AND coin_refund THEN quote || ':' || coin_back END, CASE WHEN refunded THEN 'native:eth:' || native_back END) AS refunds,
+  CASE direction WHEN 'sell' THEN true WHEN 'buy' THEN pay > CASE WHEN coin_refund THEN coin_back WHEN refunded THEN native_back ELSE 0 END ELSE quote_out AND pay > CASE WHEN refunded THEN native_back ELSE 0 END OR token_out END AS net FROM di),
+cl AS (SELECT *, payments <> '' AS paid, receipts <> '' AS got, swapped AND payments <> '' AND receipts <> '' AND status = 'verified' AND direction <> 'unknown' AND net AS genuine FROM am)
+SELECT tx, direction, status AS route_status, payments, receipts, refunds, CASE WHEN unlinked THEN 'native refund is not linked to the verified route' END AS error,
+ CASE WHEN unlinked THEN NULL WHEN genuine THEN 'genuine_swap' WHEN NOT swapped AND got AND NOT paid THEN 'transfer' ELSE 'ambiguous' END AS classification,
+ concat_ws(',', route_flag, CASE WHEN uncovered THEN 'native_refund_coverage_unavailable' END, CASE WHEN quantity % 7 = 0 OR NOT actor THEN 'unrelated_token_transfer_excluded' END, CASE WHEN sends_native AND NOT quoted THEN 'native_input_outside_verified_pool_currency' END,
+  CASE WHEN unlinked THEN 'native_refund_not_linked' END, CASE WHEN swapped AND paid AND got AND NOT genuine AND status <> 'verified' THEN 'route_evidence_unverified' END, CASE WHEN swapped AND paid AND got AND NOT genuine AND direction = 'unknown' THEN 'wallet_direction_unresolved' END,
+  CASE WHEN swapped AND paid AND got AND NOT genuine AND NOT net THEN 'fully_refunded_or_zero_net_input' END, CASE WHEN swapped AND NOT paid THEN 'no_readable_cash_leg,vendor_or_swap_label_is_not_spend' END, CASE WHEN NOT swapped AND got AND NOT paid THEN 'no_swap_payment_evidence' END,
+  CASE WHEN (NOT swapped AND (paid OR NOT got)) OR (swapped AND paid AND NOT got) THEN 'unsupported_or_unresolved_cash_flow' END, CASE WHEN refunds <> '' THEN 'refund_observed' END) AS flags FROM cl""")
+def trade_from_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _receipt_trades(spark, sf_dir)
+    return t.select("tx", "direction", "route_status", *[maps.text(F.col(c)).alias(c) for c in ("payments", "receipts", "refunds")], "error", "classification", F.array_join("flags", ",").alias("flags"))
 
 
 @query("wide_sums", "SELECT pool, lower(lpad(printf('%x', CAST(sum(price * 1000000) AS BIGINT)), 64, '0')) AS total, count(*) AS n, max(CASE WHEN price = 0 THEN 0 ELSE CAST(floor(log2(price)) AS INTEGER) + 1 END) AS bits FROM ev GROUP BY pool")
@@ -119,8 +188,6 @@ def wide_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("price_return_bps", "lg AS (SELECT event_id, price + 1000 AS s1, lag(price + 1000) OVER (PARTITION BY pool ORDER BY event_us) AS s0 FROM ev) SELECT event_id, CAST(((s0 * s0 - s1 * s1) * 10000 - ((((s0 * s0 - s1 * s1) * 10000) % (s1 * s1)) + s1 * s1) % (s1 * s1)) // (s1 * s1) AS BIGINT) AS return_bps FROM lg WHERE s0 IS NOT NULL")
 def price_return_bps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = raw_events(spark, sf_dir).withColumn("s1", words.word_from_long(F.col("price") + 1000))
     e = e.withColumn("s0", F.lag("s1").over(Window.partitionBy("pool").orderBy("event_us"))).where("s0 is not null")
     return e.select("event_id", words.price_return_bps("s0", "s1").alias("return_bps"))

@@ -2,33 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import maps, words
 from tidemark.operators import facts, market, windows
 from tidemark.plans.bindings import query, raw_events, table, trades
 
 #: 1998-01-01 00:00:00 UTC, 2000-01-01 00:00:00 UTC.
 EVENTS_BY, ARRIVED_BY = 883_612_800_000_000, 946_684_800_000_000
 
-_TIMELINE = f"""tl AS (SELECT token, count(*) AS trade_count, count(*) FILTER (class = 'genuine' AND direction = 'buy') AS verified_buys, count(*) FILTER (class = 'genuine' AND direction = 'sell') AS verified_sells,
- CAST(coalesce(sum(quantity) FILTER (class = 'genuine' AND direction = 'buy'), 0) AS BIGINT) AS token_in, CAST(coalesce(sum(quantity) FILTER (class = 'genuine' AND direction = 'sell'), 0) AS BIGINT) AS token_out,
- CAST(coalesce(sum(cents) FILTER (class = 'genuine' AND direction = 'buy'), 0) AS BIGINT) AS payment_out, CAST(coalesce(sum(cents) FILTER (class = 'genuine' AND direction = 'sell'), 0) AS BIGINT) AS quote_in,
- count(*) FILTER (class = 'ambiguous') AS ambiguous, count(*) FILTER (class = 'transfer') AS transfers, max(event_us) AS latest_event, max(arrival_us) AS latest_arrival
- FROM tr WHERE event_us <= {EVENTS_BY} AND arrival_us <= {ARRIVED_BY} GROUP BY token),
-tq AS (SELECT *, concat_ws(',', CASE WHEN ambiguous > 0 THEN 'ambiguous_activity_excluded' END, CASE WHEN transfers > 0 THEN 'non_swap_activity_excluded' END) AS missingness, CASE WHEN ambiguous > 0 OR transfers > 0 THEN 'degraded' ELSE 'healthy' END AS quality FROM tl)"""
+#: Lines as trades with maps of amounts of 18 decimals; some come again a day later.
+_EVIDENCE = """ln AS (SELECT *, CASE WHEN class = 'genuine' THEN 'genuine_swap' WHEN class = 'transfer' AND quantity % 10 = 0 THEN 'gift_or_airdrop' ELSE class END AS classification,
+ cents % 11 <> 0 AND cents % 13 <> 0 AS sound, cents::HUGEINT * 1000000000000000000 AS pay, quantity::HUGEINT * 1000000000000000000 AS qty, CASE WHEN line % 3 = 0 THEN CASE WHEN line = 3 THEN cents ELSE cents // 50 END::HUGEINT * 1000000000000000000 END AS back
+ FROM tr QUALIFY row_number() OVER (PARTITION BY tx, line ORDER BY token, wallet, direction, cents, quantity, asset, class, arrival_us, event_us) = 1),
+tw AS (SELECT *, 0 AS again FROM ln UNION ALL SELECT * REPLACE (arrival_us + 86400000000 AS arrival_us), 1 FROM ln WHERE line % 4 = 0)"""
+_TIMELINE = f"""{_EVIDENCE}, se AS (SELECT * FROM tw WHERE event_us <= {EVENTS_BY} AND arrival_us <= {ARRIVED_BY}),
+su AS (SELECT * FROM se WHERE classification = 'genuine_swap' AND sound QUALIFY row_number() OVER (PARTITION BY tx, line ORDER BY arrival_us) = 1),
+fl AS (SELECT token, 'token_in' AS flow, '' AS asset, qty AS amount FROM su WHERE direction = 'buy' UNION ALL SELECT token, 'token_out', '', qty FROM su WHERE direction = 'sell'
+ UNION ALL SELECT token, 'payment_out', 'q' || asset % 7, pay FROM su WHERE direction = 'buy' UNION ALL SELECT token, 'payment_out', 'q' || asset % 7, -back FROM su WHERE direction = 'buy' AND back IS NOT NULL
+ UNION ALL SELECT token, 'quote_in', 'q' || asset % 7, pay FROM su WHERE direction = 'sell'),
+fs AS (SELECT token, flow, asset, sum(amount) AS amount FROM fl GROUP BY ALL),
+fm AS (SELECT token, max(amount) FILTER (flow = 'token_in') AS token_in, max(amount) FILTER (flow = 'token_out') AS token_out, string_agg(asset || ':' || amount, ',' ORDER BY asset) FILTER (flow = 'payment_out') AS payment_out, string_agg(asset || ':' || amount, ',' ORDER BY asset) FILTER (flow = 'quote_in') AS quote_in FROM fs GROUP BY token),
+sd AS (SELECT token, count(*) FILTER (direction = 'buy') AS verified_buys, count(*) FILTER (direction = 'sell') AS verified_sells FROM su GROUP BY token),
+ct AS (SELECT token, count(*) AS trade_count, count(*) FILTER (classification = 'ambiguous') AS ambiguous, count(*) FILTER (classification = 'transfer') AS transfers, count(*) FILTER (classification = 'gift_or_airdrop') AS gifts,
+ count(*) FILTER (classification = 'genuine_swap' AND NOT sound) AS unverified, max(event_us) AS latest_event, max(arrival_us) AS latest_arrival FROM se GROUP BY token),
+tq AS (SELECT ct.token, trade_count, coalesce(verified_buys, 0) AS verified_buys, coalesce(verified_sells, 0) AS verified_sells, CAST(coalesce(token_in, 0) AS VARCHAR) AS token_in, CAST(coalesce(token_out, 0) AS VARCHAR) AS token_out, coalesce(payment_out, '') AS payment_out, coalesce(quote_in, '') AS quote_in,
+ ambiguous, transfers, gifts, latest_event, latest_arrival, concat_ws(',', CASE WHEN ambiguous > 0 THEN 'ambiguous_activity_excluded_from_verified_flow' END, CASE WHEN transfers + gifts > 0 THEN 'non_swap_activity_excluded_from_verified_flow' END, CASE WHEN unverified > 0 THEN 'unverified_trade_evidence_excluded_from_verified_flow' END) AS missingness,
+ CASE WHEN ambiguous + transfers + gifts + unverified > 0 THEN 'degraded' ELSE 'healthy' END AS quality FROM ct LEFT JOIN fm ON ct.token = fm.token LEFT JOIN sd ON ct.token = sd.token)"""
+_METHOD = "evidence-2"
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trades(spark, sf_dir)
+    one = F.row_number().over(Window.partitionBy("tx", "line").orderBy("token", "wallet", "direction", "cents", "quantity", "asset", "class", "arrival_us", "event_us"))
+    t = t.withColumn("nth", one).where("nth = 1").drop("nth")
+    amount = lambda c: words.word_from_text(F.when(c == 0, "0").otherwise(F.concat(c.cast("string"), F.lit("0" * 18))))
+    token, quote, buys = F.col("token").cast("string"), F.concat(F.lit("q"), (F.col("asset") % 7).cast("string")), F.col("direction") == "buy"
+    paid, got = F.create_map(quote, amount(F.col("cents"))), F.create_map(token, amount(F.col("quantity")))
+    back = F.when(F.col("line") == 3, F.col("cents")).otherwise(F.expr("cents div 50"))
+    kind = F.when(F.col("class") == "genuine", "genuine_swap").when((F.col("class") == "transfer") & (F.col("quantity") % 10 == 0), "gift_or_airdrop").otherwise(F.col("class"))
+    t = t.select(
+        (F.col("tx") * 10 + F.col("line")).alias("tx"), "line", F.col("wallet").cast("string").alias("wallet"), token.alias("token"), kind.alias("classification"), F.when(F.col("cents") % 11 == 0, "uncertain").otherwise("verified").alias("route_status"), "direction",
+        F.when(F.col("cents") % 13 == 0, "evidence-1").otherwise(_METHOD).alias("method"), "event_us", "arrival_us", F.when(buys, paid).otherwise(got).alias("payments"), F.when(buys, got).otherwise(paid).alias("receipts"),
+        F.when(F.col("line") % 3 == 0, F.create_map(quote, amount(back))).alias("refunds"),
+    )
+    return t.unionByName(t.where("line % 4 = 0").withColumn("arrival_us", F.col("arrival_us") + 86_400_000_000))
+
+
+def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = facts.token_timeline(evidence(spark, sf_dir), EVENTS_BY, ARRIVED_BY, _METHOD)
+    return out.withColumn("token", F.col("token").cast("long"))
 
 
 @query("token_timeline", f"{_TIMELINE} SELECT * FROM tq")
 def token_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.token_timeline(trades(spark, sf_dir), EVENTS_BY, ARRIVED_BY)
+    shown = {c: words.decimal_text(F.col(c)) for c in ("token_in", "token_out")} | {c: maps.text(F.col(c)) for c in ("payment_out", "quote_in")}
+    return _timeline(spark, sf_dir).withColumns(shown | {"missingness": F.array_join("missingness", ",")})
 
 
 @query("observatory_projection", f"{_TIMELINE}, ex AS (SELECT token, count(*) AS excluded FROM tr WHERE event_us > arrival_us GROUP BY token), u AS (SELECT p_partkey AS token FROM part UNION SELECT token FROM tr) SELECT u.token, coalesce(trade_count, 0) AS trade_count, coalesce(verified_buys, 0) AS verified_buys, coalesce(quality, 'unknown') AS quality, coalesce(excluded, 0) AS excluded FROM u LEFT JOIN tq ON u.token = tq.token LEFT JOIN ex ON u.token = ex.token")
 def observatory_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir)
     tokens = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("token")).union(t.select("token")).distinct()
-    line = facts.token_timeline(t, EVENTS_BY, ARRIVED_BY).select("token", "trade_count", "verified_buys", "quality")
+    line = _timeline(spark, sf_dir).select("token", "trade_count", "verified_buys", "quality")
     excluded = market.exclusion_split(t, [("event_after_arrival", F.col("event_us") > F.col("arrival_us"))]).where("reason is not null").groupBy("token").agg(F.count("*").alias("excluded"))
     out = tokens.join(line, "token", "left").join(excluded, "token", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
