@@ -9,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,14 +229,45 @@ def test_op5_equals_brute_force(spark, sf, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_op5_probabilities_sum_to_one():
-    from tidemark.llm.language_model import Automaton, Classes
+def test_op5_automaton(spark, monkeypatch):
+    """The automata that the query's own buckets build: every state's probabilities add up to one, and the state that is carried
+    is the longest counted history of two tokens; stretches change nothing."""
+    from tidemark.llm import language_model as m
 
     rng = np.random.default_rng(2)
-    automaton = Automaton(Classes(np.arange(1, 9, dtype=np.uint64)), rng.integers(0, 4, (10, 10)))
-    every = np.arange(10)
-    for state in every:
-        assert abs((10 ** automaton.traverse(np.full(10, state), every)).sum() - 1) < 1e-9
+    texts = ["", "a", *[" ".join(rng.choice(list("abcde"), rng.integers(0, 40), p=[0.4, 0.3, 0.15, 0.1, 0.05])) for _ in range(30)]]
+    rows = [(i, i % 5 == 4, t) for i, t in enumerate(texts)]
+    count = Counter(g for _, held, t in rows if not held for w in [["\0", *t.split(), "\0"]] for n in (1, 2) for g in zip(*[w[i:] for i in range(n)], strict=False))
+    table = m._pack_rows(pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), *[pa.array([r[k] for r in rows]) for k in range(3)]], ["bucket", "doc_id", "held_out", "text"]))
+    asked = m._requests(pa.Table.from_batches([table]), m._bounds(2))
+    told = pa.concat_tables(m._answers(asked.filter(pc.equal(asked["range"], r))) for r in sorted(set(asked["range"].to_pylist())))
+    built, steps = [], []
+    init, step = m.Backoff.__init__, m.Backoff.step
+    monkeypatch.setattr(m.Backoff, "__init__", lambda self, *x: (init(self, *x), built.append(self))[0])
+    monkeypatch.setattr(m.Backoff, "step", lambda self, s, t: (steps.append((s.copy(), t.copy())), step(self, s, t))[1])
+    train = [t.split() for _, held, t in rows if not held]
+    known, tokens = len({w for t in train for w in t}), sum(map(len, train))
+    scores = m._scores(pa.Table.from_batches([table]), told, known, tokens, len(train))["score"].to_pylist()
+    (automaton,) = built
+    every = np.arange(automaton.tokens)
+    reached = np.unique(np.concatenate([s for s, _ in steps]))
+    assert len(reached) > 20
+    for state in reached:
+        weights, after = step(automaton, np.full(len(every), state), every)
+        # All words of the training texts are in the bucket; one unseen word more makes the sum of the base model one.
+        unseen = m.ADDED / (tokens + len(train) + m.ADDED * (known + 2))
+        lost = unseen * 10 ** sum(automaton.fail_weight[s] for s in _failures(automaton, state))
+        assert abs((10**weights).sum() + lost - 1) < 1e-9
+    assert len(steps) == max(len(t.split()) + 1 for t in texts) + 2
+    monkeypatch.setattr(m, "STRETCH", 7)
+    again = m._scores(pa.Table.from_batches([table]), told, known, tokens, len(train))["score"].to_pylist()
+    assert np.allclose(scores, again, rtol=1e-12) and count["a", "b"] > 0
+
+
+def _failures(automaton, state):
+    while state:
+        yield state
+        state = automaton.fail[state]
 
 
 def test_op5_counts_all_ngrams(spark):

@@ -5,7 +5,8 @@ training texts up to `ORDER` are counted exactly.  A state of the automaton is a
 `ORDER - 1` tokens and an arc a counted n-gram, smoothed with a Dirichlet prior on the next shorter
 history; a failure arc leads there with the state's backoff weight, at last to the word's exact
 unigram.  The counts stay spread over the cluster: texts are dealt into buckets, each bucket asks for
-the counts of its own distinct n-grams, and hash ranges of n-grams answer.
+the counts of its own distinct n-grams, and hash ranges of n-grams answer.  From the answers a bucket
+builds the part of the automaton that its texts can reach, and traverses it once with each text.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from tidemark.llm.language import held_out_is
 from tidemark.llm.shared import bounded_batches, partitions
 from tidemark.llm.text import SPACE_WORDS, Words, as_bytes, chunks, sequence_hashes
 
-#: The longest n-grams that are counted.
+#: The longest n-grams that are counted; the automaton's states are histories of up to two tokens.
 ORDER = 3
 #: The weight of the shorter history in tokens, and what the base model adds to each count.
 PRIOR, ADDED = 8.0, 0.1
 #: Bytes of text times orders in a bucket, at most about; a bucket is one group of a task, and so is a range of n-grams.
 BUCKET_BYTES = 48 << 20
+#: Tokens that one stretch of a text has in the traversal.
+STRETCH = 256
 #: Columns of packed rows beside the bucket.
 PACKED = "ids array<{kind}>, held array<boolean>, sizes array<int>, raw binary"
 _TEXT_CODEC = pa.Codec("zstd", compression_level=6)
@@ -146,35 +149,89 @@ def smoothed(count: np.ndarray, total: np.ndarray, shorter: np.ndarray) -> np.nd
     return (count + PRIOR * shorter) / (total + PRIOR)
 
 
-class Classes:
-    """Tokens of a small vocabulary: 0..k-1 the words, k any other word, k + 1 the end, which also stands before a text."""
+class Backoff:
+    """A weighted backoff automaton over tokens 0..T-1, of which the last is the end of a text.
 
-    def __init__(self, words: np.ndarray):
-        self.hashes = np.sort(words)
-        self.other, self.end, self.size = len(words), len(words) + 1, len(words) + 2
-
-
-class Automaton:
-    """The bigram automaton of a small vocabulary as one table, with the smoothing of `score_texts`: states are the tokens
-    before; `arcs` hold log10 probabilities, NaN where a state has no arc and the failure arc to the root applies."""
-
-    def __init__(self, classes: Classes, bigrams: np.ndarray):
-        self.classes = classes
-        count = bigrams.astype(np.float64)
-        root = count.sum(axis=0) + ADDED
-        root /= root.sum()
-        total = count.sum(axis=1)
-        self.arcs = np.where(count > 0, np.log10(smoothed(count, total[:, None], root)), np.nan)
-        self.fail, self.root = np.log10(PRIOR / (total + PRIOR)), np.log10(root)
+    State 0 is the empty history, state 1 + t the history t (for the end: the start of a text), state 1 + T + k that of the k-th
+    bigram.  A state's arcs are its counted continuations with smoothed log10 probabilities; they lead to the longest
+    history of at most two tokens that was counted.  The failure arc leads to the history without its first token, with
+    the log10 backoff weight; the empty history has an arc for every token.
+    """
 
-    def traverse(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of the tokens; the state after a token is that token, so all steps are taken at once."""
-        found = self.arcs[before, now]
-        return np.where(np.isnan(found), self.fail[before] + self.root[now], found)
+    def __init__(self, counts: np.ndarray, base: np.ndarray, first: np.ndarray, second: np.ndarray, bigrams: np.ndarray, before: np.ndarray, after: np.ndarray, trigrams: np.ndarray):
+        """counts and base: training counts and probabilities of the tokens.  Tokens and counts of each bigram; of each trigram its
+        first and its last bigram and its count."""
+        size = self.tokens = len(counts)
+        self.root, self.root_next = np.log10(base), np.where(counts > 0, 1 + np.arange(size), 0)
+        total = np.concatenate([[0], counts, bigrams])
+        self.fail = np.concatenate([np.zeros(1 + size, np.int64), 1 + second])
+        self.fail_weight = np.log10(PRIOR / (total + PRIOR))
+        chance = smoothed(bigrams, counts[first], base[second])
+        two, three = np.flatnonzero(bigrams), np.flatnonzero(trigrams)
+        arcs = np.concatenate([(1 + first[two]) * size + second[two], (1 + size + before[three]) * size + second[after[three]]])
+        weights = np.concatenate([chance[two], smoothed(trigrams[three], bigrams[before[three]], chance[after[three]])])
+        order = np.argsort(arcs)
+        self.arcs, self.weights = arcs[order], np.log10(weights[order])
+        self.next = (1 + size + np.concatenate([two, after[three]]))[order]
+
+    @property
+    def start(self) -> int:
+        return int(self.root_next[-1])
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of each token in its state: along failure arcs until a state has the token's arc."""
+        weight, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            at_root = state == 0
+            done, now = open_[at_root], token[at_root]
+            weight[done] += self.root[now]
+            after[done] = self.root_next[now]
+            open_, state, token = open_[~at_root], state[~at_root], token[~at_root]
+            if not len(self.arcs):
+                found, place = np.zeros(len(open_), bool), None
+            else:
+                key = state * self.tokens + token
+                place = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+                found = self.arcs[place] == key
+                weight[open_[found]] += self.weights[place[found]]
+                after[open_[found]] = self.next[place[found]]
+            open_, state, token = open_[~found], state[~found], token[~found]
+            weight[open_] += self.fail_weight[state]
+            state = self.fail[state]
+        return weight, after
+
+    def traverse(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of token sequences (each ends with the end), `sizes` tokens each, from left to right.
+
+        Sequences advance side by side.  A long one is cut into stretches of `STRETCH` tokens; as a state is known from the two
+        tokens before it, each stretch finds the state that the one before it ends in by walking those two.
+        """
+        starts = np.cumsum(sizes) - sizes
+        pieces = -(-sizes // STRETCH)
+        of = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = starts[of] + nth * STRETCH
+        length = np.minimum(sizes[of] - nth * STRETCH, STRETCH)
+        state = np.full(len(of), self.start, np.int64)
+        inner = np.flatnonzero(nth > 0)
+        state[inner] = 0
+        for back in (2, 1):
+            state[inner] = self.step(state[inner], tokens[at[inner] - back])[1]
+        # The longest first, so that those still under way are a prefix.
+        order = np.argsort(-length, kind="stable")
+        at, length, state = at[order], length[order], state[order]
+        total = np.zeros(len(of))
+        for k in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -k, side="left"))
+            weight, state[:n] = self.step(state[:n], tokens[at[:n] + k])
+            total[:n] += weight
+        return np.bincount(of[order], total, minlength=len(sizes))
 
 
 def _scores(table: pa.Table, answers: pa.Table, known: int, tokens: int, ends: int) -> pa.Table:
-    """Scores of a bucket of packed rows whose n-grams' counts are in `answers` (range, n, times)."""
+    """Scores of a bucket of packed rows whose n-grams' counts are in `answers` (range, n, times): the automaton of the bucket's
+    n-grams is built and its texts are traversed."""
     table = _unpack_rows(table)
     words, counts = words_of(table.column("text"))
     place_of = np.argsort(answers.column("range").to_numpy())
@@ -183,37 +240,38 @@ def _scores(table: pa.Table, answers: pa.Table, known: int, tokens: int, ends: i
     # Orders follow each other, and ranges within them, as in the sorted n-grams.
     told, used = np.concatenate([np.zeros(0, np.uint64), *lists]).astype(np.int64), 0
 
-    def times_of(grams: np.ndarray) -> np.ndarray:
+    def counted(order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts of the distinct n-grams, the number of each n-gram of the texts in order, and the first place of each."""
         nonlocal used
-        unique, place = np.unique(grams, return_inverse=True)
+        unique, first, place = np.unique(_grams(words, counts, order)[0], return_index=True, return_inverse=True)
         used += len(unique)
         if used > len(told):
             raise ValueError("the counts don't fit the n-grams of the bucket")
-        return told[used - len(unique) : used][place]
+        return told[used - len(unique) : used], place.astype(np.int32), first
 
     n, v = tokens + ends, known + (1 if ends else 0)
+    times, token, _ = counted(1)
+    times = np.append(times, ends)
+    base = (times + ADDED) / (n + ADDED * (v + 1))
+    # Texts with the end behind them, and with one before them too.
     row = np.repeat(np.arange(len(counts)), counts + 1)
+    stream = np.full(len(row), len(times) - 1, np.int32)
     inner = np.ones(len(row), bool)
     inner[np.cumsum(counts + 1) - 1] = False
-    # At each token: training counts of the longest n-gram so far that stops there, and its probability.
-    times = np.full(len(row), ends, np.int64)
-    times[inner] = times_of(words)
-    chance = (times + ADDED) / (n + ADDED * (v + 1))
-    base_total = np.bincount(row, np.log10(chance), minlength=len(counts))
-    seen = np.bincount(row, times > 0, minlength=len(counts)).astype(np.int64)
-    for order in range(2, ORDER + 1):
-        grams, many = _grams(words, counts, order)
-        first = np.cumsum(counts + 1) - (counts + 1) + order - 2
-        at = np.arange(len(grams)) + np.repeat(first - (np.cumsum(many) - many), many)
-        found = times_of(grams)
-        # The history's count is that of the n-gram that stops a token before; before a text it is the end's.
-        chance[at] = smoothed(found, times[at - 1], chance[at])
-        times = np.zeros(len(row), np.int64)
-        times[at] = found
-    total = np.bincount(row, np.log10(chance), minlength=len(counts))
+    stream[inner] = token
+    # A bigram stops at each token of the stream; a trigram at each but the first of a text.
+    last = np.ones(len(row), bool)
+    last[np.cumsum(counts + 1) - (counts + 1)] = False
+    previous = np.where(last, np.concatenate([[0], stream[:-1]]) if len(stream) else stream, len(times) - 1)
+    pairs, pair, place = counted(2)
+    first, second = previous[place].astype(np.int64), stream[place].astype(np.int64)
+    triples, _, place = counted(3)
+    stops = np.flatnonzero(last)[place]
+    automaton = Backoff(times, base, first, second, pairs, pair[stops - 1].astype(np.int64), pair[stops].astype(np.int64), triples)
+    score = automaton.traverse(stream, counts + 1)
     return pa.table({
-        "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array((counts + 1).astype(np.int64)), "n_known": pa.array(seen),
-        "train_tokens": pa.array(np.full(len(counts), n, np.int64)), "base_score": pa.array(base_total), "score": pa.array(total),
+        "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array((counts + 1).astype(np.int64)), "n_known": pa.array(np.bincount(row, times[stream] > 0, minlength=len(counts)).astype(np.int64)),
+        "train_tokens": pa.array(np.full(len(counts), n, np.int64)), "base_score": pa.array(np.bincount(row, np.log10(base)[stream], minlength=len(counts))), "score": pa.array(score),
     })
 
 
