@@ -172,7 +172,7 @@ class Backoff:
         weights = np.concatenate([chance[two], smoothed(trigrams[three], bigrams[before[three]], chance[after[three]])])
         order = np.argsort(arcs)
         self.arcs, self.weights = arcs[order], np.log10(weights[order])
-        self.next = (1 + size + np.concatenate([two, after[three]]))[order]
+        self.next = (1 + size + np.concatenate([two, after[three]])).astype(np.int32)[order]
 
     @property
     def start(self) -> int:
@@ -239,22 +239,26 @@ def _scores(table: pa.Table, answers: pa.Table, known: int, tokens: int, ends: i
     lists = [unpack(packed[int(i)].as_py(), n) for i, n in zip(place_of, sizes, strict=True)]
     # Orders follow each other, and ranges within them, as in the sorted n-grams.
     told, used = np.concatenate([np.zeros(0, np.uint64), *lists]).astype(np.int64), 0
+    del lists
 
     def counted(order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Training counts of the distinct n-grams, the number of each n-gram of the texts in order, and the first place of each."""
         nonlocal used
-        unique, first, place = np.unique(_grams(words, counts, order)[0], return_index=True, return_inverse=True)
+        unique, place = np.unique(_grams(words, counts, order)[0], return_inverse=True)
         used += len(unique)
         if used > len(told):
             raise ValueError("the counts don't fit the n-grams of the bucket")
-        return told[used - len(unique) : used], place.astype(np.int32), first
+        place = place.astype(np.int32)
+        first = np.empty(len(unique), np.int32)
+        first[place[::-1]] = np.arange(len(place) - 1, -1, -1, dtype=np.int32)
+        return told[used - len(unique) : used], place, first
 
     n, v = tokens + ends, known + (1 if ends else 0)
     times, token, _ = counted(1)
     times = np.append(times, ends)
     base = (times + ADDED) / (n + ADDED * (v + 1))
     # Texts with the end behind them, and with one before them too.
-    row = np.repeat(np.arange(len(counts)), counts + 1)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
     stream = np.full(len(row), len(times) - 1, np.int32)
     inner = np.ones(len(row), bool)
     inner[np.cumsum(counts + 1) - 1] = False
@@ -262,12 +266,13 @@ def _scores(table: pa.Table, answers: pa.Table, known: int, tokens: int, ends: i
     # A bigram stops at each token of the stream; a trigram at each but the first of a text.
     last = np.ones(len(row), bool)
     last[np.cumsum(counts + 1) - (counts + 1)] = False
-    previous = np.where(last, np.concatenate([[0], stream[:-1]]) if len(stream) else stream, len(times) - 1)
+    previous = np.where(last, np.roll(stream, 1), stream.dtype.type(len(times) - 1))
     pairs, pair, place = counted(2)
     first, second = previous[place].astype(np.int64), stream[place].astype(np.int64)
     triples, _, place = counted(3)
     stops = np.flatnonzero(last)[place]
     automaton = Backoff(times, base, first, second, pairs, pair[stops - 1].astype(np.int64), pair[stops].astype(np.int64), triples)
+    del words, inner, last, previous, pair, stops, place, first, second
     score = automaton.traverse(stream, counts + 1)
     return pa.table({
         "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array((counts + 1).astype(np.int64)), "n_known": pa.array(np.bincount(row, times[stream] > 0, minlength=len(counts)).astype(np.int64)),
