@@ -293,16 +293,6 @@ def test_sparse_propagation_reaches_all_nodes(spark):
     assert all(abs(v - sparse.get(k, 0.0)) < 1e-12 for k, v in whole.items())
 
 
-def test_matched_experiment_uses_all_edges(spark, sf, monkeypatch):
-    from tidemark.operators import graph
-    from tidemark.plans import graph as plans
-
-    seen, run = [], graph.propagate_sparse
-    monkeypatch.setattr(graph, "propagate_sparse", lambda e, *rest: seen.append(e.count()) or run(e, *rest))
-    assert plans.matched_experiment(spark, sf).count() == 5
-    assert seen == [plans._unique_edges(spark, sf).count()] * 3
-
-
 def test_tick_prices(spark):
     """The known ends, both sides of zero, and the upward rounding."""
     ticks = [-887272, -1, 0, 1, 60, 887272, 887273, None]

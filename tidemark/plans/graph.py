@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.canon import table_hash
-from tidemark.operators import graph
+from tidemark.operators import experiment, graph
 from tidemark.plans.bindings import query, table
 from tidemark.sources.shared import cut
 
@@ -106,22 +106,11 @@ def recurrent_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("matched_experiment")
 def matched_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out error of five models on the same rows: graph states, two controls, no state and the inputs alone.  Dimension i
-    drives node i, and a graph's features are the sum and the sum of squares of its states."""
+    """Held-out error of five models: dimension i of a vector drives node i, and four vectors in a row are an episode."""
     s = samples(spark, sf_dir)
     e = cut(_unique_edges(spark, sf_dir), "edges")
-    drive = s.select("vec_id", F.posexplode("x").alias("node", "input")).withColumn("node", F.col("node").cast("long"))
-    out = None
-    for name, own in (("graph", e), ("shuffled", cut(graph.shuffled_targets(e, 21), "edges")), ("random_weights", cut(graph.random_weights(e, 22), "edges")), ("no_state", None), ("ordinary", None)):
-        if own is not None:
-            state = graph.propagate_sparse(own, 2, 0.3, ["vec_id"], drive).groupBy("vec_id").agg(F.sum("value").alias("s0"), F.sum(F.col("value") * F.col("value")).alias("s1"))
-            rows, d = s.join(state, "vec_id", "left").withColumn("f", F.array(*[F.coalesce(c, F.lit(0.0)) for c in ("s0", "s1")])), 2
-        elif name == "no_state":
-            rows, d = s.withColumn("f", F.slice("x", 1, 1)), 1
-        else:
-            rows, d = s.withColumn("f", F.col("x")), DIMS
-        weights, intercept = graph.ridge_fit(rows.where("vec_id % 5 <> 0"), F.col("f"), "y", 1.0, d)
-        held = graph.linear_score(rows.where("vec_id % 5 = 0"), F.col("f"), list(weights), intercept)
-        one = held.agg(F.lit(name).alias("model"), F.count("*").alias("held_out"), F.round(F.avg(F.abs(F.col("score") - F.col("y"))), 6).alias("mae"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    i = F.col("vec_id")
+    rows = s.select(i.alias("sample_id"), F.expr("vec_id div 4").alias("episode_id"), i.alias("observed_us"), F.col("y").alias("target"), F.when(i % 5 == 0, "test").otherwise("train").alias("partition"))
+    inputs = s.select(i.alias("sample_id"), F.posexplode("x").alias("node", "input")).withColumn("node", F.col("node").cast("long"))
+    metrics, _ = experiment.run_experiment(e, rows, inputs)
+    return metrics.select("model", "status", "train_count", "heldout_count", F.round("mae", 6).alias("mae"))
