@@ -8,19 +8,25 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing
+from tidemark.llm.text import as_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def whole_text_ids(text: str | None) -> list[int]:
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def fullest(lengths: list[int], capacity: int) -> int:
@@ -105,12 +111,28 @@ def test_edges(spark, odd):
     assert [r.length for r in sorted(small, key=lambda r: r.piece)] == [3, 3, 1, 1] and check_laws(small, 3) == 3
 
 
-def test_forgotten_words_are_learnt_again(monkeypatch):
-    monkeypatch.setattr(packing, "_KEPT_WORDS", 3)
+def ids_of(words, texts):
+    return [[*ids, 1] for ids in words.of_texts(*as_bytes(pa.array(texts, pa.string())))]
+
+
+def test_forgotten_pieces_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "_KEPT", 3)
     words = packing.WordIds(PATH)
     texts = ["one two three four", "five six one two", "", "seven one"]
-    for text in texts * 2:
-        assert [*next(words.of_texts([text.encode()])), 1] == whole_text_ids(text)
+    for text in texts * 3:
+        assert ids_of(words, [text]) == [whole_text_ids(text)]
+
+
+def test_long_texts_are_tokenised_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "_ROUND", 64)
+    texts = ["it's a test " * 40, "short", "x" * 500 + " y", "", "é " * 100]
+    assert ids_of(packing.WordIds(PATH), texts) == [whole_text_ids(t) for t in texts]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"abzAZ019 '-.\t\n", "'s", "'LL", "'re", "'V", "e", "'", "é", "E\u0301", "\u0301", "\u00a0", "İ", "Σ", "ß", "日", "😀", "\x00", "\x1c", "\x7f", "\x85", "<|endoftext|>", "</w>"]), max_size=30).map("".join), max_size=4))
+def test_pieces_equal_whole_texts(texts):
+    assert ids_of(packing._words_of(PATH), texts) == [whole_text_ids(t) for t in texts]
 
 
 def test_rows_of_one_length_over_many_partitions(spark):

@@ -11,7 +11,9 @@ counts by length and partition makes them global.  No task sees all pieces.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,55 +26,146 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.periodic_runs import word_lists
+from tidemark.llm.periodic_runs import spaced_parts
 from tidemark.llm.shared import bounded_batches, cut, small_or_shuffled
-from tidemark.llm.text import as_bytes, chunks
+from tidemark.llm.text import LOWER, SPACE_WORDS, Words, as_bytes, chunks
 
 CAPACITY, END = 4096, 1
-#: Distinct words whose ids a task keeps.
-_KEPT_WORDS = 400_000
+#: Rows that a task gives at a time.
+_ROWS = 2000
+#: Distinct pieces of words whose ids a worker keeps, how many are joined to be tokenised at a time, and bytes of text a round.
+_KEPT, _JOINED, _ROUND = 1_500_000, 1000, 4 << 20
+#: Kinds of bytes: white space, letter, digit, other ASCII, beyond ASCII.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x80:] = 4
+
+
+class Pieces(Words):
+    """The pieces that the tokenizer splits words into: of ASCII words runs of letters, single digits, runs of other characters and
+    the endings 's 't 're 've 'm 'll 'd; words beyond ASCII stay whole, as their normal forms are the tokenizer's own."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int):
+        super().__init__(data, offsets, low, high, SPACE_WORDS)
+        kind = _KIND[self._raw]
+        beyond = np.unique(np.searchsorted(self.begin, np.flatnonzero(kind == 4), side="right") - 1)
+        step = np.zeros(len(kind) + 1, np.int8)
+        step[self.begin[beyond]] = 1
+        # Words don't touch, so an end is never a beginning.
+        step[self.end[beyond]] -= 1
+        kind[np.cumsum(step[:-1], dtype=np.int8) > 0] = 4
+        starts = kind != 0
+        starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        starts[self.begin] = True
+        begin = np.flatnonzero(starts)
+        end = np.minimum(np.append(begin[1:], len(kind)), self.end[np.searchsorted(self.begin, begin, side="right") - 1])[: len(begin)]
+        # A lone apostrophe takes an ending from the letters behind it.
+        quote = np.flatnonzero((self._raw[begin[:-1]] == 0x27) & (end[:-1] - begin[:-1] == 1) & (begin[1:] == end[:-1]) & (kind[begin[1:]] == 1))
+        letter = LOWER[self._raw[begin[quote + 1]]]
+        second = np.where(end[quote + 1] - begin[quote + 1] > 1, LOWER[self._raw[np.minimum(begin[quote + 1] + 1, len(kind) - 1)]], 0)
+        two = (np.isin(letter, [ord("r"), ord("v")]) & (second == ord("e"))) | ((letter == ord("l")) & (second == ord("l")))
+        taken = np.where(np.isin(letter, [ord(c) for c in "stmd"]), 1, np.where(two, 2, 0))
+        end[quote] += taken
+        begin[quote + 1] += taken
+        left = begin < end
+        self.begin, self.end = begin[left], end[left]
+
+    def texts(self, places: np.ndarray) -> list[bytes]:
+        raw = self._raw.tobytes()
+        return [raw[b:e].lower() for b, e in zip(self.begin[places].tolist(), self.end[places].tolist(), strict=True)]
 
 
 class WordIds:
-    """Token ids of words, each distinct word tokenised once.
+    """Token ids of texts, each distinct piece of a word tokenised once.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its
-    words one after another.
+    The tokenizer drops white space, never joins characters across it, and ends each piece that it splits off with an id of
+    a token that ends a word.  So the ids of a text are those of its pieces one after another, and many pieces can be
+    tokenised in one call.  Pieces are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
         # The names of special tokens in a text are ordinary text.
         self._tokenizer.encode_special_tokens = True
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self._codes: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        self._first, self._ids, self._known = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
-
-    def _learn(self) -> None:
-        new = [w.decode() for w in itertools.islice(self._codes, self._known, None)]
-        found = [e.ids for e in self._tokenizer.encode_batch(new, add_special_tokens=False)]
-        ends = np.cumsum([len(f) for f in found]) + self._first[-1]
-        self._first = np.concatenate([self._first, ends])
-        self._ids = np.concatenate([self._ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
-        self._known += len(new)
-
-    def of_texts(self, raws: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        if len(self._codes) > _KEPT_WORDS:
-            self._forget()
-        coded = [[np.fromiter(map(self._codes.__getitem__, words), np.int32, len(words)) for words in word_lists(raw)] for raw in raws]
-        if len(self._codes) > self._known:
-            self._learn()
-        for parts in coded:
-            ids = [np.zeros(0, np.uint32)]
-            for codes in parts:
-                size = self._first[codes + 1] - self._first[codes]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                ids.append(self._ids[np.repeat(self._first[codes] - ends + size, size) + np.arange(total)])
-            yield np.concatenate(ids)
+        #: Sorted hashes of known pieces, the place of each among the ids, and the ids.
+        self._keys, self._code = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._first, self._ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their numbers of ids)."""
+        ids, sizes, order = [np.zeros(0, np.uint32)], np.zeros(len(pieces), np.int64), []
+        plain = [i for i, p in enumerate(pieces) if p.isascii()]
+        for line in (plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)):
+            found = np.array(self._tokenizer.encode_batch_fast([b" ".join(pieces[i] for i in line).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self._ends[found])
+            if len(ends) != len(line):
+                raise ValueError("the tokenizer doesn't end each piece of a word with a token of its own")
+            sizes[line] = np.diff(ends, prepend=-1)
+            ids.append(found)
+            order += line
+        for i in (i for i, p in enumerate(pieces) if not p.isascii()):
+            found = self._tokenizer.encode_batch_fast([pieces[i].decode()], add_special_tokens=False)[0].ids
+            sizes[i] = len(found)
+            ids.append(np.array(found, np.uint32))
+            order.append(i)
+        begins = np.zeros(len(pieces), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        return _gathered(np.concatenate(ids), begins, sizes), sizes
+
+    def _codes(self, found: Pieces) -> np.ndarray:
+        """The code of each piece; new ones are tokenised."""
+        hashes, first, of = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self._keys, hashes), len(self._keys) - 1)
+        new = self._keys[at] != hashes if len(self._keys) else np.ones(len(hashes), bool)
+        if new.any():
+            ids, sizes = self._encode(found.texts(first[new]))
+            codes = np.arange(len(self._keys), len(self._keys) + len(sizes), dtype=np.int32)
+            self._first, self._ids = np.concatenate([self._first, np.cumsum(sizes) + self._first[-1]]), np.concatenate([self._ids, ids])
+            places = np.searchsorted(self._keys, hashes[new])
+            self._keys, self._code = np.insert(self._keys, places, hashes[new]), np.insert(self._code, places, codes)
+            at = np.searchsorted(self._keys, hashes)
+        return self._code[at][of]
+
+    def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text; one after another, a round of texts at a time, a longer text in parts."""
+        for low, high in chunks(offsets, _ROUND):
+            if len(self._keys) > _KEPT:
+                self._forget()
+            if offsets[high] - offsets[low] > 2 * _ROUND:
+                edges = np.cumsum([offsets[low], *map(len, spaced_parts(data[offsets[low] : offsets[high]].tobytes(), _ROUND))])
+                yield np.concatenate([self._round(data, edges, k, k + 1)[0] for k in range(len(edges) - 1)])
+            else:
+                yield from self._round(data, offsets, low, high)
+
+    def _round(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        found = Pieces(data, offsets, low, high)
+        codes = self._codes(found)
+        sizes = self._first[codes + 1] - self._first[codes]
+        ids = _gathered(self._ids, self._first[codes], sizes)
+        edge = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(found.begin, offsets[low : high + 1] - found.base)]
+        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices values[begins:begins + sizes], one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(begins - ends + sizes, sizes) + np.arange(total)]
+
+
+@functools.cache
+def _words_of(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
 
 
 def tokenized_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -84,13 +177,13 @@ def tokenized_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     columns = f"doc_id {named.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, part = WordIds(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        words, seen, part = _words_of(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             data, offsets = as_bytes(batch.column("text"))
-            for low, high in chunks(offsets, 4 << 20):
+            texts = enumerate(words.of_texts(data, offsets))
+            while some := list(itertools.islice(texts, _ROWS)):
                 row, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
-                raws = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(low, high)]
-                for i, found in enumerate(words.of_texts(raws), low):
+                for i, found in some:
                     own = np.append(found, np.uint32(end)).astype("<u4")
                     for at in range(0, len(own), capacity):
                         here = own[at : at + capacity]

@@ -33,16 +33,21 @@ _SPACE = re.compile(rb"[ \t-\r]")
 _LIST = 512
 
 
-def word_lists(raw: bytes) -> Iterator[list[bytes]]:
-    """The words [^\\x20\\x09-\\x0D]+ of a text in order, in lists of about `RUN_BYTES`."""
-    low = 0
+def spaced_parts(raw: bytes, size: int | None = None) -> Iterator[bytes]:
+    """A text in parts of about `size` (`RUN_BYTES`) bytes that end between words [^\\x20\\x09-\\x0D]+."""
+    low, size = 0, size or RUN_BYTES
     while low < len(raw):
-        space = _SPACE.search(raw, low + RUN_BYTES) if len(raw) - low > RUN_BYTES else None
+        space = _SPACE.search(raw, low + size) if len(raw) - low > size else None
         high = space.start() if space else len(raw)
-        yield raw[low:high].split()
+        yield raw[low:high]
         low = high
 
 
+def word_lists(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists of about `RUN_BYTES`."""
+    return (part.split() for part in spaced_parts(raw))
+
+
 class Positions:
     """Ascending positions of one suffix class, in lists of bounded length."""
 
