@@ -26,7 +26,7 @@ from tidemark.llm.text import LOWER, Words, as_bytes, chunks, separators
 #: Bytes of words: ASCII letters and everything beyond ASCII.
 LETTERS = separators([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 #: Bytes of a packed term, values of a block's matrix, bytes of text that are counted at a time.
-PACKED, CELLS, GROUP_BYTES = 16, 2_000_000, 4 << 20
+PACKED, CELLS, GROUP_BYTES = 16, 200_000, 4 << 20
 SCALE = 1_000_000_000
 
 
