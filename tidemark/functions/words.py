@@ -6,7 +6,7 @@ of wide values use one vectorised function over Python integers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,9 +80,14 @@ def carry(parts: Column) -> Column:
     return F.aggregate(F.reverse(parts), start, add, lambda acc: acc["word"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that stands once in the plan however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_from_text(x: Column) -> Column:
-    """The word of a canonical decimal string, for all 256 bits; null for other text."""
-    digits = F.lpad(F.regexp_replace(x, "^-", ""), 81, "0")
+    """The word of a canonical decimal string, for all 256 bits; null for other text.  Up to 37 digits two exact decimal
+    quotients give it; beyond, nine digits at a time are carried into limbs."""
 
     def times(limbs_: Column, nine: Column) -> Column:
         start = F.struct(nine.alias("over"), F.array().cast("array<bigint>").alias("out"))
@@ -93,11 +98,19 @@ def word_from_text(x: Column) -> Column:
 
         return F.aggregate(limbs_, start, one, lambda acc: acc["out"])
 
-    chunks = F.array(*[F.substring(digits, 1 + 9 * i, 9).cast("bigint") for i in range(9)])
-    parts = F.aggregate(chunks, F.array_repeat(F.lit(0).cast("long"), LIMBS), times)
-    word = F.array_join(F.transform(F.reverse(parts), lambda limb: F.lower(F.lpad(F.hex(limb), 8, "0"))), "")
-    sound = x.rlike("^(0|-?[1-9][0-9]{0,77})$")
-    return F.when(sound, F.when(F.startswith(x, F.lit("-")), negated(word)).otherwise(word))
+    def long(size: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.substr(F.lpad(size, 81, "0"), 1 + 9 * i, F.lit(9)).cast("bigint"))
+        parts = F.aggregate(chunks, F.array_repeat(F.lit(0).cast("long"), LIMBS), times)
+        return F.array_join(F.transform(F.reverse(parts), lambda limb: F.lower(F.lpad(F.hex(limb), 8, "0"))), "")
+
+    def short(value: Column) -> Column:
+        half, quarter = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(10,0)")
+        pieces = [(F.call_function("div", value, half), 16), (F.call_function("div", value % half, quarter), 8), ((value % quarter).cast("long"), 8)]
+        return F.lower(F.concat(F.lit("0" * 32), *[F.lpad(F.hex(part), n, "0") for part, n in pieces]))
+
+    word = lambda size: F.when(F.length(size) <= 37, _let(size.cast("decimal(38,0)"), short)).otherwise(long(size))
+    signed = lambda t: _let(word(F.regexp_replace(t, "^-", "")), lambda w: F.when(F.startswith(t, F.lit("-")), negated(w)).otherwise(w))
+    return _let(x, lambda t: F.when(t.rlike("^(0|-?[1-9][0-9]{0,77})$"), signed(t)))
 
 
 def negated(x: Column) -> Column:
@@ -106,13 +119,13 @@ def negated(x: Column) -> Column:
 
 
 def is_positive(x: Column) -> Column:
-    return ~is_negative(x) & (x != "0" * 64)
+    return _let(x, lambda w: ~is_negative(w) & (w != "0" * 64))
 
 
 def decimal_text(x: Column) -> Column:
-    """A word as a canonical decimal string, for all 256 bits: its limbs are carried into nine digits of base 10**9 and one more."""
+    """A word as a canonical decimal string, for all 256 bits.  Sizes below 2**120 go through an exact decimal; the limbs of
+    larger ones are carried into digits of base 10**9."""
     base = 1_000_000_000
-    size = F.when(is_negative(x), negated(x)).otherwise(x)
 
     def times(digits: Column, limb: Column) -> Column:
         start = F.struct(limb.alias("over"), F.array().cast("array<bigint>").alias("out"))
@@ -123,10 +136,16 @@ def decimal_text(x: Column) -> Column:
 
         return F.aggregate(digits, start, one, lambda acc: acc["out"])
 
-    digits = F.aggregate(limbs(size), F.array_repeat(F.lit(0).cast("long"), 9), times)
-    joined = F.array_join(F.transform(F.reverse(digits), lambda d: F.lpad(d.cast("string"), 9, "0")), "")
-    plain = F.regexp_replace(joined, "^0+(?=.)", "")
-    return F.when(is_negative(x), F.concat(F.lit("-"), plain)).otherwise(plain)
+    def long(size: Column) -> Column:
+        digits = F.aggregate(limbs(size), F.array_repeat(F.lit(0).cast("long"), 9), times)
+        return F.regexp_replace(F.array_join(F.transform(F.reverse(digits), lambda d: F.lpad(d.cast("string"), 9, "0")), ""), "^0+(?=.)", "")
+
+    def short(size: Column) -> Column:
+        part = lambda at: F.conv(F.substring(size, at, 15), 16, 10).cast("decimal(19,0)")
+        return (part(35) * F.lit(str(1 << 60)).cast("decimal(19,0)") + part(50)).cast("decimal(38,0)").cast("string")
+
+    plain = lambda size: F.when(fits_unsigned(size, 120), short(size)).otherwise(long(size))
+    return _let(x, lambda w: F.when(is_negative(w), F.concat(F.lit("-"), _let(negated(w), plain))).otherwise(plain(w)))
 
 
 def _value(word: str) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +55,15 @@ def token_timeline(trades: DataFrame, event_cutoff: int, arrival_cutoff: int, me
     )
     sides = sure.groupBy("token").agg(F.count_if(F.col("direction") == "buy").alias("verified_buys"), F.count_if(F.col("direction") == "sell").alias("verified_sells"))
 
-    buys, sells = sure.where("direction = 'buy'"), sure.where("direction = 'sell'")
-    flow = lambda rows, side, name, sign=lambda w: w: rows.select("token", F.explode(side).alias("asset", "word")).select("token", F.lit(name).alias("flow"), "asset", sign(F.col("word")).alias("word"))
-    of_token = lambda rows, side, name: flow(rows, side, name).where("asset = token")
-    legs = of_token(buys, "receipts", "token_in").unionByName(of_token(sells, "payments", "token_out")).unionByName(flow(buys, "payments", "payment_out")).unionByName(flow(buys, "refunds", "payment_out", words.negated)).unionByName(flow(sells, "receipts", "quote_in"))
+    def entries(side: str, name: str, sign: Callable[[Column], Column] = lambda word: word) -> Column:
+        given = F.map_entries(F.coalesce(side, F.create_map().cast("map<string,string>")))
+        return F.transform(given, lambda e: F.struct(F.lit(name).alias("flow"), e["key"].alias("asset"), sign(e["value"]).alias("word")))
+
+    of_token = lambda legs: F.filter(legs, lambda leg: leg["asset"] == F.col("token"))
+    bought = F.concat(of_token(entries("receipts", "token_in")), entries("payments", "payment_out"), entries("refunds", "payment_out", words.negated))
+    sold = F.concat(of_token(entries("payments", "token_out")), entries("receipts", "quote_in"))
+    # One pass over the trades: a row of a leg each.
+    legs = sure.select("token", F.inline(F.when(F.col("direction") == "buy", bought).otherwise(sold)))
     totals = maps.asset_sums(legs, ["token", "flow"], "asset", "word")
     whole = lambda name: F.max(F.when(F.col("flow") == name, F.col("total"))).alias(name)
     by_asset = lambda name: maps.to_map("asset", "total", F.col("flow") == name, drop_zero=False).alias(name)
