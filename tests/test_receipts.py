@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import maps, words
@@ -59,27 +58,34 @@ def traded(spark, transfers, refunds=(), **how):
     return out.withColumns({c: maps.decimals(F.col(c)) for c in ("payments", "receipts", "refunds")}).collect()
 
 
-@pytest.mark.parametrize(
-    ("how", "expected"),
-    [
-        ({}, ("verified", None)),
-        ({"swaps": ()}, ("uncertain", "no_supported_swap_route")),
-        ({"pools": ()}, ("uncertain", "pool_identity_unavailable")),
-        ({"pools": (("P", "v3", MANAGER, TOKEN, QUOTE),)}, ("unsupported", "unsupported_pool_protocol")),
-        ({"swaps": (SWAP, (1, 2, "other", "0xm", "Swap", False))}, ("uncertain", "swap_pool_identity_unavailable")),
-        ({"swaps": ((1, 3, "p", "0xforged", "Swap", False),)}, ("unsupported", "swap_issuer_or_event_mismatch")),
-        ({"swaps": ((1, 3, "p", "0xm", "Initialize", False),)}, ("unsupported", "swap_issuer_or_event_mismatch")),
-        ({"swaps": ((1, 3, "p", "0xm", "Swap", True),)}, ("unsupported", "unsupported_hook_route")),
-        ({"logs": ((1, 4),)}, ("uncertain", "swap_log_not_linked_to_receipt")),
-        ({"pools": (("P", "v4", MANAGER, OTHER, QUOTE),)}, ("unsupported", "token_not_in_verified_pool_currency")),
-        ({"quotes": (OTHER,)}, ("uncertain", "quote_asset_not_in_verified_pool_currency")),
-        # The first failing swap by log index decides.
-        ({"swaps": ((1, 5, "p", "0xforged", "Swap", False), (1, 3, "p", "0xm", "Swap", True))}, ("unsupported", "unsupported_hook_route")),
-    ],
-)
-def test_routes(spark, how, expected):
-    row = routed(spark, **how).first()
-    assert (row.route_status, row.route_flag) == expected
+#: Pools, swaps (log index, pool, emitter, kind, hook) and swap logs of a receipt each, and its route.
+ROUTES = [
+    ([POOL], [SWAP], [3], ("verified", None)),
+    ([POOL], [], [3], ("uncertain", "no_supported_swap_route")),
+    ([], [SWAP], [3], ("uncertain", "pool_identity_unavailable")),
+    ([("P", "v3", MANAGER, TOKEN, QUOTE)], [SWAP], [3], ("unsupported", "unsupported_pool_protocol")),
+    ([POOL], [SWAP, (1, 2, "other", "0xm", "Swap", False)], [2, 3], ("uncertain", "swap_pool_identity_unavailable")),
+    ([POOL], [(1, 3, "p", "0xforged", "Swap", False)], [3], ("unsupported", "swap_issuer_or_event_mismatch")),
+    ([POOL], [(1, 3, "p", "0xm", "Initialize", False)], [3], ("unsupported", "swap_issuer_or_event_mismatch")),
+    ([POOL], [(1, 3, "p", "0xm", "Swap", True)], [3], ("unsupported", "unsupported_hook_route")),
+    ([POOL], [SWAP], [4], ("uncertain", "swap_log_not_linked_to_receipt")),
+    ([("P", "v4", MANAGER, OTHER, QUOTE)], [SWAP], [3], ("unsupported", "token_not_in_verified_pool_currency")),
+    ([("P", "v4", MANAGER, TOKEN, OTHER)], [SWAP], [3], ("uncertain", "quote_asset_not_in_verified_pool_currency")),
+    # The first failing swap by log index decides.
+    ([POOL], [(1, 5, "p", "0xforged", "Swap", False), (1, 3, "p", "0xm", "Swap", True)], [3, 5], ("unsupported", "unsupported_hook_route")),
+]
+
+
+def test_routes(spark):
+    number = range(len(ROUTES))
+    receipts = spark.createDataFrame([(i, WALLET, TOKEN) for i in number], "tx int, wallet string, token string")
+    swaps = [(i, s[1], f"{s[2]}{i}", *s[3:]) for i in number for s in ROUTES[i][1]]
+    pools = [(f"{p[0]}{i}", *p[1:]) for i in number for p in ROUTES[i][0]]
+    out = r.verify_routes(
+        receipts, spark.createDataFrame(swaps, "tx int, log_index int, pool_id string, emitter string, event_type string, hooked boolean"), spark.createDataFrame([(i, k) for i in number for k in ROUTES[i][2]], "tx int, log_index int"),
+        spark.createDataFrame(pools, "pool_id string, protocol string, manager string, currency0 string, currency1 string"), [QUOTE], "v4",
+    ).collect()
+    assert {x.tx: (x.route_status, x.route_flag) for x in out} == {i: ROUTES[i][3] for i in number}
 
 
 def test_buy_with_amounts_beyond_64_bits(spark):

@@ -57,14 +57,18 @@ def to_long(x: Column) -> Column:
     return F.when(F.substring(x, 1, 49) == "0" * 49, low).when(F.substring(x, 1, 49) == "f" * 49, low - F.lit(1 << 60))
 
 
+def _limb(x: Column, i: int) -> Column:
+    return F.conv(F.substring(x, 1 + 8 * i, 8), 16, 10).cast("long")
+
+
 def limbs(x: Column) -> Column:
     """Eight 32-bit limbs of a word, the highest first."""
-    return F.array(*[F.conv(F.substring(x, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(LIMBS)])
+    return F.array(*[_limb(x, i) for i in range(LIMBS)])
 
 
 def limb_sums(x: Column) -> list[Column]:
     """Aggregates that add a word's limbs; `carry` turns them into a word.  Up to 2**31 rows are exact."""
-    return [F.sum(F.get(limbs(x), F.lit(i))).alias(f"limb{i}") for i in range(LIMBS)]
+    return [F.sum(_limb(x, i)).alias(f"limb{i}") for i in range(LIMBS)]
 
 
 def carry(parts: Column) -> Column:

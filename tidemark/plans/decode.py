@@ -88,10 +88,10 @@ def decode_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transfers(spark, sf_dir).select("tx", "asset", "sender", "recipient", "amount")
 
 
-#: Receipts by line: a wallet trades a part against the quote of its pool; amounts have 18 decimals.
+#: Receipts by line: a wallet trades a part against the quote of its pool; amounts are multiples of 2**64.
 _QUOTES = ["0xq1", "0xq2", "0xq3", receipts_.NATIVE]
 _RX = """tx AS (SELECT tx * 10 + line AS tx, line, token, '0x' || lpad(printf('%x', wallet), 40, '0') AS wallet, '0x' || lpad(printf('%x', 1000000 + token % 50), 40, '0') AS manager, '0xt' || token AS part,
- CASE WHEN token % 5 = 0 THEN 'native:eth' ELSE '0xq' || token % 5 END AS quote, direction = 'buy' AS buys, cents, cents::HUGEINT * 1000000000000000000 AS pay, quantity::HUGEINT * 1000000000000000000 AS qty, quantity, cents % 53 = 0 AS failed FROM tr QUALIFY row_number() OVER (PARTITION BY tx, line ORDER BY token, wallet, direction, cents, quantity) = 1),
+ CASE WHEN token % 5 = 0 THEN 'native:eth' ELSE '0xq' || token % 5 END AS quote, direction = 'buy' AS buys, cents, cents::HUGEINT * 18446744073709551616 AS pay, quantity::HUGEINT * 18446744073709551616 AS qty, quantity, cents % 53 = 0 AS failed FROM tr QUALIFY row_number() OVER (PARTITION BY tx, line ORDER BY token, wallet, direction, cents, quantity) = 1),
 sw AS (SELECT tx.*, CASE WHEN token % 41 = 0 THEN 'pool_identity_unavailable' WHEN token % 31 = 0 THEN 'unsupported_pool_protocol' WHEN cents % 19 = 0 THEN 'swap_issuer_or_event_mismatch' WHEN token % 23 = 0 THEN 'unsupported_hook_route'
   WHEN cents % 29 = 0 THEN 'swap_log_not_linked_to_receipt' WHEN token % 37 = 0 THEN 'token_not_in_verified_pool_currency' WHEN token % 5 = 4 THEN 'quote_asset_not_in_verified_pool_currency' END AS broken FROM tx),
 rt AS (SELECT *, cents % 17 <> 0 AS swapped, CASE WHEN cents % 17 = 0 THEN 'no_supported_swap_route' ELSE broken END AS route_flag,
@@ -104,8 +104,8 @@ def _address(x: Column) -> Column:
 
 
 def _tokens(x: Column) -> Column:
-    """The word of a bigint times 10**18."""
-    return words.word_from_text(F.when(x == 0, "0").otherwise(F.concat(x.cast("string"), F.lit("0" * 18))))
+    """The word of a bigint times 2**64."""
+    return F.concat(F.substring(words.word_from_long(x), 17, 48), F.lit("0" * 16))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _receipt_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts_.trades_from_receipts(_routes(spark, sf_dir), found, refunds, [])
 
 
-@query("trade_from_receipt", f"""{_RX}, lg AS (SELECT *, buys AND quote = 'native:eth' AND actor AS sends_native, CASE WHEN line = 3 THEN cents ELSE cents // 50 END::HUGEINT * 1000000000000000000 AS coin_back, (cents // 50)::HUGEINT * 1000000000000000000 AS native_back,
+@query("trade_from_receipt", f"""{_RX}, lg AS (SELECT *, buys AND quote = 'native:eth' AND actor AS sends_native, CASE WHEN line = 3 THEN cents ELSE cents // 50 END::HUGEINT * 18446744073709551616 AS coin_back, (cents // 50)::HUGEINT * 18446744073709551616 AS native_back,
   quote <> 'native:eth' AND quoted AS coin, actor AND quote <> 'native:eth' AND quoted AND buys AND line % 3 = 0 AS coin_refund, quote = 'native:eth' AND buys AND line % 4 = 0 AS native_refund FROM rt WHERE NOT failed),
 fl AS (SELECT *, native_refund AND (NOT actor OR cents % 13 = 0) AS unlinked, actor AND buys AS token_in, actor AND NOT buys AS token_out, CASE WHEN buys THEN coin OR sends_native AND quoted ELSE false END AS quote_out, (NOT buys AND coin) OR coin_refund AS quote_in FROM lg),
 di AS (SELECT *, native_refund AND NOT unlinked AS refunded, CASE WHEN token_in AND quote_out THEN 'buy' WHEN token_out AND quote_in THEN 'sell' ELSE 'unknown' END AS direction,

@@ -12,9 +12,9 @@ from tidemark.plans.bindings import query, raw_events, table, trades
 #: 1998-01-01 00:00:00 UTC, 2000-01-01 00:00:00 UTC.
 EVENTS_BY, ARRIVED_BY = 883_612_800_000_000, 946_684_800_000_000
 
-#: Lines as trades with maps of amounts of 18 decimals; some come again a day later.
+#: Lines as trades with maps of amounts in units of 2**64; some come again a day later.
 _EVIDENCE = """ln AS (SELECT *, CASE WHEN class = 'genuine' THEN 'genuine_swap' WHEN class = 'transfer' AND quantity % 10 = 0 THEN 'gift_or_airdrop' ELSE class END AS classification,
- cents % 11 <> 0 AND cents % 13 <> 0 AS sound, cents::HUGEINT * 1000000000000000000 AS pay, quantity::HUGEINT * 1000000000000000000 AS qty, CASE WHEN line % 3 = 0 THEN CASE WHEN line = 3 THEN cents ELSE cents // 50 END::HUGEINT * 1000000000000000000 END AS back
+ cents % 11 <> 0 AND cents % 13 <> 0 AS sound, cents::HUGEINT * 18446744073709551616 AS pay, quantity::HUGEINT * 18446744073709551616 AS qty, CASE WHEN line % 3 = 0 THEN CASE WHEN line = 3 THEN cents ELSE cents // 50 END::HUGEINT * 18446744073709551616 END AS back
  FROM tr QUALIFY row_number() OVER (PARTITION BY tx, line ORDER BY token, wallet, direction, cents, quantity, asset, class, arrival_us, event_us) = 1),
 tw AS (SELECT *, 0 AS again FROM ln UNION ALL SELECT * REPLACE (arrival_us + 86400000000 AS arrival_us), 1 FROM ln WHERE line % 4 = 0)"""
 _TIMELINE = f"""{_EVIDENCE}, se AS (SELECT * FROM tw WHERE event_us <= {EVENTS_BY} AND arrival_us <= {ARRIVED_BY}),
@@ -37,7 +37,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir)
     one = F.row_number().over(Window.partitionBy("tx", "line").orderBy("token", "wallet", "direction", "cents", "quantity", "asset", "class", "arrival_us", "event_us"))
     t = t.withColumn("nth", one).where("nth = 1").drop("nth")
-    amount = lambda c: words.word_from_text(F.when(c == 0, "0").otherwise(F.concat(c.cast("string"), F.lit("0" * 18))))
+    amount = lambda c: F.concat(F.substring(words.word_from_long(c), 17, 48), F.lit("0" * 16))
     token, quote, buys = F.col("token").cast("string"), F.concat(F.lit("q"), (F.col("asset") % 7).cast("string")), F.col("direction") == "buy"
     paid, got = F.create_map(quote, amount(F.col("cents"))), F.create_map(token, amount(F.col("quantity")))
     back = F.when(F.col("line") == 3, F.col("cents")).otherwise(F.expr("cents div 50"))
