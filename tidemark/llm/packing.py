@@ -19,7 +19,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -172,7 +171,11 @@ def tokenized_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """(doc_id, piece, start, length, ids_crc32, part, nth[, ids]) of every document: its ids and the id `end`, cut into pieces
     of `capacity` ids, the last one shorter.  `nth` numbers the pieces of one length within the input partition `part`.
     A null text counts as empty and gives the end id alone; equal rows give pieces of their own."""
-    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = tokenizer
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     columns = f"doc_id {named.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
 
