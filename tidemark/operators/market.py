@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import words
 from tidemark.functions.integers import floor_div, return_bps
 from tidemark.operators.windows import global_row_number
 
@@ -17,6 +18,16 @@ def exclusion_split(events: DataFrame, reasons: list[tuple[str, Column]]) -> Dat
     return events.withColumn("reason", chain)
 
 
+def state_features(tick: str = "tick", liquidity: str = "liquidity", fee: str = "fee", amount0: str = "amount0", amount1: str = "amount1") -> list[Column]:
+    """Features of a swap's own state: its tick and fee in millionths within [-1, 1], the bits of its liquidity (a word) of 256, and the
+    signs of both amounts (words).  Nothing later can change them."""
+    sign = lambda c: F.when(words.is_negative(F.col(c)), -1.0).when(F.col(c) == "0" * 64, 0.0).otherwise(1.0)
+    return [
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(tick) / 1_000_000)).alias("tick_scaled"), F.least(words.bit_length(F.col(liquidity)) / 256, F.lit(1.0)).alias("liquidity_log2_scaled"),
+        F.least(F.col(fee) / 1_000_000, F.lit(1.0)).alias("fee_scaled"), sign(amount0).alias("amount0_sign"), sign(amount1).alias("amount1_sign"),
+    ]
+
+
 def history_features(points: DataFrame, key: str = "pool", event: str = "event_us", arrival: str = "arrival_us", ident: str = "event_id", price: str = "price", gap: int = 900) -> DataFrame:
     """Features of each point from what had arrived before it, in arrival order; no later arrival can change them."""
     order = Window.partitionBy(key).orderBy(arrival, event, ident)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import words
 from tidemark.operators import market, windows
 from tidemark.plans.bindings import DAY, MINUTE, floored, headers, micros, query, raw_events, table
 
@@ -56,10 +57,21 @@ def forward_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir)
 
 
-@query("history_features", f"{_FEATURES} SELECT event_id, price_change_bps, price_level_bps, history_available, round(seconds_scaled, 6) AS seconds_scaled, round(sequence_scaled, 6) AS sequence_scaled FROM feat")
+_SHOWN = ["price_change_bps", "price_level_bps", "history_available", "amount0_sign", "amount1_sign"]
+
+
+@query("history_features", f"""{_FEATURES}, st AS (SELECT event_id, price - 5000 AS tick, CASE WHEN price = 0 THEN 0 ELSE 65 + CAST(floor(log2(price)) AS INTEGER) END AS bits, event_id % 5 * 300000 AS fee, price % 7 - 3 AS amount0, 3 - price % 7 AS amount1 FROM ev)
+SELECT feat.event_id, price_change_bps, price_level_bps, history_available, round(seconds_scaled, 6) AS seconds_scaled, round(sequence_scaled, 6) AS sequence_scaled, round(tick / 1000000, 6) AS tick_scaled, round(bits / 256, 6) AS liquidity_log2_scaled,
+ round(least(fee / 1000000, 1), 6) AS fee_scaled, CAST(sign(amount0) AS DOUBLE) AS amount0_sign, CAST(sign(amount1) AS DOUBLE) AS amount1_sign FROM feat JOIN st ON feat.event_id = st.event_id""")
 def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = market.history_features(points(spark, sf_dir))
-    return f.select("event_id", "price_change_bps", "price_level_bps", "history_available", F.round("seconds_since_previous_scaled", 6).alias("seconds_scaled"), F.round("sequence_index_scaled", 6).alias("sequence_scaled"))
+    """All ten features of every event, as a swap whose liquidity is a multiple of 2**64."""
+    p, own = points(spark, sf_dir), F.col("price") % 7 - 3
+    liquidity = F.concat(F.substring(words.word_from_long(F.col("price")), 17, 48), F.lit("0" * 16))
+    p = p.withColumns({"tick": F.col("price") - 5000, "liquidity": liquidity, "fee": F.col("event_id") % 5 * 300_000, "amount0": words.word_from_long(own), "amount1": words.word_from_long(-own)})
+    f = market.history_features(p).select("*", *market.state_features())
+    return f.select(
+        "event_id", *_SHOWN, F.round("seconds_since_previous_scaled", 6).alias("seconds_scaled"), F.round("sequence_index_scaled", 6).alias("sequence_scaled"), *[F.round(c, 6).alias(c) for c in ("tick_scaled", "liquidity_log2_scaled", "fee_scaled")],
+    )
 
 
 @query("group_chrono_split", f"{_SPLIT} SELECT * FROM split")
