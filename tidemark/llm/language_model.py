@@ -11,7 +11,7 @@ builds the part of the automaton that its texts can reach, and traverses it once
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,16 +163,21 @@ class Backoff:
         first and its last bigram and its count."""
         size = self.tokens = len(counts)
         self.root, self.root_next = np.log10(base), np.where(counts > 0, 1 + np.arange(size), 0)
-        total = np.concatenate([[0], counts, bigrams])
-        self.fail = np.concatenate([np.zeros(1 + size, np.int64), 1 + second])
-        self.fail_weight = np.log10(PRIOR / (total + PRIOR))
+        self.fail = np.concatenate([np.zeros(1 + size, np.int32), 1 + second])
         chance = smoothed(bigrams, counts[first], base[second])
-        two, three = np.flatnonzero(bigrams), np.flatnonzero(trigrams)
-        arcs = np.concatenate([(1 + first[two]) * size + second[two], (1 + size + before[three]) * size + second[after[three]]])
-        weights = np.concatenate([chance[two], smoothed(trigrams[three], bigrams[before[three]], chance[after[three]])])
-        order = np.argsort(arcs)
-        self.arcs, self.weights = arcs[order], np.log10(weights[order])
-        self.next = (1 + size + np.concatenate([two, after[three]])).astype(np.int32)[order]
+        # Arcs of single tokens and of bigrams, each in the order of (state, token).
+        some = np.flatnonzero(trigrams)
+        self.three = self._arcs((1 + size + before[some].astype(np.int64)) * size + second[after[some]], lambda k: smoothed(trigrams[some[k]], bigrams[before[some[k]]], chance[after[some[k]]]), lambda k: 1 + size + after[some[k]])
+        some = np.flatnonzero(bigrams)
+        self.two = self._arcs((1 + first[some].astype(np.int64)) * size + second[some], lambda k: chance[some[k]], lambda k: 1 + size + some[k])
+        self.fail_weight = np.log10(PRIOR / (np.concatenate([[0], counts, bigrams]) + PRIOR))
+
+    @staticmethod
+    def _arcs(keys: np.ndarray, chance: Callable[[np.ndarray], np.ndarray], state: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys).astype(np.int32)
+        keys = keys[order]
+        weights = chance(order)
+        return keys, np.log10(weights, out=weights), state(order).astype(np.int32)
 
     @property
     def start(self) -> int:
@@ -188,17 +193,19 @@ class Backoff:
             weight[done] += self.root[now]
             after[done] = self.root_next[now]
             open_, state, token = open_[~at_root], state[~at_root], token[~at_root]
-            if not len(self.arcs):
-                found, place = np.zeros(len(open_), bool), None
-            else:
-                key = state * self.tokens + token
-                place = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-                found = self.arcs[place] == key
-                weight[open_[found]] += self.weights[place[found]]
-                after[open_[found]] = self.next[place[found]]
+            found = np.zeros(len(open_), bool)
+            for own, (keys, weights, following) in ((state <= self.tokens, self.two), (state > self.tokens, self.three)):
+                at = np.flatnonzero(own)
+                if len(at) and len(keys):
+                    key = state[at] * self.tokens + token[at]
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = keys[place] == key
+                    found[at[hit]] = True
+                    weight[open_[at[hit]]] += weights[place[hit]]
+                    after[open_[at[hit]]] = following[place[hit]]
             open_, state, token = open_[~found], state[~found], token[~found]
             weight[open_] += self.fail_weight[state]
-            state = self.fail[state]
+            state = self.fail[state].astype(np.int64)
         return weight, after
 
     def traverse(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -238,8 +245,9 @@ def _scores(table: pa.Table, answers: pa.Table, known: int, tokens: int, ends: i
     sizes, packed = answers.column("n").to_numpy()[place_of], answers.column("times")
     lists = [unpack(packed[int(i)].as_py(), n) for i, n in zip(place_of, sizes, strict=True)]
     # Orders follow each other, and ranges within them, as in the sorted n-grams.
-    told, used = np.concatenate([np.zeros(0, np.uint64), *lists]).astype(np.int64), 0
+    told, used = np.concatenate([np.zeros(0, np.uint64), *lists]), 0
     del lists
+    told = told.astype(np.int32 if told.max(initial=0) < 1 << 31 else np.int64)
 
     def counted(order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Training counts of the distinct n-grams, the number of each n-gram of the texts in order, and the first place of each."""
@@ -268,11 +276,14 @@ def _scores(table: pa.Table, answers: pa.Table, known: int, tokens: int, ends: i
     last[np.cumsum(counts + 1) - (counts + 1)] = False
     previous = np.where(last, np.roll(stream, 1), stream.dtype.type(len(times) - 1))
     pairs, pair, place = counted(2)
-    first, second = previous[place].astype(np.int64), stream[place].astype(np.int64)
-    triples, _, place = counted(3)
+    first, second = previous[place].astype(np.int32), stream[place]
+    del previous, token, inner
+    triples, place = counted(3)[::2]
     stops = np.flatnonzero(last)[place]
-    automaton = Backoff(times, base, first, second, pairs, pair[stops - 1].astype(np.int64), pair[stops].astype(np.int64), triples)
-    del words, inner, last, previous, pair, stops, place, first, second
+    before, after = pair[stops - 1], pair[stops]
+    del words, last, pair, stops, place
+    automaton = Backoff(times, base, first, second, pairs, before, after, triples)
+    del first, second, before, after
     score = automaton.traverse(stream, counts + 1)
     return pa.table({
         "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array((counts + 1).astype(np.int64)), "n_known": pa.array(np.bincount(row, times[stream] > 0, minlength=len(counts)).astype(np.int64)),
