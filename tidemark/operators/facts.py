@@ -28,11 +28,13 @@ def cash_flow_class(trades: DataFrame, has_swap: Column, paid: Column, received:
     return trades.withColumn("flags", flags).withColumn("cash_class", kind)
 
 
-def verified_trades(trades: DataFrame, method: str) -> DataFrame:
-    """Genuine swaps with a verified route, a direction and the current method, one a (tx, wallet, token): the first to arrive."""
-    first = Window.partitionBy("tx", "wallet", "token").orderBy("arrival_us", "event_us")
+def verified_once(trades: DataFrame, method: str, name: str) -> DataFrame:
+    """`trades` with a boolean: a genuine swap with a verified route, a direction and the current method, and of those of its
+    (tx, wallet, token) the first to arrive."""
     sure = (F.col("classification") == "genuine_swap") & (F.col("route_status") == "verified") & F.col("direction").isin("buy", "sell") & (F.col("method") == method)
-    return trades.where(sure).withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    marked = trades.withColumn("__sure", F.coalesce(sure, F.lit(False)))
+    first = Window.partitionBy("tx", "wallet", "token", "__sure").orderBy("arrival_us", "event_us")
+    return marked.withColumn(name, F.col("__sure") & (F.row_number().over(first) == 1)).drop("__sure")
 
 
 def token_timeline(trades: DataFrame, event_cutoff: int, arrival_cutoff: int, method: str, unknown: tuple[str, ...] = ()) -> DataFrame:
@@ -41,19 +43,19 @@ def token_timeline(trades: DataFrame, event_cutoff: int, arrival_cutoff: int, me
 
     trades(tx, wallet, token, classification, route_status, direction, method, event_us, arrival_us, payments, receipts,
     refunds), the last three maps from assets to words.  token_in and token_out are words, payment_out (refunds taken off)
-    and quote_in maps of words, exact at any size.  Only `verified_trades` count in them; other activity is counted and named
+    and quote_in maps of words, exact at any size.  Only `verified_once` trades count in them; other activity is counted and named
     in `missingness` (array), to which `unknown` adds what the caller doesn't know.
     """
-    seen = trades.where((F.col("event_us") <= event_cutoff) & (F.col("arrival_us") <= arrival_cutoff))
-    sure = verified_trades(seen, method)
+    seen = verified_once(trades.where((F.col("event_us") <= event_cutoff) & (F.col("arrival_us") <= arrival_cutoff)), method, "__verified")
+    sure = seen.where("__verified")
     kind = lambda *names: F.count_if(F.col("classification").isin(*names))
     genuine = F.col("classification") == "genuine_swap"
     unsure = genuine & ~((F.col("route_status") == "verified") & F.col("direction").isin("buy", "sell") & (F.col("method") == method))
     counts = seen.groupBy("token").agg(
         F.count("*").alias("trade_count"), kind("ambiguous").alias("ambiguous"), kind("transfer").alias("transfers"), kind("gift_or_airdrop").alias("gifts"), F.count_if(F.coalesce(unsure, genuine)).alias("unverified"),
+        F.count_if(F.col("__verified") & (F.col("direction") == "buy")).alias("verified_buys"), F.count_if(F.col("__verified") & (F.col("direction") == "sell")).alias("verified_sells"),
         F.max("event_us").alias("latest_event"), F.max("arrival_us").alias("latest_arrival"),
     )
-    sides = sure.groupBy("token").agg(F.count_if(F.col("direction") == "buy").alias("verified_buys"), F.count_if(F.col("direction") == "sell").alias("verified_sells"))
 
     def entries(side: str, name: str, sign: Callable[[Column], Column] = lambda word: word) -> Column:
         given = F.map_entries(F.coalesce(side, F.create_map().cast("map<string,string>")))
@@ -69,9 +71,9 @@ def token_timeline(trades: DataFrame, event_cutoff: int, arrival_cutoff: int, me
     by_asset = lambda name: maps.to_map("asset", "total", F.col("flow") == name, drop_zero=False).alias(name)
     flows = totals.groupBy("token").agg(whole("token_in"), whole("token_out"), by_asset("payment_out"), by_asset("quote_in"))
 
-    out = counts.join(sides, "token", "left").join(flows, "token", "left")
+    out = counts.join(flows, "token", "left")
     nothing = F.create_map().cast("map<string,string>")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("verified_buys", "verified_sells")} | {c: F.coalesce(c, F.lit(maps.ZERO)) for c in ("token_in", "token_out")} | {c: F.coalesce(c, nothing) for c in ("payment_out", "quote_in")})
+    out = out.withColumns({c: F.coalesce(c, F.lit(maps.ZERO)) for c in ("token_in", "token_out")} | {c: F.coalesce(c, nothing) for c in ("payment_out", "quote_in")})
     missing = F.array_compact(F.array(
         *[F.lit(u) for u in unknown], F.when(F.col("ambiguous") > 0, "ambiguous_activity_excluded_from_verified_flow"), F.when(F.col("transfers") + F.col("gifts") > 0, "non_swap_activity_excluded_from_verified_flow"),
         F.when(F.col("unverified") > 0, "unverified_trade_evidence_excluded_from_verified_flow"),
