@@ -99,3 +99,18 @@ def test_offset_is_capped_and_never_falls(log):
     tail.partitions({"block": 50}, {"block": 88})
     tail.options["lag"] = "60"
     assert tail.latestOffset() == {"block": 88} and tail.partitions({"block": 88}, {"block": 88}) == []
+
+
+def test_a_task_reads_its_pages_and_their_halves_from_row_groups_read_once(spark, log, monkeypatch):
+    spark.dataSource.register(pages.LogPages)
+    options = OPTIONS | {"path": f"{log.path}/log", "start": 5, "end": 27, "page": 10, "task_pages": 2, "most": 6, "rows": f"{sources._LOG}, page_low long, page_high long"}
+    df = spark.read.format("log_pages").options(**options).load()
+    rows = df.collect()
+    assert df.rdd.getNumPartitions() == 2 and sorted(r.event_id for r in rows) == list(range(10, 56))
+    # Pages are the same as with a task a page.
+    alone = spark.read.format("log_pages").options(**options | {"task_pages": 1}).load().collect()
+    assert sorted(rows) == sorted(alone)
+    read, opened = pages.ParquetLog(OPTIONS | {"path": f"{log.path}/log", "most": "4"}), []
+    monkeypatch.setattr(pages.ParquetLog, "_sorted", lambda self, k, old=pages.ParquetLog._sorted: opened.append(k) or old(self, k))
+    assert [r[1] for _, _, found in pages.fetch(read, 0, 99) for r in found] == list(range(200))
+    assert sorted(opened) == list(range(len(read._row_groups())))

@@ -91,8 +91,13 @@ def scan_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = "block long, event_id long, event_type string, pool long, event_us long"
 
 
-def _append_log(logs: DataFrame, path: str, files: int = 4) -> None:
-    """Store events as the log that the page source reads: files in block order."""
+#: Events of a file of the log, and pages of 128 blocks that a task reads: about as many events.
+_FILE_EVENTS, _TASK_PAGES = 250_000, 200
+
+
+def _append_log(logs: DataFrame, path: str) -> None:
+    """Store events as the log that the page source reads: files in block order, more for a larger log."""
+    files = max(4, -(-logs.count() // _FILE_EVENTS))
     logs.select("block", "event_id", "event_type", "pool", "event_us").repartitionByRange(files, "block").write.mode("append").parquet(path)
 
 
@@ -107,7 +112,7 @@ def scan_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     _append_log(logs, path)
     end = (logs.agg(F.max("block")).first()[0] or 0) // 128 * 128 + 127
     spark.dataSource.register(pages.LogPages)
-    options = {"path": path, "columns": "block,event_id,event_type,pool,event_us", "rows": f"{_LOG}, page_low long, page_high long", "page": 128, "most": 40, "start": 0, "end": end}
+    options = {"path": path, "columns": "block,event_id,event_type,pool,event_us", "rows": f"{_LOG}, page_low long, page_high long", "page": 128, "task_pages": max(1, min(_TASK_PAGES, end // 128 // 16)), "most": 40, "start": 0, "end": end}
     read = spark.read.format("log_pages").options(**options).load()
     return read.select(F.col("page_low").alias("low"), F.col("page_high").alias("high"), "block", "event_id", "event_type")
 

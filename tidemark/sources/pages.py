@@ -1,4 +1,4 @@
-"""Paged log sources: a batch reader with a partition a page, and a stream reader that stays behind the head.
+"""Paged log sources: a batch reader with a partition for some pages, and a stream reader that stays behind the head.
 
 A transport gives a log's rows by block range.  It is made on executors (and on the driver for its head) by a function
 `module:function` of the options, and has `head()`, the newest block or -1, and `rows(low, high)`, tuples whose first value
@@ -11,7 +11,9 @@ import importlib
 from collections.abc import Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs
 from pyspark.sql import DataFrame
@@ -33,7 +35,8 @@ class PageTooLarge(Exception):
 
 class ParquetLog:
     """Options: path (a folder that driver and executors share), columns (the block's first, comma-joined), most (rows given at
-    once, unlimited by default).  Statistics of row groups decide which files a page opens."""
+    once, unlimited by default).  Statistics of row groups decide which of them a page opens.  The row groups of the last page
+    stay in memory, sorted by block, so that its halves and the pages after it don't read them again."""
 
     def __init__(self, options: dict[str, str]):
         path = options["path"]
@@ -44,22 +47,46 @@ class ParquetLog:
         self._files, self._fs = sorted(f.path for f in found if f.path.endswith(".parquet")), fs
         self._columns = options["columns"].split(",")
         self._most = int(options["most"]) if "most" in options else None
+        self._pieces: list[tuple[int, int, ds.ParquetFileFragment]] | None = None
+        self._held: dict[int, tuple[pa.Table, np.ndarray]] = {}
+
+    def _row_groups(self) -> list[tuple[int, int, ds.ParquetFileFragment]]:
+        """(first block, last block, row group) of the log, known once."""
+        if self._pieces is None:
+            block, self._pieces = self._columns[0], []
+            for path in self._files:
+                for piece in ds.ParquetFileFormat().make_fragment(path, self._fs).split_by_row_group():
+                    known = (piece.row_groups[0].statistics or {}).get(block)
+                    if known is not None:
+                        self._pieces.append((known["min"], known["max"], piece))
+                    elif piece.row_groups[0].num_rows:
+                        blocks = piece.to_table(columns=[block]).column(0)
+                        if blocks.null_count < len(blocks):
+                            self._pieces.append((pc.min(blocks).as_py(), pc.max(blocks).as_py(), piece))
+        return self._pieces
 
     def head(self) -> int:
-        newest = -1
-        for path in self._files:
-            for piece in ds.ParquetFileFormat().make_fragment(path, self._fs).row_groups:
-                newest = max(newest, piece.statistics[self._columns[0]]["max"])
-        return newest
+        return max((last for _, last, _ in self._row_groups()), default=-1)
 
     def rows(self, low: int, high: int) -> list[tuple]:
-        if not self._files:
-            return []
-        block = pa.dataset.field(self._columns[0])
-        table = ds.dataset(self._files, filesystem=self._fs, format="parquet").to_table(columns=self._columns, filter=(block >= low) & (block <= high))
-        if self._most is not None and table.num_rows > self._most:
-            raise PageTooLarge(f"{table.num_rows} rows in {low}-{high}")
-        return list(zip(*[c.to_pylist() for c in table.columns], strict=True))
+        touched = [k for k, (first, last, _) in enumerate(self._row_groups()) if first <= high and last >= low]
+        # Pages ascend: only row groups before this one are done with.
+        self._held = {k: v for k, v in self._held.items() if self._row_groups()[k][1] >= low}
+        self._held |= {k: self._sorted(k) for k in touched if k not in self._held}
+        found = []
+        for table, blocks in (self._held[k] for k in touched):
+            start = np.searchsorted(blocks, low)
+            found.append(table.slice(start, np.searchsorted(blocks, high, side="right") - start))
+        count = sum(len(t) for t in found)
+        if self._most is not None and count > self._most:
+            raise PageTooLarge(f"{count} rows in {low}-{high}")
+        return [row for t in found for row in zip(*[c.to_pylist() for c in t.columns], strict=True)]
+
+    def _sorted(self, k: int) -> tuple[pa.Table, np.ndarray]:
+        block = self._columns[0]
+        table = self._row_groups()[k][2].to_table(columns=self._columns)
+        table = table.filter(pc.is_valid(table.column(block))).sort_by(block).combine_chunks()
+        return table, table.column(block).to_numpy()
 
 
 def parquet_log(options: dict[str, str]) -> Transport:
@@ -92,13 +119,15 @@ def fetch(transport: Transport, low: int, high: int) -> Iterator[tuple[int, int,
 
 
 class Page(InputPartition):
+    """Blocks that a task reads, one page after the other."""
+
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
 
 
 class LogPages(DataSource):
     """A log by block.  Options: rows (the schema; with the columns page_low and page_high at its end, the page that a row came
-    with), page (blocks a page), transport and its options; for a batch start and end (inclusive); for a stream start (the
+    with), page (blocks a page), task_pages (neighbouring pages that a task reads, 1 by default), transport and its options; for a batch start and end (inclusive); for a stream start (the
     first block), lag (blocks that a batch stays behind the head) and max_blocks (a trigger)."""
 
     @classmethod
@@ -118,14 +147,17 @@ class LogPages(DataSource):
 class _Pages:
     def __init__(self, options: dict[str, str], schema: Any):
         self.options, self.size = dict(options), int(options.get("page", 1000))
+        self.together = self.size * max(1, int(options.get("task_pages", 1)))
         self.with_page = schema.names[-2:] == ["page_low", "page_high"]
 
     def pages(self, low: int, high: int) -> list[Page]:
-        return [Page(a, min(a + self.size - 1, high)) for a in range(low, high + 1, self.size)]
+        return [Page(a, min(a + self.together - 1, high)) for a in range(low, high + 1, self.together)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for low, high, rows in fetch(_transport(self.options), partition.low, partition.high):
-            yield from (row + (low, high) for row in rows) if self.with_page else rows
+        transport = _transport(self.options)
+        for first in range(partition.low, partition.high + 1, self.size):
+            for low, high, rows in fetch(transport, first, min(first + self.size - 1, partition.high)):
+                yield from (row + (low, high) for row in rows) if self.with_page else rows
 
 
 class _Batch(_Pages, DataSourceReader):
