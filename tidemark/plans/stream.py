@@ -75,6 +75,10 @@ def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("from_us", "l.events", "l.quarantined", F.round("l.mean_delay", 6).alias("mean_delay"))
 
 
+#: Events of a share of the pools in the state of the labels, over all of its buckets.
+_SHARE_EVENTS = 20_000
+
+
 #: The arrival clock of a finished stream: the watermark stays a day behind the newest arrival, in whole milliseconds.
 _CLOCK = f"(SELECT max(arrival_us) // 1000 * 1000 - {DAY} FROM ev)"
 
@@ -90,9 +94,10 @@ def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of every second event at three horizons as the stream leaves them, over several micro-batches."""
     _stateful(spark)
     path, _ = _paths(spark, "labels")
-    spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(4, "event_id").write.parquet(f"{path}-files")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{path}-files")
     s = jobs.with_arrival_clock(stream(spark, sf_dir, f"{path}-files", 2)).select(F.col("event_id").alias("point_id"), "pool", "event_us", "arrival_us", "price", (F.col("event_id") % 2 == 0).alias("is_point"), "received_time")
-    changes = _run(spark, "labels", jobs.forward_labels(s, HORIZONS, DELAY, 7 * DAY))
+    changes = _run(spark, "labels", jobs.forward_labels(s, HORIZONS, DELAY, 7 * DAY, shares=max(16, events.count() // _SHARE_EVENTS)))
     last = changes.groupBy("point_id", "horizon").agg(F.max_by(F.struct("pool", "status", "end_id", "observed_us", "start_price", "end_price"), "revision").alias("l"))
     return last.select("point_id", "l.pool", "horizon", "l.status", "l.end_id", "l.observed_us", return_bps(F.col("l.start_price"), F.col("l.end_price")).alias("net_return_bps"))
 

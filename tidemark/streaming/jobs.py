@@ -43,8 +43,8 @@ def quality(stream: DataFrame, interval: str = "15 seconds", status: str = "stat
     return out.select(F.unix_micros("window.start").alias("from_us"), "events", "quarantined", "mean_delay")
 
 
-_ENDS = pa.schema([("end_us", pa.int64()), ("end_arrival_us", pa.int64()), ("end_id", pa.int64()), ("end_price", pa.int64())])
-_WAITING = pa.schema([("point_id", pa.int64()), ("horizon", pa.int64()), ("target_us", pa.int64()), ("event_us", pa.int64()), ("arrival_us", pa.int64()), ("price", pa.int64()), ("status", pa.int8()), ("end_id", pa.int64()), ("revision", pa.int64())])
+_ENDS = pa.schema([("end_pool", pa.int64()), ("end_us", pa.int64()), ("end_arrival_us", pa.int64()), ("end_id", pa.int64()), ("end_price", pa.int64())])
+_WAITING = pa.schema([("point_id", pa.int64()), ("pool", pa.int64()), ("horizon", pa.int64()), ("target_us", pa.int64()), ("event_us", pa.int64()), ("arrival_us", pa.int64()), ("price", pa.int64()), ("status", pa.int8()), ("end_id", pa.int64()), ("revision", pa.int64())])
 _STATUS = ["unresolved", "censored", "observed"]
 LABELS = "point_id long, pool long, horizon long, status string, end_id long, observed_us long, start_price long, end_price long, revision long"
 
@@ -61,9 +61,10 @@ def _unpacked(state: Any, schema: pa.Schema) -> pd.DataFrame:
 
 
 class ForwardLabels(StatefulProcessor):
-    """Labels of the points of one (pool, bucket of target times): unresolved when first seen, observed with the first end of the
-    window that arrived after the point, censored by a timer once the arrival clock passes the target; a later arrival that
-    is an earlier end, or an end of a censored point, revises the label.  Emits each change with its revision.
+    """Labels of the points of one (share of the pools, bucket of target times): unresolved when first seen, observed with the
+    first end of the pool's window that arrived after the point, censored by a timer once the arrival clock passes the
+    target; a later arrival that is an earlier end, or an end of a censored point, revises the label.  Emits each change
+    with its revision.
 
     State is what the bucket's points and ends need.  With `forget_us` a bucket is dropped that long after its last
     target; without it, arbitrarily late ends still revise.
@@ -79,10 +80,10 @@ class ForwardLabels(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        ends = pd.concat([_unpacked(self.ends, _ENDS), new[~new.is_point][["event_us", "arrival_us", "point_id", "price"]].set_axis(_ENDS.names, axis=1)])
-        ends = ends.drop_duplicates("end_id").sort_values(["end_us", "end_arrival_us", "end_id"], ignore_index=True)
-        points = new[new.is_point][["point_id", "horizon", "target_us", "event_us", "arrival_us", "price"]].assign(status=0, end_id=-1, revision=-1)
-        waiting = pd.concat([_unpacked(self.waiting, _WAITING), points]).drop_duplicates(["point_id", "horizon"], ignore_index=True)
+        ends = pd.concat([_unpacked(self.ends, _ENDS), new[~new.is_point][["pool", "event_us", "arrival_us", "point_id", "price"]].set_axis(_ENDS.names, axis=1)])
+        ends = ends.drop_duplicates(["end_pool", "end_id"]).sort_values(["end_pool", "end_us", "end_arrival_us", "end_id"], ignore_index=True)
+        points = new[new.is_point][["point_id", "pool", "horizon", "target_us", "event_us", "arrival_us", "price"]].assign(status=0, end_id=-1, revision=-1)
+        waiting = pd.concat([_unpacked(self.waiting, _WAITING), points]).drop_duplicates(["pool", "point_id", "horizon"], ignore_index=True)
         self.ends.update((_packed(ends, _ENDS),))
         yield from self._mature(key, waiting, ends, timerValues.getCurrentWatermarkInMs())
 
@@ -91,8 +92,17 @@ class ForwardLabels(StatefulProcessor):
 
     def _first_ends(self, waiting: pd.DataFrame, ends: pd.DataFrame) -> np.ndarray:
         """The place of each point's end among the ordered ends, -1 for none."""
-        at = np.searchsorted(ends.end_us.to_numpy(), np.maximum(waiting.target_us, waiting.event_us + 1).to_numpy())
-        last = np.searchsorted(ends.end_us.to_numpy(), (waiting.target_us + self.delay).to_numpy(), side="right")
+        # Ends are ordered by pool and time: the ranks of both, as one number, keep that order.
+        pools, times = np.unique(ends.end_pool.to_numpy()), np.unique(ends.end_us.to_numpy())
+        width = len(times) + 1
+        keys = np.searchsorted(pools, ends.end_pool.to_numpy()) * width + np.searchsorted(times, ends.end_us.to_numpy())
+        pool = waiting.pool.to_numpy()
+        own = np.searchsorted(pools, pool)
+        known_pool = own < len(pools)
+        known_pool[known_pool] = pools[own[known_pool]] == pool[known_pool]
+        at = np.searchsorted(keys, own * width + np.searchsorted(times, np.maximum(waiting.target_us, waiting.event_us + 1).to_numpy()))
+        last = np.searchsorted(keys, own * width + np.searchsorted(times, (waiting.target_us + self.delay).to_numpy(), side="right"))
+        last = np.where(known_pool, last, at)
         known, arrived = waiting.arrival_us.to_numpy(), ends.end_arrival_us.to_numpy()
         open_ = np.flatnonzero(at < last)
         while len(open_):
@@ -129,7 +139,7 @@ class ForwardLabels(StatefulProcessor):
         pick = lambda c: pd.Series(np.where(ended, ends[c].to_numpy()[where], 0) if len(ends) else 0, out.index).where(ended).astype("Int64")
         observed = pick("end_arrival_us").fillna(np.maximum(out.target_us, out.arrival_us).where(out.status == 1, out.target_us)).astype("int64")
         yield pd.DataFrame({
-            "point_id": out.point_id, "pool": key[0], "horizon": out.horizon, "status": pd.Series([_STATUS[s] for s in out.status], out.index, dtype=object), "end_id": pick("end_id"),
+            "point_id": out.point_id, "pool": out.pool, "horizon": out.horizon, "status": pd.Series([_STATUS[s] for s in out.status], out.index, dtype=object), "end_id": pick("end_id"),
             "observed_us": observed, "start_price": out.price, "end_price": pick("end_price"), "revision": out.revision,
         })
 
@@ -137,12 +147,14 @@ class ForwardLabels(StatefulProcessor):
         pass
 
 
-def forward_labels(stream: DataFrame, horizons: list[int], delay_us: int, width_us: int | None = None, forget_us: int | None = None) -> DataFrame:
+def forward_labels(stream: DataFrame, horizons: list[int], delay_us: int, width_us: int | None = None, forget_us: int | None = None, shares: int = 200) -> DataFrame:
     """Label changes (`LABELS`) of a stream (point_id, pool, event_us, arrival_us, price, is_point) with a watermark on the column
     received_time, the arrival clock.  Every row is an end of others; rows with is_point get labels.
 
     A point goes to the bucket of its target, an event to the buckets whose points' windows can hold it (at most two, as
-    `width_us` is at least the delay), so that a busy pool is spread over its buckets and one key decides each label.
+    `width_us` is at least the delay), so that a busy pool is spread over its buckets and one key decides each label.  A key
+    is one of `shares` of the pools in a bucket, so that a task handles the pools of a share together; more shares make
+    smaller states.  The number of shares stays as it is over the runs of a checkpoint.
     """
     width = max(width_us or delay_us, delay_us, 1)
     points = stream.where("is_point").withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])))
@@ -150,9 +162,10 @@ def forward_labels(stream: DataFrame, horizons: list[int], delay_us: int, width_
     nothing = F.lit(None).cast("long")
     ends = stream.withColumn("is_point", F.lit(False)).withColumn("horizon", nothing).withColumn("target_us", nothing)
     ends = ends.withColumn("bucket", F.explode(F.array_distinct(F.array(floor_div(F.col("event_us") - delay_us, width), floor_div(F.col("event_us"), width)))))
-    names = ["pool", "bucket", "is_point", "point_id", "horizon", "target_us", "event_us", "arrival_us", "price", "received_time"]
-    keyed = points.select(*names).unionByName(ends.select(*names))
-    return keyed.groupBy("pool", "bucket").transformWithStateInPandas(ForwardLabels(delay_us, forget_us), LABELS, "append", "eventTime")
+    names = ["share", "bucket", "pool", "is_point", "point_id", "horizon", "target_us", "event_us", "arrival_us", "price", "received_time"]
+    share = F.pmod(F.xxhash64("pool"), F.lit(shares)).alias("share")
+    keyed = points.select(share, *names[1:]).unionByName(ends.select(share, *names[1:]))
+    return keyed.groupBy("share", "bucket").transformWithStateInPandas(ForwardLabels(delay_us, forget_us), LABELS, "append", "eventTime")
 
 
 class Positions(StatefulProcessor):
