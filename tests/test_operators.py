@@ -162,6 +162,27 @@ def test_ancestry_cycle(spark):
         chain.ancestry_walk(tree(spark, [("a", "c", 0), ("b", "a", 1), ("c", "b", -1)]).withColumn("height", F.lit(None).cast("long")), "c").count()
 
 
+@pytest.mark.parametrize("size", [2, 3, 7])
+def test_ancestry_over_many_ranges(spark, monkeypatch, size):
+    """A chain with a branch in each range, a gap, a break and a height that is unknown."""
+    monkeypatch.setattr(chain, "RANGE", size)
+    rows = [(f"m{k}", f"m{k - 1}" if k else None, k) for k in range(40)] + [(f"s{k}", f"m{k - 1}", k) for k in range(1, 40)] + [("t", "s20", 21)]
+    walk = lambda rows, tip: sorted((r.hash, r.problem) for r in chain.ancestry_walk(tree(spark, rows), tip).collect())
+    assert walk(rows, "m39") == sorted((f"m{k}", None) for k in range(40))
+    assert walk(rows, "t") == sorted([("t", None), ("s20", None)] + [(f"m{k}", None) for k in range(20)])
+    assert walk([r for r in rows if r[0] != "m9"], "m39") == sorted((f"m{k}", "missing_parent" if k == 10 else None) for k in range(10, 40))
+    assert walk([(h, p, n + 5 * (n > 11)) for h, p, n in rows], "m39") == sorted((f"m{k}", "nonconsecutive_height" if k == 12 else None) for k in range(12, 40))
+    assert walk([(h, p, None if h == "m15" else n) for h, p, n in rows], "m39") == sorted((f"m{k}", None) for k in range(40))
+    assert walk(rows, "none") == []
+
+
+def test_ancestry_shuffles_do_not_grow_with_the_chain(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chain, "cut", lambda df, name, old=chain.cut: written.append(name) or old(df, name))
+    chain.ancestry_walk(tree(spark, [(str(k), str(k - 1) if k else None, k) for k in range(3000)]), "2999").count()
+    assert len(written) <= 4
+
+
 def test_projection_states(spark):
     chain_rows = tree(spark, [("b", "a", 1), ("c", "b", 2)])
     events = spark.createDataFrame([(1, "b", 1, "new"), (2, "x", 1, "new"), (3, "a", 0, "new"), (4, "c", 2, "quarantined")], "id int, block_hash string, block long, status string")

@@ -2,41 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.integers import floor_div
-from tidemark.sources.shared import cut
+from tidemark.sources.shared import cut, small_or_shuffled
+
+
+#: Heights of a range of blocks that a task walks at once.
+RANGE = 16_384
+
+
+def _parents(table: pa.Table) -> np.ndarray:
+    """The row of each header's parent among the rows, -1 for none."""
+    at = pc.index_in(table.column("up").combine_chunks(), value_set=table.column("node").combine_chunks(), skip_nulls=True)
+    return pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _contracted(table: pa.Table) -> pa.Table:
+    """Headers of a range with their problem, the furthest ancestor inside the range (root), and whether the parent is elsewhere."""
+    at, own = _parents(table), np.arange(table.num_rows)
+    h = table.column("h").combine_chunks()
+    uneven = pc.fill_null(pc.not_equal(pc.take(h, pa.array(np.where(at >= 0, at, own))), pc.subtract(h, pa.scalar(1, h.type))), False).to_numpy(zero_copy_only=False) & (at >= 0)
+    goes = (at >= 0) & ~uneven
+    root = np.where(goes, at, own)
+    for _ in range(table.num_rows.bit_length()):
+        root = root[root]
+    loose = pc.is_valid(table.column("up")).to_numpy() & (at < 0)
+    problem = pa.array(np.where(uneven, "nonconsecutive_height", ""), pa.string())
+    problem = pc.if_else(pa.array(uneven), problem, pa.scalar(None, pa.string()))
+    return table.select(["node", "h", "up"]).append_column("problem", problem).append_column("root", table.column("node").take(pa.array(root))).append_column("loose", pa.array(loose)).append_column("cyclic", pa.array(goes[root]))
+
+
+def _walked(table: pa.Table) -> pa.Table:
+    """The headers of a range between its entries and their roots."""
+    at, keep = _parents(table), np.zeros(table.num_rows, bool)
+    up = np.where(pc.is_null(table.column("problem")).to_numpy(), at, -1).tolist()
+    for row in np.flatnonzero(table.column("entry").to_numpy()).tolist():
+        while row >= 0 and not keep[row]:
+            keep[row] = True
+            row = up[row]
+    return table.filter(pa.array(keep)).select(["node", "h", "up", "problem"])
 
 
 def ancestry_walk(headers: DataFrame, tip: object, ident: str = "hash", parent: str = "parent", height: str = "height") -> DataFrame:
-    """(hash, height, parent, problem): the chain from the tip upwards until a root, a gap or a break.
+    """(hash, height, parent, problem): the chain from the tip upwards until a root, a gap or a break; one row a hash is given.
 
-    Pointer doubling: before round r the ancestors up to 2**r - 1 steps away are found and every header
-    knows the one 2**r steps away, so a chain of n blocks takes log2(n) rounds of equi-joins instead of
-    n steps; the two sets of a round are disjoint, so nothing is made distinct.  `problem` is
-    missing_parent, nonconsecutive_height or null.  A cycle among the headers raises an error.
+    The headers are shuffled twice by ranges of `RANGE` heights.  First each range is contracted: every header gets its
+    furthest ancestor inside the range.  What leaves a range are links between such roots, one a branch and range, which
+    pointer doubling follows from the tip in log2(ranges) rounds of equi-joins: before round r the roots up to 2**r - 1
+    links away are found and every root knows the one 2**r links away.  Then each range is walked once from where the chain
+    enters it.  `problem` is missing_parent, nonconsecutive_height or null.  A cycle among the headers raises an error.
     """
-    parents = headers.select(F.col(ident).alias("__p"), F.col(height).alias("__ph"))
-    step = headers.select(F.col(ident).alias("node"), F.col(height).alias("h"), F.col(parent).alias("up")).join(parents, F.col("up") == F.col("__p"), "left")
-    problem = F.when(F.col("up").isNotNull() & F.col("__p").isNull(), "missing_parent").when(F.col("__ph") != F.col("h") - 1, "nonconsecutive_height")
-    step = cut(step.select("node", "h", F.col("up").alias("parent"), problem.alias("problem"), F.when(problem.isNull(), F.col("up")).alias("jump")), "ancestry")
-    total = step.count()
-    found = step.where(F.col("node") == F.lit(tip)).select("node")
-    jumps, rounds = step.select("node", "jump").where("jump is not null"), 0
+    kind, high = headers.schema[ident].dataType, headers.schema[height].dataType
+    # Headers without height are dealt by their hash; any ranges give the same chain.
+    ranged = F.coalesce(floor_div(F.col("h"), RANGE), -1 - F.pmod(F.xxhash64("node"), F.lit(1024)))
+    rows = headers.select(F.col(ident).alias("node"), F.col(height).alias("h"), F.col(parent).cast(kind).alias("up"))
+    names, a, b = "node {0}, h {1}, up {0}, problem string", kind.simpleString(), high.simpleString()
+    step = cut(rows.groupBy(ranged).applyInArrow(_contracted, f"{names}, root {{0}}, loose boolean, cyclic boolean".format(a, b)), "ancestry")
+    if not step.where("cyclic").isEmpty():
+        raise ValueError("block parent cycle detected")
+    loose = step.where("loose").select("node", "h", "up")
+    parents = step.select(F.col("node").alias("up"), F.col("h").alias("__ph"), F.col("root").alias("next"))
+    met = cut(parents.join(small_or_shuffled(loose.select("node", "up")), "up").select("node", "__ph", "next"), "ancestry")
+    problem = F.when(F.col("next").isNull(), "missing_parent").when(F.col("__ph") != F.col("h") - 1, "nonconsecutive_height")
+    links = loose.join(small_or_shuffled(met), "node", "left").select("node", "up", problem.alias("problem"), F.when(problem.isNull(), F.col("next")).alias("jump"))
+    links = cut(links, "ancestry")
+    total = links.count()
+    start = step.where(F.col("node") == F.lit(tip)).select(F.col("node").alias("entry"), F.col("root").alias("node"))
+    found = start.select("node")
+    jumps, rounds = links.select("node", "jump").where("jump is not null"), 0
     extend = lambda known, far: known.unionByName(known.join(far, "node").select(F.col("jump").alias("node")))
     twice = lambda far: far.join(far.select(F.col("node").alias("jump"), F.col("jump").alias("next")), "jump").select("node", F.col("next").alias("jump"))
     while not jumps.isEmpty():
         if (1 << rounds) > total:
             raise ValueError("block parent cycle detected")
         doubled = twice(jumps)  # two rounds for each table written
-        found = extend(extend(found, jumps), doubled)
+        found = cut(extend(extend(found, jumps), doubled), "ancestry")
         rounds += 2
-        if rounds % 4 == 0:  # a plan of a few joins at most
-            found = cut(found, "ancestry")
         jumps = cut(twice(doubled), "ancestry")
-    found = cut(found, "ancestry")
-    return step.join(found, "node", "left_semi").select(F.col("node").alias(ident), F.col("h").alias(height), F.col("parent").alias(parent), "problem")
+    ways = links.where("jump is not null").join(small_or_shuffled(found), "node", "left_semi").select(F.col("up").alias("node"))
+    entries = cut(ways.unionByName(start.select(F.col("entry").alias("node"))).distinct(), "ancestry").withColumn("entry", F.lit(True))
+    marked = step.drop("root", "loose", "cyclic").join(small_or_shuffled(entries), "node", "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    walked = marked.groupBy(ranged).applyInArrow(_walked, names.format(a, b))
+    ends = small_or_shuffled(links.where("problem is not null").select("node", F.col("problem").alias("__end")))
+    return walked.join(ends, "node", "left").select(F.col("node").alias(ident), F.col("h").alias(height), F.col("up").cast(headers.schema[parent].dataType).alias(parent), F.coalesce("problem", "__end").alias("problem"))
 
 
 def canonical_projection(events: DataFrame, chain: DataFrame, anchor_height: int, tip_height: int, resolved: Column, confirmations: int = 0, block_hash: str = "block_hash", block: str = "block", status: str = "status") -> DataFrame:
