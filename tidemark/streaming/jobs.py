@@ -200,16 +200,20 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("life", "stage string, liquidity long, gas long")
-        self.seen = handle.getMapState("seen", "action_id long", "done boolean")
+        self.seen = handle.getListState("seen", "action_id long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        stage, liquidity, gas = self.state.get() if self.state.exists() else ("none", 0, 0)
-        out = []
+        # A call of the state store costs more than a row: each state is read once and written once.
+        known = self.state.exists()
+        stage, liquidity, gas = self.state.get() if known else ("none", 0, 0)
+        seen = {r[0] for r in self.seen.get()} if known else set()
+        out, new = [], []
         for row in pd.concat(list(rows)).sort_values(["arrival_us", "action_id"]).itertuples():
-            if self.seen.containsKey((row.action_id,)):
+            if row.action_id in seen:
                 out.append((key[0], row.action_id, "duplicate", liquidity, gas))
                 continue
-            self.seen.updateValue((row.action_id,), (True,))
+            seen.add(row.action_id)
+            new.append((row.action_id,))
             gas += int(row.gas)
             if row.failed:
                 verdict = "failed"
@@ -225,6 +229,8 @@ class Lifecycle(StatefulProcessor):
                 liquidity, verdict = max(0, liquidity + (int(row.delta) if row.action in ("resize", "open") else 0)), "applied"
             out.append((key[0], row.action_id, verdict, liquidity, gas))
         self.state.update((stage, int(liquidity), int(gas)))
+        if new:
+            self.seen.appendList(new)
         yield pd.DataFrame(out, columns=["position_id", "action_id", "verdict", "liquidity", "gas"])
 
     def close(self) -> None:
@@ -244,31 +250,42 @@ class Decisions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("cash", "cash long, last long")
-        self.open = handle.getMapState("open", "asset long", "amount long")
-        self.done = handle.getMapState("done", "observation_id long", "decision string")
+        self.open = handle.getListState("open", "asset long, amount long")
+        self.done = handle.getListState("done", "observation_id long, decision string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        cash, last = self.state.get() if self.state.exists() else (self.start, -1)
-        out = []
+        # A call of the state store costs more than a row: each state is read once and written once.
+        known = self.state.exists()
+        cash, last = self.state.get() if known else (self.start, -1)
+        open_ = {r[0]: r[1] for r in self.open.get()} if known else {}
+        done = {r[0]: r[1] for r in self.done.get()} if known else {}
+        before, out, new = dict(open_), [], []
         for row in pd.concat(list(rows)).sort_values(["arrival_us", "observation_id"]).itertuples():
-            if self.done.containsKey((row.observation_id,)):
-                out.append((key[0], row.observation_id, self.done.getValue((row.observation_id,))[0], True, cash))
+            if row.observation_id in done:
+                out.append((key[0], row.observation_id, done[row.observation_id], True, cash))
                 continue
-            held = self.open.containsKey((row.asset,))
+            held = row.asset in open_
             if row.arrival_us < last:
                 verdict = "rejected_out_of_order"
             elif row.expected > row.uncertainty and not held and cash >= self.ticket:
                 verdict, cash = "enter", cash - self.ticket
-                self.open.updateValue((row.asset,), (self.ticket,))
+                open_[row.asset] = self.ticket
             elif held and row.expected < -row.uncertainty:
-                verdict, cash = "exit", cash + self.open.getValue((row.asset,))[0]
-                self.open.removeKey((row.asset,))
+                verdict, cash = "exit", cash + open_.pop(row.asset)
             else:
                 verdict = "hold" if held else "watch"
             last = max(last, row.arrival_us)
-            self.done.updateValue((row.observation_id,), (verdict,))
+            done[row.observation_id] = verdict
+            new.append((row.observation_id, verdict))
             out.append((key[0], row.observation_id, verdict, False, cash))
         self.state.update((int(cash), int(last)))
+        if open_ != before:
+            if open_:
+                self.open.put([(int(asset), int(amount)) for asset, amount in open_.items()])
+            else:
+                self.open.clear()
+        if new:
+            self.done.appendList(new)
         yield pd.DataFrame(out, columns=["portfolio", "observation_id", "decision", "repeated", "cash"])
 
     def close(self) -> None:
