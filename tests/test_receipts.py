@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import maps, words
-from tidemark.operators import facts
+from tidemark.operators import decode, facts
 from tidemark.operators import receipts as r
 
 WALLET, MANAGER, TOKEN, QUOTE, OTHER = "0xW", "0xM", "0xT", "0xQ", "0xO"
@@ -153,3 +153,11 @@ def test_timeline(spark):
     assert x.quality == "healthy" and x.missingness == []
     # A full refund keeps its asset at zero.
     assert timeline(spark, [(*buy[:11], {"Q": word(2**100)})])["T"].payment_out == {"Q": "0", "R": "4"}
+
+
+def test_receipts_are_put_together_as_numbers(spark, sf):
+    """No log is written before the lines of a receipt meet, so none is shuffled."""
+    from tidemark.plans.decode import receipts
+
+    plan = receipts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert decode.TRANSFER_TOPIC in plan.split("Aggregate", 1)[0] and decode.TRANSFER_TOPIC not in plan.split("Aggregate", 1)[1]

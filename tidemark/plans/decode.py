@@ -68,12 +68,18 @@ def decode_launch_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A receipt an order: each line moves its part to or from the customer against its price in the supplier's asset."""
     t, w = trades(spark, sf_dir), words.word_from_long
-    wallet, market = _hex(w(F.col("wallet"))), _hex(w(F.col("asset") + 1_000_000))
-    buy = F.col("direction") == "buy"
+    # Lines travel as numbers; their logs are written once they are together.
+    lines = t.groupBy("tx", "wallet").agg(F.collect_list(F.struct("line", "token", "asset", "direction", "quantity", "cents")).alias("lines"), F.min("token").alias("token"))
+    wallet = _hex(w(F.col("wallet")))
     log = lambda asset, sender, to, amount: F.struct(asset.alias("address"), F.array(F.lit(decode.TRANSFER_TOPIC), sender, to).alias("topics"), _hex(w(amount)).alias("data"))
-    token, quote = F.concat(F.lit("0xT"), F.col("token").cast("string")), F.lit("0xQ")
-    logs = F.array(log(token, F.when(buy, market).otherwise(wallet), F.when(buy, wallet).otherwise(market), F.col("quantity")), log(quote, F.when(buy, wallet).otherwise(market), F.when(buy, market).otherwise(wallet), F.col("cents")))
-    return t.select("tx", "line", "wallet", "token", logs.alias("one")).groupBy("tx", "wallet").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "token", "one"))), lambda x: x["one"])).alias("logs"), F.min("token").alias("token"))
+
+    def logs(x: Column) -> Column:
+        market, buy = _hex(w(x["asset"] + 1_000_000)), x["direction"] == "buy"
+        payer, payee = F.when(buy, wallet).otherwise(market), F.when(buy, market).otherwise(wallet)
+        one = F.array(log(F.concat(F.lit("0xT"), x["token"].cast("string")), payee, payer, x["quantity"]), log(F.lit("0xQ"), payer, payee, x["cents"]))
+        return F.struct(x["line"].alias("line"), x["token"].alias("token"), one.alias("one"))
+
+    return lines.select("tx", "wallet", F.flatten(F.transform(F.array_sort(F.transform("lines", logs)), lambda x: x["one"])).alias("logs"), "token")
 
 
 def _transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
