@@ -99,3 +99,12 @@ def test_waiting(spark, data):
     assert (row.status, row.model, row.mae) == ("waiting", None, None) and row.reasons == ["insufficient_qualified_train_examples", "no_heldout_examples"] and predictions.count() == 0
     (row,) = experiment.run_experiment(e, s.where("sample_id % 4 > 0"), i)[0].collect()
     assert row.reasons == ["no_heldout_examples"]
+
+
+def test_edges_that_carry_nothing_are_left_out_of_the_rounds(spark, data, monkeypatch):
+    _, _, _, (e, s, i) = data
+    lonely = e.unionByName(spark.range(1000, 3000).select(F.col("id").alias("ordinal"), F.col("id").alias("src"), (F.col("id") % NODES).alias("dst"), F.lit(0.5).alias("weight"), F.lit(1).alias("sign")))
+    sizes = {}
+    monkeypatch.setattr(experiment, "cut", lambda df, name, old=experiment.cut: sizes.setdefault(name, old(df, name)))
+    experiment.encode(lonely, s.select("sample_id", "episode_id", F.lit(0).alias("place")), i, 0.9, 1.0)
+    assert sizes["edges"].count() == e.count()

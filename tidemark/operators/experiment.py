@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph
-from tidemark.sources.shared import cut
+from tidemark.sources.shared import cut, small_or_shuffled
 
 #: Samples whose matrix of inner products the driver may hold, side of the tiles in which it is added up, rows of a block.
 MOST_SAMPLES, TILE, BLOCK_ROWS = 6000, 1024, 2_000_000
@@ -31,7 +31,10 @@ def encode(edges: DataFrame, samples: DataFrame, inputs: DataFrame, decay: float
     starts at 0.  All episodes advance together, one join and one aggregation a place, so rounds are as many as the longest
     episode has samples.  Inputs of nodes outside of the graph are ignored.
     """
-    drive = inputs.join(graph.nodes(edges), "node", "left_semi").join(samples, "sample_id")
+    drive = cut(inputs.join(graph.nodes(edges), "node", "left_semi").join(samples, "sample_id"), "drive")
+    # Only nodes that inputs drive or edges reach ever have a state; edges of other sources carry nothing.
+    reached = drive.select("node").union(edges.select(F.col("dst").alias("node"))).distinct()
+    edges = cut(edges.join(small_or_shuffled(reached), F.col("src") == F.col("node"), "left_semi").select("src", "dst", "weight", "sign"), "edges")
     rounds = int(samples.agg(F.max("place")).first()[0] or 0) + 1
     zero, state, out = F.lit(0.0), None, None
     for place in range(rounds):
