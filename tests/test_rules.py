@@ -161,3 +161,13 @@ def test_modes(spark):
         1: ("spot", True, "highest_registered_score"), 2: ("idle", True, "lp_disabled_until_verified_live_evidence"), 3: ("idle", True, "no_supported_affordable_mode"),
         4: ("lp", True, "highest_registered_score"), 5: ("idle", True, "no_supported_affordable_mode"), 6: ("idle", False, "shared_portfolio_already_allocated"),
     }
+
+
+def test_linking_reads_each_side_of_its_join_once(spark):
+    actions = spark.createDataFrame([(1, "0xA", None, "spot", "t", "enter", 5), (2, None, "wallet:0xb", "spot", "t", "exit", 5), (3, None, None, "spot", "t", "hold", 5), (3, None, None, "spot", "t", "hold", 5)], "action_id long, tx string, wallet string, market string, instrument string, action string, at_us long")
+    activities = spark.createDataFrame([(7, "0xa", "0xb", "swap", "T", 4, 99), (8, None, "0xB", "swap", "t", -4, 12), (9, None, "0xb", "swap", "t", -4, 26)], "activity_id long, tx string, wallet string, kind string, instrument string, delta long, at_us long")
+    out = feedback.link_actions(actions, activities, 10)
+    assert sorted((r.action_id, r.activity_id, r.status) for r in out.collect() if r.action_id < 3) == [(1, 7, "matched"), (2, 8, "matched")]
+    assert [r.reason for r in out.collect() if r.action_id == 3] == ["manual_evidence_pending"] * 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "Union" not in plan

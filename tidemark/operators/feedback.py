@@ -71,15 +71,19 @@ def link_actions(actions: DataFrame, activities: DataFrame, window_us: int) -> D
     are ambiguous.  Without a hash those within `window_us` count, in the same way.  Amounts never decide.
     """
     lower = lambda c: F.lower(F.col(c).cast("string"))
-    left = actions.select("action_id", lower("tx").alias("tx"), F.regexp_replace(lower("wallet"), "^wallet:", "").alias("wallet"), "market", lower("instrument").alias("i"), "action", "at_us", floor_div(F.col("at_us"), max(window_us, 1)).alias("__b"))
-    right = activities.select("activity_id", lower("tx").alias("__tx"), lower("wallet").alias("__w"), "kind", lower("instrument").alias("i"), "delta", F.col("at_us").alias("__at"), floor_div(F.col("at_us"), max(window_us, 1)).alias("__b"))
-    swap = (F.col("market") == "spot") & (F.col("kind") == "swap") & (((F.col("action") == "enter") & (F.col("delta") > 0)) | ((F.col("action") == "exit") & (F.col("delta") < 0)))
-    pool = (F.col("market") != "spot") & (F.col("kind") == "lp") & F.col("action").isin("enter", "exit", "hold")
-    fits = (F.col("wallet").isNull() | (F.col("wallet") == F.col("__w"))) & (swap | pool)
-    exact = left.where("tx is not null").drop("__b").join(right.where("__tx is not null").drop("__b"), (F.col("tx") == F.col("__tx")) & (left["i"] == right["i"]) & fits)
-    # A window as wide as a time bucket touches three buckets.
-    near = left.where("tx is null").withColumn("__b", F.explode(F.array(*[F.col("__b") + d for d in (-1, 0, 1)]))).join(right, ["i", "__b"]).where(fits & (F.abs(F.col("at_us") - F.col("__at")) <= window_us))
-    pairs = exact.select("action_id", "activity_id").union(near.select("action_id", "activity_id"))
+    # What must agree of market, kind, action and sign is one number: in, out or a pool.  Without one nothing is compatible.
+    swaps, pooled = F.col("market") == "spot", (F.col("market") != "spot") & F.col("action").isin("enter", "exit", "hold")
+    wanted = F.when(swaps & (F.col("action") == "enter"), 1).when(swaps & (F.col("action") == "exit"), -1).when(pooled, 0).cast("tinyint")
+    given = F.when(F.col("kind") == "swap", F.when(F.col("delta") > 0, 1).when(F.col("delta") < 0, -1)).when(F.col("kind") == "lp", 0).cast("tinyint")
+    # One join for both rules, by the hash or by the time bucket: each side is read and shuffled once.  A window as wide as a
+    # bucket touches three of them.
+    bucket = floor_div(F.col("at_us"), max(window_us, 1))
+    hashed, nothing = F.struct(lower("tx").alias("tx"), F.lit(None).cast("long").alias("b")), F.lit(None).cast("string").alias("tx")
+    left = actions.select("action_id", F.regexp_replace(lower("wallet"), "^wallet:", "").alias("wallet"), lower("instrument").alias("i"), wanted.alias("side"), F.when(F.col("tx").isNull(), F.col("at_us")).alias("at_us"), F.inline(F.when(F.col("tx").isNotNull(), F.array(hashed)).otherwise(F.array(*[F.struct(nothing, (bucket + d).alias("b")) for d in (-1, 0, 1)])))).where("side is not null")
+    right = activities.select("activity_id", lower("wallet").alias("__w"), lower("instrument").alias("i"), given.alias("side"), F.inline(F.array(F.struct(lower("tx").alias("tx"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("__at")), F.struct(nothing, bucket.alias("b"), F.col("at_us").alias("__at"))))).where("side is not null and (tx is not null or b is not null)")
+    same = [left["i"] == right["i"], left["side"] == right["side"], left["tx"].eqNullSafe(right["tx"]), left["b"].eqNullSafe(right["b"])]
+    fits = (F.col("wallet").isNull() | (F.col("wallet") == F.col("__w"))) & (left["tx"].isNotNull() | (F.abs(F.col("at_us") - F.col("__at")) <= window_us))
+    pairs = left.join(right, same).where(fits)
     counted = pairs.groupBy("action_id").agg(F.min("activity_id").alias("__one"), (F.min("activity_id") != F.max("activity_id")).alias("__many"))
     out = actions.select("action_id", F.col("tx").isNotNull().alias("__hashed")).join(counted, "action_id", "left")
     status = F.when(F.col("__one").isNull(), "pending").when(F.col("__many"), "ambiguous").otherwise("matched")
