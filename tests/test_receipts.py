@@ -161,3 +161,34 @@ def test_receipts_are_put_together_as_numbers(spark, sf):
 
     lines = receipts(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert lines[0].startswith("Aggregate") and [decode.TRANSFER_TOPIC in line for line in lines] == [True] + [False] * (len(lines) - 1)
+
+
+def test_each_input_of_a_trade_is_read_once(spark, sf):
+    """Receipts, swaps, swap logs, transfers and refunds come from the lines; the route isn't worked out again for each kind of leg."""
+    from tidemark.plans.decode import trade_from_receipt
+
+    plan = trade_from_receipt(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("Relation [l_orderkey#" in line for line in plan) == 5 and not any("Filter" in line and decode.TRANSFER_TOPIC in line and "array(" in line for line in plan)
+
+
+def test_legs_of_one_asset_are_added(spark):
+    """More legs than are named one by one, several of an asset, modulo 2**256; a native transfer adds to the native value."""
+    paid, got = [(QUOTE, WALLET, MANAGER, n) for n in (2**200, 3, 4)], [(TOKEN, MANAGER, WALLET, n) for n in (2**64, 2**64 + 5)]
+    (row,) = traded(spark, [*paid, *got, (QUOTE, MANAGER, WALLET, 1), (QUOTE, MANAGER, WALLET, 6), (TOKEN, OTHER, WALLET, 9)])
+    assert (row.direction, row.classification, row.payments, row.receipts, row.refunds) == ("buy", "genuine_swap", {"0xq": str(2**200 + 7)}, {"0xt": str(2**65 + 5)}, {"0xq": "7"})
+    assert row.flags == ["unrelated_token_transfer_excluded", "refund_observed"]
+    native = {"pools": (NATIVE_POOL,), "tx_to": MANAGER, "value": word(5), "refunds_accounted": True}
+    (row,) = traded(spark, [(TOKEN, MANAGER, WALLET, 1), (r.NATIVE, WALLET, MANAGER, 2)], refunds=[(MANAGER, WALLET, 3), (MANAGER, WALLET, 4)], **native)
+    assert (row.payments, row.refunds, row.classification, row.flags) == ({r.NATIVE: "7"}, {r.NATIVE: "7"}, "ambiguous", ["fully_refunded_or_zero_net_input", "refund_observed"])
+
+
+def test_swaps_of_a_route(spark):
+    """Managers and quotes of all swaps, each once; a swap whose log is missing decides only if no earlier one fails."""
+    pools = [("P", "v4", MANAGER, TOKEN, QUOTE), ("R", "v4", "0xN", "0xR", TOKEN), ("S", "v4", MANAGER, QUOTE, TOKEN)]
+    swaps = [(1, 3, "p", "0xm", "Swap", False), (1, 4, "r", "0xn", "Swap", False), (1, 5, "s", "0xm", "Swap", False)]
+    row = routed(spark, pools, swaps, [(1, 3), (1, 4), (1, 5)], (QUOTE, "0xR")).first()
+    assert (row.swaps, row.route_status, row.route_flag, sorted(row.managers), sorted(row.route_quotes)) == (3, "verified", None, ["0xm", "0xn"], ["0xq", "0xr"])
+    row = routed(spark, pools, swaps, [(1, 4)], (QUOTE,)).first()
+    assert (row.route_status, row.route_flag) == ("uncertain", "swap_log_not_linked_to_receipt")
+    row = routed(spark, pools, swaps, [(1, 3), (1, 4)], (QUOTE,)).first()
+    assert (row.route_status, row.route_flag, row.route_quotes) == ("uncertain", "quote_asset_not_in_verified_pool_currency", ["0xq"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ from tidemark.functions import words
 ZERO = "0" * 64
 
 
+def each(items: Column, body: Callable[[Column], Column], upto: int) -> Column:
+    """`transform` that names up to so many elements one by one, as Spark compiles these and only interprets a lambda."""
+    at = [body(F.get(items, F.lit(i))) for i in range(upto)]
+    out = F.when(F.size(items) == 1, F.array(at[0]))
+    for n in range(2, upto + 1):
+        out = out.when(F.size(items) == n, F.array(*at[:n]))
+    return out.otherwise(F.transform(items, body))
+
+
 def asset_sums(rows: DataFrame, by: list[str], asset: str, word: str) -> DataFrame:
     """(by, asset, total): exact sums of words, however many rows a group has; partial sums are made before the shuffle."""
     summed = rows.groupBy(*by, asset).agg(*words.limb_sums(F.col(word)))
@@ -38,5 +49,5 @@ def decimals(column: Column) -> Column:
 
 def text(column: Column) -> Column:
     """asset:amount of each entry of a map of words, joined by commas in the order of assets."""
-    entries = F.array_sort(F.map_entries(column))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), words.decimal_text(e["value"]))), ",")
+    entries = F.sort_array(F.map_entries(column))
+    return F.array_join(each(entries, lambda e: F.concat(e["key"], F.lit(":"), words.given_text(e["value"])), 1), ",")

@@ -20,7 +20,7 @@ LIMBS = 8
 
 def word_from_long(x: Column) -> Column:
     """The word of a bigint."""
-    return F.lower(F.concat(F.when(x < 0, F.repeat(F.lit("f"), 48)).otherwise(F.repeat(F.lit("0"), 48)), F.lpad(F.hex(x.cast("long")), 16, "0")))
+    return F.concat(F.when(x < 0, "f" * 48).otherwise("0" * 48), F.lower(F.lpad(F.hex(x.cast("long")), 16, "0")))
 
 
 def is_word(x: Column) -> Column:
@@ -126,6 +126,17 @@ def is_positive(x: Column) -> Column:
     return _let(x, lambda w: ~is_negative(w) & (w != "0" * 64))
 
 
+def _short_text(size: Column) -> Column:
+    """A word below 2**120 as a decimal string."""
+    part = lambda at: F.conv(F.substring(size, at, 15), 16, 10).cast("decimal(19,0)")
+    return (part(35) * F.lit(str(1 << 60)).cast("decimal(19,0)") + part(50)).cast("decimal(38,0)").cast("string")
+
+
+def given_text(x: Column) -> Column:
+    """`decimal_text` of a word that is cheap to read, such as a field; words below 2**120 take no lambda."""
+    return F.when(fits_unsigned(x, 120), _short_text(x)).otherwise(decimal_text(x))
+
+
 def decimal_text(x: Column) -> Column:
     """A word as a canonical decimal string, for all 256 bits.  Sizes below 2**120 go through an exact decimal; the limbs of
     larger ones are carried into digits of base 10**9."""
@@ -144,11 +155,7 @@ def decimal_text(x: Column) -> Column:
         digits = F.aggregate(limbs(size), F.array_repeat(F.lit(0).cast("long"), 9), times)
         return F.regexp_replace(F.array_join(F.transform(F.reverse(digits), lambda d: F.lpad(d.cast("string"), 9, "0")), ""), "^0+(?=.)", "")
 
-    def short(size: Column) -> Column:
-        part = lambda at: F.conv(F.substring(size, at, 15), 16, 10).cast("decimal(19,0)")
-        return (part(35) * F.lit(str(1 << 60)).cast("decimal(19,0)") + part(50)).cast("decimal(38,0)").cast("string")
-
-    plain = lambda size: F.when(fits_unsigned(size, 120), short(size)).otherwise(long(size))
+    plain = lambda size: F.when(fits_unsigned(size, 120), _short_text(size)).otherwise(long(size))
     return _let(x, lambda w: F.when(is_negative(w), F.concat(F.lit("-"), _let(negated(w), plain))).otherwise(plain(w)))
 
 
@@ -232,6 +239,17 @@ def growth_inside(tick: Column, lower: Column, upper: Column, everywhere: Column
     return F.when(tick < lower, modular_difference(below, above)).when(tick < upper, inside).otherwise(modular_difference(above, below))
 
 
+def word_sum(values: Column) -> Column:
+    """The sum of an array of words modulo 2**256, nulls left out; null without any."""
+    given = F.filter(values, lambda w: w.isNotNull())
+    return F.when(F.size(given) > 0, F.aggregate(given, F.lit("0" * 64), lambda acc, w: carry(F.zip_with(limbs(acc), limbs(w), lambda x, y: x + y))))
+
+
+def is_greater(a: Column, b: Column) -> Column:
+    """Whether (a - b) modulo 2**256 is positive.  Words that aren't negative compare as text."""
+    return F.when(~is_negative(a) & ~is_negative(b), a > b).otherwise(is_positive(modular_difference(a, b)))
+
+
 def modular_difference(a: Column, b: Column) -> Column:
     """(a - b) modulo 2**256 of words, for growth counters that may wrap: limb by limb, without a UDF."""
     return carry(F.zip_with(limbs(a), limbs(b), lambda x, y: x - y))

@@ -104,6 +104,7 @@ def decode_launch_logs(logs: DataFrame, factory: str | None = None) -> DataFrame
 
 def decode_transfers(receipts: DataFrame, tx: str = "tx", logs: str = "logs") -> DataFrame:
     """(tx, position, asset, sender, recipient, amount word) of every well-formed Transfer log of the receipts."""
-    one = receipts.select(tx, F.posexplode(logs).alias("position", "log")).select(tx, "position", "log.*")
+    # The outer form only keeps Spark from working the logs out a second time, to filter by their number; a null log isn't sound.
+    one = receipts.select(tx, F.posexplode_outer(logs).alias("position", "log")).select(tx, "position", "log.*")
     sound = (F.lower(F.get("topics", F.lit(0))) == TRANSFER_TOPIC) & (F.size("topics") == 3) & F.lower(F.col("data")).rlike("^0x[0-9a-f]{64}$")
     return one.where(F.coalesce(sound, F.lit(False))).select(tx, "position", F.lower("address").alias("asset"), _address(_topic(1)).alias("sender"), _address(_topic(2)).alias("recipient"), _word(0).alias("amount"))

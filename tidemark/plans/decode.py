@@ -148,17 +148,20 @@ def route_verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _receipt_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _lines(spark, sf_dir)
-    word_address = lambda c: F.concat(F.lit("0x"), F.lpad(F.substring(c, 3, 40), 64, "0"))
-    log = lambda when, asset, sender, to, amount: F.when(when, F.struct(asset.alias("address"), F.array(F.lit(decode.TRANSFER_TOPIC), word_address(sender), word_address(to)).alias("topics"), F.concat(F.lit("0x"), amount).alias("data")))
     wallet, manager, buys, other = F.col("wallet"), F.col("manager"), F.col("buys"), F.lit("0x" + "9" * 40)
     payer, payee = F.when(buys, wallet).otherwise(manager), F.when(buys, manager).otherwise(wallet)
     coin = F.col("quote") != receipts_.NATIVE
     back = F.when(F.col("line") == 3, F.col("cents")).otherwise(F.expr("cents div 50"))
-    logs = F.array_compact(F.array(
-        log(coin, F.upper(F.substring("quote", 3, 9)), payer, payee, _tokens(F.col("cents"))), log(F.lit(True), F.col("token"), payee, payer, _tokens(F.col("quantity"))),
-        log(coin & buys & (F.col("line") % 3 == 0), F.upper(F.substring("quote", 3, 9)), manager, wallet, _tokens(back)), log(F.col("quantity") % 7 == 0, F.col("token"), other, wallet, _tokens(F.lit(5).cast("long"))),
-    ))
-    found = decode.decode_transfers(x.select("tx", logs.alias("logs"))).withColumn("asset", F.when(F.startswith("asset", F.lit("q")), F.concat(F.lit("0x"), F.col("asset"))).otherwise(F.col("asset")))
+    # The logs of a line, one a row: what it costs, what it moves, what comes back, a gift.
+    there = F.array(F.when(coin, F.lit(0)), F.lit(1), F.when(coin & buys & (F.col("line") % 3 == 0), F.lit(2)), F.when(F.col("quantity") % 7 == 0, F.lit(3)))
+    one, nth = x.select("*", F.explode_outer(there).alias("log")).where("log is not null"), F.col("log")
+    word_address = lambda c: F.concat(F.lit("0x" + "0" * 24), F.substring(c, 3, 40))
+    asset = F.when(nth % 2 == 0, F.upper(F.substring("quote", 3, 9))).otherwise(F.col("token"))
+    sender = F.when(nth == 0, payer).when(nth == 1, payee).when(nth == 2, manager).otherwise(other)
+    recipient = F.when(nth == 0, payee).when(nth == 1, payer).otherwise(wallet)
+    amount = F.when(nth == 0, F.col("cents")).when(nth == 1, F.col("quantity")).when(nth == 2, back).otherwise(F.lit(5).cast("long"))
+    log = F.struct(asset.alias("address"), F.array(F.lit(decode.TRANSFER_TOPIC), word_address(sender), word_address(recipient)).alias("topics"), F.concat(F.lit("0x"), _tokens(amount)).alias("data"))
+    found = decode.decode_transfers(one.select("tx", F.array(log).alias("logs"))).withColumn("asset", F.when(F.startswith("asset", F.lit("q")), F.concat(F.lit("0x"), F.col("asset"))).otherwise(F.col("asset")))
     refunds = x.where(~coin & buys & (F.col("line") % 4 == 0)).select("tx", F.when(F.col("cents") % 13 == 0, other).otherwise(manager).alias("sender"), F.col("wallet").alias("recipient"), _tokens(F.expr("cents div 50")).alias("amount"))
     return receipts_.trades_from_receipts(_routes(spark, sf_dir), found, refunds, [])
 
