@@ -108,3 +108,72 @@ def test_edges_that_carry_nothing_are_left_out_of_the_rounds(spark, data, monkey
     monkeypatch.setattr(experiment, "cut", lambda df, name, old=experiment.cut: sizes.setdefault(name, old(df, name)))
     experiment.encode(lonely, s.select("sample_id", "episode_id", F.lit(0).alias("place")), i, 0.9, 1.0)
     assert sizes["edges"].count() == e.count()
+
+
+def jobs(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_longer_episodes_take_no_more_jobs(spark, data):
+    _, _, _, (e, s, i) = data
+    short = s.select("sample_id", (F.col("sample_id") * 1).alias("episode_id"), F.lit(0).alias("place"))
+    long = s.select("sample_id", F.lit(0).alias("episode_id"), F.col("sample_id").cast("int").alias("place"))
+    took = [jobs(spark, f"states {k}", lambda df=df: experiment.encode(e, df, i, 0.9, 1.0).collect()) for k, df in enumerate((short, long))]
+    assert took[0] == took[1] > 0
+
+
+def test_few_nodes_need_no_iterations(spark, data, monkeypatch):
+    edges, samples, inputs, (e, s, i) = data
+    monkeypatch.setattr(experiment, "MOST_SAMPLES", 5)
+    monkeypatch.setattr(experiment, "_conjugate_gradients", lambda *_: pytest.fail("iterations"))
+    mae = {r.model: r.mae for r in experiment.run_experiment(e, s, i)[0].collect()}
+    y, train = np.array([r[3] for r in samples]), np.array([r[4] == "train" for r in samples])
+    expected = ridge(states(edges, samples, inputs), y, train)
+    assert len(mae) == 5 and abs(mae["graph"] - np.abs(expected - y)[~train].mean()) < 1e-9
+
+
+@pytest.mark.parametrize("most_edges", [0, 200_000])
+def test_states_by_joins_and_in_small_blocks_equal_numpy(spark, data, monkeypatch, most_edges):
+    edges, samples, inputs, (e, s, i) = data
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(experiment, "MOST_EDGES", most_edges)
+    monkeypatch.setattr(experiment, "BLOCK_VALUES", 40)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 2)
+    try:
+        placed = s.withColumn("place", F.row_number().over(Window.partitionBy("episode_id").orderBy("observed_us", "sample_id")) - 1)
+        got = np.zeros((21, NODES))
+        for r in experiment.encode(e, placed.select("sample_id", "episode_id", "place"), i, 0.9, 1.0).collect():
+            got[r.sample_id, r.node] = r.value
+    finally:
+        spark.conf.set(key, before)
+    assert np.allclose(got, states(edges, samples, inputs), atol=1e-12)
+
+
+@pytest.mark.parametrize("most_samples", [5, 6000])
+def test_many_nodes_by_samples_or_scans_equal_sums(spark, data, monkeypatch, most_samples):
+    _, _, _, (e, s, i) = data
+    placed = s.select("sample_id", "episode_id", "target", "partition", F.lit(0).alias("place"))
+    rows = experiment.gathered(e, placed, i).select("sample_id", "target", "partition", F.col("entries.node").alias("nodes"), F.col("entries.input").alias("values")).cache()
+    expected = {r.sample_id: r.predicted for r in experiment.ridge_heldout(rows, 1.0).collect()}
+    monkeypatch.setattr(experiment, "MOST_NODES", 2)
+    monkeypatch.setattr(experiment, "MOST_SAMPLES", most_samples)
+    got = {r.sample_id: r.predicted for r in experiment.ridge_heldout(rows, 1.0).collect()}
+    assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 1e-7 for k in got)
+
+
+def test_samples_without_inputs_keep_their_place(spark, data):
+    """A null input counts as none; a sample without any goes on from the state before and is predicted."""
+    _, _, _, (e, s, i) = data
+    gaps = i.withColumn("input", F.when(~F.col("sample_id").isin(4, 8), F.col("input")))
+    removed = i.where("sample_id not in (4, 8)")
+    both = [experiment.run_experiment(e, s, given) for given in (gaps, removed)]
+    found = [{(r.model, r.sample_id): r.predicted for r in predictions.collect()} for _, predictions in both]
+    assert len(found[0]) == 5 * s.where("partition <> 'train'").count() and np.allclose([found[0][k] for k in sorted(found[0])], [found[1][k] for k in sorted(found[0])], atol=1e-9)

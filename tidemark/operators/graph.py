@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.windows import global_row_number
-from tidemark.sources.shared import cut
+from tidemark.sources.shared import cut, small_or_shuffled
 
 
 def scan_edges(edges: DataFrame, low: int | None = None, high: int | None = None, allowed: DataFrame | None = None, order: list[str] | None = None, most: int | None = None) -> DataFrame:
@@ -40,13 +40,16 @@ def statistics(edges: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(e))
 
 
-def shuffled_targets(edges: DataFrame, seed: int) -> DataFrame:
+def shuffled_targets(edges: DataFrame, seed: int, sources: DataFrame | None = None) -> DataFrame:
     """Edges with their targets dealt anew: every source keeps its out-degree, every target its in-degree.
 
-    Two seeded orders of the edges are ranked and the targets of one joined to the other by rank.
+    Two seeded orders of the edges are ranked and the targets of one joined to the other by rank.  All are dealt; with
+    `sources` (node) only the edges of these are given.
     """
     keyed = edges.withColumn("__a", F.xxhash64(F.lit(seed), "ordinal")).withColumn("__b", F.xxhash64(F.lit(seed + 1), "ordinal"))
     left = global_row_number(keyed.select("ordinal", "src", "weight", "sign", "__a"), ["__a", "ordinal"], "__r").drop("__a")
+    if sources is not None:
+        left = left.join(small_or_shuffled(sources), F.col("src") == F.col("node"), "left_semi")
     right = global_row_number(keyed.select(F.col("ordinal").alias("__o"), "dst", "__b"), ["__b", "__o"], "__r").select("__r", "dst")
     return left.join(right, "__r").select("ordinal", "src", "dst", "weight", "sign")
 
